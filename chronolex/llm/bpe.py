@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of text whose pieces and tokens are in memory at a time.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 #: Pieces whose tokens a worker remembers between batches.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 300_000
 
 #: Bytes of pieces that one run of the contraction query takes.
-QUERY_BYTES = 400_000
+QUERY_BYTES = 200_000
 #: Longer pieces are contracted with a heap: the query keeps every step, which is quadratic in a piece's length.
 LONG_PIECE = 512
 
@@ -113,7 +113,7 @@ class Codec:
             for k in range(1, len(token)):
                 if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
                     pair.append(a << 32 | b), merged.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": "", "preserve_insertion_order": False})
         for name, data in (
             ("merges", {"pair": pair, "merged": merged}),
             ("vocab", {"tok": list(ranks.values()), "chars": [t.decode("latin-1") for t in ranks]}),
@@ -229,9 +229,9 @@ def slices(texts: list[str]) -> Iterator[list[int]]:
         yield run
 
 
-def _mapped(df: DataFrame, made: dict[str, T.DataType], work) -> DataFrame:
+def _mapped(df: DataFrame, made: dict[str, T.DataType], work, drop: str = "") -> DataFrame:
     """df with the columns `made`, which work(frame) computes for small pandas frames of it."""
-    kept = [f for f in df.schema.fields if f.name not in made]
+    kept = [f for f in df.schema.fields if f.name not in made and f.name != drop]
     schema = T.StructType([*kept, *(T.StructField(k, v) for k, v in made.items())])
 
     def run(frames):
@@ -273,6 +273,20 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, *, ids_col: str = "ids"
 
 
 def token_digests(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256, by encoding and decoding the whole text."""
-    coded = decode(encode(df.select("doc_id", "text"), ranks_path, pattern).drop("text"), ranks_path, pattern)
-    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256, by encoding and decoding the whole text in one pass."""
+    with open(ranks_path, "rb") as f:
+        raw = f.read()
+
+    def work(frame):
+        codec = Codec.of(raw, pattern)
+        texts = [x if isinstance(x, str) else "" for x in frame["text"]]
+        for run in slices(texts):
+            ids = codec.encode([texts[i] for i in run])
+            yield frame.iloc[run][["doc_id"]].assign(
+                n_tokens=[len(x) // 4 for x in ids],
+                ids_sha256=[hashlib.sha256(x).hexdigest() for x in ids],
+                decoded_sha256=[hashlib.sha256(x).hexdigest() for x in codec.decode(ids)],
+            )
+
+    made = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    return _mapped(df.select("doc_id", "text"), made, work, drop="text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm import bpe, common, warc
+from chronolex.llm import bpe, chat, common, licences, simhash, warc
 
 
 def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,15 +17,62 @@ def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_key").alias("refers_to"))
 
 
+def op2_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
+    return chat.digests(common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(common.table(spark, sf_dir, "documents"))
+
+
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(common.table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.token_digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_archive, op7_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_chat_examples, op3_simhash, op6_licence_scan, op7_byte_bpe)}
+
+_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in licences.SENTENCES.items())
+
+
+def _licence_sql() -> str:
+    found = "s"
+    for ids, licence in licences.RULES:
+        found = f"replace({found}, '{',,'.join(ids).join((',', ','))}', ',={licence},')"
+    return rf"""
+        WITH known(plain, id) AS (VALUES {_VALUES}),
+        cut AS (SELECT doc_id, row_number() OVER () AS r, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\r\f]+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM documents),
+        sentences AS (SELECT doc_id, r, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM cut),
+        plain AS (SELECT doc_id, r, i, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS plain FROM sentences),
+        ids AS (SELECT r, string_agg(coalesce(id, '-'), ',' ORDER BY i) AS s, count(id) AS n, string_agg(id, ',' ORDER BY i) AS k FROM plain LEFT JOIN known USING (plain) WHERE plain <> '' GROUP BY r),
+        seq AS (SELECT doc_id, coalesce(n, 0) AS n_known, coalesce(k, '') AS sentence_ids,
+                       replace(regexp_replace(',' || coalesce(s, '') || ',', '(,-)+,', ',-,', 'g'), ',', ',,') AS s FROM cut LEFT JOIN ids USING (r))
+        SELECT doc_id, n_known, sentence_ids, array_to_string(regexp_extract_all({found}, '=([^,]+)', 1), ',') AS licences FROM seq
+    """
+
 
 ORACLES: dict[str, str] = {
+    "op2_chat_examples": r"""
+        WITH t AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length(role) + 1 + length(text) + len(regexp_extract_all(text, '[\[<]\\*/?(?:INST\]|s>)'))
+                   + CASE role WHEN 'assistant' THEN 7 ELSE 13 END)::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id
+    """,
+    "op6_licence_scan": _licence_sql(),
     "op1_warc_archive": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS d FROM pages),
              r AS (SELECT d, max(page_id) AS refers FROM p WHERE octet_length(b) >= 1000 GROUP BY d)
