@@ -7,8 +7,8 @@ fingerprints within a radius r differ in at most r blocks, so they agree on some
 table for every choice, keyed by those blocks, and a match is checked by its bit count and given once, by the first
 table that holds it.  Only column expressions are used.
 
-Votes are summed before the shuffle (a row per text and task), and copies of a text vote together, which leaves the
-majority as it is.  Two counters of 32 bits share a long.
+Votes are summed before the shuffle, for each row apart, so that a text's weight stays below its length and two
+counters of 32 bits can share a long; then copies of a text become one row.
 
 Defined results: a null text is an empty one, whose fingerprint is all zeros; equal texts have equal fingerprints;
 repeated rows give a row each; a null doc_id has the first document as its next, one with the largest id too; of
@@ -35,15 +35,16 @@ def fingerprints(texts: DataFrame) -> DataFrame:
     words = F.split(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), " ")
     terms = F.transform("words", lambda w, i: F.struct(F.xxhash64(w, F.coalesce(F.get("words", i + 1), F.lit(""))).alias("h"), F.least(F.length(w), F.lit(12)).cast("long").alias("w")))
     # the words are a column of their own, so that the lambda does not cut the text for each of them
-    rows = texts.select("key", words.alias("words")).select("key", F.explode(terms).alias("t")).select("key", F.col("t.h").alias("h"), F.col("t.w").alias("w")).where("w > 0")
+    rows = texts.select("key", F.monotonically_increasing_id().alias("row"), words.alias("words")).select("key", "row", F.explode(terms).alias("t"))
+    rows = rows.select("key", "row", F.col("t.h").alias("h"), F.col("t.w").alias("w")).where("w > 0")
     lanes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(MASK)) * F.col("w")).alias(f"v{i}") for i in range(32)]
-    votes = rows.groupBy("key").agg(*lanes, F.sum("w").alias("total"))
+    votes = rows.groupBy("key", "row").agg(*lanes, F.sum("w").alias("total"))
     bits: Column = F.lit(0).cast("long")
     for i in range(32):
         low, high = F.col(f"v{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"v{i}", 32)
         for bit, n in ((i, low), (i + 32, high)):
             bits = bits.bitwiseOR(F.when(2 * n > F.col("total"), F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")))
-    return votes.select("key", bits.alias("bits"))
+    return votes.select("key", bits.alias("bits")).groupBy("key").agg(F.min("bits").alias("bits"))  # copies have the same bits
 
 
 def likeness(a: Column, b: Column) -> Column:
