@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm import bpe, chat, common, licences, pii, simhash, warc
+from chronolex.llm import bpe, chat, common, jaccard, licences, pii, simhash, warc
 
 
 def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,11 +37,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(common.table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_chat_examples, op3_simhash, op6_licence_scan, op7_byte_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_chat_examples, op3_simhash, op6_licence_scan, op7_byte_bpe, op8_jaccard_join, op10_pii)}
 
 _VALUES = ", ".join(f"('{k}', '{v}')" for k, v in licences.SENTENCES.items())
 
