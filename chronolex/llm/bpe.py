@@ -290,3 +290,19 @@ def token_digests(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     made = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
     return _mapped(df.select("doc_id", "text"), made, work, drop="text")
+
+
+def encode_checked(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """df without text, with n_tokens, ids (as encode()) and round_trip: whether the ids decode to the text's bytes."""
+    with open(ranks_path, "rb") as f:
+        raw = f.read()
+
+    def work(frame):
+        codec = Codec.of(raw, pattern)
+        texts = [x if isinstance(x, str) else "" for x in frame["text"]]
+        for run in slices(texts):
+            ids = codec.encode([texts[i] for i in run])
+            back = codec.decode(ids)
+            yield frame.iloc[run].drop(columns="text").assign(n_tokens=[len(x) // 4 for x in ids], ids=ids, round_trip=[texts[i].encode() == b for i, b in zip(run, back, strict=True)])
+
+    return _mapped(df, {"n_tokens": T.LongType(), "ids": T.BinaryType(), "round_trip": T.BooleanType()}, work, drop="text")

@@ -2,13 +2,14 @@
 
 A document is the set of its distinct n-grams; sets of equal content are one class.  A set's size gives its band, a
 band's largest size the largest symmetric difference H that two linked sets can have.  The universe is hashed into
-H + 1 segments, so two linked sets agree on some segment (pigeonhole), and a signature is the hash of a segment's
-subset.  A set is also indexed in the next band if a partner can be there.  Segments that a set leaves empty say nothing:
-the allocation skips them, and a set that has any is indexed by the one-deletion neighbourhoods of its other segments
-as well, at the cost of its size.  (If two linked sets agree on empty segments only, all others differ, by one element
-but for as many as the skipped ones less one; so one of them is in the other's one-deletion neighbourhood, unless more
-than half the segments are empty; those sets share a signature of their own.)  Sets that share a signature are
-candidates: their connected groups are cut into blocks of about BLOCK sets, and each pair of blocks is verified on the
+H + 1 + E segments, so two linked sets agree on at least E + 1 of them (pigeonhole), and a signature is the hash of a
+segment's subset.  A set is also indexed in the next band if a partner can be there.  Segments that a set leaves empty
+say nothing; if it leaves at most E empty, it agrees with its partner on a segment that is not.  The allocation takes
+the E of least expected cost: a larger one means more segments, a smaller one more sets with more than E empty segments,
+which are indexed by the one-deletion neighbourhoods of their segments as well, at the cost of their size.  (If two
+such sets agree on e > E empty segments only, all others differ, and all but e - E - 1 of those by one element; so one
+is in the other's one-deletion neighbourhood, unless empty segments are so many that all may be empty on one side;
+those sets share a signature of their own.)  Sets that share a signature are candidates: their connected groups are cut into blocks of about BLOCK sets, and each pair of blocks is verified on the
 n-grams themselves.  A task sends on a spanning forest of the links it finds, never all pairs; the components of the
 forests are those of the links.
 
@@ -19,6 +20,7 @@ are linked; rows without a doc_id take no part and have a null component; extra
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -45,8 +47,27 @@ def most_difference(size: int, percent: int) -> int:
 
 
 @lru_cache(maxsize=4096)
-def schemes(n: int, percent: int) -> list[tuple[int, int]]:
-    """(band, segments) under which a set of n elements is indexed; none if it can only link with equal sets."""
+def allocation(low: int, difference: int) -> int:
+    """E: how many empty segments sets of `low` elements and more may have without one-deletion neighbourhoods."""
+    best = (math.inf, 0)
+    for z in (None, 1, 2, 3, 4, 5):
+        extra = 0
+        for _ in range(50):  # the segments depend on E, E on the segments
+            m = difference + 1 + extra
+            empty = m * (1 - 1 / m) ** low
+            if z is None or (more := math.ceil(empty + z * math.sqrt(empty))) <= extra:
+                break
+            extra = more
+        if extra > 2 * (difference + 1):
+            continue
+        exceed = 1 - math.exp(-empty) if z is None else 0.5 * math.erfc(z / math.sqrt(2))
+        best = min(best, (m - empty + exceed * low, extra))
+    return best[1]
+
+
+@lru_cache(maxsize=4096)
+def schemes(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(band, segments, E) under which a set of n elements is indexed; none if it can only link with equal sets."""
     lows = [1]
     while most_difference(lows[-1], percent) == 0:
         lows[-1] += 1
@@ -55,7 +76,8 @@ def schemes(n: int, percent: int) -> list[tuple[int, int]]:
         lows.append(int(lows[-1] * BAND) + 1)
     band = max(k for k, low in enumerate(lows) if low <= n)
     bands = [band, band + 1] if band + 1 < len(lows) and lows[band + 1] <= 100 * n // percent else [band]
-    return [(k, most_difference(lows[k + 1] - 1, percent) + 1) for k in bands if k > 0]
+    found = [(k, most_difference(lows[k + 1] - 1, percent)) for k in bands if k > 0]
+    return [(k, h + 1 + allocation(lows[k], h), allocation(lows[k], h)) for k, h in found]
 
 
 def _mix(x):
@@ -71,7 +93,7 @@ def signatures(hashes, percent: int):
     import numpy as np
 
     out = []
-    for band, segments in schemes(len(hashes), percent) if len(hashes) else ():
+    for band, segments, spare in schemes(len(hashes), percent) if len(hashes) else ():
         seg = ((hashes >> np.uint64(17)) % np.uint64(segments)).astype(np.int64)
         element = _mix(hashes + np.uint64(0x9E3779B97F4A7C15))
         order = np.argsort(seg, kind="stable")
@@ -80,11 +102,11 @@ def signatures(hashes, percent: int):
         sums = np.add.reduceat(element, first)  # a subset's sum, so that an element is taken away by subtracting it
         mark = np.uint64(band) << np.uint64(40)
         out.append(_mix(sums + _mix(seg[first].astype(np.uint64) + mark)))
-        if len(first) < segments:
+        if (empty := segments - len(first)) > spare:
             counts = np.diff(np.append(first, len(seg)))
             several = np.repeat(counts > 1, counts)
             out.append(_mix((np.repeat(sums, counts) - element + _mix(seg.astype(np.uint64) + mark))[several]))
-            if 2 * (segments - len(first)) > segments:
+            if 2 * empty > segments + spare:
                 out.append(_mix(np.array([mark + np.uint64(2**39)], np.uint64)))
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
 
@@ -194,7 +216,7 @@ def verified(members: DataFrame, *, n: int, percent: int, block: int = BLOCK) ->
     return rows.groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def join_components(df: DataFrame, *, n: int = 3, percent: int = 90, broadcast_rows: int = 500_000) -> DataFrame:
+def join_components(df: DataFrame, *, n: int = 5, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id) per row; text_key is xxhash64 of the text (null: empty)."""
     docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     sets = stored(sets_of(docs, n=n, percent=percent), "sets")

@@ -3,7 +3,9 @@
 Trusted text is what labels call good and not toxic.  Each task counts the n-grams of its trusted texts; the counts are
 summed, and continuation counts, discounts, context totals and interpolated probabilities of every order come from
 grouping and joining the count tables, sharded by n-gram.  A document's score is its perplexity per character; it is
-kept if that is at most the language's threshold, from quantiles of the trusted documents' perplexities.
+kept if its score is at most the language's threshold, from quantiles of the trusted documents' scores.  The score is
+the perplexity drawn towards the language's median as if PRIOR symbols of such text had been read as well, so that a
+text of a few words is not judged by chance.
 
 Scoring joins each text's n-grams with the model.  The model is a vocabulary of short character sequences, which
 saturates; if it is counted to have at most MODEL_ROWS rows, it is sent to the tasks as sorted arrays and looked up
@@ -31,6 +33,7 @@ MODEL_ROWS = 4_000_000
 LABEL_ROWS = 2_000_000
 #: The threshold is the median plus SPREADS times the distance from there to the upper quantile.
 UPPER, SPREADS = 0.95, 3.0
+PRIOR = 24.0
 
 
 def symbols(text: str):
@@ -215,15 +218,23 @@ def score_joined(docs: DataFrame, model: DataFrame) -> DataFrame:
     return docs.drop("text", "n_symbols", "perplexity").join(sums, "row", "left").drop("row").withColumn("n_symbols", F.coalesce("n_symbols", F.lit(0)))
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang, ...) without text, with n_symbols, perplexity, threshold and keep."""
+def judge(docs: DataFrame, labels: DataFrame, *, keep_text_key: bool = False) -> DataFrame:
+    """docs (doc_id, text, lang, ...) without text, with n_symbols, perplexity, score, threshold and keep, and with
+    text_key, the xxhash64 of the text, if asked for.
+
+    There is one median and one threshold per language: those few rows are broadcast.
+    """
+    if keep_text_key:
+        docs = docs.withColumn("text_key", F.xxhash64("text"))
     good = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
     docs = docs.withColumn("own_lang", F.col("lang")).withColumn("lang", language())
     trusted = semi_join_checked(docs.select("doc_id", "lang", "text").where("text IS NOT NULL"), good, "doc_id", LABEL_ROWS)
     scored = stored(score(docs, train(trusted.select("lang", "text"))), "perplexities")
-    base = semi_join_checked(scored.where("perplexity IS NOT NULL").select("doc_id", "lang", "perplexity"), good, "doc_id", LABEL_ROWS)
-    found = base.groupBy("lang").agg(F.percentile_approx("perplexity", F.array(F.lit(0.5), F.lit(UPPER)), F.lit(10000)).alias("q"))
-    limits = found.select("lang", (F.col("q")[0] + SPREADS * (F.col("q")[1] - F.col("q")[0])).alias("threshold"))
-    out = scored.join(limits, "lang", "left")
-    keep = F.when(F.col("n_symbols") == 0, F.lit(False)).otherwise(F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
+    base = stored(semi_join_checked(scored.where("perplexity IS NOT NULL").select("doc_id", "lang", "perplexity", "n_symbols"), good, "doc_id", LABEL_ROWS), "trusted")
+    medians = base.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(0.5), F.lit(10000)).alias("median"))
+    drawn = F.exp((F.col("n_symbols") * F.log("perplexity") + PRIOR * F.log("median")) / (F.col("n_symbols") + PRIOR))
+    found = base.join(F.broadcast(medians), "lang").groupBy("lang").agg(F.percentile_approx(drawn, F.array(F.lit(0.5), F.lit(UPPER)), F.lit(10000)).alias("q"))
+    limits = found.select("lang", (F.col("q")[0] + SPREADS * (F.col("q")[1] - F.col("q")[0])).alias("threshold")).join(medians, "lang")
+    out = scored.join(limits, "lang", "left").withColumn("score", drawn).drop("median")
+    keep = F.when(F.col("n_symbols") == 0, F.lit(False)).otherwise(F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)))
     return out.withColumn("keep", keep).drop("lang").withColumnRenamed("own_lang", "lang")

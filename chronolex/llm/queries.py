@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm import bpe, chat, common, jaccard, licences, pii, simhash, warc
+from chronolex.llm import bpe, chat, common, html_crf, jaccard, kneser_ney, licences, lsa, pii, simhash, warc
 
 
 def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,15 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(common.table(spark, sf_dir, "documents"))
 
 
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(common.table(spark, sf_dir, "pages"))
+
+
+def op5_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kneser_ney.judge(common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), common.table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", "n_symbols", "perplexity", "score", "threshold", "keep")
+
+
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(common.table(spark, sf_dir, "documents"))
 
@@ -41,11 +50,15 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(common.table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsa.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_chat_examples, op3_simhash, op6_licence_scan, op7_byte_bpe, op8_jaccard_join, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_chat_examples, op3_simhash, op4_html_main_text, op5_quality_perplexity, op6_licence_scan, op7_byte_bpe, op8_jaccard_join, op9_lsa_decontamination, op10_pii)}
 
 _VALUES = ", ".join(f"('{k}', '{v}')" for k, v in licences.SENTENCES.items())
 
