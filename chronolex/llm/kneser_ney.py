@@ -5,7 +5,9 @@ summed, and continuation counts, discounts, context totals and interpolated prob
 grouping and joining the count tables, sharded by n-gram.  A document's score is its perplexity per character; it is
 kept if its score is at most the language's threshold, from quantiles of the trusted documents' scores.  The score is
 the perplexity drawn towards the language's median as if PRIOR symbols of such text had been read as well, so that a
-text of a few words is not judged by chance.
+text of a few words is not judged by chance.  One in HELD_OUT of the trusted texts (by their hash, so copies stay
+together) is not trained on; medians and thresholds come from those, as a model flatters what it was trained on, or from
+all trusted texts of a language without any.
 
 Scoring joins each text's n-grams with the model.  The model is a vocabulary of short character sequences, which
 saturates; if it is counted to have at most MODEL_ROWS rows, it is sent to the tasks as sorted arrays and looked up
@@ -34,6 +36,7 @@ LABEL_ROWS = 2_000_000
 #: The threshold is the median plus SPREADS times the distance from there to the upper quantile.
 UPPER, SPREADS = 0.95, 3.0
 PRIOR = 24.0
+HELD_OUT = 4
 
 
 def symbols(text: str):
@@ -224,17 +227,19 @@ def judge(docs: DataFrame, labels: DataFrame, *, keep_text_key: bool = False) ->
 
     There is one median and one threshold per language: those few rows are broadcast.
     """
-    if keep_text_key:
-        docs = docs.withColumn("text_key", F.xxhash64("text"))
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
     good = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
     docs = docs.withColumn("own_lang", F.col("lang")).withColumn("lang", language())
-    trusted = semi_join_checked(docs.select("doc_id", "lang", "text").where("text IS NOT NULL"), good, "doc_id", LABEL_ROWS)
-    scored = stored(score(docs, train(trusted.select("lang", "text"))), "perplexities")
-    base = stored(semi_join_checked(scored.where("perplexity IS NOT NULL").select("doc_id", "lang", "perplexity", "n_symbols"), good, "doc_id", LABEL_ROWS), "trusted")
-    medians = base.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(0.5), F.lit(10000)).alias("median"))
+    held = F.pmod("text_key", F.lit(HELD_OUT)) == 0
+    trusted = semi_join_checked(docs.select("doc_id", "lang", "text", "text_key").where("text IS NOT NULL"), good, "doc_id", LABEL_ROWS)
+    scored = stored(score(docs, train(trusted.where(~held).select("lang", "text"))), "perplexities")
+    base = semi_join_checked(scored.where("perplexity IS NOT NULL").select("doc_id", "lang", "perplexity", "n_symbols", "text_key"), good, "doc_id", LABEL_ROWS)
+    base = stored(base.withColumn("held", held), "trusted")
+    quantiles = lambda c, q: F.coalesce(*[F.percentile_approx(x, F.array(*map(F.lit, q)), F.lit(10000)) for x in (F.when(F.col("held"), c), c)])
+    medians = base.groupBy("lang").agg(quantiles(F.col("perplexity"), [0.5])[0].alias("median"))
     drawn = F.exp((F.col("n_symbols") * F.log("perplexity") + PRIOR * F.log("median")) / (F.col("n_symbols") + PRIOR))
-    found = base.join(F.broadcast(medians), "lang").groupBy("lang").agg(F.percentile_approx(drawn, F.array(F.lit(0.5), F.lit(UPPER)), F.lit(10000)).alias("q"))
+    found = base.join(F.broadcast(medians), "lang").groupBy("lang").agg(quantiles(drawn, [0.5, UPPER]).alias("q"))
     limits = found.select("lang", (F.col("q")[0] + SPREADS * (F.col("q")[1] - F.col("q")[0])).alias("threshold")).join(medians, "lang")
     out = scored.join(limits, "lang", "left").withColumn("score", drawn).drop("median")
     keep = F.when(F.col("n_symbols") == 0, F.lit(False)).otherwise(F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)))
-    return out.withColumn("keep", keep).drop("lang").withColumnRenamed("own_lang", "lang")
+    return out.withColumn("keep", keep).drop("lang", *([] if keep_text_key else ["text_key"])).withColumnRenamed("own_lang", "lang")
