@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words are lower-case runs of letters and digits, hashed to FEATURES features.  Document frequencies of the features are
-counted over all documents.  The benchmark's passages are rows of a TF-IDF matrix, of which a randomised SVD with power
+Words are lower-case runs of letters and digits, kept as 32-bit hashes, whose low bits are one of FEATURES features.  A
+document is cut into words once; its hashes are stored, and all later passes read those.  Document frequencies of the
+features are counted over all documents.  The benchmark's passages are rows of a TF-IDF matrix, of which a randomised SVD with power
 iterations gives RANK right singular vectors: each task multiplies its rows, the partial products are summed by blocks
 of features in Spark, and the driver holds one FEATURES x RANK matrix, whatever the input.  Windows of WINDOW words
 from every document, STEP words apart, are folded into that space; those with a cosine of at least COSINE to a passage
@@ -27,7 +28,7 @@ from chronolex.llm.common import stored
 
 FEATURES, RANK, POWER = 1 << 16, 96, 2
 WINDOW, STEP = 64, 32
-COSINE, COPY, PARAPHRASE = 0.3, 0.8, 0.6
+COSINE, COPY, PARAPHRASE = 0.5, 0.8, 0.6
 COMMON, MIN_TERMS, ANSWER_WORDS = 0.1, 5, 4
 ITEM_BLOCK = 20_000
 ROW_BLOCK = 1024
@@ -40,39 +41,56 @@ def words_of(text: str | None) -> list[str]:
     return _words(text.lower()) if text else []
 
 
-class Features(dict):
-    """Words to features; forgets all when it has grown to a million words."""
+class Hashes(dict):
+    """Words to their hashes; forgets all when it has grown to half a million words."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = f = xxhash.xxh3_64_intdigest(word) & (FEATURES - 1)
-        return f
+        self[word] = h = xxhash.xxh32_intdigest(word)
+        return h
 
     def of(self, words: list[str]):
         import numpy as np
 
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        if len(self) > 500_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint32, len(words))
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, words): the hashes of each text's words, 4 bytes each. Rows without words are left out."""
+
+    def run(frames):
+        import pandas as pd
+
+        known = Hashes()
+        for frame in frames:
+            out = [known.of(words_of(x)).tobytes() for x in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "words": out})
+
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(run, "doc_id long, words binary")
+    return stored(rows.where("octet_length(words) > 0"), "words")
 
 
 def document_frequencies(docs: DataFrame):
-    """(number of documents, documents per feature) over all documents; each task sends one array of FEATURES counts."""
+    """(number of documents, documents per feature) over all of hashed(); each task sends one array of FEATURES counts."""
     import numpy as np
 
     def run(frames):
         import pandas as pd
 
-        known, counts, n = Features(), np.zeros(FEATURES, np.int64), 0
+        counts, n = np.zeros(FEATURES, np.int64), 0
         for frame in frames:
-            for text in frame["text"]:
+            for words in frame["words"]:
                 n += 1
-                counts[np.unique(known.of(list(set(words_of(text)))))] += 1
+                seen = np.zeros(FEATURES, bool)
+                seen[np.frombuffer(words, np.uint32) % FEATURES] = True
+                counts += seen
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"feature": np.append(at, -1), "n": np.append(counts[at], n)})
 
-    rows = docs.select("text").mapInPandas(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("words").mapInPandas(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(FEATURES, np.int64)
     for feature, n in rows:
         if feature >= 0:
@@ -81,29 +99,30 @@ def document_frequencies(docs: DataFrame):
 
 
 def passages(items: DataFrame) -> DataFrame:
-    """(item_id, words, answer) of passages: an item's words, cut into windows if there are more than WINDOW."""
+    """(item_id, words, answer), as hashes, of passages: an item's words, cut into windows if there are more than WINDOW."""
     answer = F.col("answer").cast("string") if "answer" in items.columns else F.lit(None).cast("string")
 
     def run(frames):
         import pandas as pd
 
+        known = Hashes()
         for frame in frames:
             rows = []
             for item, text, answer in zip(frame["item_id"], frame["text"], frame["own"], strict=True):
-                words = words_of(text)
-                last = words_of(answer) if isinstance(answer, str) else words[-ANSWER_WORDS:]
-                rows += [(item, words[i : i + WINDOW], last) for i in range(0, max(1, len(words) - STEP), STEP) if words]
+                words = known.of(words_of(text))
+                last = known.of(words_of(answer)) if isinstance(answer, str) else words[-ANSWER_WORDS:]
+                rows += [(item, words[i : i + WINDOW].tobytes(), last.tobytes()) for i in range(0, max(1, len(words) - STEP), STEP) if len(words)]
             yield pd.DataFrame(rows, columns=["item_id", "words", "answer"]).astype({"item_id": "Int64"})
 
-    cut = items.select("item_id", "text", answer.alias("own")).where("text IS NOT NULL").mapInPandas(run, "item_id long, words array<string>, answer array<string>")
+    cut = items.select("item_id", "text", answer.alias("own")).where("text IS NOT NULL").mapInPandas(run, "item_id long, words binary, answer binary")
     return stored(cut.dropDuplicates(["item_id", "words"]), "passages")
 
 
-def _tf_idf(features, weight):
+def _tf_idf(words: bytes, weight):
     """(features, values) of a passage, of length 1."""
     import numpy as np
 
-    at, tf = np.unique(features, return_counts=True)
+    at, tf = np.unique(np.frombuffer(words, np.uint32) % FEATURES, return_counts=True)
     value = tf * weight[at]
     at, value = at[value > 0], value[value > 0]
     return at, value / max(np.sqrt((value**2).sum()), 1e-12)
@@ -119,11 +138,10 @@ def weights(cut: DataFrame, n: int, df):
     def needed(frames):
         import pandas as pd
 
-        known = Features()
         found: set[int] = set()
         for frame in frames:
             for words in frame["words"]:
-                f = np.unique(known.of(list(words)))
+                f = np.unique(np.frombuffer(words, np.uint32) % FEATURES)
                 if (weight[f] > 0).sum() < MIN_TERMS:
                     found.update(f.tolist())
         yield pd.DataFrame({"feature": np.array(sorted(found), np.int64)})
@@ -144,10 +162,10 @@ def _product(cut: DataFrame, weight, basis):
         import pandas as pd
 
         weight, basis = sent.value
-        known, out = Features(), np.zeros((FEATURES, rank), np.float32)
+        out = np.zeros((FEATURES, rank), np.float32)
         for frame in frames:
             for words in frame["words"]:
-                at, value = _tf_idf(known.of(list(words)), weight)
+                at, value = _tf_idf(words, weight)
                 out[at] += np.outer(value, value @ basis[at])
         blocks = out.reshape(-1, ROW_BLOCK, rank)
         full = [i for i in range(len(blocks)) if blocks[i].any()]
@@ -178,7 +196,7 @@ def right_vectors(cut: DataFrame, weight, *, rank: int = RANK, power: int = POWE
     return (basis @ np.linalg.eigh((small + small.T) / 2)[1][:, ::-1]).astype(np.float32)
 
 
-def common_subsequence(masks: dict[str, int], n: int, words: list[str]) -> int:
+def common_subsequence(masks: dict[int, int], n: int, words: list[int]) -> int:
     """The length of the longest common subsequence; masks has the places of each word of a passage of n words."""
     v = full = (1 << n) - 1
     for w in words:
@@ -189,13 +207,16 @@ def common_subsequence(masks: dict[str, int], n: int, words: list[str]) -> int:
 
 
 class Passage:
-    def __init__(self, item, words, answer):
-        self.item, self.words, self.answer = item, list(words), list(answer)
-        self.masks: dict[str, int] = {}
+    def __init__(self, item, words: list[int], answer: list[int]):
+        self.item, self.words, self.answer = item, words, answer
+        self.masks: dict[int, int] = {}
         for i, w in enumerate(self.words):
             self.masks[w] = self.masks.get(w, 0) | 1 << i
+        self.distinct = frozenset(self.masks)
+        #: so many of the distinct words are in any stretch that covers enough of the passage
+        self.least = len(self.masks) - (1 - PARAPHRASE) * len(words)
 
-    def verify(self, words: list[str]) -> tuple[float, str | None]:
+    def verify(self, words: list[int]) -> tuple[float, str | None]:
         """(share of the passage in the best stretch of words, kind or None)."""
         n = len(self.words)
         share = common_subsequence(self.masks, n, words) / n
@@ -214,49 +235,56 @@ def _search(docs: DataFrame, block: list, weight, basis) -> DataFrame:
     """(doc_id, item_id, cosine, overlap, kind) for one block of passages."""
     import numpy as np
 
-    sent = docs.sparkSession.sparkContext.broadcast(([(r["item_id"], list(r["words"]), list(r["answer"])) for r in block], weight, basis))
+    sent = docs.sparkSession.sparkContext.broadcast(([(r["item_id"], bytes(r["words"]), bytes(r["answer"])) for r in block], weight, basis))
 
     def run(frames):
         import pandas as pd
 
         rows, weight, basis = sent.value
-        known, found = Features(), [Passage(*r) for r in rows]
+        ints = lambda x: np.frombuffer(x, np.uint32).tolist()
+        found = [Passage(item, ints(words), ints(answer)) for item, words, answer in rows]
         vectors = np.zeros((len(found), basis.shape[1]), np.float32)
-        for i, p in enumerate(found):
-            at, value = _tf_idf(known.of(p.words), weight)
+        for i, (_, words, _) in enumerate(rows):
+            at, value = _tf_idf(words, weight)
             vectors[i] = value @ basis[at]
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        used = np.abs(basis).sum(axis=1) > 1e-9
+        vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).T.copy()
         scaled = weight[:, None] * basis
-        live = used & (weight > 0)
+        live = (np.abs(basis).sum(axis=1) > 1e-9) & (weight > 0)
         for frame in frames:
             out = []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-                words = words_of(text)
-                features = known.of(words)
+            for doc, raw in zip(frame["doc_id"], frame["words"], strict=True):
+                words = np.frombuffer(raw, np.uint32)
+                features = words % FEATURES
                 at = np.flatnonzero(live[features])
                 if not len(at):
                     continue
                 sums = np.concatenate([np.zeros((1, scaled.shape[1])), np.cumsum(scaled[features[at]], axis=0, dtype=np.float64)])
                 starts = np.arange(0, max(1, len(words) - STEP), STEP)
                 lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + WINDOW)
-                keep = hi > lo
-                starts, folded = starts[keep], (sums[hi[keep]] - sums[lo[keep]]).astype(np.float32)
-                cosines = folded @ vectors.T / np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-12)
-                for i, j in zip(*np.nonzero(cosines >= COSINE), strict=True):
+                starts, lo, hi = starts[hi > lo], lo[hi > lo], hi[hi > lo]
+                folded = (sums[hi] - sums[lo]).astype(np.float32)
+                folded /= np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-12)
+                cosines = folded @ vectors
+                before = -1
+                for i, j in zip(*(x.tolist() for x in np.nonzero(cosines >= COSINE)), strict=True):
                     p, s = found[j], int(starts[i])
-                    share, kind = p.verify(words[max(0, s - len(p.words)) : s + WINDOW + len(p.words)])
+                    if i != before:
+                        before, near = i, frozenset(words[max(0, s - WINDOW) : s + 2 * WINDOW].tolist())
+                    if len(p.distinct & near) < p.least:
+                        continue
+                    share, kind = p.verify(words[max(0, s - len(p.words)) : s + WINDOW + len(p.words)].tolist())
                     if kind:
                         out.append((doc, p.item, float(cosines[i, j]), share, kind))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "overlap", "kind"]).astype({"doc_id": "Int64", "item_id": "Int64", "kind": "object"})
 
-    return docs.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(run, "doc_id long, item_id long, cosine double, overlap double, kind string")
+    return docs.mapInPandas(run, "doc_id long, item_id long, cosine double, overlap double, kind string")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, item_block: int = ITEM_BLOCK) -> DataFrame:
     """(doc_id, item_id, cosine, overlap, kind): every benchmark item that a document holds, with its best place."""
     cut = passages(items)
     cut = stored(cut.withColumn("nr", F.monotonically_increasing_id()), "passages")
+    docs = hashed(docs)
     n, df = document_frequencies(docs)
     total = cut.count()
     weight = weights(cut, n, df)
