@@ -29,8 +29,8 @@ from chronolex.llm.common import semi_join_checked, stored
 ORDER = 5
 BITS = 12
 START = 4095
-#: Rows of the model that are sent to the tasks: 24 bytes each.
-MODEL_ROWS = 4_000_000
+#: Rows of the model that are sent to the tasks: 16 bytes each.
+MODEL_ROWS = 8_000_000
 #: Labelled ids that are broadcast: 16 bytes each.
 LABEL_ROWS = 2_000_000
 #: The threshold is the median plus SPREADS times the distance from there to the upper quantile.
@@ -140,31 +140,62 @@ def train(texts: DataFrame) -> DataFrame:
     return stored(empty.unionByName(rest.select("lang", "n", "gram", "logp", "bow")), "model")
 
 
+def packed(model: DataFrame, *, shards: int = 16) -> dict:
+    """The model as {lang: {order: [(grams, logp, bow) as bytes]}}: tasks pack it by hashed shards, of which the driver gets one after the other."""
+    shard = F.when(F.col("n") >= 3, F.pmod(F.xxhash64("gram"), F.lit(shards))).otherwise(0).cast("int")
+
+    def pack(frame):
+        import numpy as np
+        import pandas as pd
+
+        frame = frame.sort_values("gram")
+        columns = (frame["gram"].to_numpy(np.int64), frame["logp"].to_numpy(np.float32), frame["bow"].fillna(0.0).to_numpy(np.float32))
+        return pd.DataFrame([(frame["lang"].iloc[0], int(frame["n"].iloc[0]), *(x.tobytes() for x in columns))], columns=["lang", "n", "g", "p", "b"])
+
+    rows = model.withColumn("shard", shard).groupBy("lang", "n", "shard").applyInPandas(pack, "lang string, n int, g binary, p binary, b binary")
+    out: dict = {}
+    for lang, n, *parts in stored(rows, "packed").toLocalIterator():
+        out.setdefault(lang, {}).setdefault(n, []).append(tuple(map(bytes, parts)))
+    return out
+
+
 class Tables:
     """The model of one language as sorted arrays."""
 
-    def __init__(self, rows):
+    _known: dict = {}
+
+    def __init__(self, orders: dict):
         import numpy as np
 
         self.orders = {}
-        for n, part in rows.groupby("n"):
-            part = part.sort_values("gram")
-            self.orders[int(n)] = (part["gram"].to_numpy(np.int64), part["logp"].to_numpy(np.float64), part["bow"].fillna(0.0).to_numpy(np.float64))
+        for n, parts in orders.items():
+            g, p, b = (np.concatenate([np.frombuffer(x[i], kind) for x in parts]) for i, kind in enumerate((np.int64, np.float32, np.float32)))
+            at = np.argsort(g)
+            self.orders[n] = (g[at], p[at], b[at])
+
+    @classmethod
+    def of(cls, sent, lang: str) -> Tables | None:
+        """The tables of a broadcast packed(), made once in each worker."""
+        if cls._known.get("id") is not sent:
+            cls._known = {"id": sent}
+        if lang not in cls._known and lang in sent:
+            cls._known[lang] = cls(sent[lang])
+        return cls._known.get(lang)
 
     def _find(self, n: int, g):
         import numpy as np
 
-        keys = self.orders.get(n, (np.empty(0, np.int64),))[0]
+        keys = self.orders[n][0] if n in self.orders else np.empty(0, np.int64)
         at = np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))
         return at, (keys[at] == g if len(keys) else np.zeros(len(g), bool))
 
     def logp(self, g, n: int = ORDER):
-        """Log probabilities of packed n-grams."""
+        """Log probabilities of packed n-grams, best in ascending order."""
         import numpy as np
 
         g = g & ((1 << (BITS * n)) - 1)
         at, there = self._find(n, g)
-        out = np.where(there, self.orders[n][1][at] if n in self.orders else 0.0, np.nan)
+        out = np.where(there, self.orders[n][1][at] if n in self.orders else 0.0, np.nan).astype(np.float64)
         rest = np.flatnonzero(np.isnan(out))
         if len(rest) and n:
             cat, cthere = self._find(n - 1, g[rest] >> BITS)
@@ -172,25 +203,49 @@ class Tables:
         return out
 
 
+#: Symbols of one language that are scored together: n-grams that many texts share are looked up once.
+RUN_SYMBOLS = 1_000_000
+
+
 def score(docs: DataFrame, model: DataFrame, *, model_rows: int = MODEL_ROWS) -> DataFrame:
     """docs with n_symbols and perplexity; docs must have lang (not null) and text."""
     if model.count() > model_rows:
         return score_joined(docs, model)
-    frame = model.toPandas()
-    sent = docs.sparkSession.sparkContext.broadcast({lang: Tables(part) for lang, part in frame.groupby("lang")})
+    sent = docs.sparkSession.sparkContext.broadcast(packed(model))
     kept = [f"`{c}` {t}" for c, t in docs.dtypes if c not in ("n_symbols", "perplexity", "text")]
 
+    def means(tables, texts):
+        """Mean log probabilities of texts, which have symbols."""
+        import numpy as np
+
+        g, inverse = np.unique(np.concatenate([grams(x) for x in texts]), return_inverse=True)
+        each = tables.logp(g)[inverse]
+        ends = np.cumsum([len(x) for x in texts])
+        return np.add.reduceat(each, ends - [len(x) for x in texts]) / [len(x) for x in texts]
+
     def run(frames):
         import numpy as np
 
         for frame in frames:
-            sizes, values = [], []
-            for lang, text in zip(frame["lang"], frame["text"], strict=True):
+            sizes, values = np.zeros(len(frame), np.int64), np.full(len(frame), np.nan)
+            waiting: dict = {}
+
+            def flush(lang, sizes=sizes, values=values, waiting=waiting):
+                places, texts = zip(*waiting.pop(lang), strict=True)
+                values[list(places)] = np.exp(-means(Tables.of(sent.value, lang), texts))
+
+            for i, (lang, text) in enumerate(zip(frame["lang"], frame["text"], strict=True)):
                 syms = symbols(text) if isinstance(text, str) else ()
-                tables = sent.value.get(lang)
-                sizes.append(len(syms))
-                values.append(float(np.exp(-tables.logp(grams(syms)).mean())) if len(syms) and tables else None)
-            yield frame.drop(columns="text").assign(n_symbols=sizes, perplexity=values)
+                sizes[i] = len(syms)
+                if len(syms) and lang in sent.value:
+                    waiting.setdefault(lang, []).append((i, syms))
+                    if sum(len(x) for _, x in waiting[lang]) > RUN_SYMBOLS:
+                        flush(lang)
+            for lang in list(waiting):
+                flush(lang)
+            frame = frame.drop(columns="text").assign(n_symbols=sizes, perplexity=values)
+            frame["perplexity"] = frame["perplexity"].astype(object).where(~np.isnan(values), None)
+            yield frame
 
     return docs.mapInPandas(run, ", ".join([*kept, "n_symbols long, perplexity double"]))
 
