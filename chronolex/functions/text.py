@@ -170,15 +170,16 @@ def is_newer(remote: Column, local: Column) -> Column:
 
 
 def clock(seconds: Column) -> Column:
-    s = F.floor(F.greatest(seconds, F.lit(0))).cast("long")
+    s = F.floor(F.when(seconds > 0, seconds).when(seconds.isNotNull(), 0)).cast("long")
     hours, minutes, rest = F.floor(s / 3600), F.floor(s / 60) % 60, s % 60
-    return F.when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, rest)).otherwise(F.format_string("%d:%02d", minutes, rest))
+    long = F.format_string("%d:%02d:%02d", hours, minutes, rest)
+    return F.when(hours > 0, long).when(hours.isNotNull(), F.format_string("%d:%02d", minutes, rest))
 
 
 def timecode(seconds: Column) -> Column:
     """HH:MM:SS,mmm; rounded to milliseconds once."""
-    ms = F.round(F.greatest(seconds, F.lit(0.0)) * 1000).cast("long")
-    return F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
+    ms = F.round(F.when(seconds > 0, seconds).when(seconds.isNotNull(), 0.0) * 1000).cast("long")
+    return F.when(ms.isNotNull(), F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000))
 
 
 def parse_timecode(c: Column) -> Column:

@@ -171,9 +171,8 @@ def runs(samples: list[tuple[float, str]], same: Callable[[str, str], bool]) ->
     for s in samples:
         if out and same(out[-1][-1][1], s[1]):
             out[-1].append(s)
-        else:
-            out.append([s])
             continue
+        out.append([s])
         if len(out) >= 3 and len(out[-2]) == 1 and out[-2][0][1] and same(out[-3][-1][1], out[-1][0][1]):
             out[-3:] = [out[-3] + out[-2] + out[-1]]
     return out
