@@ -72,7 +72,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int, str | None]]
         if name == "br":
             text.append(" ")
             continue
-        if name not in INLINE:
+        if name not in INLINE and name not in RAW:
             flush()
         if m[1]:
             for i in range(len(stack) - 1, 0, -1):

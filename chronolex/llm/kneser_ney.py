@@ -111,8 +111,7 @@ def train(texts: DataFrame) -> DataFrame:
     for n in range(1, ORDER + 1):
         rows = tables[n]
         n1, n2, n3, n4 = (F.sum((F.col("c") == k).cast("double")) for k in range(1, 5))
-        y = n1 / (n1 + 2 * n2)
-        or_else = lambda c, d, most: F.coalesce(F.greatest(F.lit(0.0), F.least(c, F.lit(most))), F.lit(d))
+        or_else = lambda c, d, most: F.coalesce(F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(c, F.lit(most)))), F.lit(d))
         zero = lambda c: F.when(c > 0, c)
         y = zero(n1) / zero(n1 + 2 * n2)
         discounts = rows.groupBy("lang").agg(

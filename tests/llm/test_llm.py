@@ -1,0 +1,285 @@
+"""The operators of chronolex.llm against brute force, round trips, held-out accuracy and awkward rows."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import re
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+llm = pytest.importorskip("chronolex.llm.queries")
+from chronolex.llm import bpe, chat, common, components, html_crf, jaccard, kneser_ney, licences, lsa, pii, simhash, warc  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim".split()
+AWKWARD = [(1, "plain text of some words"), (1, "plain text of some words"), (2, ""), (3, None), (None, "no id here at all"), (4, " \n\t "), (5, "x" * 50_000), (6, "naïve 😀 text more")]
+
+
+def docs(spark, rows, schema="doc_id long, text string"):
+    return spark.createDataFrame(rows, schema)
+
+
+def text(seed, n=60):
+    h = int(hashlib.sha1(str(seed).encode()).hexdigest(), 16)
+    return " ".join(WORDS[(h >> (i % 150)) * (i + 7) % len(WORDS)] + str((h + i * i) % 17) for i in range(n))
+
+
+@pytest.mark.parametrize("name", sorted(llm.ORACLES))
+def test_same_rows_as_sql(spark, name):
+    db = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = llm.QUERIES[name](spark, SF)
+    names = sorted(df.columns)
+    found = db.execute(llm.ORACLES[name])
+    columns = [d[0] for d in found.description]
+    want = sorted(str([r[columns.index(c)] for c in names]) for r in found.fetchall())
+    assert sorted(str([r[c] for c in names]) for r in df.collect()) == want
+
+
+def test_warc_segments_missing_and_repeated(spark):
+    block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n2;x=1\r\nde\r\n0\r\n\r\n"
+    rec = lambda i, seg, origin, total, b: (i, "response", 1, "u", None, None, seg, origin, total, 1, bytearray(b))
+    rows = [rec("a", 1, None, None, block[:20]), rec("a2", 2, "a", None, block[20:50]), rec("a2", 2, "a", None, block[20:50]), rec("a3", 3, "a", len(block), block[50:]), rec("b", 1, None, None, block[:20]), rec("b3", 3, "b", len(block), block[50:])]
+    out = {r["record_id"]: r for r in warc.payloads(warc.reassemble(spark.createDataFrame(rows, warc.RECORDS))).collect()}
+    assert bytes(out["a"]["payload"]) == b"abcde"
+    assert out["b"]["payload"] is None
+    assert not out["b"]["complete"]
+    assert warc.dechunk(b"zz\r\n") is None
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "http://a/\nx", bytearray(b"")), (2, None, None), (3, "u", bytearray(b"\r\n\x00\xff" * 30_000)), (4, "u", bytearray(b"\r\n\x00\xff" * 30_000)), (None, "u", bytearray(b"abc"))]
+    path = common.scratch(spark, "t")
+    warc.write_archive(spark.createDataFrame(rows, "k long, u string, p binary"), path, key="k", url="u", payload="p")
+    out = warc.resolve(common.stored(warc.payloads(warc.reassemble(warc.read_archive(spark, path))), "r")).collect()
+    assert sorted((r["key"] or 0, r["payload_bytes"], r["type"], r["refers_key"] or 0) for r in out) == [(0, 3, "response", 0), (1, 0, "response", 0), (2, 0, "response", 0), (3, 120_000, "revisit", 4), (4, 120_000, "response", 0)]
+
+
+def test_chat_examples_are_prefixes(spark):
+    rows = [(1, 0, "user", "hi [INST] </s>"), (1, 1, "assistant", "<\\s> </s> ok"), (1, 300, "user", None), (1, 301, "assistant", "bye"), (None, 0, None, "x")]
+    blocks = chat.format_blocks(docs(spark, rows, "conv_id long, turn long, role string, text string"))
+    got = sorted((r["turn"], r["context"], r["target"]) for r in chat.example_texts(blocks).collect())
+    assert [g[0] for g in got] == [1, 301]
+    assert got[1][1].startswith(got[0][1] + got[0][2])
+    turns = blocks.where("conv_id = 1").orderBy("block").select(chat.read_turns(F.col("formatted")).alias("t")).collect()
+    assert [(x["role"], x["text"]) for r in turns for x in r["t"]] == [("user", "hi [INST] </s>"), ("assistant", "<\\s> </s> ok"), ("user", ""), ("assistant", "bye")]
+
+
+def test_simhash_search_is_exact(spark):
+    import random
+
+    r = random.Random(3)
+    base = [r.getrandbits(64) for _ in range(60)]
+    near = [b ^ sum(1 << i for i in r.sample(range(64), r.randint(1, 6))) for b in base for _ in range(4)]
+    signed = [x - (1 << 64) if x >> 63 else x for x in {*base, *near}]
+    df = spark.createDataFrame([(x,) for x in signed], "bits long")
+    got = {(q, b) for q, b in simhash.within_radius(df, df).collect()}
+    want = {(a, b) for a in signed for b in signed if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= simhash.RADIUS}
+    assert got == want
+
+
+def test_simhash_digests(spark):
+    rows = simhash.digests(docs(spark, [*AWKWARD, (20, "plain text of some words")])).collect()
+    assert len(rows) == len(AWKWARD) + 1
+    one = [r for r in rows if r["doc_id"] in (1, 20)]
+    assert len({r["fingerprint"] for r in one}) == 1
+    two = next(r for r in rows if r["doc_id"] == 1)
+    assert two["edited_sha256"] == hashlib.sha256(b"plain text of some").hexdigest()  # the next text is empty
+    assert simhash.digests(docs(spark, [])).count() == 0
+
+
+def test_html_held_out():
+    field = html_crf.fit(html_crf.labelled_pages(120), epochs=30)
+    right = total = 0
+    for page in html_crf.labelled_pages(60, seed=77):
+        blocks = html_crf.leaf_blocks(page)
+        wanted = [int(b[3] == "1") for b in blocks]
+        right += sum(a == b for a, b in zip(wanted, field.viterbi(blocks), strict=True))
+        total += len(blocks)
+    assert right / total > 0.95
+
+
+def test_html_viterbi_is_best_labelling():
+    import itertools
+
+    field = html_crf.fit(html_crf.labelled_pages(30), epochs=10)
+    blocks = html_crf.leaf_blocks(html_crf.labelled_pages(1, seed=5)[0])[:9]
+    s = field.scores(blocks)
+    value = lambda y: field.first[y[0]] + sum(s[i][k] for i, k in enumerate(y)) + sum(field.pairs[a][b] for a, b in itertools.pairwise(y))
+    assert value(field.viterbi(blocks)) == pytest.approx(max(value(y) for y in itertools.product((0, 1), repeat=len(blocks))))
+
+
+def test_html_blocks_and_awkward_pages(spark):
+    page = "<html><head><title>T</title></head><body><p>a &amp; b<br>c <b>d</b>\n e<p>f<script>var x='</p>'</script> g<!-- no --></p><ul><li>h<li>i</ul>"
+    assert [b[0] for b in html_crf.leaf_blocks(page)] == ["a & b c d e", "f g", "h", "i"]
+    pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (2, None, ""), (None, "u", "<p"), (3, "u", "<article><h1>Head</h1><p>Some words in a text.</p></article>")], "page_id long, url string, html string")
+    out = html_crf.extract(pages).collect()
+    assert len(out) == 5
+    assert {r["n_chars"] for r in out if r["page_id"] in (1, 2)} == {0}
+    assert next(r["text"] for r in out if r["page_id"] == 3) == "Head\nSome words in a text."
+    assert html_crf.extract(pages.where("false")).count() == 0
+
+
+def test_kneser_ney_sums_to_one_and_agrees_with_joins(spark):
+    texts = spark.createDataFrame([("xx", text(i)) for i in range(12)], "lang string, text string")
+    model = kneser_ney.train(texts)
+    tables = kneser_ney.Tables.of(kneser_ney.packed(model), "xx")
+    import numpy as np
+
+    syms = kneser_ney.symbols(text(99))
+    known = tables.orders[1][0][tables.orders[1][0] != kneser_ney.START]
+    context = kneser_ney.grams(syms)[10] << kneser_ney.BITS
+    p = np.exp(tables.logp(np.array([(int(context) & ((1 << 60) - 1)) | int(k) for k in known], np.int64))).sum()
+    p += np.exp(tables.logp(np.array([(int(context) & ((1 << 60) - 1)) | 4000], np.int64)))[0]
+    assert p == pytest.approx(1.0, abs=1e-4)
+    rows = docs(spark, [(i, "xx", text(i)) for i in range(5, 20)], "doc_id long, lang string, text string")
+    a = {r["doc_id"]: r["perplexity"] for r in kneser_ney.score(rows, model).collect()}
+    b = {r["doc_id"]: r["perplexity"] for r in kneser_ney.score(rows, model, model_rows=0).collect()}
+    assert a == pytest.approx(b, rel=1e-4)
+
+
+def test_classifier_keeps_clean_and_rejects_junk(spark):
+    rows = [(i, "xx", text(i)) for i in range(60)] + [(100 + i, "xx", "".join(chr(33 + (i * j * 7) % 90) for j in range(300))) for i in range(5)] + [(200, "xx", None), (201, None, "a b c"), (202, "zz", "no model"), (0, "xx", text(0))]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    out = kneser_ney.judge(docs(spark, rows, "doc_id long, lang string, text string"), labels).collect()
+    assert len(out) == len(rows)
+    kept = {r["doc_id"] for r in out if r["keep"]}
+    assert len(kept & set(range(60))) >= 58
+    assert not kept & set(range(100, 105))
+    assert {201, 202} <= kept
+    assert 200 not in kept
+    none = kneser_ney.judge(docs(spark, rows[:3], "doc_id long, lang string, text string"), labels.where("false")).collect()
+    assert all(r["keep"] for r in none)
+
+
+def test_licences(spark):
+    apache = "Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License. You may obtain a copy of the License at:\n"
+    out = {r["doc_id"]: r for r in licences.scan(docs(spark, [*AWKWARD, (9, apache + "x. Released under the MIT license.")])).collect()}
+    assert out[9]["licences"] == "Apache-2.0,MIT"
+    assert out[3]["licences"] == ""
+
+
+def test_bpe_against_library(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rows = [*AWKWARD, (7, "   tabs\t\tand\r\n lines  "), (8, "ab" * 700), (9, "日本語 テキスト 123456 don't")]
+    import struct
+
+    for r in bpe.encode_checked(docs(spark, rows), path, public_tokenizers.PATTERN).collect():
+        given = {d: t for d, t in rows}[r["doc_id"]] or ""
+        assert list(struct.unpack(f"<{r['n_tokens']}I", r["ids"])) == library.encode_ordinary(given)
+        assert r["round_trip"]
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_against_brute_force(spark, n, percent):
+    import random
+
+    r = random.Random(n)
+    rows = []
+    for i in range(60):
+        words = [r.choice(WORDS) + str(r.randint(0, 60)) for _ in range(r.choice([1, 2, 4, 8, 15, 40, 120]))]
+        for _ in range(r.choice([1, 1, 2, 5])):
+            copy = [r.choice(WORDS) if r.random() < 0.02 else w for w in words]
+            rows.append((len(rows), " ".join(copy).upper() if r.random() < 0.3 else " ".join(copy)))
+    rows += [(1000, None), (1001, ""), (1002, " \n")]
+    sets = {d: set(jaccard.shingles(jaccard.words_of(t or ""), n)) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {x["doc_id"]: (x["component_id"], x["n_shingles"]) for x in jaccard.join_components(docs(spark, rows), n=n, percent=percent).collect()}
+    assert got == {d: (find(d), len(sets[d])) for d in ids}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in range(41)} == {0}
+    assert {got[i] for i in (100, 101, 102)} == {100}
+
+
+def test_decontamination(spark):
+    items = [(i, text(1000 + i, 30)) for i in range(12)]
+    para = items[3][1].split()
+    para[4:8] = ["other", "words", "stand", "here"]
+    para[15] = "too"
+    rows = [(i, text(i, 200)) for i in range(40)] + [(50, text(50, 90) + " " + items[2][1] + " " + text(51, 90)), (51, text(52, 20) + " " + " ".join(para)), (None, items[5][1]), (52, None), (53, "")]
+    found = lsa.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert got == {(50, 2), (51, 3), (None, 5)}
+    assert lsa.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), item_block=5).count() == 3
+    kept = {r["doc_id"] for r in lsa.clean(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert kept == {*range(40), None, 52, 53}
+    assert lsa.contaminated(docs(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    assert lsa.contaminated(docs(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 * (int(c) > 4)) for i, c in enumerate(d[::-1])) % 10 == 0
+
+
+def base_spans(t):
+    out = {"email": [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]}
+    out["ip"] = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out["card"] = [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)]
+    out["phone"] = [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return out
+
+
+def test_pii_base_spans(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(i, "".join(r.choice(["a@b.co", "x.y+z@", "@", ".", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-2030", "+", "12", " ", "-", "é", "😀", "7"]) for _ in range(r.randint(1, 40)))) for i in range(300)]
+    rows += [(900, None), (901, "")]
+    for row in pii.digests(docs(spark, rows)).collect():
+        found = base_spans(dict(rows)[row["doc_id"]] or "")
+        joined = ",".join(f"{k}:{a}:{b}" for k in pii.KINDS for a, b in found[k])
+        assert row["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest(), rows[row["doc_id"]]
+        assert [row[f"n_{k}"] for k in pii.KINDS] == [len(found[k]) for k in pii.KINDS]
+
+
+def test_pii_bootstrap_and_redaction(spark):
+    rows = [(i, f"call me at +1 555 010 {2000 + i} or mail user{i}@example.com now") for i in range(8)] + [(20, "Reach server 10.0.0.7 and a@b.co."), (21, None)]
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs(spark, rows)).collect()}
+    assert out[3] == "call me at [PHONE] or mail [EMAIL] now"
+    assert out[20] == "Reach server [IP] and [EMAIL]."
+    assert out[21] is None
+
+
+def test_pipeline_stages(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs_ = common.table(spark, SF, "documents")
+    n, names = docs_.count(), docs_.columns
+    assert len(corpus_pipeline.STAGES) == 5
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs_ = common.stored(stage(spark, docs_, SF), "stage")
+        assert 0 < docs_.count() <= n
+        n = docs_.count()
+        if k < 4:
+            assert docs_.columns == names
+    assert docs_.where("NOT round_trip").count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = spark.createDataFrame([(i, text(i // 2), "xx", "c", "d", 1.0) for i in range(8)], "doc_id long, text string, lang string, cid string, words string, score double")
+    assert jaccard.join_components(rows).count() == 8
+    assert pii.redact(rows).columns == rows.columns
+    assert lsa.clean(rows, spark.createDataFrame([(1, text(3))], "item_id long, text string")).columns == rows.columns
+    assert collections.Counter(r["component_id"] for r in jaccard.join_components(rows).collect()) == {0: 2, 2: 2, 4: 2, 6: 2}
