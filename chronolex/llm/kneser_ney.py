@@ -36,6 +36,8 @@ LABEL_ROWS = 2_000_000
 #: The threshold is the median plus SPREADS times the distance from there to the upper quantile.
 UPPER, SPREADS = 0.95, 3.0
 PRIOR = 24.0
+#: Languages whose medians and thresholds are broadcast; more are joined by shuffle.
+LANGUAGES = 10_000
 HELD_OUT = 4
 
 
@@ -279,7 +281,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, keep_text_key: bool = False) ->
     """docs (doc_id, text, lang, ...) without text, with n_symbols, perplexity, score, threshold and keep, and with
     text_key, the xxhash64 of the text, if asked for.
 
-    There is one median and one threshold per language: those few rows are broadcast.
+    There is one median and one threshold per language; up to LANGUAGES of them are broadcast.
     """
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     good = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
@@ -290,10 +292,13 @@ def judge(docs: DataFrame, labels: DataFrame, *, keep_text_key: bool = False) ->
     base = semi_join_checked(scored.where("perplexity IS NOT NULL").select("doc_id", "lang", "perplexity", "n_symbols", "text_key"), good, "doc_id", LABEL_ROWS)
     base = stored(base.withColumn("held", held), "trusted")
     quantiles = lambda c, q: F.coalesce(*[F.percentile_approx(x, F.array(*map(F.lit, q)), F.lit(10000)) for x in (F.when(F.col("held"), c), c)])
-    medians = base.groupBy("lang").agg(quantiles(F.col("perplexity"), [0.5])[0].alias("median"))
+    medians = stored(base.groupBy("lang").agg(quantiles(F.col("perplexity"), [0.5])[0].alias("median")), "medians")
+    if medians.count() <= LANGUAGES:
+        medians = F.broadcast(medians)
     drawn = F.exp((F.col("n_symbols") * F.log("perplexity") + PRIOR * F.log("median")) / (F.col("n_symbols") + PRIOR))
-    found = base.join(F.broadcast(medians), "lang").groupBy("lang").agg(quantiles(drawn, [0.5, UPPER]).alias("q"))
+    found = base.join(medians, "lang").groupBy("lang").agg(quantiles(drawn, [0.5, UPPER]).alias("q"))
     limits = found.select("lang", (F.col("q")[0] + SPREADS * (F.col("q")[1] - F.col("q")[0])).alias("threshold")).join(medians, "lang")
-    out = scored.join(limits, "lang", "left").withColumn("score", drawn).drop("median")
+    limits = stored(limits, "limits")
+    out = scored.join(F.broadcast(limits) if limits.count() <= LANGUAGES else limits, "lang", "left").withColumn("score", drawn).drop("median")
     keep = F.when(F.col("n_symbols") == 0, F.lit(False)).otherwise(F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)))
     return out.withColumn("keep", keep).drop("lang", *([] if keep_text_key else ["text_key"])).withColumnRenamed("own_lang", "lang")
