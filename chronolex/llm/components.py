@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolex.llm.common import stored
@@ -10,6 +10,17 @@ from chronolex.llm.common import stored
 MAX_ROUNDS = 200
 
 
+def compressed(edges: DataFrame) -> DataFrame:
+    """(a, b) with the components of edges, but fewer rows: a node keeps one edge, to its least neighbour, and ties its
+    other smaller neighbours to that one; those ties repeat from node to node and are kept once.
+
+    A node's edges to smaller ones meet in a task, so they must be few, as a document's signatures are.
+    """
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rows = edges.select("a", "b", F.min("a").over(Window.partitionBy("b")).alias("m"))
+    return rows.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) of longs -> (node, component), the least node that edges reach; nodes without an edge are not in it.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolex.llm.common import stored
-from chronolex.llm.components import components
+from chronolex.llm.components import components, compressed
 
 BLOCK = 256
 BAND = 1.5
@@ -224,7 +224,7 @@ def join_components(df: DataFrame, *, n: int = 5, percent: int = 80, broadcast_r
     classes = real.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("head"), F.first("signatures").alias("signatures"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     index = classes.select(F.explode("signatures").alias("sig"), "cid")
-    clusters = components(stars(index, broadcast_rows)).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
+    clusters = components(compressed(stars(index, broadcast_rows))).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
     members = stored(clusters.join(classes.select("cid", "head.doc_id", "head.text_key"), "cid"), "members")
     if members.count() <= broadcast_rows:
         members = F.broadcast(members)
