@@ -2,12 +2,12 @@
 
 Trusted text is what labels call good and not toxic.  Each task counts the n-grams of its trusted texts; the counts are
 summed, and continuation counts, discounts, context totals and interpolated probabilities of every order come from
-grouping and joining the count tables, sharded by n-gram.  A document's score is its perplexity per character; it is
-kept if its score is at most the language's threshold, from quantiles of the trusted documents' scores.  The score is
-the perplexity drawn towards the language's median as if PRIOR symbols of such text had been read as well, so that a
-text of a few words is not judged by chance.  One in HELD_OUT of the trusted texts (by their hash, so copies stay
-together) is not trained on; medians and thresholds come from those, as a model flatters what it was trained on, or from
-all trusted texts of a language without any.
+grouping and joining the count tables, sharded by n-gram.  A document's score is the perplexity per character of its
+worst window: windows of two blocks of HALF_WINDOW symbols cover the whole text and overlap by a block, the last block
+takes the rest, and a shorter text is one window, so a few bad words count the same in a short and in a long text.  It
+is kept if its score is at most the language's threshold, the quantile UPPER of the trusted documents' scores.  One in
+HELD_OUT of the trusted texts (by their hash, so copies stay together) is not trained on; thresholds come from those, as
+a model flatters what it was trained on, or from all trusted texts of a language without any.
 
 Scoring joins each text's n-grams with the model.  The model is a vocabulary of short character sequences, which
 saturates; if it is counted to have at most MODEL_ROWS rows, it is sent to the tasks as sorted arrays and looked up
@@ -33,10 +33,12 @@ START = 4095
 MODEL_ROWS = 8_000_000
 #: Labelled ids that are broadcast: 16 bytes each.
 LABEL_ROWS = 2_000_000
-#: The threshold is the median plus SPREADS times the distance from there to the upper quantile.
-UPPER, SPREADS = 0.95, 3.0
-PRIOR = 24.0
-#: Languages whose medians and thresholds are broadcast; more are joined by shuffle.
+#: The threshold is this quantile of the held-out trusted documents' scores.
+UPPER = 0.95
+HALF_WINDOW = 16
+#: Discounts are no less, so that every context keeps some weight back for what was not seen after it.
+LEAST_DISCOUNT = 0.05
+#: Languages whose thresholds are broadcast; more are joined by shuffle.
 LANGUAGES = 10_000
 HELD_OUT = 4
 
@@ -63,6 +65,24 @@ def grams(syms, order: int = ORDER):
     return out.astype(np.int64)
 
 
+def blocks(n: int):
+    """The block of each of n symbols: HALF_WINDOW symbols each, and the last one up to twice as many."""
+    import numpy as np
+
+    return np.minimum(np.arange(n) // HALF_WINDOW, max(n // HALF_WINDOW - 1, 0))
+
+
+def worst_window(logp) -> float:
+    """The perplexity of the worst window of a text, from the log probabilities of its symbols."""
+    import numpy as np
+
+    at = blocks(len(logp))
+    sums, sizes = np.bincount(at, logp), np.bincount(at)
+    if len(sums) > 1:
+        sums, sizes = sums[1:] + sums[:-1], sizes[1:] + sizes[:-1]
+    return float(np.exp(-np.min(sums / sizes)))
+
+
 def language(c: str = "lang") -> Column:
     return F.coalesce(F.col(c), F.lit("und"))
 
@@ -113,7 +133,7 @@ def train(texts: DataFrame) -> DataFrame:
     for n in range(1, ORDER + 1):
         rows = tables[n]
         n1, n2, n3, n4 = (F.sum((F.col("c") == k).cast("double")) for k in range(1, 5))
-        or_else = lambda c, d, most: F.coalesce(F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(c, F.lit(most)))), F.lit(d))
+        or_else = lambda c, d, most: F.coalesce(F.when(c.isNotNull(), F.greatest(F.lit(LEAST_DISCOUNT), F.least(c, F.lit(most)))), F.lit(d))
         zero = lambda c: F.when(c > 0, c)
         y = zero(n1) / zero(n1 + 2 * n2)
         discounts = rows.groupBy("lang").agg(
@@ -209,31 +229,31 @@ RUN_SYMBOLS = 1_000_000
 
 
 def score(docs: DataFrame, model: DataFrame, *, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """docs with n_symbols and perplexity; docs must have lang (not null) and text."""
+    """docs with n_symbols, perplexity and worst, the worst window's; docs must have lang (not null) and text."""
     if model.count() > model_rows:
         return score_joined(docs, model)
     sent = docs.sparkSession.sparkContext.broadcast(packed(model))
-    kept = [f"`{c}` {t}" for c, t in docs.dtypes if c not in ("n_symbols", "perplexity", "text")]
+    kept = [f"`{c}` {t}" for c, t in docs.dtypes if c not in ("n_symbols", "perplexity", "worst", "text")]
 
-    def means(tables, texts):
-        """Mean log probabilities of texts, which have symbols."""
+    def perplexities(tables, texts):
+        """(whole text, worst window) of texts, which have symbols."""
         import numpy as np
 
         g, inverse = np.unique(np.concatenate([grams(x) for x in texts]), return_inverse=True)
         each = tables.logp(g)[inverse]
-        ends = np.cumsum([len(x) for x in texts])
-        return np.add.reduceat(each, ends - [len(x) for x in texts]) / [len(x) for x in texts]
+        parts = np.split(each, np.cumsum([len(x) for x in texts])[:-1])
+        return [(np.exp(-x.mean()), worst_window(x)) for x in parts]
 
     def run(frames):
         import numpy as np
 
         for frame in frames:
-            sizes, values = np.zeros(len(frame), np.int64), np.full(len(frame), np.nan)
+            sizes, values = np.zeros(len(frame), np.int64), np.full((len(frame), 2), np.nan)
             waiting: dict = {}
 
             def flush(lang, sizes=sizes, values=values, waiting=waiting):
                 places, texts = zip(*waiting.pop(lang), strict=True)
-                values[list(places)] = np.exp(-means(Tables.of(sent.value, lang), texts))
+                values[list(places)] = perplexities(Tables.of(sent.value, lang), texts)
 
             for i, (lang, text) in enumerate(zip(frame["lang"], frame["text"], strict=True)):
                 syms = symbols(text) if isinstance(text, str) else ()
@@ -244,27 +264,31 @@ def score(docs: DataFrame, model: DataFrame, *, model_rows: int = MODEL_ROWS) ->
                         flush(lang)
             for lang in list(waiting):
                 flush(lang)
-            frame = frame.drop(columns="text").assign(n_symbols=sizes, perplexity=values)
-            frame["perplexity"] = frame["perplexity"].astype(object).where(~np.isnan(values), None)
+            frame = frame.drop(columns="text").assign(n_symbols=sizes)
+            for i, name in enumerate(("perplexity", "worst")):
+                frame[name] = values[:, i].astype(object)
+                frame[name] = frame[name].where(~np.isnan(values[:, i]), None)
             yield frame
 
-    return docs.mapInPandas(run, ", ".join([*kept, "n_symbols long, perplexity double"]))
+    return docs.mapInPandas(run, ", ".join([*kept, "n_symbols long, perplexity double, worst double"]))
 
 
 def score_joined(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """score() for a model of any size: the documents' n-grams, counted per document, are joined with its shards."""
+    """score() for a model of any size: the documents' n-grams, counted per block, are joined with its shards."""
 
     def run(frames):
-        import numpy as np
         import pandas as pd
 
         for frame in frames:
             for row, lang, text in zip(frame["row"], frame["lang"], frame["text"], strict=True):
-                g, c = np.unique(grams(symbols(text or "")), return_counts=True)
-                yield pd.DataFrame({"row": row, "lang": lang, "gram": g, "c": c})
+                g = grams(symbols(text or ""))
+                counted = pd.DataFrame({"block": blocks(len(g)), "gram": g}).groupby(["block", "gram"], as_index=False).size().rename(columns={"size": "c"})
+                counted.insert(0, "row", row)
+                counted.insert(1, "lang", lang)
+                yield counted
 
     docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    rows = docs.select("row", "lang", "text").mapInPandas(run, "row long, lang string, gram long, c long")
+    rows = docs.select("row", "lang", "text").mapInPandas(run, "row long, lang string, block long, gram long, c long")
     value = None
     for n in range(ORDER + 1):
         part = model.where(F.col("n") == n)
@@ -273,15 +297,20 @@ def score_joined(docs: DataFrame, model: DataFrame) -> DataFrame:
             context = model.where(F.col("n") == n - 1).select("lang", F.col("gram").alias("k"), F.col("bow").alias(f"b{n}"))
             rows = rows.withColumn("k", F.shiftrightunsigned(_cut("gram", n), BITS)).join(context, ["lang", "k"], "left")
         value = F.col("l0") if value is None else F.coalesce(F.col(f"l{n}"), F.coalesce(F.col(f"b{n}"), F.lit(0.0)) + value)
-    sums = rows.groupBy("row").agg(F.sum("c").alias("n_symbols"), F.exp(-F.sum(F.col("c") * value) / F.sum("c")).alias("perplexity"))
-    return docs.drop("text", "n_symbols", "perplexity").join(sums, "row", "left").drop("row").withColumn("n_symbols", F.coalesce("n_symbols", F.lit(0)))
+    sums = stored(rows.groupBy("row", "block").agg(F.sum("c").alias("c"), F.sum(F.col("c") * value).alias("s")), "blocks")
+    whole = sums.groupBy("row").agg(F.sum("c").alias("n_symbols"), F.exp(-F.sum("s") / F.sum("c")).alias("perplexity"), F.max("block").alias("last"))
+    # window i is blocks i - 1 and i; those that only the first or the last block would fill are none
+    windows = sums.withColumn("window", F.explode(F.array(F.col("block"), F.col("block") + 1))).groupBy("row", "window").agg((-F.sum("s") / F.sum("c")).alias("mean"))
+    windows = windows.join(whole.select("row", "last"), "row").where((F.col("last") == 0) | F.col("window").between(F.lit(1), F.col("last")))
+    sums = whole.drop("last").join(windows.groupBy("row").agg(F.exp(F.max("mean")).alias("worst")), "row")
+    return docs.drop("text", "n_symbols", "perplexity", "worst").join(sums, "row", "left").drop("row").withColumn("n_symbols", F.coalesce("n_symbols", F.lit(0)))
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, keep_text_key: bool = False) -> DataFrame:
     """docs (doc_id, text, lang, ...) without text, with n_symbols, perplexity, score, threshold and keep, and with
     text_key, the xxhash64 of the text, if asked for.
 
-    There is one median and one threshold per language; up to LANGUAGES of them are broadcast.
+    There is one threshold per language; up to LANGUAGES of them are broadcast.
     """
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     good = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
@@ -289,16 +318,9 @@ def judge(docs: DataFrame, labels: DataFrame, *, keep_text_key: bool = False) ->
     held = F.pmod("text_key", F.lit(HELD_OUT)) == 0
     trusted = semi_join_checked(docs.select("doc_id", "lang", "text", "text_key").where("text IS NOT NULL"), good, "doc_id", LABEL_ROWS)
     scored = stored(score(docs, train(trusted.where(~held).select("lang", "text"))), "perplexities")
-    base = semi_join_checked(scored.where("perplexity IS NOT NULL").select("doc_id", "lang", "perplexity", "n_symbols", "text_key"), good, "doc_id", LABEL_ROWS)
-    base = stored(base.withColumn("held", held), "trusted")
-    quantiles = lambda c, q: F.coalesce(*[F.percentile_approx(x, F.array(*map(F.lit, q)), F.lit(10000)) for x in (F.when(F.col("held"), c), c)])
-    medians = stored(base.groupBy("lang").agg(quantiles(F.col("perplexity"), [0.5])[0].alias("median")), "medians")
-    if medians.count() <= LANGUAGES:
-        medians = F.broadcast(medians)
-    drawn = F.exp((F.col("n_symbols") * F.log("perplexity") + PRIOR * F.log("median")) / (F.col("n_symbols") + PRIOR))
-    found = base.join(medians, "lang").groupBy("lang").agg(quantiles(drawn, [0.5, UPPER]).alias("q"))
-    limits = found.select("lang", (F.col("q")[0] + SPREADS * (F.col("q")[1] - F.col("q")[0])).alias("threshold")).join(medians, "lang")
-    limits = stored(limits, "limits")
-    out = scored.join(F.broadcast(limits) if limits.count() <= LANGUAGES else limits, "lang", "left").withColumn("score", drawn).drop("median")
+    base = semi_join_checked(scored.where("worst IS NOT NULL").select("doc_id", "lang", "worst", "text_key"), good, "doc_id", LABEL_ROWS)
+    limit = F.coalesce(*[F.percentile_approx(x, F.lit(UPPER), F.lit(10000)) for x in (F.when(held, F.col("worst")), F.col("worst"))])
+    limits = stored(base.groupBy("lang").agg(limit.alias("threshold")), "limits")
+    out = scored.join(F.broadcast(limits) if limits.count() <= LANGUAGES else limits, "lang", "left").withColumnRenamed("worst", "score")
     keep = F.when(F.col("n_symbols") == 0, F.lit(False)).otherwise(F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)))
     return out.withColumn("keep", keep).drop("lang", *([] if keep_text_key else ["text_key"])).withColumnRenamed("own_lang", "lang")

@@ -157,6 +157,47 @@ def test_classifier_keeps_clean_and_rejects_junk(spark):
     assert all(r["keep"] for r in none)
 
 
+def test_worst_window_rejects_a_few_bad_words(spark):
+    rows = [(i, "xx", text(i, 300)) for i in range(120)]
+    rows += [(200 + i, "xx", text(500 + i, 150) + " zqxj wvvkq jjxz qqwy " + text(600 + i, 150)) for i in range(6)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in kneser_ney.judge(docs(spark, rows, "doc_id long, lang string, text string"), labels).collect() if r["keep"]}
+    assert not kept & set(range(200, 206))
+    assert len(kept) >= 108
+
+
+def test_worst_window_agrees_with_joins_and_brute_force(spark):
+    import numpy as np
+
+    model = kneser_ney.train(spark.createDataFrame([("xx", text(i)) for i in range(12)], "lang string, text string"))
+    tables = kneser_ney.Tables(kneser_ney.packed(model)["xx"])
+    rows = [(n, "xx", text(77)[:n]) for n in (0, 1, 15, 16, 17, 31, 32, 33, 47, 48, 100, 333)] + [(1000, "xx", None)]
+    rows = [(n, lang, t.strip() if t else t) for n, lang, t in rows]
+    for options in ({}, {"model_rows": 0}):
+        for r in kneser_ney.score(docs(spark, rows, "doc_id long, lang string, text string"), model, **options).collect():
+            t = next(t for n, _, t in rows if n == r["doc_id"])
+            if not t:
+                assert r["worst"] is None
+                continue
+            each = tables.logp(kneser_ney.grams(kneser_ney.symbols(t)))
+            starts = range(0, max(len(each) // 16 - 1, 1) * 16, 16)
+            want = max(-each[a : len(each) if a == starts[-1] else a + 32].mean() for a in starts)
+            assert r["worst"] == pytest.approx(np.exp(want), rel=1e-4)
+
+
+def test_every_context_keeps_weight_back(spark):
+    import numpy as np
+
+    texts = ["".join(chr(0x100 + i) for i in range(60))] * 3 + ["ijklm"] * 2 + ["nopqr"]
+    model = kneser_ney.train(spark.createDataFrame([("xx", t) for t in texts], "lang string, text string"))
+    context = int(kneser_ney.grams(kneser_ney.symbols("ijkl"))[-1]) & ((1 << 48) - 1)
+    assert model.where((F.col("n") == 4) & (F.col("gram") == context) & F.col("bow").isNotNull()).count() == 1
+    tables = kneser_ney.Tables(kneser_ney.packed(model)["xx"])
+    known = [int(k) for k in tables.orders[1][0] if k != kneser_ney.START]
+    p = np.exp(tables.logp(np.array([context << 12 | k for k in [*known, 4000]], np.int64))).sum()
+    assert p == pytest.approx(1.0, abs=1e-4)
+
+
 def test_licences(spark):
     apache = "Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License. You may obtain a copy of the License at:\n"
     out = {r["doc_id"]: r for r in licences.scan(docs(spark, [*AWKWARD, (9, apache + "x. Released under the MIT license.")])).collect()}
