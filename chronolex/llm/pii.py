@@ -3,9 +3,10 @@
 The fixed patterns (e-mail, IP, card, phone) give the base spans and the seeds.  The bootstrap looks at identifier-like
 tokens, those with a digit and at least MIN_TOKEN characters.  A token's context is the word before it and the token's
 shape (runs of digits and of letters).  The contexts of the seeds are lexical patterns.  Patterns and instances form a
-graph: in each round an instance scores the best of its patterns, seeds score 1, and a pattern scores the mean of its
-instances; patterns with MIN_SEEDS seeds at least and a score of CONFIDENCE are kept, and what they match beside the
-seeds is a new identifier.  Edges are distinct (pattern, instance) pairs, summed before they are shuffled.  Only column
+graph: an instance scores the best of its patterns, known ones score 1, and a pattern scores the mean of its instances,
+ROUNDS times over; patterns with MIN_SEEDS known instances at least and a score of CONFIDENCE are kept, and what they
+match becomes known, which may support further patterns, until none is added.  What kept patterns match beside the seeds
+is a new identifier.  Edges are distinct (pattern, instance) pairs, summed before they are shuffled.  Only column
 expressions are used.
 
 Positions count code points from 0, the end is exclusive.  Defined results: a null text is an empty one; repeated rows
@@ -99,18 +100,28 @@ def candidates(found: DataFrame) -> DataFrame:
 
 
 def score_patterns(edges: DataFrame, *, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
-    """The patterns kept: (pattern, score). edges: (pattern, instance, seed)."""
-    edges = edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    # only what seeds reach can score: a pattern without enough seeds leaves the graph at once
-    strong = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern")
-    edges = stored(edges.join(strong, "pattern", "left_semi").withColumn("own", F.col("seed").cast("double")), "pii-edges")
-    scores = edges.select("pattern", "instance", "own")
-    for _ in range(rounds):
-        patterns = scores.groupBy("pattern").agg(F.avg("own").alias("score"))
-        best = edges.join(patterns, "pattern").groupBy("instance").agg(F.max("score").alias("best"))
-        scores = edges.join(best, "instance").select("pattern", "instance", F.when(F.col("seed"), 1.0).otherwise(F.col("best")).alias("own"))
-        scores = stored(scores, "pii-scores")
-    return scores.groupBy("pattern").agg(F.avg("own").alias("score")).where(F.col("score") >= confidence)
+    """The patterns kept: (pattern, score), as scored when each was added. edges: (pattern, instance, seed)."""
+    edges = stored(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
+    known = edges.where("seed").select("instance").distinct()
+    kept = None
+    while True:
+        rows = edges if kept is None else edges.join(kept, "pattern", "left_anti")
+        rows = rows.select("pattern", "instance").join(known.withColumn("known", F.lit(True)), "instance", "left").withColumn("known", F.col("known").isNotNull())
+        # a pattern without enough support cannot be added in this pass; its edges wait for the next one
+        strong = rows.groupBy("pattern").agg(F.sum(F.col("known").cast("int")).alias("support")).where(F.col("support") >= min_seeds).select("pattern")
+        rows = stored(rows.join(strong, "pattern", "left_semi").withColumn("own", F.col("known").cast("double")), "pii-strong")
+        scores = rows.select("pattern", "instance", "own")
+        for _ in range(rounds):
+            patterns = scores.groupBy("pattern").agg(F.avg("own").alias("score"))
+            best = rows.join(patterns, "pattern").groupBy("instance").agg(F.max("score").alias("best"))
+            scores = rows.join(best, "instance").select("pattern", "instance", F.when(F.col("known"), 1.0).otherwise(F.col("best")).alias("own"))
+            scores = stored(scores, "pii-scores")
+        added = stored(scores.groupBy("pattern").agg(F.avg("own").alias("score")).where(F.col("score") >= confidence), "pii-patterns")
+        kept = added if kept is None else stored(kept.unionByName(added), "pii-kept")
+        found = stored(rows.where("NOT known").join(added, "pattern", "left_semi").select("instance").distinct(), "pii-found")
+        if found.isEmpty():
+            return kept
+        known = stored(known.unionByName(found), "pii-known")
 
 
 def discovered(found: DataFrame, **options) -> DataFrame:

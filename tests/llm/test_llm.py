@@ -304,6 +304,16 @@ def test_pii_bootstrap_and_redaction(spark):
     assert out[21] is None
 
 
+def test_pii_patterns_found_by_found_instances(spark):
+    rows = [("seeded", f"s{i}", True) for i in range(3)] + [("seeded", f"x{i}", False) for i in range(3)]
+    rows += [("second", f"x{i}", False) for i in range(3)] + [("second", f"y{i}", False) for i in range(3)]
+    rows += [("third", f"y{i}", False) for i in range(3)] + [("third", "z", False)]
+    rows += [("far", f"z{i}", False) for i in range(5)] + [("weak", "y0", False)] + [("weak", f"w{i}", False) for i in range(2)]
+    edges = docs(spark, rows, "pattern string, instance string, seed boolean")
+    assert {r["pattern"] for r in pii.score_patterns(edges).collect()} == {"seeded", "second", "third"}
+    assert pii.score_patterns(edges.where("NOT seed")).count() == 0
+
+
 def test_pipeline_stages(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs_ = common.table(spark, SF, "documents")
