@@ -1,8 +1,10 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contextual patterns.
 
-The fixed patterns (e-mail, IP, card, phone) give the base spans and the seeds.  The bootstrap looks at identifier-like
-tokens, those with a digit and at least MIN_TOKEN characters.  A token's context is the word before it and the token's
-shape (runs of digits and of letters).  The contexts of the seeds are lexical patterns.  Patterns and instances form a
+The fixed patterns (e-mail, IP, card, phone) give the base spans, which as a whole are the seeds.  Beside them the
+bootstrap looks at identifier-like spans of at least MIN_TOKEN characters: tokens with a digit or an @, and groups of
+digits with single spaces between them.  A span's contexts are the word before it and the word after it, each with the
+span's shape (runs of digits and of letters, and the length if there are no letters).  An instance has one shape, so only
+shapes of seeds can be reached; others are left out.  The contexts of the seeds are lexical patterns.  Patterns and instances form a
 graph: an instance scores the best of its patterns, known ones score 1, and a pattern scores the mean of its instances,
 ROUNDS times over; patterns with MIN_SEEDS known instances at least and a score of CONFIDENCE are kept, and what they
 match becomes known, which may support further patterns, until none is added.  What kept patterns match beside the seeds
@@ -33,7 +35,9 @@ PATTERNS_PLAIN = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TOKEN = r"""(?<![^\s"'(<\[=:,;])[^\s"'()<>\[\]=:,;]*[0-9][^\s"'()<>\[\]=:,;]*"""
+# A sentence's end is no part of a token or a group.
+TOKEN = r"""(?<![^\s"'(<\[=:,;])[^\s"'()<>\[\]=:,;0-9@]*+[0-9@][^\s"'()<>\[\]=:,;]*(?<![.!?])"""
+GROUPS = r"""(?<![^\s"'(<\[=:,;])\+?\(?[0-9](?:[0-9().-]*[0-9)])?(?: \(?[0-9](?:[0-9().-]*[0-9)])?)++"""
 MIN_TOKEN, MIN_SEEDS, CONFIDENCE, ROUNDS = 6, 3, 0.8, 3
 SPAN = "array<struct<start:int,end:int,match:string>>"
 
@@ -83,20 +87,29 @@ def with_base_spans(df: DataFrame) -> DataFrame:
     )
 
 
-def shape(token: Column) -> Column:
-    """The token with 9 for each run of digits and a for each run of letters, and the run's length unless long."""
-    return F.concat_ws("/", F.regexp_replace(F.regexp_replace(token, r"\p{L}+", "a"), "[0-9]+", "9"), F.least(F.length(token), F.lit(24)).cast("string"))
+def shape(span: Column) -> Column:
+    """The span with 9 for each run of digits and a for each run of letters, and its length unless it has letters or is long."""
+    runs = F.regexp_replace(F.regexp_replace(span, r"\p{L}+", "a"), "[0-9]+", "9")
+    return F.concat_ws("/", runs, F.when(~F.contains(runs, F.lit("a")), F.least(F.length(span), F.lit(24)).cast("string")))
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """Identifier-like tokens of with_base_spans(): doc_id, text_key, start, end, pattern, instance, seed."""
-    rows = found.where(F.col("text").rlike("[0-9]"))
-    rows = rows.select("doc_id", "text", F.concat(*KINDS).alias("base"), F.explode(F.filter(spans(F.col("text"), TOKEN), lambda x: F.length(x["match"]) >= MIN_TOKEN)).alias("s"))
-    start, end, token = F.col("s.start"), F.col("s.end"), F.col("s.match")
-    left = F.lower(F.regexp_extract(F.substr(F.col("text"), F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40))), r"(\S+)\s*$", 1))
-    overlaps = F.exists("base", lambda b: (b["start"] < end) & (start < b["end"]))
-    pattern = F.concat_ws(" ", F.regexp_replace(left, "[0-9]+", "9"), shape(token))
-    return rows.select("doc_id", F.xxhash64("text").alias("text_key"), start.alias("start"), end.alias("end"), pattern.alias("pattern"), token.alias("instance"), overlaps.alias("seed"))
+    """Base spans and identifier-like spans of with_base_spans(), a row for each context: doc_id, text_key, start, end, pattern, instance, seed."""
+    text, base = F.col("text"), F.concat(*KINDS)
+    marked = lambda c, seed: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), F.lit(seed).alias("seed")))
+    free = lambda x: (F.length(x["match"]) >= MIN_TOKEN) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    groups = F.when(text.rlike("[0-9] [(]?[0-9]"), spans(text, GROUPS)).otherwise(F.array().cast(SPAN))
+    more = F.filter(F.array_distinct(F.concat(spans(text, TOKEN), groups)), free)
+    rows = found.where(text.rlike("[0-9@]")).select("doc_id", "text", F.explode(F.concat(marked(base, True), marked(more, False))).alias("s"))
+    start, end = F.col("s.start"), F.col("s.end")
+    word = lambda part, regex: F.regexp_replace(F.lower(F.regexp_extract(part, regex, 1)), "[0-9]+", "9")
+    before = word(F.substr(text, F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40))), r"(\S+)\s*$")
+    after = word(F.substr(text, end + 1, F.lit(40)), r"^\s*(\S+)")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), start.alias("start"), end.alias("end"), shape(F.col("s.match")).alias("shape"), before.alias("before"), after.alias("after"), F.col("s.match").alias("instance"), F.col("s.seed").alias("seed"))
+    rows = stored(rows, "pii-spans")
+    rows = rows.join(rows.where("seed").select("shape").distinct(), "shape", "left_semi")
+    patterns = F.array(F.concat_ws(" ", F.lit("before"), "before", "shape"), F.concat_ws(" ", F.lit("after"), "after", "shape"))
+    return rows.select("doc_id", "text_key", "start", "end", F.explode(patterns).alias("pattern"), "instance", "seed")
 
 
 def score_patterns(edges: DataFrame, *, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:

@@ -304,6 +304,18 @@ def test_pii_bootstrap_and_redaction(spark):
     assert out[21] is None
 
 
+def test_pii_seeds_without_digits_or_with_spaces(spark):
+    rows = [(i, f"write to {n}@post.example today") for i, n in enumerate(["anna", "ben", "cleo", "dora"])] + [(10, "write to zoé@köln.example today")]
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881", "6011 0000 0000 0004"]
+    rows += [(20 + i, f"my card {c} is new") for i, c in enumerate(cards)] + [(30, "my card 4111 1111 1111 1112 is new"), (31, "on 4111 1111 1111 1113 other days"), (32, "Ends with 123456. Or not")]
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs(spark, rows)).collect()}
+    assert out[0] == "write to [EMAIL] today"
+    assert out[10] == "write to [NEW] today"
+    assert out[20] == "my card [CARD] is new"
+    assert out[30] == "my card [NEW] is new"
+    assert [out[i] for i in (31, 32)] == [dict(rows)[i] for i in (31, 32)]
+
+
 def test_pii_patterns_found_by_found_instances(spark):
     rows = [("seeded", f"s{i}", True) for i in range(3)] + [("seeded", f"x{i}", False) for i in range(3)]
     rows += [("second", f"x{i}", False) for i in range(3)] + [("second", f"y{i}", False) for i in range(3)]
