@@ -1,7 +1,9 @@
 """Licence scans by sentence rules: known sentences become identifiers, and ordered rules match their sequence.
 
 A text is cut after `.`, `!` or `?` before white space and at line ends; a sentence is normalised to lower-case letters
-and digits with single spaces; a normalised sentence that is known has an identifier.  The identifiers of a text, in
+and digits with single spaces; a normalised sentence that is known has an identifier.  A known sentence may also be
+wrapped over several lines, with comment signs; it does not reach over a sentence's end or a line without letters and
+digits, and the longest is taken.  The identifiers of a text, in
 order, with one `-` for unknown sentences between two of them, are matched against the rules from the first to the
 last; what a rule matches is not open to later ones.  Only column expressions are used.
 
@@ -60,10 +62,12 @@ SPACE = r"[ \t\n\r\f]"
 
 def sentence_ids(text: Column) -> Column:
     """An array with the identifier of each sentence in order, `-` for an unknown one; empty sentences are left out."""
-    cut = F.split(F.regexp_replace(text, rf"([.!?]){SPACE}+", "$1\n"), "\n")
-    plain = F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))), lambda s: s != "")
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    return F.when(text.rlike(ANCHORS), F.transform(plain, lambda s: F.coalesce(F.try_element_at(known, s), F.lit("-")))).otherwise(F.array().cast("array<string>"))
+    lines = F.regexp_replace(F.lower(F.regexp_replace(text, rf"([.!?]){SPACE}+", "$1\n\n")), "[^a-z0-9\n]+", " ")
+    found = F.trim(F.regexp_replace(lines, " ?\n ?", "\n"))
+    for plain, name in sorted(SENTENCES.items(), key=lambda x: -len(x[0])):
+        found = F.regexp_replace(found, "(?m)^" + plain.replace(" ", "[ \n]") + "$", f"={name}")
+    pieces = F.transform(F.filter(F.split(found, "\n"), lambda s: s != ""), lambda s: F.when(s.startswith("="), F.substr(s, F.lit(2))).otherwise(F.lit("-")))
+    return F.when(text.rlike(ANCHORS), pieces).otherwise(F.array().cast("array<string>"))
 
 
 def scan(df: DataFrame) -> DataFrame:

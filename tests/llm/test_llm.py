@@ -205,6 +205,17 @@ def test_licences(spark):
     assert out[3]["licences"] == ""
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    known = {name: plain for plain, name in licences.SENTENCES.items()}
+    wrap = lambda name, sign: "\n".join(sign + x for x in textwrap.wrap(known[name].capitalize() + ".", 60))
+    rows = [(1, wrap("mit-grant", " * ") + "\n *\n" + wrap("mit-notice", " * ")), (2, wrap("bsd-grant", "# ") + "\r\n# 1. Some other line\n" + wrap("bsd-name", "# "))]
+    rows += [(3, "/* Copyright X\n" + wrap("gpl3-later", "") + "\n*/"), (4, "All rights\n\nreserved"), (5, "All rights. Reserved"), (6, "All rights reserved\nby them\nReleased under\nthe MIT license")]
+    out = {r["doc_id"]: r["licences"] for r in licences.scan(docs(spark, rows)).collect()}
+    assert out == {1: "MIT", 2: "BSD-3-Clause", 3: "GPL-3.0-or-later", 4: "", 5: "", 6: "All-rights-reserved,MIT"}
+
+
 def test_bpe_against_library(spark):
     tiktoken = pytest.importorskip("tiktoken")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
