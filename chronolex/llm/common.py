@@ -8,15 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a table of ids that are broadcast: 16 bytes each.
+ID_ROWS = 2_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one is set only where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir; on one machine (local[..]) a temporary one is set where none is named."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -34,14 +39,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_none(df: DataFrame, max_rows: int) -> list | None:
-    """The rows of df if there are at most max_rows of them, else None; no more than max_rows + 1 reach the driver."""
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
+def released(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        files = df.inputFiles()
+        if files and "/chronolex/" in files[0]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def broadcast_checked(df: DataFrame, max_rows: int) -> DataFrame:
+    """df, marked to be broadcast if it is counted to have at most max_rows rows; else Spark shuffles it."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def semi_join_checked(left: DataFrame, keys: DataFrame, key: str, max_rows: int) -> DataFrame:
-    """Rows of left whose key is among keys; keys are broadcast only if counted to be at most max_rows."""
-    if keys.count() <= max_rows:
-        keys = F.broadcast(keys)
-    return left.join(keys, key, "left_semi")
+def semi_join_checked(left: DataFrame, keys: DataFrame, key: str, max_rows: int, how: str = "left_semi") -> DataFrame:
+    """Rows of left whose key is among keys (left_anti: is not); keys are broadcast only if counted to be at most max_rows."""
+    return left.join(broadcast_checked(keys, max_rows), key, how)
