@@ -1,19 +1,21 @@
 """SimHash fingerprints of documents and a search of all fingerprints within a Hamming radius.
 
-The terms of a text are its pairs of neighbouring lower-case words (the last word stands alone); a term's 64-bit hash
-votes for each bit with the term's weight, the length of its first word up to 12, so that short function words count
-for little.  A bit is set if more than half the weight votes for it.  The search keeps the bits in BLOCKS blocks: two
-fingerprints within a radius r differ in at most r blocks, so they agree on some choice of BLOCKS - r blocks; there is a
-table for every choice, keyed by those blocks, and a match is checked by its bit count and given once, by the first
-table that holds it.  Only column expressions are used.
-
-Votes are summed before the shuffle, for each row apart, so that a text's weight stays below its length and two
-counters of 32 bits can share a long; then copies of a text become one row.
-
-Defined results: a null text is an empty one, whose fingerprint is all zeros; equal texts have equal fingerprints;
-repeated rows give a row each; a null doc_id has the first document as its next, one with the largest id too; of
-several rows with the next id, the one with the least beginning, then the least digest, is taken; an only document is
-its own next.
+The terms of a text are its lower-case words, each as often as it stands there; a term's 64-bit hash votes for each bit
+with the term's weight, its length up to 12, so that short function words count for little.  A bit is set if more than
+half the weight votes for it.  The search keeps the bits in BLOCKS blocks: two fingerprints within a radius r differ in
+at most r blocks, so they agree on some choice of BLOCKS - r blocks; there is a table for every choice, keyed by those
+blocks, and a match is checked by its bit count and given once, by the first table that holds it.  Only distinct
+fingerprints are searched, with the number of documents that have each.  RADIUS is chosen so that at least nine in ten
+of the documents with a common set of five-word shingles of 0.8 and more are found.  Only column expressions are used.
+
+The texts are shuffled once, by id: two joins read that exchange.  In the first each text is told how many characters
+the document before it wants, and gives its beginning and no more; in the second it gets the beginning of the next one.
+Votes are summed where the texts then are; two counters of 32 bits share a long.
+
+Defined results: a null text is an empty one, whose fingerprint is all zeros, as is that of a text without words; equal
+texts have equal fingerprints; repeated rows give a row each; rows with a null doc_id are one document that stands
+before all others; of several texts with the next id, the one with the least hash is taken; an only document is its own
+next; an empty table gives no rows; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -25,26 +27,37 @@ from pyspark.sql import functions as F
 
 from chronolex.llm.common import stored
 
-BLOCKS = 6
-RADIUS = 3
+BLOCKS = 8
+RADIUS = 5
 MASK = 0x0000000100000001
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 
 
-def fingerprints(texts: DataFrame) -> DataFrame:
-    """(key, text) -> (key, bits long): one row per key, which must name one text. Texts without words give no row."""
-    words = F.split(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), " ")
-    terms = F.transform("words", lambda w, i: F.struct(F.xxhash64(w, F.coalesce(F.get("words", i + 1), F.lit(""))).alias("h"), F.least(F.length(w), F.lit(12)).cast("long").alias("w")))
-    # the words are a column of their own, so that the lambda does not cut the text for each of them
-    rows = texts.select("key", F.monotonically_increasing_id().alias("row"), words.alias("words")).select("key", "row", F.explode(terms).alias("t"))
-    rows = rows.select("key", "row", F.col("t.h").alias("h"), F.col("t.w").alias("w")).where("w > 0")
+def terms(text: Column, **constants: int) -> Column:
+    """An array with a struct for each word: its hash h and weight w, whether it is the first, and the constants."""
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+    fixed = [F.lit(v).alias(k) for k, v in constants.items()]
+    return F.transform(words, lambda w, i: F.struct(*fixed, F.xxhash64(w).alias("h"), F.least(F.length(w), F.lit(12)).cast("long").alias("w"), (i == 0).alias("head")))
+
+
+def vote(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys and bits (long), from a column t with a struct of terms() or null; and n, the number of texts summed."""
+    rows = rows.select(*keys, F.coalesce("t.h", F.lit(0).cast("long")).alias("h"), F.coalesce("t.w", F.lit(0).cast("long")).alias("w"), F.coalesce("t.head", F.lit(True)).cast("long").alias("head"))
     lanes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(MASK)) * F.col("w")).alias(f"v{i}") for i in range(32)]
-    votes = rows.groupBy("key", "row").agg(*lanes, F.sum("w").alias("total"))
+    votes = rows.groupBy(*keys).agg(*lanes, F.sum("w").alias("total"), F.sum("head").alias("n"))
     bits: Column = F.lit(0).cast("long")
     for i in range(32):
         low, high = F.col(f"v{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"v{i}", 32)
         for bit, n in ((i, low), (i + 32, high)):
             bits = bits.bitwiseOR(F.when(2 * n > F.col("total"), F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")))
-    return votes.select("key", bits.alias("bits")).groupBy("key").agg(F.min("bits").alias("bits"))  # copies have the same bits
+    return votes.select(*keys, bits.alias("bits"), "n")
+
+
+def fingerprints(texts: DataFrame) -> DataFrame:
+    """(key, text) -> (key, bits long): one row per key, which must name one text."""
+    rows = texts.select("key", F.explode_outer(terms(F.coalesce("text", F.lit("")))).alias("t"))
+    return vote(rows, "key").select("key", "bits")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -52,32 +65,28 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id) for distinct ids: by ranges of ids, and from a range's last id to the next range's first.
+    """(id, next_id) for distinct ids: by ranges of ids, and from a range's last id to the next range's first.
 
     The table of ranges has a row per partition and so is broadcast.
     """
-    ranged = stored(ids.where("doc_id IS NOT NULL").distinct().repartitionByRange("doc_id").withColumn("range", F.spark_partition_id()), "ranges")
-    firsts = ranged.groupBy("range").agg(F.min("doc_id").alias("first"))
+    ranged = stored(ids.distinct().repartitionByRange("id").withColumn("range", F.spark_partition_id()), "ranges")
+    firsts = ranged.groupBy("range").agg(F.min("id").alias("first"))
     firsts = firsts.select("range", F.coalesce(F.lead("first").over(Window.orderBy("range")), F.min("first").over(Window.partitionBy())).alias("beyond"))
-    return ranged.join(F.broadcast(firsts), "range").select("doc_id", F.coalesce(F.lead("doc_id").over(Window.partitionBy("range").orderBy("doc_id")), "beyond").alias("next_id"))
+    return ranged.join(F.broadcast(firsts), "range").select("id", F.coalesce(F.lead("id").over(Window.partitionBy("range").orderBy("id")), "beyond").alias("next_id"))
 
 
 def with_edited(docs: DataFrame) -> DataFrame:
-    """doc_id, text, key, next_key and edited: the last quarter replaced by the beginning of the next document."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    links = next_ids(docs.select("doc_id"))
-    least = F.broadcast(links.agg(F.min("doc_id").alias("least")))  # one row
+    """id, text, next_id, next_key and edited: the last quarter replaced by the beginning of the next document."""
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     take = F.floor(F.length("text") / 4).cast("int")
-    asks = docs.groupBy("doc_id").agg(F.max(take).alias("take"))
-    known = links.join(asks, "doc_id")
-    unknown = asks.where("doc_id IS NULL").crossJoin(least).select("doc_id", F.col("least").alias("next_id"), "take")
-    asked = known.unionByName(unknown).select(F.col("doc_id").alias("of"), F.col("next_id").alias("doc_id"), "take")
-    nexts = docs.join(asked, "doc_id").select("of", F.struct(F.substring(F.col("text"), F.lit(1), F.col("take")).alias("start"), F.sha2("text", 256).alias("key")).alias("n"))
-    nexts = nexts.groupBy("of").agg(F.min("n").alias("n"))
-    rows = docs.join(nexts, F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    n = F.length("text")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - take), F.coalesce(F.substring(F.col("n.start"), F.lit(1), take), F.lit("")))
-    return rows.select("doc_id", "text", F.sha2("text", 256).alias("key"), F.col("n.key").alias("next_key"), edited.alias("edited"))
+    asks = docs.groupBy("id").agg(F.max(take).alias("take"))
+    asked = stored(next_ids(docs.select("id")).join(asks, "id").select(F.col("id").alias("of"), F.col("next_id").alias("id"), "take"), "asked")
+    # both joins are merges by id, whatever the sizes, so that they share the exchange of the texts
+    given = docs.join(asked.hint("merge"), "id").select("of", F.struct(F.xxhash64("text").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("take")).alias("start"), F.col("id").alias("id")).alias("n"))
+    nexts = given.groupBy("of").agg(F.min("n").alias("n")).select(F.col("of").alias("id"), "n")
+    rows = docs.join(nexts.hint("merge"), "id")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - take), F.substring(F.col("n.start"), F.lit(1), take))
+    return rows.select("id", "text", F.col("n.id").alias("next_id"), F.col("n.key").alias("next_key"), edited.alias("edited"))
 
 
 def block_keys(bits: Column, blocks: int, radius: int) -> Column:
@@ -94,35 +103,40 @@ def block_keys(bits: Column, blocks: int, radius: int) -> Column:
 
 
 def within_radius(queries: DataFrame, all_bits: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(query, bits) for distinct queries and distinct bits that differ in 1 to radius bits: exact, each pair once."""
+    """(query, bits, n) for distinct queries and distinct bits, with n, that differ in at most radius bits: exact, each
+    pair once. A block value that many fingerprints share is split by Spark's handling of skewed joins."""
     cut = [64 * i // blocks for i in range(blocks + 1)]
     masks = [((1 << b) - (1 << a)) - (1 << 64 if b == 64 else 0) for a, b in zip(cut, cut[1:], strict=False)]
-    a = queries.select(F.col("bits").alias("query"), F.explode(block_keys(F.col("bits"), blocks, radius)).alias("k"))
-    b = all_bits.select("bits", F.explode(block_keys(F.col("bits"), blocks, radius)).alias("j"))
+    a = queries.select(F.col("bits").alias("query"), F.explode(block_keys(F.col("bits"), blocks, radius)).alias("k")).select("query", "k.t", "k.v")
+    b = all_bits.select("bits", "n", F.explode(block_keys(F.col("bits"), blocks, radius)).alias("k")).select("bits", "n", "k.t", "k.v")
     x = F.col("query").bitwiseXOR(F.col("bits"))
-    agree = F.array(*[x.bitwiseAND(F.lit(m)) == 0 for m in masks])
+    close = a.hint("merge").join(b, ["t", "v"]).where(F.bit_count(x) <= radius)
     # tables are in the order of combinations(), so the first that holds a pair is that of its first agreeing blocks
+    agree = F.array(*[x.bitwiseAND(F.lit(m)) == 0 for m in masks])
     first = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.get(agree, i))
     order = {c: t for t, c in enumerate(combinations(range(blocks), blocks - radius))}
     number = F.create_map(*[F.lit(v) for c, t in order.items() for v in (",".join(map(str, c)), t)])
-    mine = F.try_element_at(number, F.array_join(F.slice(first, 1, blocks - radius), ",")) == F.col("k.t")
-    return a.join(b, (F.col("k.t") == F.col("j.t")) & (F.col("k.v") == F.col("j.v")) & (F.bit_count(x) <= radius) & (x != 0) & mine).select("query", "bits")
+    mine = F.try_element_at(number, F.array_join(F.slice(first, 1, blocks - radius), ",")) == F.col("t")
+    return close.where(mine).select("query", "bits", "n")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Per document its and its edited text's fingerprints, their likeness, that to the next document, and n_near: for
-    documents whose id is divisible by 20, the number of other fingerprints within RADIUS bits; else null."""
-    rows = with_edited(docs)
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(F.sha2("text", 256).alias("key"), "text")
-    own = stored(fingerprints(texts.unionByName(rows.select(F.sha2("edited", 256).alias("key"), F.col("edited").alias("text")))), "fingerprints")
-    bits = lambda key, name: own.select(F.col("key").alias(key), F.col("bits").alias(name))
-    out = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "key", F.sha2("edited", 256).alias("edited_sha256"), "next_key")
-    for key, name in (("key", "f"), ("edited_sha256", "e"), ("next_key", "x")):
-        out = out.join(bits(key, name), key, "left").fillna({name: 0})
-    out = stored(out, "document-fingerprints")
-    asked = out.where("doc_id % 20 = 0").select(F.col("f").alias("bits")).distinct()
-    near = within_radius(asked, out.select(F.col("f").alias("bits")).distinct()).groupBy("query").agg(F.count("*").alias("n"))
-    query = F.col("doc_id") % 20 == 0
-    out = out.join(near, F.col("f") == F.col("query"), "left")
+    documents whose id is divisible by 20, the number of other documents within RADIUS bits; else null."""
+    rows = with_edited(docs.select("doc_id", "text")).select("id", F.xxhash64("text").alias("key"), F.length("text").cast("long").alias("n_chars"), "next_id", "next_key", F.unhex(F.sha2("edited", 256)).alias("sha"), "text", "edited")
+    keys = ("id", "key", "n_chars", "next_id", "next_key", "sha")
+    both = F.concat(*[F.when(F.size(x) > 0, x).otherwise(F.array(F.struct(F.lit(k).alias("which"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("w"), F.lit(True).alias("head")))) for k, x in ((0, F.col("own")), (1, F.col("new")))])
+    rows = rows.select(*keys, terms(F.col("text"), which=0).alias("own"), terms(F.col("edited"), which=1).alias("new"))
+    votes = vote(rows.select(*keys, F.explode(both).alias("t")).select(*keys, F.col("t.which").alias("which"), "t"), *keys, "which")
+    pick = lambda k, c: F.max(F.when(F.col("which") == k, F.col(c)))
+    out = stored(votes.groupBy(*keys).agg(pick(0, "bits").alias("f"), pick(1, "bits").alias("e"), pick(0, "n").alias("copies")), "fingerprints")
+    nexts = out.select(F.col("id").alias("next_id"), F.col("key").alias("next_key"), F.col("f").alias("x"))
+    counted = out.groupBy(F.col("f").alias("bits")).agg(F.sum("copies").alias("n"))
+    query = (F.col("id") % 20 == 0) & (F.col("id") != NO_ID)
+    near = within_radius(out.where(query).select(F.col("f").alias("bits")).distinct(), counted).groupBy("query").agg(F.sum("n").alias("n_near"))
+    out = out.join(nexts, ["next_id", "next_key"]).join(near, (F.col("f") == F.col("query")) & query, "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     shown = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    return out.select("doc_id", "n_chars", "edited_sha256", shown("f").alias("fingerprint"), shown("e").alias("edited_fingerprint"), likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("x")).alias("near_next"), F.when(query, F.coalesce("n", F.lit(0))).cast("long").alias("n_near"))
+    return out.select(
+        F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), shown("f").alias("fingerprint"), shown("e").alias("edited_fingerprint"),
+        likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("x")).alias("near_next"), (F.col("n_near") - 1).alias("n_near"),
+    )
