@@ -5,16 +5,23 @@ one token; every other piece starts as its bytes and the adjacent pair of least
 contracted until no pair is in the vocabulary.  In DuckDB that is a recursive query over token-position rows joined
 with the merge table.  Decoding joins the ids with the vocabulary and aggregates the bytes in the order of positions.
 
+Words of up to SHORT_WORD bytes contract one pair a step (CONTRACT).  Longer pieces are first cut where no token of the
+vocabulary matches the bytes on both sides, which no contraction can cross.  A step of theirs (CONTRACT_LONG) contracts
+all places of a word's least rank at once, from the left and without overlaps, up to the first place whose new
+neighbours have a lower rank, as those would be next; so a long run of one letter takes as many steps as ranks.  A query
+keeps the rows of each of its steps, so its steps are bounded by its rows (QUERY_ROWS), and the next query goes on.
+
 Defined results: a null text counts as empty and gives no tokens; empty texts give an empty list; repeated rows are
-encoded each for itself; other columns of the input are kept, and an output column replaces one of the same name.
-Long texts are processed whole: pieces are collected for SLICE_CHARS characters at a time, so that memory follows the
-slice and the longest text, not the batch.
+encoded each for itself; other columns of the input are kept, and an output column replaces one of the same name; an
+empty table gives no rows.  Long texts are processed whole: pieces are collected for SLICE_CHARS characters at a time,
+so that memory follows the slice and the longest text, not the batch.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -26,10 +33,10 @@ SLICE_CHARS = 1_000_000
 #: Pieces whose tokens a worker remembers between batches.
 CACHE_PIECES = 300_000
 
-#: Bytes of pieces that one run of the contraction query takes.
-QUERY_BYTES = 200_000
-#: Longer pieces are contracted with a heap: the query keeps every step, which is quadratic in a piece's length.
-LONG_PIECE = 512
+#: Words up to this are contracted pair by pair.
+SHORT_WORD = 64
+#: Rows of all steps that one run of a contraction query keeps, 50 bytes each.
+QUERY_ROWS = 1_500_000
 
 # A row: position p (piece << 24 | offset), token, and the next row's position and token (-1 at a piece's end).
 CONTRACT = """
@@ -54,10 +61,43 @@ WITH RECURSIVE t AS (
 ), last AS (SELECT p >> 24 AS wid, max(step) AS step FROM t GROUP BY 1)
 SELECT t.p >> 24 AS wid, t.tok FROM t JOIN last l ON l.wid = t.p >> 24 AND l.step = t.step ORDER BY t.p
 """
-# The rows are sorted first and then aggregated by one thread, which keeps their order; chars has a character for each byte.
+# A row: position p as above, and token. place: of a pair in its run of overlapping pairs; rows of a word in order.
+CONTRACT_LONG = """
+WITH RECURSIVE t AS (
+  SELECT p, tok, 0 AS step FROM start
+  UNION ALL
+  SELECT p, CASE WHEN chosen THEN m ELSE tok END, step + 1
+  FROM (
+    SELECT *, coalesce(lag(chosen) OVER w, false) AS eaten
+    FROM (
+      SELECT *, c AND coalesce(bool_or(bad) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) = false AS chosen
+      FROM (
+        SELECT y.*, y.c AND (coalesce(a.merged, y.m) < y.m OR coalesce(b.merged, y.m) < y.m) AS bad
+        FROM (
+          SELECT *, CASE WHEN lag(c, 2) OVER w THEN m ELSE lag(tok) OVER w END AS before, lead(tok, 2) OVER w AS after
+          FROM (
+            SELECT *, hit AND (k - coalesce(max(CASE WHEN hit THEN NULL ELSE k END) OVER (w ROWS UNBOUNDED PRECEDING), 0)) % 2 = 1 AS c
+            FROM (
+              SELECT *, coalesce(r = m, false) AS hit
+              FROM (
+                SELECT x.p, x.tok, x.step, x.k, g.merged AS r, min(g.merged) OVER (PARTITION BY x.p >> 24) AS m
+                FROM (SELECT *, lead(tok) OVER w AS nxt, row_number() OVER w AS k FROM t WHERE step < {steps} WINDOW w AS (PARTITION BY p >> 24 ORDER BY p)) x
+                LEFT JOIN merges g ON g.pair = (x.tok << 32 | x.nxt)
+              ) WHERE m IS NOT NULL
+            ) WINDOW w AS (PARTITION BY p >> 24 ORDER BY p)
+          ) WINDOW w AS (PARTITION BY p >> 24 ORDER BY p)
+        ) y
+        LEFT JOIN merges a ON y.c AND a.pair = (y.before << 32 | y.m)
+        LEFT JOIN merges b ON y.c AND b.pair = (y.m << 32 | y.after)
+      ) WINDOW w AS (PARTITION BY p >> 24 ORDER BY p)
+    ) WINDOW w AS (PARTITION BY p >> 24 ORDER BY p)
+  ) WHERE NOT eaten
+), last AS (SELECT p >> 24 AS wid, max(step) AS step FROM t GROUP BY 1)
+SELECT t.p, t.tok, t.step FROM t JOIN last l ON l.wid = t.p >> 24 AND l.step = t.step ORDER BY t.p
+"""
+# chars has a character for each byte.
 DECODE = """
-SELECT p >> 32 AS doc, string_agg(chars, '') AS chars
-FROM (SELECT i.p, v.chars FROM ids i JOIN vocab v USING (tok) ORDER BY i.p) GROUP BY 1
+SELECT i.p >> 32 AS doc, string_agg(v.chars, '' ORDER BY i.p) AS chars FROM ids i JOIN vocab v USING (tok) GROUP BY 1
 """
 
 
@@ -96,6 +136,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+FACTOR = 0x9E3779B97F4A7C15
+
+
+def split_at(tokens, words, n: int) -> list[bytes]:
+    """The tokens of each of n words, whose numbers are in order."""
+    import numpy as np
+
+    values = tokens.astype("<u4")
+    ends = np.searchsorted(words, np.arange(n + 1)).tolist()
+    return [values[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+
+
 class Codec:
     """The merge table and vocabulary of one rank file in an in-memory DuckDB database of this Python worker."""
 
@@ -113,7 +165,7 @@ class Codec:
             for k in range(1, len(token)):
                 if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
                     pair.append(a << 32 | b), merged.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": "", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": tempfile.gettempdir(), "preserve_insertion_order": False})
         for name, data in (
             ("merges", {"pair": pair, "merged": merged}),
             ("vocab", {"tok": list(ranks.values()), "chars": [t.decode("latin-1") for t in ranks]}),
@@ -123,6 +175,7 @@ class Codec:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
             self.db.unregister("rows")
         self.known: dict[str, bytes] = {}
+        self.beginnings: dict = {}
 
     @classmethod
     def of(cls, raw: bytes, pattern: str) -> Codec:
@@ -131,68 +184,108 @@ class Codec:
             cls._made[key] = cls({base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())}, pattern)
         return cls._made[key]
 
-    def contract(self, pieces: list[bytes]) -> list[bytes]:
-        """The tokens of each piece, as little-endian unsigned 32-bit integers."""
+    def rows_of(self, words: list[bytes]):
+        """(p, tok) of the bytes of words, and where each word ends."""
         import numpy as np
-        import pyarrow as pa
 
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths)
-        at = np.repeat(np.arange(len(pieces)) << 24, lengths) + np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
-        tok = np.array(self.byte, np.int64)[np.frombuffer(b"".join(pieces), np.uint8)]
+        at = np.repeat(np.arange(len(words)) << 24, lengths) + np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+        return at, np.array(self.byte, np.int64)[np.frombuffer(b"".join(words), np.uint8)], ends
+
+    def run(self, query: str, **columns):
+        import pyarrow as pa
+
+        self.db.register("start", pa.table(columns))
+        got = self.db.sql(query).to_arrow_table()
+        self.db.unregister("start")
+        return got
+
+    def contract(self, words: list[bytes]) -> list[bytes]:
+        """The tokens of each short word, as little-endian unsigned 32-bit integers."""
+        import numpy as np
+
+        at, tok, ends = self.rows_of(words)
         after, token_after = np.append(at[1:], -1), np.append(tok[1:], -1)
         after[ends - 1] = token_after[ends - 1] = -1
-        self.db.register("start", pa.table({"p": at, "tok": tok, "np": after, "nxt": token_after}))
-        got = self.db.sql(CONTRACT).to_arrow_table()
-        self.db.unregister("start")
-        values = got["tok"].to_numpy().astype("<u4")
-        cut = np.searchsorted(got["wid"].to_numpy(), np.arange(len(pieces) + 1)).tolist()
-        return [values[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-
-    def contract_long(self, piece: bytes) -> bytes:
-        """The same for one long piece: pairs wait in a heap by rank and place, parts are linked both ways."""
-        import heapq
-        import struct
-
-        n = len(piece)
-        parts, left, right = [piece[i : i + 1] for i in range(n)], list(range(-1, n - 1)), [*range(1, n), -1]
-        pair = lambda i: self.ranks.get(parts[i] + parts[right[i]]) if i >= 0 and right[i] >= 0 else None
-        heap = [(r, i) for i in range(n - 1) if (r := pair(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            if parts[i] is None or pair(i) != rank:
-                continue
-            j = right[i]
-            parts[i], parts[j], right[i] = parts[i] + parts[j], None, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            for k in (left[i], i):
-                if (r := pair(k)) is not None:
-                    heapq.heappush(heap, (r, k))
-        ids = [self.ranks[x] for x in parts if x is not None]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        got = self.run(CONTRACT, p=at, tok=tok, np=after, nxt=token_after)
+        return split_at(got["tok"].to_numpy(), got["wid"].to_numpy(), len(words))
+
+    def contract_long(self, words: list[bytes]) -> list[bytes]:
+        """The same for words of any length, by as many queries as their steps need."""
+        import numpy as np
+
+        at, tok, _ = self.rows_of(words)
+        done: list = []
+        while len(at):
+            steps = max(1, QUERY_ROWS // len(at))
+            got = self.run(CONTRACT_LONG.format(steps=steps), p=at, tok=tok)
+            at, tok, step = (got[c].to_numpy() for c in ("p", "tok", "step"))
+            done.append((at[step < steps], tok[step < steps]))
+            at, tok = at[step == steps], tok[step == steps]
+        at, tok = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(at)
+        return split_at(tok[order], at[order] >> 24, len(words))
+
+    def cut(self, piece: bytes) -> list[bytes]:
+        """piece in parts that no token reaches over: the tokens that match at each place are looked up by their hashes,
+        length by length; a false match makes a part longer and changes nothing else."""
+        import numpy as np
+
+        if not self.beginnings:
+            full: dict = {}
+            first: dict = {}
+            for token in self.ranks:
+                h = token[0] + 1
+                for n, c in enumerate(token[1:], 2):
+                    h = (h * FACTOR + c + 1) & (2**64 - 1)
+                    first.setdefault(n, set()).add(h)
+                if len(token) > 1:
+                    full.setdefault(len(token), set()).add(h)
+            ordered = lambda x: np.array(sorted(x), np.uint64)
+            self.beginnings = {n: (ordered(first[n]), ordered(full.get(n, ()))) for n in sorted(first)}
+        known = lambda h, table: table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h if len(table) else np.zeros(len(h), bool)
+        codes = np.frombuffer(piece, np.uint8).astype(np.uint64) + np.uint64(1)
+        reach, at, h = np.arange(len(piece)), np.arange(len(piece)), codes
+        for n, (first, full) in self.beginnings.items():
+            inside = at + n <= len(piece)
+            at, h = at[inside], h[inside]
+            h = h * np.uint64(FACTOR) + codes[at + n - 1]
+            there = known(h, first)
+            at, h = at[there], h[there]
+            if not len(at):
+                break
+            whole = at[known(h, full)]
+            reach[whole] = whole + n - 1
+        ends = np.flatnonzero(np.maximum.accumulate(reach) == np.arange(len(piece))) + 1
+        return [piece[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE_PIECES:
             self.known = {w: self.known[w] for w in words if w in self.known}
-        rest = []
+        parts_of: dict[str, list[bytes]] = {}
         for w in new:
-            if (rank := self.ranks.get(w.encode())) is not None:
+            piece = w.encode()
+            if (rank := self.ranks.get(piece)) is not None:
                 self.known[w] = rank.to_bytes(4, "little")
-            elif len(w.encode()) > LONG_PIECE:
-                self.known[w] = self.contract_long(w.encode())
             else:
-                rest.append(w)
-        ends, size = [0], 0
-        for i, w in enumerate(rest):
-            size += len(w.encode())
-            if size > QUERY_BYTES or i + 1 == len(rest):
-                ends.append(i + 1)
-                size = 0
-        for a, b in zip(ends, ends[1:], strict=False):
-            self.known.update(zip(rest[a:b], self.contract([w.encode() for w in rest[a:b]]), strict=True))
+                parts_of[w] = [piece] if len(piece) <= SHORT_WORD else self.cut(piece)
+        parts = {x for some in parts_of.values() for x in some}
+        tokens = {x: self.ranks[x].to_bytes(4, "little") for x in parts if x in self.ranks}
+        rest = [x for x in parts if x not in tokens]
+        for own, work, cost in ((lambda n: n <= SHORT_WORD, self.contract, lambda n: n * n // 2), (lambda n: n > SHORT_WORD, self.contract_long, lambda n: 8 * n)):
+            batch, size = [], 0
+            for x in (x for x in rest if own(len(x))):
+                if batch and size + cost(len(x)) > QUERY_ROWS:
+                    tokens.update(zip(batch, work(batch), strict=True))
+                    batch, size = [], 0
+                batch.append(x)
+                size += cost(len(x))
+            if batch:
+                tokens.update(zip(batch, work(batch), strict=True))
+        for w, some in parts_of.items():
+            self.known[w] = b"".join(map(tokens.__getitem__, some))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = [self.find(x) for x in texts]
@@ -241,68 +334,49 @@ def _mapped(df: DataFrame, made: dict[str, T.DataType], work, drop: str = "") ->
     return df.mapInPandas(run, schema)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """df with ids_col: the ids of the whole text as little-endian unsigned 32-bit integers (binary), without special tokens.
+def _coded(df: DataFrame, ranks_path: str, pattern: str, column: str, made: dict[str, T.DataType], work, drop: str = "") -> DataFrame:
+    """df with the columns `made`, which work(codec, values) gives for some values of the column, null ones as empty.
 
     The rank file is read on the driver and sent with the task; its size is the vocabulary's, whatever the input's.
     """
     with open(ranks_path, "rb") as f:
         raw = f.read()
 
-    def work(frame):
+    def run(frame):
         codec = Codec.of(raw, pattern)
-        texts = [x if isinstance(x, str) else "" for x in frame[text_col]]
-        for run in slices(texts):
-            yield frame.iloc[run].assign(**{ids_col: codec.encode([texts[i] for i in run])})
+        values = [x if isinstance(x, (str, bytes, bytearray)) else "" for x in frame[column]]
+        for part in slices(values):
+            yield frame.iloc[part].drop(columns=drop or []).assign(**work(codec, [values[i] for i in part]))
 
-    return _mapped(df, {ids_col: T.BinaryType()}, work)
+    return _mapped(df, made, run, drop=drop)
 
 
-def decode(df: DataFrame, ranks_path: str, pattern: str, *, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """df with bytes_col: the bytes that the ids stand for (binary). Null ids count as none."""
-    with open(ranks_path, "rb") as f:
-        raw = f.read()
+def encode(df: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """df with ids_col: the ids of the whole text as little-endian unsigned 32-bit integers (binary), without special tokens."""
+    return _coded(df, ranks_path, pattern, text_col, {ids_col: T.BinaryType()}, lambda codec, texts: {ids_col: codec.encode(texts)})
 
-    def work(frame):
-        codec = Codec.of(raw, pattern)
-        ids = [x if isinstance(x, (bytes, bytearray)) else b"" for x in frame[ids_col]]
-        for run in slices(ids):
-            yield frame.iloc[run].assign(**{bytes_col: codec.decode([ids[i] for i in run])})
 
-    return _mapped(df, {bytes_col: T.BinaryType()}, work)
+def decode(df: DataFrame, ranks_path: str, pattern: str, *, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """df with bytes_col: the bytes that the ids stand for (binary). Null ids count as none."""
+    return _coded(df, ranks_path, pattern, ids_col, {bytes_col: T.BinaryType()}, lambda codec, ids: {bytes_col: codec.decode([x or b"" for x in ids])})
 
 
 def token_digests(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256, by encoding and decoding the whole text in one pass."""
-    with open(ranks_path, "rb") as f:
-        raw = f.read()
 
-    def work(frame):
-        codec = Codec.of(raw, pattern)
-        texts = [x if isinstance(x, str) else "" for x in frame["text"]]
-        for run in slices(texts):
-            ids = codec.encode([texts[i] for i in run])
-            yield frame.iloc[run][["doc_id"]].assign(
-                n_tokens=[len(x) // 4 for x in ids],
-                ids_sha256=[hashlib.sha256(x).hexdigest() for x in ids],
-                decoded_sha256=[hashlib.sha256(x).hexdigest() for x in codec.decode(ids)],
-            )
+    def work(codec, texts):
+        ids = codec.encode(texts)
+        return {"n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in codec.decode(ids)]}
 
     made = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
-    return _mapped(df.select("doc_id", "text"), made, work, drop="text")
+    return _coded(df.select("doc_id", "text"), ranks_path, pattern, "text", made, work, drop="text")
 
 
 def encode_checked(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """df without text, with n_tokens, ids (as encode()) and round_trip: whether the ids decode to the text's bytes."""
-    with open(ranks_path, "rb") as f:
-        raw = f.read()
 
-    def work(frame):
-        codec = Codec.of(raw, pattern)
-        texts = [x if isinstance(x, str) else "" for x in frame["text"]]
-        for run in slices(texts):
-            ids = codec.encode([texts[i] for i in run])
-            back = codec.decode(ids)
-            yield frame.iloc[run].drop(columns="text").assign(n_tokens=[len(x) // 4 for x in ids], ids=ids, round_trip=[texts[i].encode() == b for i, b in zip(run, back, strict=True)])
+    def work(codec, texts):
+        ids = codec.encode(texts)
+        return {"n_tokens": [len(x) // 4 for x in ids], "ids": ids, "round_trip": [t.encode() == b for t, b in zip(texts, codec.decode(ids), strict=True)]}
 
-    return _mapped(df, {"n_tokens": T.LongType(), "ids": T.BinaryType(), "round_trip": T.BooleanType()}, work, drop="text")
+    return _coded(df, ranks_path, pattern, "text", {"n_tokens": T.LongType(), "ids": T.BinaryType(), "round_trip": T.BooleanType()}, work, drop="text")
