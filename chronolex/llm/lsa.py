@@ -3,8 +3,10 @@
 Words are lower-case runs of letters and digits, kept as 32-bit hashes, whose low bits are one of FEATURES features.  A
 document is cut into words once; its hashes are stored, and all later passes read those.  Document frequencies of the
 features are counted over all documents.  The benchmark's passages are rows of a TF-IDF matrix, of which a randomised SVD with power
-iterations gives RANK right singular vectors: each task multiplies its rows, the partial products are summed by blocks
-of features in Spark, and the driver holds one FEATURES x RANK matrix, whatever the input.  Windows of WINDOW words
+iterations gives the leading right singular vectors: each task multiplies its rows, the partial products are summed by blocks
+of features in Spark, and the driver holds one matrix with a row per feature that a passage has, FEATURES at most, and
+a column per singular vector, whatever the documents.  RANK of those are taken, or one for every PER_VECTOR passages up
+to MOST_RANK if there are many.  Windows of WINDOW words
 from every document, STEP words apart, are folded into that space; those with a cosine of at least COSINE to a passage
 are candidates.  A candidate is verified on the words around it: the longest common subsequence with the passage must
 cover COPY of it (kind `copy`), or PARAPHRASE of it if the passage's answer is there as well (kind `paraphrase`).  The
@@ -24,9 +26,9 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import stored
+from chronolex.llm.common import ID_ROWS, semi_join_checked, stored
 
-FEATURES, RANK, POWER = 1 << 16, 96, 2
+FEATURES, RANK, MOST_RANK, PER_VECTOR, POWER = 1 << 16, 96, 256, 16, 2
 WINDOW, STEP = 64, 32
 COSINE, COPY, PARAPHRASE = 0.5, 0.8, 0.6
 COMMON, MIN_TERMS, ANSWER_WORDS = 0.1, 5, 4
@@ -90,12 +92,11 @@ def document_frequencies(docs: DataFrame):
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"feature": np.append(at, -1), "n": np.append(counts[at], n)})
 
-    rows = docs.select("words").mapInPandas(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("words").mapInPandas(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(FEATURES, np.int64)
-    for feature, n in rows:
-        if feature >= 0:
-            out[feature] = n
-    return next((n for feature, n in rows if feature < 0), 0), out
+    own = rows["feature"] >= 0
+    out[rows["feature"][own]] = rows["n"][own]
+    return int(rows["n"][~own].sum()), out
 
 
 def passages(items: DataFrame) -> DataFrame:
@@ -151,21 +152,39 @@ def weights(cut: DataFrame, n: int, df):
     return weight.astype(np.float32)
 
 
-def _product(cut: DataFrame, weight, basis):
-    """A' A basis, where A has the passages' rows: summed in tasks, then by blocks of features."""
+def used_features(cut: DataFrame, weight):
+    """The features that passages have and that weigh something, in order; FEATURES at most."""
     import numpy as np
 
-    sent = cut.sparkSession.sparkContext.broadcast((weight, basis))
-    rank = basis.shape[1]
+    def run(frames):
+        import pandas as pd
+
+        found = np.zeros(FEATURES, bool)
+        for frame in frames:
+            for words in frame["words"]:
+                found[np.frombuffer(words, np.uint32) % FEATURES] = True
+        yield pd.DataFrame({"feature": np.flatnonzero(found & (weight > 0))})
+
+    rows = cut.select("words").mapInPandas(run, "feature long").distinct().toPandas()
+    return np.sort(rows["feature"].to_numpy(np.int64))
+
+
+def _product(cut: DataFrame, weight, used, basis):
+    """A' A basis, where A has the passages' rows and a column for each used feature: summed in tasks, then by blocks."""
+    import numpy as np
+
+    sent = cut.sparkSession.sparkContext.broadcast((weight, used, basis))
+    size, rank = basis.shape
 
     def run(frames):
         import pandas as pd
 
-        weight, basis = sent.value
-        out = np.zeros((FEATURES, rank), np.float32)
+        weight, used, basis = sent.value
+        out = np.zeros((-(-size // ROW_BLOCK) * ROW_BLOCK, rank), np.float32)
         for frame in frames:
             for words in frame["words"]:
                 at, value = _tf_idf(words, weight)
+                at = np.searchsorted(used, at)
                 out[at] += np.outer(value, value @ basis[at])
         blocks = out.reshape(-1, ROW_BLOCK, rank)
         full = [i for i in range(len(blocks)) if blocks[i].any()]
@@ -178,21 +197,21 @@ def _product(cut: DataFrame, weight, basis):
         return pd.DataFrame({"block": frame["block"].iloc[:1], "part": [total.astype(np.float32).tobytes()]})
 
     summed = cut.select("words").mapInPandas(run, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary")
-    out = np.zeros((FEATURES // ROW_BLOCK, ROW_BLOCK, rank), np.float32)
-    for block, part in summed.collect():
+    out = np.zeros((-(-size // ROW_BLOCK), ROW_BLOCK, rank), np.float32)
+    for block, part in summed.toLocalIterator():
         out[block] = np.frombuffer(part, np.float32).reshape(ROW_BLOCK, rank)
-    sent.unpersist()
-    return out.reshape(FEATURES, rank)
+    sent.destroy()
+    return out.reshape(-1, rank)[:size]
 
 
-def right_vectors(cut: DataFrame, weight, *, rank: int = RANK, power: int = POWER):
-    """An orthonormal FEATURES x rank basis of the passages' leading right singular vectors."""
+def right_vectors(cut: DataFrame, weight, used, *, rank: int = RANK, power: int = POWER):
+    """An orthonormal basis, a row per used feature, of the passages' leading right singular vectors."""
     import numpy as np
 
-    basis = np.random.default_rng(SEED).standard_normal((FEATURES, rank)).astype(np.float32)
+    basis = np.random.default_rng(SEED).standard_normal((len(used), min(rank, len(used))), np.float32)
     for _ in range(power + 1):
-        basis = np.linalg.qr(_product(cut, weight, basis))[0].astype(np.float32)
-    small = basis.T @ _product(cut, weight, basis)  # of the Gram matrix
+        basis = np.linalg.qr(_product(cut, weight, used, basis))[0].astype(np.float32)
+    small = basis.T @ _product(cut, weight, used, basis)  # of the Gram matrix
     return (basis @ np.linalg.eigh((small + small.T) / 2)[1][:, ::-1]).astype(np.float32)
 
 
@@ -231,34 +250,35 @@ class Passage:
         return share, "copy" if share >= COPY else "paraphrase" if share >= PARAPHRASE and there else None
 
 
-def _search(docs: DataFrame, block: list, weight, basis) -> DataFrame:
+def _search(docs: DataFrame, block: list, weight, used, basis) -> DataFrame:
     """(doc_id, item_id, cosine, overlap, kind) for one block of passages."""
     import numpy as np
 
-    sent = docs.sparkSession.sparkContext.broadcast(([(r["item_id"], bytes(r["words"]), bytes(r["answer"])) for r in block], weight, basis))
+    sent = docs.sparkSession.sparkContext.broadcast(([(r["item_id"], bytes(r["words"]), bytes(r["answer"])) for r in block], weight, used, basis))
 
     def run(frames):
         import pandas as pd
 
-        rows, weight, basis = sent.value
+        rows, weight, used, basis = sent.value
         ints = lambda x: np.frombuffer(x, np.uint32).tolist()
         found = [Passage(item, ints(words), ints(answer)) for item, words, answer in rows]
         vectors = np.zeros((len(found), basis.shape[1]), np.float32)
         for i, (_, words, _) in enumerate(rows):
             at, value = _tf_idf(words, weight)
-            vectors[i] = value @ basis[at]
+            vectors[i] = value @ basis[np.searchsorted(used, at)]
         vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).T.copy()
-        scaled = weight[:, None] * basis
-        live = (np.abs(basis).sum(axis=1) > 1e-9) & (weight > 0)
+        scaled = weight[used, None] * basis
+        place = np.full(FEATURES, -1, np.int64)
+        place[used] = np.where(np.abs(basis).sum(axis=1) > 1e-9, np.arange(len(used)), -1)
         for frame in frames:
             out = []
             for doc, raw in zip(frame["doc_id"], frame["words"], strict=True):
                 words = np.frombuffer(raw, np.uint32)
-                features = words % FEATURES
-                at = np.flatnonzero(live[features])
+                places = place[words % FEATURES]
+                at = np.flatnonzero(places >= 0)
                 if not len(at):
                     continue
-                sums = np.concatenate([np.zeros((1, scaled.shape[1])), np.cumsum(scaled[features[at]], axis=0, dtype=np.float64)])
+                sums = np.concatenate([np.zeros((1, scaled.shape[1])), np.cumsum(scaled[places[at]], axis=0, dtype=np.float64)])
                 starts = np.arange(0, max(1, len(words) - STEP), STEP)
                 lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + WINDOW)
                 starts, lo, hi = starts[hi > lo], lo[hi > lo], hi[hi > lo]
@@ -288,17 +308,29 @@ def contaminated(docs: DataFrame, items: DataFrame, *, item_block: int = ITEM_BL
     n, df = document_frequencies(docs)
     total = cut.count()
     weight = weights(cut, n, df)
-    basis = right_vectors(cut, weight)
+    used = used_features(cut, weight)
+    if not len(used):  # no item has a word
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, overlap double, kind string")
+    basis = right_vectors(cut, weight, used, rank=min(max(RANK, total // PER_VECTOR), MOST_RANK))
     blocks = max(1, -(-total // item_block))
     found = None
     for k in range(blocks):
         # a block has about item_block rows, as many as its hash deals to it
-        part = _search(docs, cut.where(F.pmod(F.xxhash64("nr"), F.lit(blocks)) == k).collect(), weight, basis)
+        part = _search(docs, cut.where(F.pmod(F.xxhash64("nr"), F.lit(blocks)) == k).collect(), weight, used, basis)
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("overlap").alias("overlap"), F.min("kind").alias("kind"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the contaminated ones; rows with a null doc_id stay. The ids to drop are joined by shuffle or, if Spark finds them small, by broadcast."""
-    bad = stored(contaminated(docs, items).where("doc_id IS NOT NULL").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """docs without the contaminated ones, and without rows of a null doc_id if one of those is contaminated and has the
+    same text. The ids to drop are broadcast if they are counted to be few enough, else joined by shuffle."""
+    found = stored(contaminated(docs, items).select("doc_id").distinct(), "contaminated")
+    kept = semi_join_checked(docs, found.where("doc_id IS NOT NULL"), "doc_id", ID_ROWS, "left_anti").select(docs.columns)
+    if found.where("doc_id IS NULL").isEmpty():
+        return kept
+    # rows without an id are told apart by their texts
+    nameless = docs.where("doc_id IS NULL")
+    keyed = nameless.select(F.xxhash64("text").alias("doc_id"), "text").distinct()
+    bad = contaminated(keyed, items).select(F.col("doc_id").alias("key")).distinct()
+    same = F.xxhash64("text") == F.col("key")
+    return kept.where("doc_id IS NOT NULL").unionByName(nameless.join(bad, same, "left_anti").select(docs.columns))
