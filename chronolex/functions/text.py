@@ -57,10 +57,15 @@ def has_dense(c: Column) -> Column:
     return c.rlike(f"[{DENSE}]")
 
 
+def has_dense_letter(c: Column) -> Column:
+    """Whether there is a letter of a script without spaces; wide signs alone do not count."""
+    return c.rlike(rf"[{DENSE}&&[\p{{L}}]]")
+
+
 def split_tokens(c: Column) -> Column:
-    """Words at spaces; in texts with dense letters, each of those is a token of its own."""
-    dense = F.regexp_extract_all(c, F.lit(rf"[{DENSE}]|[^\s{DENSE}]+"), F.lit(0))
-    return F.when(has_dense(c), dense).otherwise(F.filter(F.split(c, " "), lambda x: x != ""))
+    """Words at spaces; in texts with dense letters, each dense character is a token of its own."""
+    dense = F.regexp_extract_all(c, F.lit(rf"[{DENSE}&&[^\s\u3000]]|[^\s{DENSE}]+"), F.lit(0))
+    return F.when(has_dense_letter(c), dense).otherwise(F.filter(F.split(c, " "), lambda x: x != ""))
 
 
 def join_tokens(tokens: Column) -> Column:
@@ -69,7 +74,7 @@ def join_tokens(tokens: Column) -> Column:
     edge = lambda x: x.rlike(rf"[{DENSE}\s]$")
     start = lambda x: x.rlike(rf"^[{DENSE}\s]")
     dense = F.aggregate(tokens, F.lit(""), lambda s, x: F.concat(s, F.when((s == "") | edge(s) | start(x), F.lit("")).otherwise(F.lit(" ")), x))
-    return F.when(F.exists(tokens, has_dense), dense).otherwise(spaced)
+    return F.when(F.exists(tokens, has_dense_letter), dense).otherwise(spaced)
 
 
 def tighten_dense(c: Column) -> Column:
@@ -163,10 +168,12 @@ def too_short(c: Column) -> Column:
 
 
 def is_newer(remote: Column, local: Column) -> Column:
-    """Versions by number; missing parts are 0, a leading v is ignored."""
-    part = lambda c, i: F.coalesce(F.try_element_at(F.split(F.regexp_replace(c, "^[vV]", ""), r"\."), F.lit(i)).try_cast("int"), F.lit(0))
-    key = lambda c: F.struct(*[part(c, i) for i in range(1, 5)])
-    return key(remote) > key(local)
+    """Versions of any number of parts by number; missing parts are 0, a leading v is ignored."""
+    parts = lambda c: F.transform(F.split(F.regexp_replace(c, "^[vV]", ""), r"\."), lambda x: F.coalesce(x.try_cast("long"), F.lit(0).cast("long")))
+    a, b = parts(remote), parts(local)
+    n = F.greatest(F.size(a), F.size(b))
+    padded = lambda x: F.concat(x, F.array_repeat(F.lit(0).cast("long"), n - F.size(x)))
+    return padded(a) > padded(b)
 
 
 def clock(seconds: Column) -> Column:
@@ -191,6 +198,10 @@ def parse_timecode(c: Column) -> Column:
     return F.when(good, h * 3600 + m * 60 + s)
 
 
+# The colours of speakers 1 to 4.
+PALETTE = ("#FFFFFF", "#FFFF54", "#54FFFF", "#54FF54")
+
+
 def palette_index(label: Column, colours: int = 4) -> Column:
     n = F.regexp_replace(label, "[^0-9]", "").try_cast("int")
     return F.when(n.isNotNull(), F.greatest(n - 1, F.lit(0)) % colours)
@@ -214,3 +225,99 @@ def container(content: Column) -> Column:
         .when(at(0, "47") & (F.length(content) > 188) & at(188, "47"), "MPEG-TS").when(h.rlike("^FF[EF]"), "MP3")
     )
     return F.when(F.length(content) >= 12, found)
+
+
+def is_confirmed(text: Column, confirmation: Column) -> Column:
+    """Whether the normalised confirmation holds the normalised text, which must not be empty."""
+    plain = normalize(text)
+    return (plain != "") & F.contains(normalize(confirmation), plain)
+
+
+def strip_hesitations(c: Column, language: Column) -> Column:
+    """By the language's rules, English or Japanese; other languages stay; null where nothing with content is left."""
+    out = F.when(language == "en", strip_hesitations_en(c)).when(language == "ja", strip_hesitations_ja(c)).otherwise(c)
+    return F.when(has_content(out), out)
+
+
+def prompt(lines: Column) -> Column:
+    """An array of lines, numbered from 1: `1) first`, one a line."""
+    return F.array_join(F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit(") "), x)), "\n")
+
+
+def split_paragraph(paragraphs: Column, expected: Column) -> Column:
+    """One paragraph whose lines are as many as expected becomes those lines; anything else stays."""
+    lines = F.split(F.get(paragraphs, F.lit(0)), "\n")
+    return F.when((F.size(paragraphs) == 1) & (expected > 1) & (F.size(lines) == expected), lines).otherwise(paragraphs)
+
+
+def acceptable(result: Column, ready: Column, seen_working: Column, previous: Column) -> Column:
+    """A reading counts if the page is ready and was seen working, or has no predecessor, or differs from it."""
+    return ready & (seen_working | previous.isNull() | ~result.eqNullSafe(previous))
+
+
+def same_lines(a: Column, b: Column) -> Column:
+    """Whether two arrays of lines say the same but for white space."""
+    plain = lambda c: F.regexp_replace(F.array_join(c, ""), r"\s", "")
+    return plain(a) == plain(b)
+
+
+def process_group(bundle: Column, executable: Column, pid: Column) -> Column:
+    """The bundle without its parts from the first one that begins with helper; else the executable, else the process."""
+    parts = F.filter(F.split(bundle, r"\."), lambda x: x != "")
+    helper = F.array_position(F.transform(parts, lambda x: F.lower(x).startswith("helper")), True)
+    kept = F.array_join(F.when(helper > 0, F.slice(parts, F.lit(1), (helper - 1).cast("int"))).otherwise(parts), ".")
+    other = F.coalesce(F.concat(F.lit("exec:"), executable), F.concat(F.lit("pid:"), pid.cast("string")))
+    return F.when(F.coalesce(bundle, F.lit("")) == "", other).when(kept == "", bundle).otherwise(kept)
+
+
+def progress_pass(progress: Column) -> Column:
+    """(number, fraction) of the pass that a progress of 0, 1, 2 ... is in; a whole number is the end of its pass."""
+    whole = F.greatest(F.floor(progress), F.lit(0)).cast("int")
+    ends = (whole > 0) & (progress == whole)
+    fraction = F.least(F.greatest(progress - whole, F.lit(0.0)), F.lit(1.0))
+    return F.struct(F.when(ends, whole).otherwise(whole + 1).alias("number"), F.when(ends, 1.0).otherwise(fraction).alias("fraction"))
+
+
+# The share of the whole that each step takes.
+STEP_SHARES = {"extracting": (0.00, 0.04), "loadingASR": (0.04, 0.12), "diarizing": (0.12, 0.18), "transcribing": (0.18, 0.48), "loadingTranslator": (0.48, 0.52), "translating": (0.52, 0.97), "saving": (0.97, 1.00), "readingImage": (0.00, 1.00)}
+# Seconds of work per second of video.
+COSTS = {"deepl": 0.12, "hunyuan": 0.18, "google": 0.01, "gemini": 0.08, "transcriptionOnly": 0.05, "apple": 0.1}
+
+
+def overall_progress(step: Column, within: Column) -> Column:
+    out = F.lit(None).cast("double")
+    for name, (low, high) in STEP_SHARES.items():
+        out = F.when(step == name, F.lit(low) + F.lit(high - low) * within).otherwise(out)
+    return out
+
+
+def cost(engine: Column) -> Column:
+    """Seconds of work per second of video; null for an unknown engine."""
+    out = F.lit(None).cast("double")
+    for name, value in COSTS.items():
+        out = F.when(engine == name, value).otherwise(out)
+    return out
+
+
+# The containers that can be opened.
+SUPPORTED = ("MP4", "M4V", "M4A", "MOV", "MP3", "WAV", "AIFF", "AAC", "CAF", "FLAC")
+
+
+def is_supported(name: Column) -> Column:
+    return F.coalesce(name.isin(*SUPPORTED), F.lit(False))
+
+
+def suggested_name(at: Column, prefix: str = "capture-") -> Column:
+    return F.concat(F.lit(prefix), F.date_format(at, "yyyy-MM-dd-HHmm"), F.lit(".txt"))
+
+
+def suggested_srt_name(path: Column, language: Column) -> Column:
+    """The file's name without its last extension, the language and .srt; `subtitles` where there is no file."""
+    base = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    return F.concat(F.when(F.coalesce(base, F.lit("")) == "", F.lit("subtitles")).otherwise(base), F.lit("."), language, F.lit(".srt"))
+
+
+def url_bytes(c: Column) -> Column:
+    """UTF-8 bytes of a text after percent-encoding: ASCII letters and digits take one, other bytes three each."""
+    kept = F.length(F.regexp_replace(c, r"[^A-Za-z0-9]", ""))
+    return 3 * (F.octet_length(c) - kept) + kept

@@ -36,10 +36,15 @@ def capitalize(cues: DataFrame) -> DataFrame:
     return cues.withColumn("text", F.when(starts, F.concat(F.upper(F.substring("text", 1, 1)), F.substr("text", F.lit(2)))).otherwise(F.col("text")))
 
 
-def speaker_marks(cues: DataFrame, mark: str = "— ") -> DataFrame:
-    """A dash before the text where a known speaker is not the last known one."""
+def marked() -> Column:
+    """Whether a known speaker is not the last known one, as the first is not."""
     last = F.last("speaker", ignorenulls=True).over(_before())
-    return cues.withColumn("text", F.when(F.col("speaker").isNotNull() & last.isNotNull() & (last != F.col("speaker")), F.concat(F.lit(mark), "text")).otherwise(F.col("text")))
+    return F.col("speaker").isNotNull() & ~F.col("speaker").eqNullSafe(last)
+
+
+def speaker_marks(cues: DataFrame, mark: str = "— ") -> DataFrame:
+    """A dash before the text where the speaker changes."""
+    return cues.withColumn("text", F.when(marked(), F.concat(F.lit(mark), "text")).otherwise(F.col("text")))
 
 
 def close_at_pauses(pieces: DataFrame, pause: float = 0.8) -> DataFrame:
@@ -73,7 +78,8 @@ def next_cue(cues: DataFrame, points: DataFrame, slack: float = 0.05) -> DataFra
     both = cues.select("media_id", F.col("start").alias("at"), F.lit(1).alias("kind"), "idx", F.lit(None).cast("long").alias("point_idx"))
     both = both.unionByName(points.select("media_id", (F.col("t") + slack).alias("at"), F.lit(2).alias("kind"), F.lit(None).cast("long").alias("idx"), "point_idx"))
     order = Window.partitionBy("media_id").orderBy("at", "kind", "idx")
-    after = F.first("idx", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    backwards = Window.partitionBy("media_id").orderBy(F.desc("at"), F.desc("kind"), F.desc("idx"))
+    after = F.last("idx", ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, -1))
     latest = F.last("idx", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn("found", F.coalesce(after, latest)).where("kind = 2").select("media_id", "point_idx", F.col("found").alias("idx"))
 
@@ -85,3 +91,32 @@ def prose(pieces: DataFrame, pause: float = 10.0) -> DataFrame:
     joined = lambda value, *order: F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda x: x[value])
     paragraphs = kept.groupBy("media_id", "para").agg(F.array_join(joined("text", "start", "idx"), " ").alias("text"))
     return paragraphs.groupBy("media_id").agg(F.array_join(joined("text", "para"), "\n\n").alias("text"))
+
+
+def fix_overlaps(cues: DataFrame) -> DataFrame:
+    """Cues by start and idx, numbered anew; each starts at the end of the one before at the earliest, and one left without
+    length gets 0.4 s. What a cue's end becomes decides the next one's start, so a medium's times, and nothing else, are
+    one fold over arrays."""
+    import numpy as np
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            starts, ends = [], []
+            for a, b in zip(frame["starts"], frame["ends"], strict=True):
+                reach, s, e = -np.inf, [], []
+                for x, y in zip(a, b, strict=True):
+                    x = max(x, reach)
+                    reach = y if y > x else x + 0.4
+                    s.append(x), e.append(reach)
+                starts.append(s), ends.append(e)
+            yield pd.DataFrame({"media_id": frame["media_id"], "starts": starts, "ends": ends})
+
+    n = F.row_number().over(_order())
+    rows = cues.withColumn("n", n)
+    times = rows.groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("n", "start", "end"))).alias("x"))
+    times = times.select("media_id", F.transform("x", lambda x: x["start"]).alias("starts"), F.transform("x", lambda x: x["end"]).alias("ends"))
+    fixed = times.mapInPandas(run, "media_id long, starts array<double>, ends array<double>")
+    fixed = fixed.select("media_id", F.posexplode(F.arrays_zip("starts", "ends")).alias("n", "t")).select("media_id", (F.col("n") + 1).alias("n"), "t.starts", "t.ends")
+    return rows.join(fixed, ["media_id", "n"]).withColumn("start", F.col("starts")).withColumn("end", F.col("ends")).withColumn("idx", F.col("n")).drop("n", "starts", "ends")

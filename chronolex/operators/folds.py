@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 
-from chronolex.functions.text import CLAUSE_ENDERS, SENTENCE_ENDERS
+from chronolex.functions import tokens as tk
+from chronolex.functions.text import SENTENCE_ENDERS
 
 MAX_SECONDS, MIN_SECONDS, LEAD_IN, MAX_CHARS, GAP = 7.0, 1.0, 0.25, 150, 0.8
 
@@ -40,14 +41,27 @@ def fix_overlaps(cues: list[dict]) -> list[dict]:
     return out
 
 
-def merge_tiny(cues: list[dict], joiner: str = " ") -> list[dict]:
+def clamp(cues: list[dict], media_end: float | None = None) -> list[dict]:
+    """Cues of at most MAX_SECONDS within the medium; those that start in its last 0.2 s or end up empty go."""
+    cut = [c | {"end": min(c["end"], c["start"] + MAX_SECONDS, *(() if media_end is None else (media_end,)))} for c in cues if media_end is None or c["start"] < media_end - 0.2]
+    return [c for c in cut if c["end"] > c["start"]]
+
+
+def bridge_gaps(cues: list[dict], least: float = 0.08, most: float = 1.0) -> list[dict]:
+    """Gaps between 0.08 and 1 s shrink to 0.08 s, as far as cues may grow."""
+    follow = [c["start"] for c in cues[1:]] + [None]
+    grown = lambda c, at: max(c["end"], min(at - least, c["start"] + MAX_SECONDS)) if at is not None and least < at - c["end"] < most else c["end"]
+    return [c | {"end": grown(c, at)} for c, at in zip(cues, follow, strict=True)]
+
+
+def merge_tiny(cues: list[dict]) -> list[dict]:
     """Cues of under 0.7 s or at most 6 characters join the one before, if speaker, length (7 s) and gap (1.5 s) allow."""
     out: list[dict] = []
     for c in cues:
         p = out[-1] if out else None
         tiny = c["end"] - c["start"] < 0.7 or len(c["text"]) <= 6
         if p and tiny and p["speaker"] == c["speaker"] and c["end"] - p["start"] <= MAX_SECONDS and c["start"] - p["end"] < 1.5:
-            out[-1] = p | {"end": c["end"], "text": joiner.join(x for x in (p["text"], c["text"]) if x)}
+            out[-1] = p | {"end": c["end"], "text": tk.join([x for x in (p["text"], c["text"]) if x])}
         else:
             out.append(dict(c))
     return [c | {"index": i + 1} for i, c in enumerate(out)]
@@ -66,10 +80,6 @@ def sentence_units(cues: list[dict], *, gap: float = 1.5, most: int = 4, chars:
     return out
 
 
-def has_content(text: str) -> bool:
-    return any(x.isalnum() for x in text)
-
-
 def draft_cues(pieces: list[dict], silences: list[tuple[float, float]] = ()) -> list[dict]:
     """Cues from a medium's pieces in order: cut at gaps, silences, speakers, sentence ends and the limits of length."""
     out: list[dict] = []
@@ -79,12 +89,13 @@ def draft_cues(pieces: list[dict], silences: list[tuple[float, float]] = ()) ->
     def flush():
         if not held:
             return
-        text = " ".join(p["text"].strip() for p in held if p["text"].strip())
-        first, last = held[0], held[-1]
+        text = tk.join([p["text"] for p in held]).replace("  ", " ").strip()
+        first, spoken = held[0], max(p["end"] for p in held)
         start = max(out[-1]["end"] if out else 0.0, first["start"] - LEAD_IN)
-        start = max(start, min(first["start"], last["end"] - MAX_SECONDS))
-        if has_content(text):
-            out.append({"start": start, "end": max(last["end"], start + MIN_SECONDS), "text": text, "speaker": first["speaker"]})
+        if spoken - first["start"] <= MAX_SECONDS:
+            start = max(start, spoken - MAX_SECONDS)
+        if tk.has_content(text):
+            out.append({"start": start, "end": max(spoken, start + MIN_SECONDS), "text": text, "speaker": first["speaker"]})
         held.clear()
 
     for p in pieces:
@@ -93,8 +104,8 @@ def draft_cues(pieces: list[dict], silences: list[tuple[float, float]] = ()) ->
             if p["start"] - last["end"] > GAP or between(last["end"], p["start"]) or p["speaker"] != last["speaker"] or p["end"] - held[0]["start"] > MAX_SECONDS:
                 flush()
         held.append(p)
-        size = sum(len(x["text"]) for x in held)
-        if p["text"].rstrip()[-1:] in tuple(SENTENCE_ENDERS) or size >= MAX_CHARS or p["end"] - held[0]["start"] >= MAX_SECONDS:
+        size = len(tk.join([x["text"] for x in held]))
+        if p["text"][-1:] in tuple(SENTENCE_ENDERS) or size >= MAX_CHARS or p["end"] - held[0]["start"] >= MAX_SECONDS:
             flush()
     flush()
     return out
@@ -116,7 +127,7 @@ def sentences(text: str, least: int = 12, most: int = 90) -> list[str]:
     out: list[str] = []
     for p in parts:
         out += split_long(p, most)
-    return [p for p in out if has_content(p)]
+    return [p for p in out if tk.has_content(p)]
 
 
 def split_long(text: str, most: int = 90) -> list[str]:
@@ -133,24 +144,10 @@ def split_long(text: str, most: int = 90) -> list[str]:
     return out
 
 
-# Words before which a line may be cut.
-CONJUNCTIONS = ("e", "mas", "que", "and", "but", "that", "or", "ou", "y", "pero", "et", "und")
-
-
-def wrap(text: str, width: int = 42) -> list[str]:
-    """Greedy lines of at most width: cut after a sign, else before a conjunction, else at a space, else anywhere."""
-    rest, lines = text.strip(), []
-    while len(rest) > width:
-        needed = -(-len(rest) // width)
-        earliest = max(1, len(rest) - width * (needed - 1))
-        window = rest[: width + 1]
-        signs = [i + 1 for i, x in enumerate(window[:width]) if x in SENTENCE_ENDERS + CLAUSE_ENDERS and i + 1 >= earliest]
-        words = [i for w in CONJUNCTIONS if (i := window.rfind(f" {w} ")) >= earliest]
-        cut = signs[-1] if signs else max(words) if words else window.rfind(" ")
-        cut = cut if cut > 0 else width
-        lines.append(rest[:cut].strip())
-        rest = rest[cut:].strip()
-    return lines + [rest] if rest else lines
+def make_cues(pieces: list[dict], silences: list[tuple[float, float]] = (), media_end: float | None = None) -> list[dict]:
+    """Cues of a medium's pieces: drafts within the medium, overlaps fixed, tiny ones merged, short gaps closed."""
+    drafts = clamp(draft_cues(sorted(pieces, key=lambda p: p["start"]), silences), media_end)
+    return bridge_gaps(fix_overlaps(merge_tiny(fix_overlaps(drafts))))
 
 
 def chunks(sizes: list[int], limit: int, extra: int = 1) -> list[int]:
@@ -191,21 +188,54 @@ def near_text(a: str, b: str, tolerance: float = 0.25) -> bool:
 
 
 def align(ref: list, hyp: list) -> list[tuple[str, int | None, int | None]]:
-    """An edit path of least cost: (same, sub, del or ins; place in ref; place in hyp); diagonal before del before ins."""
-    n, m = len(ref), len(hyp)
-    d = [list(range(m + 1))] + [[i] + [0] * m for i in range(1, n + 1)]
+    """An edit path of least cost: (same, sub, del or ins; place in ref; place in hyp); diagonal before del before ins.
+
+    A row of the table comes from the one above at once: the least over insertions is a running minimum.
+    """
+    import numpy as np
+
+    ids = {x: i for i, x in enumerate({*ref, *hyp})}
+    a, b = np.array([ids[x] for x in ref], np.int64), np.array([ids[x] for x in hyp], np.int64)
+    n, m, steps = len(a), len(b), np.arange(len(b) + 1)
+    d = np.empty((n + 1, m + 1), np.int32)
+    d[0] = steps
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            d[i][j] = min(d[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]), d[i - 1][j] + 1, d[i][j - 1] + 1)
+        d[i] = d[i - 1] + 1
+        d[i, 1:] = np.minimum(d[i, 1:], d[i - 1, :-1] + (b != a[i - 1]))
+        d[i] = np.minimum.accumulate(d[i] - steps) + steps
     out, i, j = [], n, m
     while i or j:
-        if i and j and d[i][j] == d[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
+        if i and j and d[i, j] == d[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
             i, j = i - 1, j - 1
-            out.append(("same" if ref[i] == hyp[j] else "sub", i, j))
-        elif i and d[i][j] == d[i - 1][j] + 1:
+            out.append(("same" if a[i] == b[j] else "sub", i, j))
+        elif i and d[i, j] == d[i - 1, j] + 1:
             i -= 1
             out.append(("del", i, None))
         else:
             j -= 1
             out.append(("ins", None, j))
     return out[::-1]
+
+
+def vote(texts: list[str]) -> str:
+    """The most frequent text; of equals, the earliest."""
+    return max(dict.fromkeys(texts), key=texts.count)
+
+
+def assemble(samples: list[tuple[float, str]], end: float, same: Callable[[str, str], bool]) -> list[tuple[float, float, str]]:
+    """(start, end, text) of the runs of samples that show a text: each ends where the next sample is, or at the end, and
+    gives way to a later one."""
+    out: list[tuple[float, float, str]] = []
+    groups = runs(samples, same)
+    for k, group in enumerate(groups):
+        if not group[0][1]:
+            continue
+        start, stop = group[0][0], groups[k + 1][0][0] if k + 1 < len(groups) else end
+        if out:
+            start = max(start, out[-1][0])
+            out[-1] = (out[-1][0], min(out[-1][1], start), out[-1][2])
+            if out[-1][1] <= out[-1][0]:
+                out.pop()
+        if stop > start:
+            out.append((start, stop, vote([t for _, t in group])))
+    return out

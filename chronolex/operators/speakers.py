@@ -53,13 +53,11 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def similar_pairs(voices: DataFrame, threshold: float) -> DataFrame:
-    """a, b, distance of voices of one medium whose cosine distance is below threshold. voices: label, first_heard, embedding.
-
-    A medium has a handful of voices, so comparing all of them is bounded; for a whole corpus of vectors block first.
-    """
-    a = voices.select(F.col("label").alias("a"), F.struct("first_heard", "label").alias("ao"), F.col("embedding").alias("ae"))
-    b = voices.select(F.col("label").alias("b"), F.struct("first_heard", "label").alias("bo"), F.col("embedding").alias("be"))
-    pairs = a.join(b, F.col("ao") < F.col("bo")).withColumn("distance", cosine_distance(F.col("ae"), F.col("be")))
+    """a, b, distance of voices of one medium whose cosine distance is below threshold. voices: media_id, label,
+    first_heard, embedding; a medium has a handful of voices, so comparing all of them is bounded."""
+    a = voices.select("media_id", F.col("label").alias("a"), F.struct("first_heard", "label").alias("ao"), F.col("embedding").alias("ae"))
+    b = voices.select("media_id", F.col("label").alias("b"), F.struct("first_heard", "label").alias("bo"), F.col("embedding").alias("be"))
+    pairs = a.join(b, "media_id").where(F.col("ao") < F.col("bo")).withColumn("distance", cosine_distance(F.col("ae"), F.col("be")))
     return pairs.where(F.col("distance") < threshold).select("a", "b", "distance", "ao", "bo")
 
 

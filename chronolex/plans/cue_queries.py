@@ -48,7 +48,7 @@ def c8_capitalize(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_CUES + """, e AS (SELECT media_id, idx, start, text, CASE WHEN idx % 3 = 2 THEN NULL ELSE speaker END AS speaker FROM c),
     l AS (SELECT *, last_value(speaker IGNORE NULLS) OVER (PARTITION BY media_id ORDER BY start, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM e)
-    SELECT media_id, idx, CASE WHEN speaker IS NOT NULL AND last IS NOT NULL AND last <> speaker THEN '— ' || text ELSE text END AS text FROM l""")
+    SELECT media_id, idx, CASE WHEN speaker IS NOT NULL AND last IS DISTINCT FROM speaker THEN '— ' || text ELSE text END AS text FROM l""")
 def c12_speaker_mark(spark: SparkSession, sf: str) -> DataFrame:
     c = _cues(spark, sf).withColumn("speaker", F.when(F.col("idx") % 3 == 2, F.lit(None)).otherwise(F.col("speaker")))
     return cu.speaker_marks(c).select("media_id", "idx", "text")
@@ -63,11 +63,11 @@ def c13_display_text(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("media_id"), F.col("turn").alias("idx"), shown.alias("shown"), line_width(F.col("role")).alias("width"))
 
 
-_TRACKS = t.sql("turns") + """, c AS (SELECT turn_idx % 60 AS media_id, turn_idx AS idx, speaker AS text, start, start + ("end" - start) / 10 AS "end" FROM turns)"""
+_TRACKS = t.sql("turns") + """, c AS (SELECT turn_idx // 2000 * 60 + turn_idx % 60 AS media_id, turn_idx AS idx, speaker AS text, start, start + ("end" - start) / 10 AS "end" FROM turns)"""
 
 
 def _tracks(spark, sf):
-    return t.turns(spark, sf).select((F.col("turn_idx") % 60).alias("media_id"), F.col("turn_idx").alias("idx"), F.col("speaker").alias("text"), "start", (F.col("start") + (F.col("end") - F.col("start")) / 10).alias("end"))
+    return t.turns(spark, sf).select(t.submedia(60).alias("media_id"), F.col("turn_idx").alias("idx"), F.col("speaker").alias("text"), "start", (F.col("start") + (F.col("end") - F.col("start")) / 10).alias("end"))
 
 
 @query(_TRACKS + """, p AS (SELECT media_id, start AS p FROM c UNION SELECT media_id, "end" FROM c), e AS (SELECT media_id, p AS s, lead(p) OVER (PARTITION BY media_id ORDER BY p) AS e FROM p),
@@ -79,11 +79,11 @@ def c14_combine_tracks(spark: SparkSession, sf: str) -> DataFrame:
     return cu.combine_tracks(_tracks(spark, sf)).select("media_id", F.round(F.col("start") + 1e-8, 6).alias("start"), F.round(F.col("end") + 1e-8, 6).alias("end"), "text")
 
 
-_POINTS = """, q AS (SELECT turn_idx % 60 AS media_id, turn_idx AS point_idx, start + 4e-1 AS t FROM turns WHERE turn_idx % 3 = 0)"""
+_POINTS = """, q AS (SELECT turn_idx // 2000 * 60 + turn_idx % 60 AS media_id, turn_idx AS point_idx, start + 4e-1 AS t FROM turns)"""
 
 
 def _points(spark, sf):
-    return t.turns(spark, sf).where("turn_idx % 3 = 0").select((F.col("turn_idx") % 60).alias("media_id"), F.col("turn_idx").alias("point_idx"), (F.col("start") + 0.4).alias("t"))
+    return t.turns(spark, sf).select(t.submedia(60).alias("media_id"), F.col("turn_idx").alias("point_idx"), (F.col("start") + 0.4).alias("t"))
 
 
 @query(_TRACKS + _POINTS + """SELECT q.media_id, q.point_idx, arg_min(c.idx, (c.start, c.idx)) AS idx FROM q LEFT JOIN c ON c.media_id = q.media_id AND c.start <= q.t AND q.t < c."end" GROUP BY ALL""")
@@ -140,18 +140,18 @@ def s6_history(spark: SparkSession, sf: str) -> DataFrame:
     return t.table(spark, sf, "events").select("user_id", "event_id", r.alias("r")).where("r <= 60").drop("r")
 
 
-@query("SELECT doc_id, CASE WHEN trim(text) = '' OR doc_id % 5 = 0 THEN '' ELSE reverse(left(text, 40)) END AS translated FROM documents")
+@query("SELECT doc_id, CASE WHEN trim(text) = '' OR doc_id % 5 = 0 THEN '' ELSE reverse(text) END AS translated FROM documents")
 def u6_skip_empty(spark: SparkSession, sf: str) -> DataFrame:
     """Only texts with content are translated; all keep their places."""
     docs = t.table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")).alias("text"))
-    done = docs.where(F.trim("text") != "").select("doc_id", F.reverse(F.substring("text", 1, 40)).alias("made"))
+    done = docs.where(F.trim("text") != "").select("doc_id", F.reverse("text").alias("made"))
     return docs.select("doc_id").join(done, "doc_id", "left").select("doc_id", F.coalesce("made", F.lit("")).alias("translated"))
 
 
-@query("SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 40 AS batch, doc_id FROM documents")
+@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS batch, turn FROM conversations")
 def u7_batches(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return t.table(spark, sf, "documents").select("source", F.floor(n / 40).alias("batch"), "doc_id")
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    return t.table(spark, sf, "conversations").select("conv_id", F.floor(n / 2).alias("batch"), "turn")
 
 
 @query(t.sql("pieces") + "SELECT media_id, piece_idx, lag(text) OVER (PARTITION BY media_id ORDER BY piece_idx) AS context FROM pieces")

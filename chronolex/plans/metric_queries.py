@@ -9,6 +9,7 @@ from chronolex.operators import intervals as iv
 from chronolex.operators import speakers as sp
 from chronolex.plans.registry import query
 from chronolex.plans.speaker_queries import _ASSIGN
+from chronolex.plans.text_queries import _N, ONE_BYTE
 from chronolex.sources import tables as t
 
 r6 = lambda c: F.round(c, 6).alias(c)
@@ -25,15 +26,15 @@ def m2_voice_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return iv.union_length(cut, ["media_id", "speaker"]).join(counts, ["media_id", "speaker"]).select("media_id", "speaker", F.round("length", 4).alias("recognized"), "pieces", "first")
 
 
-_TEXTS = """WITH p AS (SELECT conv_id, turn, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS a, lag(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)"""
+_TEXTS = f"""WITH p AS (SELECT conv_id, turn, {ONE_BYTE(_N('text'))} AS a, {ONE_BYTE(_N('lag(text) OVER (PARTITION BY conv_id ORDER BY turn)'))} AS b FROM conversations)"""
 
 
-@query(_TEXTS + "SELECT conv_id, turn, round(levenshtein(left(a, 200), left(b, 200)) / greatest(length(left(a, 200)), 1), 6) AS cer FROM p WHERE b IS NOT NULL")
+@query(_TEXTS + "SELECT conv_id, turn, round(levenshtein(a, b) / greatest(length(a), 1), 6) AS cer FROM p WHERE b IS NOT NULL")
 def m4_cer(spark: SparkSession, sf: str) -> DataFrame:
-    """Character error rate of each turn's first 200 ASCII letters and digits against the turn before."""
+    """Character error rate of each turn's letters and digits against the turn before."""
     from chronolex.functions.text import normalize
 
-    c = t.table(spark, sf, "conversations").select("conv_id", "turn", F.substring(F.regexp_replace(normalize(F.col("text")), "[^a-z0-9]", ""), 1, 200).alias("a"))
+    c = t.table(spark, sf, "conversations").select("conv_id", "turn", normalize(F.col("text")).alias("a"))
     c = c.withColumn("b", F.lag("a").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b IS NOT NULL")
     return c.select("conv_id", "turn", F.round(F.levenshtein("a", "b") / F.greatest(F.length("a"), F.lit(1)), 6).alias("cer"))
 
@@ -77,7 +78,7 @@ def m12_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy("media_id", "turn_idx").agg(F.count("*").alias("cues"), F.round(F.min("s") - F.first("start"), 6).alias("first_delta"), F.round(F.max("e") - F.first("end"), 6).alias("last_delta"))
 
 
-@query(t.sql("turns") + """, b AS (SELECT media_id, turn_idx, speaker, start, start + ("end" - start) / 20 AS "end" FROM turns), a AS (SELECT media_id, turn_idx, start, start + 2 AS "end" FROM turns WHERE turn_idx % 5 = 0),
+@query(t.sql("turns") + """, b AS (SELECT media_id, turn_idx, speaker, start, start + ("end" - start) / 20 AS "end" FROM turns), a AS (SELECT media_id, turn_idx, start, start + 2 AS "end" FROM turns),
     c AS (SELECT a.media_id, a.turn_idx, a.start AS s0, a."end" AS e0, greatest(a.start, b.start) AS start, least(a."end", b."end") AS "end" FROM a JOIN b ON a.media_id = b.media_id AND a.start < b."end" AND b.start < a."end"),
     m AS (SELECT *, max("end") OVER (PARTITION BY media_id, turn_idx ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
     u AS (SELECT media_id, turn_idx, sum(greatest(0, "end" - greatest(coalesce(reach, start), start))) AS covered FROM m GROUP BY ALL)
@@ -86,7 +87,7 @@ def m13_uncovered(spark: SparkSession, sf: str) -> DataFrame:
     """Seconds of each region that no cue covers."""
     turns = t.turns(spark, sf)
     cues = turns.select("media_id", F.col("turn_idx").alias("cue"), "start", (F.col("start") + (F.col("end") - F.col("start")) / 20).alias("end"))
-    regions = turns.where("turn_idx % 5 = 0").select("media_id", "turn_idx", "start", (F.col("start") + 2).alias("end"))
+    regions = turns.select("media_id", "turn_idx", "start", (F.col("start") + 2).alias("end"))
     cut = iv.overlap_join(regions, cues).select("media_id", "turn_idx", F.greatest("start", "b_start").alias("start"), F.least("end", "b_end").alias("end"))
     covered = iv.union_length(cut, ["media_id", "turn_idx"])
     return regions.join(covered, ["media_id", "turn_idx"], "left").select("media_id", "turn_idx", F.round(F.col("end") - F.col("start") - F.coalesce("length", F.lit(0.0)), 5).alias("uncovered"))
@@ -118,12 +119,13 @@ def m15_truth_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy("media_id").agg(F.count("*").alias("marks"), F.sum((F.col("person") == F.col("b.person")).cast("long")).alias("right_marks"))
 
 
-@query(_TRUTH + "SELECT l.media_id, count(*) AS marks, count(*) FILTER (l.person = w.person) AS right_marks FROM l JOIN w ON w.media_id = l.media_id AND w.label = l.label AND w.r = 1 WHERE l.label <> '-' AND l.piece_idx % 2 = 0 GROUP BY 1")
+@query(_TRUTH + "SELECT l.media_id, count(*) AS marks, count(*) FILTER (l.person = w.person) AS right_marks FROM l JOIN w ON w.media_id = l.media_id AND w.label = l.label AND w.r = 1 WHERE l.label <> '-' AND len(CASE WHEN l.piece_idx % 2 = 0 THEN [l.person] ELSE [l.person, 3] END) = 1 GROUP BY 1")
 def m16_truth_single(spark: SparkSession, sf: str) -> DataFrame:
-    """As m15, over marks with a label and an even number only; all marks vote."""
+    """As m15, over marks of one person and with a label only; all marks vote. Every odd one here has two people."""
     rows = sp.assign(t.clips(spark, sf), t.turns(spark, sf)).select("media_id", "piece_idx", F.coalesce("speaker", F.lit("-")).alias("label"), (F.col("piece_idx") % 3).alias("person"))
     votes = rows.groupBy("media_id", "label", "person").agg(F.count("*").alias("n")).groupBy("media_id", "label").agg(F.min(F.struct((-F.col("n")).alias("n"), "person")).alias("b"))
-    j = rows.where("label <> '-' AND piece_idx % 2 = 0").join(votes, ["media_id", "label"])
+    people = F.when(F.col("piece_idx") % 2 == 0, F.array("person")).otherwise(F.array("person", F.lit(3).cast("long")))
+    j = rows.where((F.col("label") != "-") & (F.size(people) == 1)).join(votes, ["media_id", "label"])
     return j.groupBy("media_id").agg(F.count("*").alias("marks"), F.sum((F.col("person") == F.col("b.person")).cast("long")).alias("right_marks"))
 
 
@@ -159,14 +161,14 @@ def m21_audit(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("media_id").agg(n(F.col("end") - F.col("start") > 7).alias("long_cues"), n(F.col("n") < F.col("end")).alias("overlaps"), n(F.col("speaker") == "").alias("empty_cues"))
 
 
-@query(t.sql("turns") + """, a AS (SELECT conv AS media_id, conv_idx AS idx, start, "end" FROM (SELECT turn_idx % 40 AS conv, turn_idx AS conv_idx, start, start + 3 AS "end" FROM turns WHERE turn_idx % 2 = 0)),
-    b AS (SELECT turn_idx % 40 AS media_id, turn_idx AS idx, start + 1 AS start, start + 4 AS "end" FROM turns WHERE turn_idx % 4 = 2)
+@query(t.sql("turns") + """, a AS (SELECT conv AS media_id, conv_idx AS idx, start, "end" FROM (SELECT turn_idx // 2000 * 40 + turn_idx % 40 AS conv, turn_idx AS conv_idx, start, start + 3 AS "end" FROM turns)),
+    b AS (SELECT turn_idx // 2000 * 40 + turn_idx % 40 AS media_id, turn_idx AS idx, start + 1 AS start, start + 4 AS "end" FROM turns)
     SELECT a.media_id, a.idx, count(b.idx) AS pairs FROM a LEFT JOIN b ON a.media_id = b.media_id AND ((a.start <= (b.start + b."end") / 2 AND (b.start + b."end") / 2 < a."end") OR (b.start <= (a.start + a."end") / 2 AND (a.start + a."end") / 2 < b."end")) GROUP BY ALL""")
 def m23_pair_srt(spark: SparkSession, sf: str) -> DataFrame:
     """Cues of one file paired with those of another if the middle of either lies in the other."""
-    turns = t.turns(spark, sf).select((F.col("turn_idx") % 40).alias("media_id"), F.col("turn_idx").alias("idx"), "start")
-    a = turns.where("idx % 2 = 0").withColumn("end", F.col("start") + 3)
-    b = turns.where("idx % 4 = 2").select("media_id", "idx", (F.col("start") + 1).alias("start"), (F.col("start") + 4).alias("end"))
+    turns = t.turns(spark, sf).select(t.submedia(40).alias("media_id"), F.col("turn_idx").alias("idx"), "start")
+    a = turns.withColumn("end", F.col("start") + 3)
+    b = turns.select("media_id", "idx", (F.col("start") + 1).alias("start"), (F.col("start") + 4).alias("end"))
     mid = lambda s, e: (F.col(s) + F.col(e)) / 2
     inside = lambda m, s, e: (F.col(s) <= m) & (m < F.col(e))
     pairs = iv.overlap_join(a, b).where(inside(mid("b_start", "b_end"), "start", "end") | inside(mid("start", "end"), "b_start", "b_end"))
@@ -205,7 +207,7 @@ def m32_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return e.agg(F.round(F.avg("value"), 6).alias("seconds"), F.max("value").alias("most"), F.round(100 * (F.avg(F.when(odd, F.col("value"))) / F.avg(F.when(~odd, F.col("value"))) - 1), 5).alias("change"))
 
 
-@query(t.sql("turns") + """, u AS (SELECT turn_idx % 40 AS media_id, turn_idx, start, start + ("end" - start) / 40 AS "end" FROM turns), k AS (SELECT turn_idx % 40 AS media_id, start + 2 AS start, start + 3 AS "end" FROM turns WHERE turn_idx % 7 = 0),
+@query(t.sql("turns") + """, u AS (SELECT turn_idx // 2000 * 40 + turn_idx % 40 AS media_id, turn_idx, start, start + ("end" - start) / 40 AS "end" FROM turns), k AS (SELECT turn_idx // 2000 * 40 + turn_idx % 40 AS media_id, start + 2 AS start, start + 3 AS "end" FROM turns),
     h AS (SELECT *, exists(SELECT 1 FROM k WHERE k.media_id = u.media_id AND k.start < u."end" AND u.start < k."end") AS hit FROM u)
     SELECT media_id, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit AND "end" - start < 6e-1) AS missed_short, count(*) AS n FROM h GROUP BY 1""")
 def m33_vad_coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,12 +238,12 @@ def m36_frame_errors(spark: SparkSession, sf: str) -> DataFrame:
     return e.agg(n(F.col("f") == 0).alias("f0"), n(F.abs("f") == 1).alias("f1"), n(F.abs("f") == 2).alias("f2"), n(F.abs("f") >= 3).alias("more"))
 
 
-@query(t.sql("turns") + """, x AS (SELECT turn_idx % 40 AS m, start AS t FROM turns WHERE turn_idx % 3 = 0), y AS (SELECT turn_idx % 40 AS m, start AS t FROM turns WHERE turn_idx % 3 = 1)
+@query(t.sql("turns") + """, x AS (SELECT turn_idx // 2000 * 40 + turn_idx % 40 AS m, start AS t FROM turns), y AS (SELECT turn_idx // 2000 * 40 + turn_idx % 40 AS m, "end" AS t FROM turns)
     SELECT m AS media_id, count(*) AS cuts, count(*) FILTER (exists(SELECT 1 FROM y WHERE y.m = x.m AND abs(y.t - x.t) <= 35e-2)) AS paired FROM x GROUP BY 1""")
 def m27_paired_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     """Boundaries of one track that have one of the other within 0.35 s."""
-    turns = t.turns(spark, sf).select((F.col("turn_idx") % 40).alias("media_id"), "turn_idx", F.col("start").alias("t"))
-    a = turns.where("turn_idx % 3 = 0").select("media_id", "turn_idx", (F.col("t") - 0.35).alias("start"), (F.col("t") + 0.35000001).alias("end"))
-    hits = iv.contains_join(a, turns.where("turn_idx % 3 = 1").select("media_id", "t")).select("media_id", "turn_idx").distinct().withColumn("hit", F.lit(1))
+    turns = t.turns(spark, sf).select(t.submedia(40).alias("media_id"), "turn_idx", F.col("start").alias("t"), F.col("end").alias("u"))
+    a = turns.select("media_id", "turn_idx", (F.col("t") - 0.35).alias("start"), (F.col("t") + 0.35000001).alias("end"))
+    hits = iv.contains_join(a, turns.select("media_id", F.col("u").alias("t"))).select("media_id", "turn_idx").distinct().withColumn("hit", F.lit(1))
     rows = a.join(hits, ["media_id", "turn_idx"], "left")
     return rows.groupBy("media_id").agg(F.count("*").alias("cuts"), F.count("hit").alias("paired"))

@@ -55,7 +55,7 @@ def sg6_boost(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(t.sql("samples") + """, x AS (SELECT media_id, sample_idx // 16 AS f, sample_idx // 400 AS w, v * v AS e FROM samples),
     s AS (SELECT media_id, w, f, sum(e) AS e, count(*) AS n FROM x GROUP BY ALL),
-    k AS (SELECT media_id, sqrt(e / n) AS rms, row_number() OVER (PARTITION BY media_id ORDER BY sqrt(e / n)) AS r, count(*) OVER (PARTITION BY media_id) AS c FROM s WHERE n = 16),
+    k AS (SELECT media_id, sqrt(e / n) AS rms, row_number() OVER (PARTITION BY media_id ORDER BY sqrt(e / n)) AS r, count(*) OVER (PARTITION BY media_id) AS c FROM s),
     z AS (SELECT media_id, rms AS noise FROM k WHERE r = floor(c * 1e-1) + 1),
     win AS (SELECT media_id, w AS window_idx, sqrt(sum(e) / sum(n)) AS rms FROM s GROUP BY ALL),
     l AS (SELECT win.*, rms > greatest(5e-4, 11e-1 * noise) AS live FROM win JOIN z USING (media_id)),

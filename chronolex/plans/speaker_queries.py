@@ -30,12 +30,12 @@ def v2_renumber(spark: SparkSession, sf: str) -> DataFrame:
     return sp.renumber(t.turns(spark, sf).withColumnRenamed("turn_idx", "piece_idx")).select("media_id", "piece_idx", "speaker")
 
 
-@query(t.sql("turns") + """, w AS (SELECT turn_idx % 50 AS media_id, turn_idx, user_speaker AS speaker, start, "end" FROM (SELECT *, speaker || (turn_idx % 13) AS user_speaker FROM turns)),
+@query(t.sql("turns") + """, w AS (SELECT turn_idx // 2000 * 50 + turn_idx % 50 AS media_id, turn_idx, user_speaker AS speaker, start, "end" FROM (SELECT *, speaker || (turn_idx % 13) AS user_speaker FROM turns)),
     s AS (SELECT media_id, speaker, sum("end" - start) AS total FROM w GROUP BY ALL)
     SELECT w.media_id, w.turn_idx, w.speaker FROM w JOIN s USING (media_id, speaker)
     WHERE total >= 60 OR NOT exists(SELECT 1 FROM s x WHERE x.media_id = w.media_id AND x.total >= 60)""")
 def v3_prune_tiny(spark: SparkSession, sf: str) -> DataFrame:
-    turns = t.turns(spark, sf).select((F.col("turn_idx") % 50).alias("media_id"), "turn_idx", F.concat("speaker", (F.col("turn_idx") % 13).cast("string")).alias("speaker"), "start", "end")
+    turns = t.turns(spark, sf).select(t.submedia(50).alias("media_id"), "turn_idx", F.concat("speaker", (F.col("turn_idx") % 13).cast("string")).alias("speaker"), "start", "end")
     return sp.prune_tiny(turns, least=60.0).select("media_id", "turn_idx", "speaker")
 
 
@@ -47,7 +47,7 @@ def v4_boundaries(spark: SparkSession, sf: str) -> DataFrame:
 
 _PAIRS = t.sql("voices") + f""", p AS (
     SELECT a.label AS a, b.label AS b, 1 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS distance
-    FROM voices a JOIN voices b ON a.label < b.label), near AS (SELECT * FROM p WHERE distance < {VOICE_THRESHOLD})"""
+    FROM voices a JOIN voices b ON a.media_id = b.media_id AND a.label < b.label), near AS (SELECT * FROM p WHERE distance < {VOICE_THRESHOLD})"""
 
 
 @query(_PAIRS + """, parent AS (SELECT label, coalesce((SELECT min(a) FROM near WHERE b = label), label) AS up FROM voices),
@@ -62,12 +62,12 @@ def v6_cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return sp.similar_pairs(t.voices(spark, sf), VOICE_THRESHOLD).select("a", "b", F.round("distance", 5).alias("distance"))
 
 
-_SPARSE = t.sql("turns") + """, u AS (SELECT turn_idx % 40 AS media_id, turn_idx, speaker, start, start + ("end" - start) / 40 AS "end" FROM turns)"""
+_SPARSE = t.sql("turns") + """, u AS (SELECT turn_idx // 2000 * 40 + turn_idx % 40 AS media_id, turn_idx, speaker, start, start + ("end" - start) / 40 AS "end" FROM turns)"""
 
 
 def _sparse(spark, sf):
     """Turns of more media and less length, so that there is silence between them."""
-    return t.turns(spark, sf).select((F.col("turn_idx") % 40).alias("media_id"), "turn_idx", "speaker", "start", (F.col("start") + (F.col("end") - F.col("start")) / 40).alias("end"))
+    return t.turns(spark, sf).select(t.submedia(40).alias("media_id"), "turn_idx", "speaker", "start", (F.col("start") + (F.col("end") - F.col("start")) / 40).alias("end"))
 
 
 _REGIONS = _SPARSE + """, m AS (SELECT *, max("end") OVER (PARTITION BY media_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM u),
@@ -80,11 +80,11 @@ def v9_merge_regions(spark: SparkSession, sf: str) -> DataFrame:
     return iv.merge_regions(_sparse(spark, sf), ["media_id"]).select("media_id", F.round(F.col("start") + 1e-8, 6).alias("start"), F.round(F.col("end") + 1e-8, 6).alias("end"))
 
 
-_CLIPS40 = """, k AS (SELECT turn_idx % 40 AS media_id, start + 2 AS start, start + 3 AS "end" FROM turns WHERE turn_idx % 7 = 0)"""
+_CLIPS40 = """, k AS (SELECT turn_idx // 2000 * 40 + turn_idx % 40 AS media_id, start + 2 AS start, start + 3 AS "end" FROM turns)"""
 
 
 def _clips40(spark, sf):
-    return t.turns(spark, sf).where("turn_idx % 7 = 0").select((F.col("turn_idx") % 40).alias("media_id"), F.col("turn_idx").alias("piece_idx"), (F.col("start") + 2).alias("start"), (F.col("start") + 3).alias("end"))
+    return t.turns(spark, sf).select(t.submedia(40).alias("media_id"), F.col("turn_idx").alias("piece_idx"), (F.col("start") + 2).alias("start"), (F.col("start") + 3).alias("end"))
 
 
 @query(_REGIONS + _CLIPS40 + """SELECT media_id, count(*) AS regions, count(*) FILTER (exists(SELECT 1 FROM k WHERE k.media_id = r.media_id AND k.start < r."end" AND r.start < k."end")) AS reached FROM regions r GROUP BY media_id""")
@@ -108,12 +108,6 @@ def m1_union_length(spark: SparkSession, sf: str) -> DataFrame:
     return iv.union_length(t.turns(spark, sf), ["media_id", "speaker"]).withColumn("length", F.round("length", 4))
 
 
-@query("SELECT user_id % 97 AS grp, min(event_type) AS name, bool_or(value > 90) AS playing, count(*) AS members FROM events GROUP BY 1")
-def v11_process_groups(spark: SparkSession, sf: str) -> DataFrame:
-    e = t.table(spark, sf, "events").groupBy((F.col("user_id") % 97).alias("grp"))
-    return e.agg(F.min("event_type").alias("name"), F.bool_or(F.col("value") > 90).alias("playing"), F.count("*").alias("members"))
-
-
 @query(t.sql("turns") + """, r AS (SELECT *, sum("end" - start) OVER (PARTITION BY media_id, speaker ORDER BY "end" - start DESC, turn_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM turns)
     SELECT media_id, speaker, turn_idx FROM r WHERE coalesce(before, 0) < 120""")
 def v7_voice_sample(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,18 +11,12 @@ from chronolex.sources import tables as t
 
 _N = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')".format
 
-_A = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')".format
 
 @query(f"SELECT doc_id, md5({_N('text')}) AS plain FROM documents")
 def t6_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return t.table(spark, sf, "documents").select("doc_id", F.md5(tx.normalize(F.col("text"))).alias("plain"))
 
 
-@query("SELECT doc_id, len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS tokens, regexp_matches(text, '[\\p{L}\\p{N}]') AS content FROM documents")
-def t2_split(spark: SparkSession, sf: str) -> DataFrame:
-    return t.table(spark, sf, "documents").select("doc_id", F.size(tx.split_tokens(F.col("text"))).cast("long").alias("tokens"), tx.has_content(F.col("text")).alias("content"))
-
-
 @query("SELECT conv_id, turn, trim(regexp_replace(trim('... - ' || text || ' '), '^[^\\p{L}\\p{N}¿¡]+', '')) AS tidy FROM conversations")
 def t8_tidy(spark: SparkSession, sf: str) -> DataFrame:
     return t.table(spark, sf, "conversations").select("conv_id", "turn", tx.tidy(F.concat(F.lit("... - "), "text", F.lit(" "))).alias("tidy"))
@@ -91,10 +85,11 @@ def t29_echo(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("conv_id", F.when(F.col("n") == 1, (F.col("same") == 1) & (F.col("longest") > 6)).otherwise((F.col("same") >= 2) & (3 * F.col("same") >= F.col("eligible"))).alias("echo"))
 
 
-@query("SELECT event_id, (event_id % 4, event_id % 3, 0) > (event_id % 5, event_id % 2, event_id % 7) AS newer FROM events")
+@query("SELECT event_id, (event_id % 4, event_id % 3, 0, 0, event_id % 2) > (event_id % 5, event_id % 2, event_id % 7, 0, event_id % 3) AS newer FROM events")
 def t35_newer(spark: SparkSession, sf: str) -> DataFrame:
     e = lambda n: (F.col("event_id") % n).cast("string")
-    return t.table(spark, sf, "events").select("event_id", tx.is_newer(F.concat_ws(".", F.concat(F.lit("v"), e(4)), e(3)), F.concat_ws(".", e(5), e(2), e(7))).alias("newer"))
+    remote = F.concat_ws(".", F.concat(F.lit("v"), e(4)), e(3), F.lit("0"), F.lit("0"), e(2))
+    return t.table(spark, sf, "events").select("event_id", tx.is_newer(remote, F.concat_ws(".", e(5), e(2), e(7), F.lit("0"), e(3))).alias("newer"))
 
 
 @query("""WITH s AS (SELECT event_id, floor(value * 100)::BIGINT AS s FROM events)
@@ -109,12 +104,15 @@ def t39_palette(spark: SparkSession, sf: str) -> DataFrame:
     return t.table(spark, sf, "events").select("event_id", tx.palette_index(label).alias("colour"))
 
 
-@query(f"""WITH p AS (SELECT conv_id, turn, left({_A('text')}, 60) AS a, left({_A('lag(text) OVER (PARTITION BY conv_id ORDER BY turn)')}, 60) AS b FROM conversations)
+# The other engine's edit distance counts bytes, so its accented letters become signs of one byte, one for each.
+ONE_BYTE = "translate({}, 'àáâäçèéêëíîïñóôöùúûüßœ', '!#$%&()*+,-/:;<=>?@[]^_')".format
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {ONE_BYTE(_N('text'))} AS a, {ONE_BYTE(_N('lag(text) OVER (PARTITION BY conv_id ORDER BY turn)'))} AS b FROM conversations)
     SELECT conv_id, turn, CASE WHEN a = '' OR b = '' THEN a = b ELSE levenshtein(a, b) <= 75e-2 * greatest(length(a), length(b)) END AS same FROM p WHERE b IS NOT NULL""")
 def b4_same_text(spark: SparkSession, sf: str) -> DataFrame:
-    c = t.table(spark, sf, "conversations").select("conv_id", "turn", F.substring(F.regexp_replace(F.lower("text"), "[^a-z0-9]", ""), 1, 60).alias("a"))
-    c = c.withColumn("b", F.lag("a").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b IS NOT NULL")
-    return c.select("conv_id", "turn", tx.same_text(F.col("a"), F.col("b"), 0.75).alias("same"))
+    c = t.table(spark, sf, "conversations").select("conv_id", "turn", "text", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("b")).where("b IS NOT NULL")
+    return c.select("conv_id", "turn", tx.same_text(F.col("text"), F.col("b"), 0.75).alias("same"))
 
 
 @query("""WITH v AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL) SELECT user_id, arg_min(event_type, (-n, first)) AS text FROM v GROUP BY 1""")

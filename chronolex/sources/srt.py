@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolex.functions.text import has_content, has_dense, parse_timecode, timecode
+from chronolex.functions.text import has_content, has_dense_letter, parse_timecode, timecode
 
 
 def parse(files: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def parse(files: DataFrame) -> DataFrame:
     body = F.slice("lines", F.when(first, 2).otherwise(3), F.greatest(F.size("lines"), F.lit(1)))
     plain = F.transform(body, lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", "")))
     plain = F.filter(plain, lambda x: x != "")
-    joined = F.when(F.exists(plain, has_dense), F.array_join(plain, "")).otherwise(F.array_join(plain, " "))
+    joined = F.when(F.exists(plain, has_dense_letter), F.array_join(plain, "")).otherwise(F.array_join(plain, " "))
     ends = F.split(times, "-->")
     start, end = parse_timecode(F.get(ends, F.lit(0))), parse_timecode(F.regexp_extract(F.get(ends, F.lit(1)), r"^\s*(\S+)", 1))
     rows = rows.where(times.contains("-->")).select("media_id", "at", start.alias("start"), end.alias("end"), joined.alias("text")).where("start IS NOT NULL AND end IS NOT NULL AND text <> ''")
@@ -40,9 +40,9 @@ def decode(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """path (as media_id), idx, start, end, text of the .srt files under path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.srt").option("recursiveFileLookup", "true").load(path)
+def read(spark: SparkSession, path: str, glob: str = "*.srt") -> DataFrame:
+    """path (as media_id), idx, start, end, text of the files under path that match glob."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return parse(files.select(F.col("path").alias("media_id"), decode(F.col("content")).alias("content")))
 
 

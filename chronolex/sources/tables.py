@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that are spoken in a second, and seconds of pause after each piece.
 CHARS_PER_SECOND, PAUSE = 15.0, 0.9
+#: Events that make up a medium of turns, so that media grow in number and not in size.
+PER_MEDIUM = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,13 +26,13 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """media_id, turn_idx, speaker, start, end: who speaks when, from events."""
     start = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("media_id"), F.col("event_id").alias("turn_idx"), F.col("event_type").alias("speaker"), (start / F.lit(6e7)).alias("start"), "value")
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / PER_MEDIUM).alias("media_id"), F.col("event_id").alias("turn_idx"), F.col("event_type").alias("speaker"), (start / F.lit(6e7)).alias("start"), "value")
     return e.select("media_id", "turn_idx", "speaker", "start", (F.col("start") + F.col("value")).alias("end"))
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """media_id, piece_idx, speaker (null), start, end: stretches whose speaker is not known."""
-    t = turns(spark, sf_dir).where("turn_idx % 7 = 0")
+    t = turns(spark, sf_dir)
     return t.select("media_id", F.col("turn_idx").alias("piece_idx"), F.lit(None).cast("string").alias("speaker"), (F.col("start") + 10).alias("start"), (F.col("start") + 40).alias("end"))
 
 
@@ -40,9 +42,14 @@ def samples(spark: SparkSession, sf_dir: str, per_media: int = 4000) -> DataFram
     return e.select(F.floor(F.col("event_id") / per_media).alias("media_id"), (F.col("event_id") % per_media).alias("sample_idx"), F.col("value").alias("v"))
 
 
+def submedia(n: int) -> Column:
+    """A medium's turns dealt to n media."""
+    return F.floor(F.col("turn_idx") / PER_MEDIUM) * n + F.col("turn_idx") % n
+
+
 def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """label, first_heard, embedding."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("label"), F.col("vec_id").cast("double").alias("first_heard"), "embedding")
+    """media_id, label, first_heard, embedding: 200 voices a medium."""
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 200).alias("media_id"), F.col("vec_id").alias("label"), F.col("vec_id").cast("double").alias("first_heard"), "embedding")
 
 
 # The same as SQL, for checks against another engine.
@@ -53,12 +60,12 @@ SQL = {
                coalesce(sum(length(text)) OVER w, 0) / 15e0 + 9e-1 * turn + length(text) / 15e0 AS "end"
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "turns": """
-        SELECT user_id % 5 AS media_id, event_id AS turn_idx, event_type AS speaker,
+        SELECT event_id // 2000 AS media_id, event_id AS turn_idx, event_type AS speaker,
                (epoch_us(ts) - 1704067200000000) / 6e7 AS start, (epoch_us(ts) - 1704067200000000) / 6e7 + value AS "end"
         FROM events""",
-    "clips": """SELECT media_id, turn_idx AS piece_idx, NULL AS speaker, start + 10 AS start, start + 40 AS "end" FROM turns WHERE turn_idx % 7 = 0""",
+    "clips": """SELECT media_id, turn_idx AS piece_idx, NULL AS speaker, start + 10 AS start, start + 40 AS "end" FROM turns""",
     "samples": "SELECT event_id // 4000 AS media_id, event_id % 4000 AS sample_idx, value AS v FROM events",
-    "voices": "SELECT vec_id AS label, vec_id::DOUBLE AS first_heard, embedding FROM embeddings",
+    "voices": "SELECT vec_id // 200 AS media_id, vec_id AS label, vec_id::DOUBLE AS first_heard, embedding FROM embeddings",
 }
 
 

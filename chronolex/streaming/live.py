@@ -1,22 +1,30 @@
 """Live operators: the state machines, over tables by `fold()` and over streams by `transformWithStateInPandas`.
 
 A stream has columns media_id, seq and one input column; rows of one media_id are taken in the order of seq within each
-micro-batch, and batches in their order.  Arrival order is truth: there is no watermark.
+micro-batch, and batches in their order.  Arrival order is truth: there is no watermark.  A row whose input is null is a
+pause: the machine gives out what it holds.  A table's medium ends with one.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections import deque
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
+from chronolex.functions import tokens as tk
 from chronolex.functions.text import CLAUSE_ENDERS, SENTENCE_ENDERS
 from chronolex.operators.folds import fold
 
 
-def _plain(word: str) -> str:
-    return "".join(x for x in word.lower() if x.isalnum())
+def _shared(a: list[str], b: list[str]) -> int:
+    """How many first words are the same, but for case and signs."""
+    n = 0
+    while n < min(len(a), len(b)) and tk.plain(a[n]) == tk.plain(b[n]):
+        n += 1
+    return n
 
 
 @dataclass
@@ -26,39 +34,89 @@ class StablePrefix:
     previous: list[str] = field(default_factory=list)
     confirmed: list[str] = field(default_factory=list)
 
+    def _confirm(self, words: list[str]) -> list[tuple[str]]:
+        self.confirmed += words
+        return [(tk.join(words),)] if words else []
+
     def feed(self, text: str) -> list[tuple[str]]:
-        words = text.split()
-        agreed = 0
-        for a, b in zip(words, self.previous, strict=False):
-            if _plain(a) != _plain(b):
-                break
-            agreed += 1
+        words, before = tk.split(text), self.previous
+        self.previous, done = words, len(self.confirmed)
+        return self._confirm(words[done : _shared(before, words)]) if _shared(self.confirmed, words) == done else []
+
+    def flush(self) -> list[tuple[str]]:
+        """The last hypothesis beyond what is confirmed counts as confirmed."""
+        return self._confirm(self.previous[len(self.confirmed) :])
+
+    def reconcile(self, text: str) -> list[tuple[str]]:
+        """A final hypothesis: all of it beyond the words that agree with the confirmed ones is confirmed."""
+        words = tk.split(text)
+        if not words:
+            return self.flush()
         self.previous = words
-        done = len(self.confirmed)
-        if agreed <= done or any(_plain(a) != _plain(b) for a, b in zip(self.confirmed, words, strict=False)):
-            return []
-        new = words[done:agreed]
-        self.confirmed += new
-        return [(" ".join(new),)]
+        return self._confirm(words[_shared(self.confirmed, words) :])
 
 
 @dataclass
 class Phrases:
     """Closes a phrase at a sentence end, at a clause end from 32 characters on, or at 75 characters."""
 
-    held: str = ""
+    held: list[str] = field(default_factory=list)
+
+    def flush(self) -> list[tuple[str]]:
+        text = tk.join(self.held).strip()
+        self.held = []
+        return [(text,)] if text else []
 
     def feed(self, text: str) -> list[tuple[str]]:
         out = []
-        for word in text.split():
-            self.held = f"{self.held} {word}".strip()
-            end = word[-1]
-            if end in SENTENCE_ENDERS or (end in CLAUSE_ENDERS and len(self.held) >= 32) or len(self.held) >= 75:
-                out.append((self.held,))
-                self.held = ""
+        for word in tk.split(text):
+            self.held.append(word)
+            size = len(tk.join(self.held).strip())
+            if word[-1] in SENTENCE_ENDERS or (word[-1] in CLAUSE_ENDERS and size >= 32) or size >= 75:
+                out += self.flush()
+        return out
+
+
+@dataclass
+class Latest:
+    """Keeps the last `most` items: gives out those that newer ones push out, and at a pause those that are left."""
+
+    most: int = 12
+    items: deque = field(default_factory=deque)
+
+    def feed(self, item: str) -> list[tuple[str, bool]]:
+        self.items.append(item)
+        return [(self.items.popleft(), True)] if len(self.items) > self.most else []
+
+    def flush(self) -> list[tuple[str, bool]]:
+        out = [(x, False) for x in self.items]
+        self.items.clear()
         return out
 
 
+@dataclass
+class Ring:
+    """A buffer of `capacity` samples: a positive number writes so many, a negative one asks for so many. A reader that
+    fell behind jumps to the oldest sample that is left. Gives out (place, samples read, samples lost) for each reading."""
+
+    capacity: int = 480_000
+    written: int = 0
+    read: int = 0
+
+    def feed(self, n: int) -> list[tuple[int, int, int]]:
+        if n >= 0:
+            self.written += n
+            return []
+        lost = max(0, self.written - self.read - self.capacity)
+        at = self.read + lost
+        count = min(-n, self.written - at)
+        self.read = at + count
+        return [(at, count, lost)]
+
+    def flush(self) -> list:
+        return []
+
+
 @dataclass
 class Segmenter:
     """Voice activity over frames' rms: opens after 3 loud frames, closes after 0.6 s of quiet, cuts at 12 s.
@@ -68,7 +126,7 @@ class Segmenter:
 
     frame_seconds: float = 0.02
     at: int = 0
-    floor: float | None = None
+    floor: float = 0.002
     loud: int = 0
     start: int | None = None
     quiet: int = 0
@@ -76,7 +134,6 @@ class Segmenter:
 
     def feed(self, rms: float) -> list[tuple[int, int, bool]]:
         out: list[tuple[int, int, bool]] = []
-        self.floor = rms if self.floor is None else self.floor
         open_at, go_on = max(3.5 * self.floor, 0.0022), max(1.5 * self.floor, 0.00132)
         if rms <= open_at:
             self.floor = 0.9 * self.floor + 0.1 * rms if rms < self.floor else 0.995 * self.floor + 0.005 * rms
@@ -99,29 +156,46 @@ class Segmenter:
                         best = i
                 cut = self.at + 1 - (len(tail) - 1 - best)
                 out.append((self.start, cut, False))
+                self.quiet = 0
                 self.start, self.recent = cut, self.recent[len(self.recent) - (self.at + 1 - cut) :]
         self.at += 1
         return out
 
+    def flush(self) -> list[tuple[int, int, bool]]:
+        """The open segment, if it is long enough."""
+        start, self.start, self.loud, self.quiet = self.start, None, 0, 0
+        return [(start, self.at, False)] if start is not None and (self.at - start) * self.frame_seconds >= 0.4 else []
+
 
-MACHINES = {"stable_prefix": (StablePrefix, "text string"), "phrases": (Phrases, "text string"), "segments": (Segmenter, "first long, last long, by_silence boolean")}
+MACHINES = {
+    "stable_prefix": (StablePrefix, "text string"),
+    "phrases": (Phrases, "text string"),
+    "segments": (Segmenter, "first long, last long, by_silence boolean"),
+    "backlog": (Latest, "item string, dropped boolean"),
+    "ring": (Ring, "place long, count long, lost long"),
+}
 
 
-def over_table(df: DataFrame, machine: str, column: str) -> DataFrame:
-    """media_id, seq and what the machine gives out at that row."""
+def _given(state, value) -> list:
+    return state.flush() if value is None or value != value else state.feed(value)
+
+
+def over_table(df: DataFrame, machine: str, column: str, **options) -> DataFrame:
+    """media_id, seq and what the machine gives out at that row; what it holds at the end comes with the last row's seq."""
     kind, made = MACHINES[machine]
 
     def step(rows):
-        state = kind()
+        state = kind(**options)
         for r in rows:
-            if r[column] is not None:
-                for x in state.feed(r[column]):
-                    yield (r["seq"], *x)
+            for x in _given(state, r[column]):
+                yield (r["seq"], *x)
+        for x in state.flush():
+            yield (rows[-1]["seq"], *x)
 
     return fold(df.select("media_id", "seq", column), "media_id", ["seq"], f"media_id long, seq long, {made}", step)
 
 
-def over_stream(df: DataFrame, machine: str, column: str) -> DataFrame:
+def over_stream(df: DataFrame, machine: str, column: str, **options) -> DataFrame:
     """The same over a stream, with the machine's state kept per media_id between micro-batches."""
     from pyspark.sql.streaming import StatefulProcessor
 
@@ -135,9 +209,9 @@ def over_stream(df: DataFrame, machine: str, column: str) -> DataFrame:
         def handleInputRows(self, key, rows, timers):  # noqa: N802
             import pandas as pd
 
-            state = pickle.loads(self.state.get()[0]) if self.state.exists() else kind()
+            state = pickle.loads(self.state.get()[0]) if self.state.exists() else kind(**options)
             frame = pd.concat(list(rows)).sort_values("seq")
-            out = [(key[0], int(seq), *x) for seq, value in zip(frame["seq"], frame[column], strict=True) if value is not None for x in state.feed(value)]
+            out = [(key[0], int(seq), *x) for seq, value in zip(frame["seq"], frame[column], strict=True) for x in _given(state, value)]
             self.state.update((pickle.dumps(state),))
             yield pd.DataFrame(out, columns=names)
 
@@ -145,3 +219,15 @@ def over_stream(df: DataFrame, machine: str, column: str) -> DataFrame:
             pass
 
     return df.select("media_id", "seq", column).groupBy("media_id").transformWithStateInPandas(Processor(), f"media_id long, seq long, {made}", "Append", "None")
+
+
+def while_running(rows: DataFrame, pauses: Column, resumes: Column) -> DataFrame:
+    """rows (media_id, seq, ...) that come while the last control before them, or in them, is no pause."""
+    control = F.when(pauses, False).when(resumes, True)
+    last = F.last(control, ignorenulls=True).over(Window.partitionBy("media_id").orderBy("seq"))
+    return rows.withColumn("on", F.coalesce(last, F.lit(True))).where("on").drop("on")
+
+
+def in_order(results: DataFrame) -> DataFrame:
+    """results (media_id, idx, arrived) with given_at: a result waits for all of smaller index."""
+    return results.withColumn("given_at", F.max("arrived").over(Window.partitionBy("media_id").orderBy("idx")))

@@ -26,9 +26,6 @@ def test_draft_cuts_at_gap_speaker_and_sentence():
 
 def test_sentences_and_lines():
     assert fo.sentences("This is a sentence. No. Another one is here!") == ["This is a sentence.", "No. Another one is here!"]
-    lines = fo.wrap("This is a rather long line of text, which has to be cut into two lines")
-    assert max(map(len, lines)) <= 42
-    assert " ".join(lines) == "This is a rather long line of text, which has to be cut into two lines"
 
 
 def test_chunks_are_not_a_running_sum():

@@ -16,6 +16,43 @@ def test_prefix_rules():
     assert m.feed("the cat sat down") == [("sat down",)]
 
 
+def test_ends_of_prefixes_and_phrases():
+    m = live.StablePrefix()
+    m.feed("the cat sat")
+    m.feed("the cat sat on")
+    assert m.flush() == [("on",)]
+    assert m.flush() == []
+    m = live.StablePrefix()
+    m.feed("we were running")
+    m.feed("we were running in")
+    assert m.reconcile("We were, walking in town") == [("walking in town",)]  # beyond what agrees all of it counts
+    assert m.reconcile("") == []
+    p = live.Phrases()
+    assert p.feed("no end here") == []
+    assert p.flush() == [("no end here",)]
+    assert p.feed("one. and a clause that is quite long by now, then more") == [("one.",), ("and a clause that is quite long by now,",)]
+    assert p.flush() == [("then more",)]
+    assert live.Phrases().feed("今日は。明日") == [("今日は。",)]
+
+
+def test_ring_and_backlog():
+    r = live.Ring(capacity=10)
+    r.feed(8)
+    assert r.feed(-3) == [(0, 3, 0)]
+    r.feed(20)
+    assert r.feed(-100) == [(18, 10, 15)]
+    b = live.Latest(most=2)
+    assert [b.feed(x) for x in "abc"] == [[], [], [("a", True)]]
+    assert b.flush() == [("b", False), ("c", False)]
+
+
+def test_open_segment_at_the_end():
+    m = live.Segmenter()
+    assert [x for rms in [0.0001] * 20 + [0.1] * 40 for x in m.feed(rms)] == []
+    assert m.flush() == [(10, 60, False)]
+    assert m.flush() == []
+
+
 def test_segments_close_by_silence():
     m = live.Segmenter()
     out = [x for rms in [0.0001] * 20 + [0.1] * 40 + [0.0001] * 40 for x in m.feed(rms)]
@@ -24,7 +61,7 @@ def test_segments_close_by_silence():
 
 
 def test_stream_equals_table(spark, tmp_path):
-    rows = [(m, i, w) for m in (1, 2) for i, w in enumerate(["so it", "so it goes.", "so it goes. And", "so it goes. And then"])]
+    rows = [(m, i, w) for m in (1, 2) for i, w in enumerate(["so it", "so it goes.", "so it goes. And", "so it goes. And then", None])]
     df = spark.createDataFrame(rows, "media_id long, seq long, text string")
     want = sorted(map(tuple, live.over_table(df, "stable_prefix", "text").collect()))
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
