@@ -3,15 +3,24 @@
 A document is the set of its distinct n-grams; sets of equal content are one class.  A set's size gives its band, a
 band's largest size the largest symmetric difference H that two linked sets can have.  The universe is hashed into
 H + 1 + E segments, so two linked sets agree on at least E + 1 of them (pigeonhole), and a signature is the hash of a
-segment's subset.  A set is also indexed in the next band if a partner can be there.  Segments that a set leaves empty
-say nothing; if it leaves at most E empty, it agrees with its partner on a segment that is not.  The allocation takes
-the E of least expected cost: a larger one means more segments, a smaller one more sets with more than E empty segments,
-which are indexed by the one-deletion neighbourhoods of their segments as well, at the cost of their size.  (If two
-such sets agree on e > E empty segments only, all others differ, and all but e - E - 1 of those by one element; so one
-is in the other's one-deletion neighbourhood, unless empty segments are so many that all may be empty on one side;
-those sets share a signature of their own.)  Sets that share a signature are candidates: their connected groups are cut into blocks of about BLOCK sets, and each pair of blocks is verified on the
-n-grams themselves.  A task sends on a spanning forest of the links it finds, never all pairs; the components of the
-forests are those of the links.
+segment's subset.  A set is also indexed in the next band if a partner can be there.
+
+The allocation gives each segment of a set nothing, its subset, or its one-deletion neighbourhood, by what the lists of
+the index cost.  A set may leave out the E longest of its lists, as the shortest list that it shares with a partner
+cannot be among those, on either side: of E + 1 shared lists, E are longer.  The longest are those of empty subsets,
+which are never written; then lists are counted, and the remaining budget goes to the longest counted ones.  So sets
+that agree by chance, on a common line or passage, on no more segments than their budgets are no candidates.  A set with
+more than E empty segments is indexed by the one-deletion neighbourhoods of the others as well.  (If two such sets agree
+on e > E empty segments only, all others differ, and all but e - E - 1 of those by one element; so one is in the
+other's one-deletion neighbourhood, unless empty segments are so many that all may be empty on one side; those sets
+share a signature of their own.)  E is the sum of a share of H for skipping lists and of what empty segments take, of
+least expected cost: a larger one means more segments, a smaller one more neighbourhoods.
+
+The connected groups of candidates are verified on the n-grams themselves.  A group of up to BLOCK sets and BLOCK_BYTES
+of text is one block.  In a larger one every set is first compared with the group's first set; those that link with it
+are in one component already, so only the others go on: they are cut into blocks, which are compared with each other
+and with the blocks of the former.  A group of near copies so costs about its size, whatever its pairs.  A task sends on
+a spanning forest of the links it finds, never all pairs; the components of the forests are those of the links.
 
 Words are runs of bytes other than U+0020 and U+0009 to U+000D, after A-Z are lower-cased.  Defined results: a text
 with fewer words than n is one n-gram; a null, empty or blank text is an empty set, linked with nothing; repeated rows
@@ -23,13 +32,18 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import stored
+from chronolex.llm.common import ID_ROWS, broadcast_checked, released, stored
 from chronolex.llm.components import components, compressed
 
 BLOCK = 256
+BLOCK_BYTES = 16_000_000
+#: Signatures that a task holds at a time.
+BATCH = 200_000
+#: One in so many of the segments that can differ is added, for lists to leave out.
+SKIP = 8
 BAND = 1.5
 
 
@@ -48,21 +62,20 @@ def most_difference(size: int, percent: int) -> int:
 
 @lru_cache(maxsize=4096)
 def allocation(low: int, difference: int) -> int:
-    """E: how many empty segments sets of `low` elements and more may have without one-deletion neighbourhoods."""
-    best = (math.inf, 0)
-    for z in (None, 1, 2, 3, 4, 5):
-        extra = 0
+    """E: how many segments sets of `low` elements and more may leave out; the one of least expected signatures."""
+    skip, best = 1 + difference // SKIP, (math.inf, 0)
+    for z in (0, 1, 2, 3, 4, 5):
+        extra = skip
         for _ in range(50):  # the segments depend on E, E on the segments
             m = difference + 1 + extra
             empty = m * (1 - 1 / m) ** low
-            if z is None or (more := math.ceil(empty + z * math.sqrt(empty))) <= extra:
+            if (more := skip + math.ceil(empty + z * math.sqrt(empty))) <= extra:
                 break
             extra = more
-        if extra > 2 * (difference + 1):
-            continue
-        exceed = 1 - math.exp(-empty) if z is None else 0.5 * math.erfc(z / math.sqrt(2))
-        best = min(best, (m - empty + exceed * low, extra))
-    return best[1]
+        if extra <= skip + 2 * (difference + 1):
+            exceed = 0.5 * math.erfc((extra - empty) / math.sqrt(2 * empty + 1e-9))
+            best = min(best, (m - empty + exceed * low, extra))
+    return best[1] or skip
 
 
 @lru_cache(maxsize=4096)
@@ -89,10 +102,11 @@ def _mix(x):
 
 
 def signatures(hashes, percent: int):
-    """The signatures of a set, given as sorted distinct 64-bit hashes."""
+    """(signatures, tags) of a set, given as sorted distinct 64-bit hashes. A tag is the band, and in its low 32 bits the
+    number of lists that the set may leave out there."""
     import numpy as np
 
-    out = []
+    out, tags = [], []
     for band, segments, spare in schemes(len(hashes), percent) if len(hashes) else ():
         seg = ((hashes >> np.uint64(17)) % np.uint64(segments)).astype(np.int64)
         element = _mix(hashes + np.uint64(0x9E3779B97F4A7C15))
@@ -101,61 +115,110 @@ def signatures(hashes, percent: int):
         first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
         sums = np.add.reduceat(element, first)  # a subset's sum, so that an element is taken away by subtracting it
         mark = np.uint64(band) << np.uint64(40)
-        out.append(_mix(sums + _mix(seg[first].astype(np.uint64) + mark)))
+        here = [_mix(sums + _mix(seg[first].astype(np.uint64) + mark))]
         if (empty := segments - len(first)) > spare:
             counts = np.diff(np.append(first, len(seg)))
             several = np.repeat(counts > 1, counts)
-            out.append(_mix((np.repeat(sums, counts) - element + _mix(seg.astype(np.uint64) + mark))[several]))
+            here.append(_mix((np.repeat(sums, counts) - element + _mix(seg.astype(np.uint64) + mark))[several]))
             if 2 * empty > segments + spare:
-                out.append(_mix(np.array([mark + np.uint64(2**39)], np.uint64)))
-    return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
+                here.append(_mix(np.array([mark + np.uint64(2**39)], np.uint64)))
+        out.append(np.unique(np.concatenate(here)))
+        tags.append(np.full(len(out[-1]), band << 32 | max(spare - empty, 0), np.int64))
+    return (np.concatenate(out).view(np.int64), np.concatenate(tags)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def sets_of(df: DataFrame, *, n: int, percent: int) -> DataFrame:
-    """(doc_id, text_key, n_shingles, set_key, signatures) for each row."""
+class Grams:
+    """The n-grams of texts as sorted distinct 64-bit hashes; remembers the hashes of words."""
 
-    def run(frames):
+    def __init__(self, n: int):
+        self.n, self.known = n, {}
+
+    def of(self, text: str):
         import numpy as np
+        import xxhash
+
+        words = words_of(text)
+        if len(self.known) > 500_000:
+            self.known.clear()
+        for w in set(words).difference(self.known):
+            self.known[w] = xxhash.xxh3_64_intdigest(w)
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        k = min(self.n, len(words))
+        grams = np.zeros(max(len(words) - k + 1, 0) if k else 0, np.uint64)
+        for i in range(k):
+            grams = _mix(grams * np.uint64(0x100000001B3) + h[i : i + len(grams)] + np.uint64(k))
+        return np.unique(grams)
+
+
+def sets_of(df: DataFrame, *, n: int) -> DataFrame:
+    """(doc_id, text_key, n_bytes, n_shingles, set_key, node) for each row; node is the first half of set_key."""
+    names = ["doc_id", "text_key", "n_bytes", "n_shingles", "set_key", "node"]
+
+    def run(frames):
         import pandas as pd
         import xxhash
 
-        known: dict[bytes, int] = {}
+        grams = Grams(n)
         for frame in frames:
             rows = []
             for doc_id, key, text in zip(frame["doc_id"], frame["text_key"], frame["text"], strict=True):
-                words = words_of(text)
-                if len(known) > 500_000:
-                    known.clear()
-                for w in set(words).difference(known):
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-                h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                k = min(n, len(words))
-                grams = np.zeros(max(len(words) - k + 1, 0) if k else 0, np.uint64)
-                for i in range(k):
-                    grams = _mix(grams * np.uint64(0x100000001B3) + h[i : i + len(grams)] + np.uint64(k))
-                grams = np.unique(grams)
-                rows.append((doc_id, key, len(grams), xxhash.xxh3_128_digest(grams.tobytes()), signatures(grams, percent)))
-                if len(rows) >= 1000:
-                    yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_shingles", "set_key", "signatures"]).astype({"doc_id": "Int64"})
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_shingles", "set_key", "signatures"]).astype({"doc_id": "Int64"})
-
-    return df.mapInPandas(run, "doc_id long, text_key long, n_shingles long, set_key binary, signatures array<long>")
-
-
-def stars(index: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(a, b) that connect all classes with a common signature: index has (sig, cid).
-
-    Counts and least classes are taken before the shuffle.  A signature of two gives its edge at once; the others are
-    joined back, by broadcast if they are counted to be at most broadcast_rows.
+                g = grams.of(text)
+                digest = xxhash.xxh3_128_digest(g.tobytes())
+                rows.append((doc_id, key, len(text), len(g), digest, int.from_bytes(digest[:8], "little", signed=True)))
+            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+
+    return df.mapInPandas(run, "doc_id long, text_key long, n_bytes long, n_shingles long, set_key binary, node long")
+
+
+def index_of(df: DataFrame, *, n: int, percent: int) -> DataFrame:
+    """(sig, node, tag): the signatures of each task's distinct sets; see signatures()."""
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+        import xxhash
+
+        grams, seen, held = Grams(n), set(), []
+
+        def table():
+            sigs, tags, nodes = zip(*held, strict=True)
+            held.clear()
+            return pd.DataFrame({"sig": np.concatenate(sigs), "node": np.repeat(np.array(nodes, np.int64), [len(x) for x in sigs]), "tag": np.concatenate(tags)})
+
+        size = 0
+        for frame in frames:
+            for text in frame["text"]:
+                g = grams.of(text)
+                node = int.from_bytes(xxhash.xxh3_128_digest(g.tobytes())[:8], "little", signed=True)
+                if node in seen:
+                    continue
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(node)
+                sig, tag = signatures(g, percent)
+                held.append((sig, tag, node))
+                size += len(sig)
+                if size > BATCH:
+                    yield table()
+                    size = 0
+        if held:
+            yield table()
+
+    return df.select("text").mapInPandas(run, "sig long, node long, tag long")
+
+
+def candidates(index: DataFrame) -> DataFrame:
+    """(a, b): edges that connect all nodes with a common signature that both keep.
+
+    Lists of one node go at once, so that what is written is a small part of the index.
     """
-    groups = stored(index.groupBy("sig").agg(F.count("*").alias("n"), F.min("cid").alias("low"), F.max("cid").alias("high")).where("n > 1"), "signatures")
-    pairs = groups.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    more = groups.where("n > 2").select("sig", "low")
-    if more.count() <= broadcast_rows:
-        more = F.broadcast(more)
-    return pairs.unionByName(index.join(more, "sig").where("cid <> low").select(F.col("low").alias("a"), F.col("cid").alias("b"))).distinct()
+    of_sig = Window.partitionBy("sig")
+    new = (~F.col("node").eqNullSafe(F.lag("node").over(of_sig.orderBy("node")))).cast("int")
+    lists = index.withColumn("new", new).withColumn("n", F.sum("new").over(of_sig)).where("n > 1 AND new = 1").select("sig", "node", "tag", "n")
+    longest = Window.partitionBy("node", "tag").orderBy(F.desc("n"), "sig")
+    kept = stored(lists, "lists").withColumn("nth", F.row_number().over(longest)).where(F.col("nth") > F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF)))
+    so_far = Window.partitionBy("sig").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    return kept.select(F.min("node").over(so_far).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
 
 
 def linked(a: list, b: list | None, n: int, percent: int) -> list[tuple[int, int]]:
@@ -196,40 +259,82 @@ def linked(a: list, b: list | None, n: int, percent: int) -> list[tuple[int, int
     return out
 
 
-def verified(members: DataFrame, *, n: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """(a, b) links of classes: members has (cid, cluster, text); see linked()."""
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = members.join(sizes, "cluster").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    rows = rows.select("cluster", "cid", "text", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "cid", "text", "mine")
-
-    def run(key, frame):
-        import pandas as pd
-
-        frame = frame.sort_values("cid")
-        one = frame[frame["mine"] == key[1]]
-        two = None if key[1] == key[2] else frame[frame["mine"] == key[2]]
-        cids = [*one["cid"], *([] if two is None else two["cid"])]
-        found = linked(list(one["text"]), None if two is None else list(two["text"]), n, percent)
-        return pd.DataFrame([(cids[i], cids[j]) for i, j in found], columns=["a", "b"], dtype="int64")
+def verify(rows: DataFrame, *, n: int, percent: int) -> DataFrame:
+    """(a, b): links within each job (cluster, i, j), between its sides if it has two. rows: cluster, i, j, side, cid, text."""
 
-    return rows.groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long")
+    def run(frames):
+        import itertools
 
+        import pandas as pd
 
-def join_components(df: DataFrame, *, n: int = 5, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
+        rows = (r for f in frames for r in f.itertuples(index=False, name=None))
+        out = []
+        for _, job in itertools.groupby(rows, key=lambda r: r[:3]):
+            sides: tuple[list, list] = [], []
+            for _, _, _, side, cid, text in job:
+                sides[side].append((cid, text))
+            one, two = sides
+            cids = [c for c, _ in one + two]
+            out += [(cids[x], cids[y]) for x, y in linked([t for _, t in one], [t for _, t in two] or None, n, percent)]
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                out = []
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    # the jobs of a large cluster go to different tasks
+    dealt = rows.select("cluster", "i", "j", "side", "cid", "text").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "cid")
+    return dealt.mapInPandas(run, "a long, b long")
+
+
+def verified(members: DataFrame, texts: DataFrame, *, n: int, percent: int, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(a, b) links of classes whose components are those of all links. members: cluster, cid, n_bytes; texts: cid, text."""
+    many = lambda: F.ceil(F.greatest(F.count("*") / block, F.sum("n_bytes") / block_bytes)).cast("int")
+    sizes = stored(members.groupBy("cluster").agg(many().alias("blocks"), F.min("cid").alias("pivot")), "clusters")
+    large = broadcast_checked(sizes.where("blocks > 1"), ID_ROWS)
+    within = lambda blocks: F.pmod(F.xxhash64("cid"), blocks).cast("int")
+    nth = lambda x: F.lit(x).cast("int")
+    small = members.join(broadcast_checked(sizes.where("blocks = 1"), ID_ROWS), "cluster", "left_semi").select("cluster", nth(0).alias("i"), nth(-1).alias("j"), nth(0).alias("side"), "cid")
+    spread = members.join(large, "cluster")
+    pivots = spread.where("cid = pivot").select("cluster", F.explode(F.sequence(nth(1), F.col("blocks"))).alias("i"), nth(-1).alias("j"), nth(0).alias("side"), "cid")
+    others = spread.where("cid <> pivot").select("cluster", (within(F.col("blocks")) + 1).alias("i"), nth(-1).alias("j"), nth(1).alias("side"), "cid")
+    with_text = lambda jobs: jobs.join(texts, "cid")
+    first = stored(verify(with_text(small.unionByName(pivots).unionByName(others)), n=n, percent=percent), "links")
+    if sizes.where("blocks > 1").isEmpty():
+        return first
+    # those that link with their pivot need not be compared with each other
+    done = first.select(F.col("a").alias("pivot"), F.col("b").alias("cid"))
+    state = spread.join(done.withColumn("linked", F.lit(True)), ["pivot", "cid"], "left").withColumn("linked", F.coalesce("linked", F.col("cid") == F.col("pivot")))
+    state = stored(state.select("cluster", "cid", "n_bytes", "linked"), "states")
+    parts = state.groupBy("cluster", "linked").agg(many().alias("blocks")).groupBy("cluster").pivot("linked", [False, True]).agg(F.first("blocks"))
+    parts = stored(parts.where("`false` IS NOT NULL").select("cluster", F.col("false").alias("u"), F.coalesce("true", F.lit(0)).alias("r")), "clusters")
+    if parts.isEmpty():
+        return first
+    state = state.join(broadcast_checked(parts, ID_ROWS), "cluster")
+    left = state.where("NOT linked").withColumn("mine", within(F.col("u")))
+    pairs = left.select("cluster", "cid", "mine", F.explode(F.sequence(nth(0), F.col("u") - 1)).alias("other"))
+    pairs = pairs.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "cid")
+    known = state.where("linked").withColumn("mine", within(F.col("r")))
+    against = left.where("r > 0").select("cluster", F.col("mine").alias("i"), F.explode(F.sequence(F.col("u"), F.col("u") + F.col("r") - 1)).alias("j"), nth(0).alias("side"), "cid")
+    against = against.unionByName(known.select("cluster", F.explode(F.sequence(nth(0), F.col("u") - 1)).alias("i"), (F.col("u") + F.col("mine")).alias("j"), nth(1).alias("side"), "cid"))
+    return first.unionByName(verify(with_text(pairs.unionByName(against)), n=n, percent=percent))
+
+
+def join_components(df: DataFrame, *, n: int = 5, percent: int = 80, **blocks) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id) per row; text_key is xxhash64 of the text (null: empty)."""
     docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    sets = stored(sets_of(docs, n=n, percent=percent), "sets")
+    sets = stored(sets_of(docs, n=n), "sets")
     real = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("head"), F.first("signatures").alias("signatures"))
+    classes = real.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key", "n_bytes")).alias("head"), F.first("node").alias("node"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    index = classes.select(F.explode("signatures").alias("sig"), "cid")
-    clusters = components(compressed(stars(index, broadcast_rows))).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
-    members = stored(clusters.join(classes.select("cid", "head.doc_id", "head.text_key"), "cid"), "members")
-    if members.count() <= broadcast_rows:
-        members = F.broadcast(members)
-    texts = docs.join(members, ["doc_id", "text_key"]).dropDuplicates(["cid"]).select("cid", "cluster", "text")
-    merged = components(verified(texts, n=n, percent=percent))
+    index = index_of(docs.where("doc_id IS NOT NULL AND text <> ''"), n=n, percent=percent)
+    edges = stored(candidates(index), "edges")
+    clusters = components(compressed(edges)).select("node", F.col("component").alias("cluster"))
+    members = classes.join(clusters, "node").select("cluster", "cid", "head.doc_id", "head.text_key", "head.n_bytes")
+    members = stored(members, "members")
+    texts = docs.join(broadcast_checked(members.select("doc_id", "text_key", "cid"), ID_ROWS), ["doc_id", "text_key"]).groupBy("cid").agg(F.first("text").alias("text"))
+    links = stored(verified(members, stored(texts, "texts"), n=n, percent=percent, **blocks), "links")
+    merged = components(links)
+    released(edges)
     of = classes.select("set_key", "cid", F.col("head.doc_id").alias("first")).join(merged, F.col("cid") == F.col("node"), "left")
     of = of.select("set_key", "first", F.coalesce("component", "cid").alias("c"))
     least = of.groupBy("c").agg(F.min("first").alias("component_id"))
