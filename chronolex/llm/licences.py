@@ -13,60 +13,45 @@ column names other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolex.llm import licence_table
+
 #: Known sentences, normalised, and their identifiers.
-SENTENCES = {
-    "licensed under the apache license version 2 0": "apache2",
-    "licensed under the apache license version 2 0 the license": "apache2",
-    "you may not use this file except in compliance with the license": "apache-compliance",
-    "you may obtain a copy of the license at": "apache-copy",
-    "released under the mit license": "mit-name",
-    "this project is licensed under the mit license": "mit-name",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-notice",
-    "this work is licensed under the gnu general public license version 3": "gpl3",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
-    "licensed under cc by 4 0": "cc-by",
-    "licensed under cc by sa 4 0": "cc-by-sa",
-    "licensed under cc by nc 4 0": "cc-by-nc",
-    "this work is licensed under a creative commons attribution 4 0 international license": "cc-by",
-    "all rights reserved": "reserved",
-}
-#: In order: the sequence of identifiers and the licence it stands for.
-RULES = (
-    (("apache2", "apache-compliance", "apache-copy"), "Apache-2.0"),
-    (("mit-grant", "mit-notice"), "MIT"),
-    (("bsd-grant", "-", "bsd-name"), "BSD-3-Clause"),
-    (("bsd-grant", "bsd-name"), "BSD-3-Clause"),
-    (("bsd-grant",), "BSD-2-Clause"),
-    (("gpl3-later",), "GPL-3.0-or-later"),
-    (("gpl2-later",), "GPL-2.0-or-later"),
-    (("apache2",), "Apache-2.0"),
-    (("mit-name",), "MIT"),
-    (("mit-grant",), "MIT"),
-    (("gpl3",), "GPL-3.0-only"),
-    (("cc-by-nc",), "CC-BY-NC-4.0"),
-    (("cc-by-sa",), "CC-BY-SA-4.0"),
-    (("cc-by",), "CC-BY-4.0"),
-    (("reserved",), "All-rights-reserved"),
-)
-#: Every known sentence has one of these; texts without any are not cut at all.
-ANCHORS = "(?i)licen|copyright|permission|redistribut|rights"
+SENTENCES = {" ".join(re.findall("[a-z0-9]+", text.lower())): name for name, text in licence_table.SENTENCES}
+RULES = licence_table.RULES
+#: Words of which every known sentence has one; texts without any are not cut at all.
+ANCHOR_WORDS = ("licen", "copyright", "permission", "redistribut", "rights", "warrant", "software", "mpl was")
+ANCHORS = "(?i)" + "|".join(ANCHOR_WORDS)
 SPACE = r"[ \t\n\r\f]"
 
 
+def _runs() -> list[tuple[str, str]]:
+    """(pattern, identifier) of the sentences, the longest first; one with a stop inside stands over several of the cuts."""
+    made = {}
+    for name, text in licence_table.SENTENCES:
+        parts = [" ".join(re.findall("[a-z0-9]+", x.lower())) for x in re.split(r"(?<=[.!?])\s+", text)]
+        made["(?m)^" + "\n+".join(x.replace(" ", "[ \n]") for x in parts if x) + "$"] = name
+    return sorted(made.items(), key=lambda x: -len(x[0]))
+
+
 def sentence_ids(text: Column) -> Column:
-    """An array with the identifier of each sentence in order, `-` for an unknown one; empty sentences are left out."""
+    """An array with the identifier of each sentence in order, `-` for an unknown one; empty sentences are left out.
+
+    A sentence's first two words are looked for before its pattern is tried, in one pass over the text for all of them.
+    """
     lines = F.regexp_replace(F.lower(F.regexp_replace(text, rf"([.!?]){SPACE}+", "$1\n\n")), "[^a-z0-9\n]+", " ")
     found = F.trim(F.regexp_replace(lines, " ?\n ?", "\n"))
-    for plain, name in sorted(SENTENCES.items(), key=lambda x: -len(x[0])):
-        found = F.regexp_replace(found, "(?m)^" + plain.replace(" ", "[ \n]") + "$", f"={name}")
-    pieces = F.transform(F.filter(F.split(found, "\n"), lambda s: s != ""), lambda s: F.when(s.startswith("="), F.substr(s, F.lit(2))).otherwise(F.lit("-")))
+    begins = sorted({" ".join(plain.split(" ")[:2]) for plain in SENTENCES})
+    may = found.rlike("(?m)^(?:" + "|".join(x.replace(" ", "[ \n]") for x in begins) + ")\\b")
+    marked = found
+    for pattern, name in _runs():
+        marked = F.regexp_replace(marked, pattern, f"={name}")
+    marked = F.when(may, marked).otherwise(found)
+    pieces = F.transform(F.filter(F.split(marked, "\n"), lambda s: s != ""), lambda s: F.when(s.startswith("="), F.substr(s, F.lit(2))).otherwise(F.lit("-")))
     return F.when(text.rlike(ANCHORS), pieces).otherwise(F.array().cast("array<string>"))
 
 
