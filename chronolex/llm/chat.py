@@ -85,12 +85,12 @@ def read_turns(formatted: Column) -> Column:
 
 
 def digests(df: DataFrame) -> DataFrame:
-    """Per conversation what is read back from the blocks and the examples."""
+    """Per conversation what is read back from the blocks and the examples; context_chars is the sum over the examples."""
     blocks = format_blocks(df)
     turns = F.array_join(F.transform(read_turns(F.col("formatted")), lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     none = F.lit(None)
-    a = blocks.select("conv_id", "block", F.size(read_turns(F.col("formatted"))).cast("long").alias("n"), "formatted_chars", turns.alias("turns"), none.cast("string").alias("reply"), none.cast("long").alias("at"))
-    b = examples(blocks).select("conv_id", "block", none.cast("long").alias("n"), none.cast("long").alias("formatted_chars"), none.cast("string").alias("turns"), "reply", F.col("loss_start").alias("at"))
+    a = blocks.select("conv_id", "block", F.size(read_turns(F.col("formatted"))).cast("long").alias("n"), "formatted_chars", turns.alias("turns"), none.cast("string").alias("reply"), none.cast("long").alias("at"), none.cast("long").alias("context"))
+    b = examples(blocks).select("conv_id", "block", none.cast("long").alias("n"), none.cast("long").alias("formatted_chars"), none.cast("string").alias("turns"), "reply", F.col("loss_start").alias("at"), F.col("context_chars").alias("context"))
     joined = lambda name, *order: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(name).isNotNull(), F.struct(*order, name)))), lambda x: x[name]), "")
-    out = a.unionByName(b).groupBy("conv_id").agg(F.sum("n").alias("n_turns"), joined("turns", "block").alias("t"), joined("reply", "block", "at").alias("l"), F.sum("formatted_chars").alias("formatted_chars"))
-    return out.select("conv_id", "n_turns", F.sha2("t", 256).alias("turns_sha256"), F.length("l").cast("long").alias("loss_chars"), F.sha2("l", 256).alias("loss_sha256"), "formatted_chars")
+    out = a.unionByName(b).groupBy("conv_id").agg(F.sum("n").alias("n_turns"), joined("turns", "block").alias("t"), joined("reply", "block", "at").alias("l"), F.sum("formatted_chars").alias("formatted_chars"), F.coalesce(F.sum("context"), F.lit(0)).alias("context_chars"))
+    return out.select("conv_id", "n_turns", F.sha2("t", 256).alias("turns_sha256"), F.length("l").cast("long").alias("loss_chars"), F.sha2("l", 256).alias("loss_sha256"), "formatted_chars", "context_chars")

@@ -84,14 +84,15 @@ ORACLES: dict[str, str] = {
         WITH t AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
-        )
+        ),
+        f AS (SELECT *, length(role) + 1 + length(text) + len(regexp_extract_all(text, '[\[<]\\*/?(?:INST\]|s>)')) + CASE role WHEN 'assistant' THEN 7 ELSE 13 END AS chars FROM t),
+        p AS (SELECT *, coalesce(sum(chars) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
         SELECT conv_id, count(*) AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-               sum(length(role) + 1 + length(text) + len(regexp_extract_all(text, '[\[<]\\*/?(?:INST\]|s>)'))
-                   + CASE role WHEN 'assistant' THEN 7 ELSE 13 END)::BIGINT AS formatted_chars
-        FROM t GROUP BY conv_id
+               sum(chars)::BIGINT AS formatted_chars, coalesce(sum(before) FILTER (role = 'assistant'), 0)::BIGINT AS context_chars
+        FROM p GROUP BY conv_id
     """,
     "op6_licence_scan": _licence_sql(),
     "op1_warc_archive": """

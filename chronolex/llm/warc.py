@@ -159,10 +159,8 @@ def dechunk(body: bytes) -> bytes | None:
     out, at = [], 0
     while True:
         end = body.find(b"\r\n", at)
-        try:
-            size = int(body[at:end].split(b";")[0], 16) if end >= 0 else -1
-        except ValueError:
-            size = -1
+        digits = body[at:end].split(b";")[0].rstrip(b" \t") if end >= 0 else b""
+        size = int(digits, 16) if 0 < len(digits) <= 16 and digits.isalnum() and not digits.strip(b"0123456789abcdefABCDEF") else -1
         if size < 0 or end + 2 + size > len(body):
             return None
         if not size:
