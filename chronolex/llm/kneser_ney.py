@@ -11,24 +11,33 @@ a model flatters what it was trained on, or from all trusted texts of a language
 
 Scoring joins each text's n-grams with the model.  The model is a vocabulary of short character sequences, which
 saturates; if it is counted to have at most MODEL_ROWS rows, it is sent to the tasks as sorted arrays and looked up
-there; else the n-grams of the documents are shuffled to the shards of the model (score_joined).  Both give the same.
-
-Symbols: runs of white space are one space, digits are 0, code points from 3072 on share 1000 symbols.  Defined results:
-a null or blank text has a null perplexity and is not kept; a null language is `und`; a language without trusted text
-has no model, so its documents have a null perplexity and threshold and are kept; repeated rows are scored each for
-itself; without any trusted text every document is kept but the blank ones.
+there; else the n-grams of the documents are shuffled to the shards of the model (score_joined).  Both read the same
+single-precision numbers and add them in double precision.
+
+Symbols: runs of white space are one space, digits are 0; each language has the SYMBOLS most frequent characters of its
+trusted text as symbols of their own, and one for all others.  Defined results: a null or blank text has a null
+perplexity and is not kept; a null language is `und`; a language without trusted text has no model, so its documents
+have a null perplexity and threshold and are kept; repeated rows are scored each for itself; without any trusted text
+every document is kept but the blank ones; an empty table gives no rows; a column of the input that has the name of one
+that is added is replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import semi_join_checked, stored
+from chronolex.llm.common import broadcast_checked, semi_join_checked, stored
 
 ORDER = 5
 BITS = 12
 START = 4095
+#: Symbols from 1 on are a language's characters, 0 is any other.
+SYMBOLS = 4094
 #: Rows of the model that are sent to the tasks: 16 bytes each.
 MODEL_ROWS = 8_000_000
 #: Labelled ids that are broadcast: 16 bytes each.
@@ -43,21 +52,43 @@ LANGUAGES = 10_000
 HELD_OUT = 4
 
 
-def symbols(text: str):
-    """The text's symbols, as unsigned 64-bit integers."""
+def code_points(text: str):
+    """The text's code points, with single spaces and 0 for digits."""
     import re
 
-    import numpy as np
+    text = re.sub("[0-9]", "0", " ".join(text.split()))
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def symbols(text: str, alphabet):
+    """The text's symbols, as unsigned 64-bit integers; alphabet: sorted code points."""
+    codes = code_points(text)
+    at = np.minimum(np.searchsorted(alphabet, codes), len(alphabet) - 1)
+    return np.where(alphabet[at] == codes, at + 1, 0).astype(np.uint64)
 
-    text = " ".join(text.split())
-    codes = np.frombuffer(re.sub("[0-9]", "0", text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    return np.where(codes < 3072, codes, np.uint64(3072) + codes * np.uint64(2654435761) % np.uint64(1000))
+
+def alphabets(texts: DataFrame, *, size: int = SYMBOLS) -> dict:
+    """{language: its `size` most frequent code points, sorted}, from (lang, text); 16 KB a language at most."""
+
+    def run(frames):
+        counts: dict = {}
+        for frame in frames:
+            for lang, part in frame.groupby("lang"):
+                codes, n = np.unique(np.concatenate([code_points(x) for x in part["text"]]), return_counts=True)
+                mine = counts.setdefault(lang, {})
+                for c, k in zip(codes.tolist(), n.tolist(), strict=True):
+                    mine[c] = mine.get(c, 0) + k
+        for lang, mine in counts.items():
+            yield pd.DataFrame({"lang": lang, "code": list(mine), "n": list(mine.values())})
+
+    counted = texts.mapInPandas(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= size)
+    rows = ranked.groupBy("lang").agg(F.sort_array(F.collect_list("code")).alias("codes")).collect()
+    return {r["lang"]: np.array(r["codes"], np.uint32) for r in rows}
 
 
 def grams(syms, order: int = ORDER):
     """For each symbol the packed n-gram that ends with it; START stands before the text."""
-    import numpy as np
-
     padded = np.concatenate([np.full(order - 1, START, np.uint64), syms])
     out = np.zeros(len(syms), np.uint64)
     for i in range(order):
@@ -67,15 +98,11 @@ def grams(syms, order: int = ORDER):
 
 def blocks(n: int):
     """The block of each of n symbols: HALF_WINDOW symbols each, and the last one up to twice as many."""
-    import numpy as np
-
     return np.minimum(np.arange(n) // HALF_WINDOW, max(n // HALF_WINDOW - 1, 0))
 
 
 def worst_window(logp) -> float:
     """The perplexity of the worst window of a text, from the log probabilities of its symbols."""
-    import numpy as np
-
     at = blocks(len(logp))
     sums, sizes = np.bincount(at, logp), np.bincount(at)
     if len(sums) > 1:
@@ -87,14 +114,12 @@ def language(c: str = "lang") -> Column:
     return F.coalesce(F.col(c), F.lit("und"))
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """(lang, text) -> (lang, gram, c), counted within tasks first."""
+def count_grams(texts: DataFrame, known: dict) -> DataFrame:
+    """(lang, text) -> (lang, gram, c), counted within tasks first. known: alphabets()."""
 
     def run(frames):
-        import numpy as np
-        import pandas as pd
-
         held: dict = {}
+        none = np.zeros(1, np.uint32)
 
         def table():
             for lang, (g, c) in held.items():
@@ -103,7 +128,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
         for frame in frames:
             for lang, part in frame.groupby("lang"):
-                new = [grams(symbols(x)) for x in part["text"]]
+                new = [grams(symbols(x, known.get(lang, none))) for x in part["text"]]
                 g, c = np.unique(np.concatenate(new), return_counts=True)
                 if lang in held:
                     both = np.concatenate([held[lang][0], g])
@@ -123,9 +148,10 @@ def _cut(c: Column | str, order: int) -> Column:
     return F.col(c).bitwiseAND(F.lit((1 << (BITS * order)) - 1)) if isinstance(c, str) else c.bitwiseAND(F.lit((1 << (BITS * order)) - 1))
 
 
-def train(texts: DataFrame) -> DataFrame:
-    """The model of (lang, text): lang, n (order), gram, logp, bow (log weight of the next order after it, or null)."""
-    tables = {ORDER: stored(count_grams(texts), "grams")}
+def train(texts: DataFrame, known: dict) -> DataFrame:
+    """The model of (lang, text): lang, n (order), gram, logp, bow (log weight of the next order after it, or null), in
+    single precision. known: alphabets()."""
+    tables = {ORDER: stored(count_grams(texts, known), "grams")}
     for n in range(ORDER - 1, 0, -1):
         # how many different symbols stand before it; n-grams that begin with START have no such count beyond one
         tables[n] = stored(tables[n + 1].select("lang", _cut("gram", n).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("c")), "grams")
@@ -157,8 +183,8 @@ def train(texts: DataFrame) -> DataFrame:
     sizes = tables[1].groupBy("lang").agg(F.count("*").alias("types"))
     # order 0 is uniform over the symbols and one for all others
     empty = empty.join(sizes, "lang").select("lang", "n", "gram", (-F.log(F.col("types") + 1.0)).alias("logp"), "bow")
-    rest = model.select("lang", "n", "gram", F.log("p").alias("logp")).join(bows.where("n > 0"), ["lang", "n", "gram"], "full")
-    return stored(empty.unionByName(rest.select("lang", "n", "gram", "logp", "bow")), "model")
+    rest = model.select("lang", "n", "gram", F.log("p").alias("logp")).join(bows.where("n > 0"), ["lang", "n", "gram"], "full").select("lang", "n", "gram", "logp", "bow")
+    return stored(empty.unionByName(rest).select("lang", "n", "gram", F.col("logp").cast("float").alias("logp"), F.col("bow").cast("float").alias("bow")), "model")
 
 
 def packed(model: DataFrame, *, shards: int = 16) -> dict:
@@ -166,9 +192,6 @@ def packed(model: DataFrame, *, shards: int = 16) -> dict:
     shard = F.when(F.col("n") >= 3, F.pmod(F.xxhash64("gram"), F.lit(shards))).otherwise(0).cast("int")
 
     def pack(frame):
-        import numpy as np
-        import pandas as pd
-
         frame = frame.sort_values("gram")
         columns = (frame["gram"].to_numpy(np.int64), frame["logp"].to_numpy(np.float32), frame["bow"].fillna(0.0).to_numpy(np.float32))
         return pd.DataFrame([(frame["lang"].iloc[0], int(frame["n"].iloc[0]), *(x.tobytes() for x in columns))], columns=["lang", "n", "g", "p", "b"])
@@ -186,8 +209,6 @@ class Tables:
     _known: dict = {}
 
     def __init__(self, orders: dict):
-        import numpy as np
-
         self.orders = {}
         for n, parts in orders.items():
             g, p, b = (np.concatenate([np.frombuffer(x[i], kind) for x in parts]) for i, kind in enumerate((np.int64, np.float32, np.float32)))
@@ -204,16 +225,12 @@ class Tables:
         return cls._known.get(lang)
 
     def _find(self, n: int, g):
-        import numpy as np
-
         keys = self.orders[n][0] if n in self.orders else np.empty(0, np.int64)
         at = np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))
         return at, (keys[at] == g if len(keys) else np.zeros(len(g), bool))
 
     def logp(self, g, n: int = ORDER):
         """Log probabilities of packed n-grams, best in ascending order."""
-        import numpy as np
-
         g = g & ((1 << (BITS * n)) - 1)
         at, there = self._find(n, g)
         out = np.where(there, self.orders[n][1][at] if n in self.orders else 0.0, np.nan).astype(np.float64)
@@ -225,76 +242,75 @@ class Tables:
 
 
 #: Symbols of one language that are scored together: n-grams that many texts share are looked up once.
-RUN_SYMBOLS = 1_000_000
+RUN_SYMBOLS = 500_000
+
 
+def score(docs: DataFrame, model: DataFrame, known: dict, *, model_rows: int = MODEL_ROWS) -> DataFrame:
+    """docs, which must have lang and text, with n_symbols, perplexity and worst, the worst window's perplexity.
 
-def score(docs: DataFrame, model: DataFrame, *, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """docs with n_symbols, perplexity and worst, the worst window's; docs must have lang (not null) and text."""
-    if model.count() > model_rows:
-        return score_joined(docs, model)
-    sent = docs.sparkSession.sparkContext.broadcast(packed(model))
-    kept = [f"`{c}` {t}" for c, t in docs.dtypes if c not in ("n_symbols", "perplexity", "worst", "text")]
+    Only language and text go to Python and only numbers come back; the rows wait in Spark.
+    """
+    docs = docs.drop("n_symbols", "perplexity", "worst")
+    if model.limit(model_rows + 1).count() > model_rows:
+        return score_joined(docs, model, known)
+    sent = docs.sparkSession.sparkContext.broadcast((packed(model), known))
 
     def perplexities(tables, texts):
         """(whole text, worst window) of texts, which have symbols."""
-        import numpy as np
-
         g, inverse = np.unique(np.concatenate([grams(x) for x in texts]), return_inverse=True)
         each = tables.logp(g)[inverse]
         parts = np.split(each, np.cumsum([len(x) for x in texts])[:-1])
         return [(np.exp(-x.mean()), worst_window(x)) for x in parts]
 
-    def run(frames):
-        import numpy as np
-
-        for frame in frames:
-            sizes, values = np.zeros(len(frame), np.int64), np.full((len(frame), 2), np.nan)
+    @F.pandas_udf("n_symbols long, perplexity double, worst double")
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        models, known = sent.value
+        none = np.zeros(1, np.uint32)
+        for langs, texts in batches:
+            sizes, values = np.zeros(len(langs), np.int64), np.full((len(langs), 2), np.nan)
             waiting: dict = {}
 
-            def flush(lang, sizes=sizes, values=values, waiting=waiting):
-                places, texts = zip(*waiting.pop(lang), strict=True)
-                values[list(places)] = perplexities(Tables.of(sent.value, lang), texts)
+            def flush(lang, values=values, waiting=waiting):
+                places, some = zip(*waiting.pop(lang), strict=True)
+                values[list(places)] = perplexities(Tables.of(models, lang), some)
 
-            for i, (lang, text) in enumerate(zip(frame["lang"], frame["text"], strict=True)):
-                syms = symbols(text) if isinstance(text, str) else ()
+            for i, (lang, text) in enumerate(zip(langs, texts, strict=True)):
+                syms = symbols(text or "", known.get(lang, none))
                 sizes[i] = len(syms)
-                if len(syms) and lang in sent.value:
+                if len(syms) and lang in models:
                     waiting.setdefault(lang, []).append((i, syms))
                     if sum(len(x) for _, x in waiting[lang]) > RUN_SYMBOLS:
                         flush(lang)
             for lang in list(waiting):
                 flush(lang)
-            frame = frame.drop(columns="text").assign(n_symbols=sizes)
-            for i, name in enumerate(("perplexity", "worst")):
-                frame[name] = values[:, i].astype(object)
-                frame[name] = frame[name].where(~np.isnan(values[:, i]), None)
-            yield frame
+            yield pd.DataFrame({"n_symbols": sizes, "perplexity": values[:, 0], "worst": values[:, 1]})
 
-    return docs.mapInPandas(run, ", ".join([*kept, "n_symbols long, perplexity double, worst double"]))
+    rows = docs.withColumn("__scored", scored(language(), "text"))
+    return rows.select(*docs.columns, "__scored.n_symbols", "__scored.perplexity", "__scored.worst")
 
 
-def score_joined(docs: DataFrame, model: DataFrame) -> DataFrame:
+def score_joined(docs: DataFrame, model: DataFrame, known: dict) -> DataFrame:
     """score() for a model of any size: the documents' n-grams, counted per block, are joined with its shards."""
 
     def run(frames):
-        import pandas as pd
-
+        none = np.zeros(1, np.uint32)
         for frame in frames:
             for row, lang, text in zip(frame["row"], frame["lang"], frame["text"], strict=True):
-                g = grams(symbols(text or ""))
+                g = grams(symbols(text or "", known.get(lang, none)))
                 counted = pd.DataFrame({"block": blocks(len(g)), "gram": g}).groupby(["block", "gram"], as_index=False).size().rename(columns={"size": "c"})
                 counted.insert(0, "row", row)
                 counted.insert(1, "lang", lang)
                 yield counted
 
     docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    rows = docs.select("row", "lang", "text").mapInPandas(run, "row long, lang string, block long, gram long, c long")
+    own = language()
+    rows = docs.select("row", own.alias("lang"), "text").mapInPandas(run, "row long, lang string, block long, gram long, c long")
     value = None
     for n in range(ORDER + 1):
         part = model.where(F.col("n") == n)
-        rows = rows.withColumn("k", _cut("gram", n)).join(part.select("lang", F.col("gram").alias("k"), F.col("logp").alias(f"l{n}")), ["lang", "k"], "left")
+        rows = rows.withColumn("k", _cut("gram", n)).join(part.select("lang", F.col("gram").alias("k"), F.col("logp").cast("double").alias(f"l{n}")), ["lang", "k"], "left")
         if n:
-            context = model.where(F.col("n") == n - 1).select("lang", F.col("gram").alias("k"), F.col("bow").alias(f"b{n}"))
+            context = model.where(F.col("n") == n - 1).select("lang", F.col("gram").alias("k"), F.col("bow").cast("double").alias(f"b{n}"))
             rows = rows.withColumn("k", F.shiftrightunsigned(_cut("gram", n), BITS)).join(context, ["lang", "k"], "left")
         value = F.col("l0") if value is None else F.coalesce(F.col(f"l{n}"), F.coalesce(F.col(f"b{n}"), F.lit(0.0)) + value)
     sums = stored(rows.groupBy("row", "block").agg(F.sum("c").alias("c"), F.sum(F.col("c") * value).alias("s")), "blocks")
@@ -303,24 +319,27 @@ def score_joined(docs: DataFrame, model: DataFrame) -> DataFrame:
     windows = sums.withColumn("window", F.explode(F.array(F.col("block"), F.col("block") + 1))).groupBy("row", "window").agg((-F.sum("s") / F.sum("c")).alias("mean"))
     windows = windows.join(whole.select("row", "last"), "row").where((F.col("last") == 0) | F.col("window").between(F.lit(1), F.col("last")))
     sums = whole.drop("last").join(windows.groupBy("row").agg(F.exp(F.max("mean")).alias("worst")), "row")
-    return docs.drop("text", "n_symbols", "perplexity", "worst").join(sums, "row", "left").drop("row").withColumn("n_symbols", F.coalesce("n_symbols", F.lit(0)))
+    return docs.join(sums, "row", "left").drop("row").withColumn("n_symbols", F.coalesce("n_symbols", F.lit(0)))
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, keep_text_key: bool = False) -> DataFrame:
-    """docs (doc_id, text, lang, ...) without text, with n_symbols, perplexity, score, threshold and keep, and with
-    text_key, the xxhash64 of the text, if asked for.
+def judge(docs: DataFrame, labels: DataFrame, *, upper: float = UPPER) -> DataFrame:
+    """docs (doc_id, text, lang, ...) with n_symbols, perplexity, score, threshold and keep.
 
-    There is one threshold per language; up to LANGUAGES of them are broadcast.
+    The thresholds come first, from the held-out trusted texts alone, so the documents are read once more and judged
+    where they are: no text is shuffled or stored.  There is one threshold per language; up to LANGUAGES of them are
+    broadcast.
     """
-    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    docs = docs.drop("n_symbols", "perplexity", "score", "threshold", "keep")
     good = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    docs = docs.withColumn("own_lang", F.col("lang")).withColumn("lang", language())
-    held = F.pmod("text_key", F.lit(HELD_OUT)) == 0
-    trusted = semi_join_checked(docs.select("doc_id", "lang", "text", "text_key").where("text IS NOT NULL"), good, "doc_id", LABEL_ROWS)
-    scored = stored(score(docs, train(trusted.where(~held).select("lang", "text"))), "perplexities")
-    base = semi_join_checked(scored.where("worst IS NOT NULL").select("doc_id", "lang", "worst", "text_key"), good, "doc_id", LABEL_ROWS)
-    limit = F.coalesce(*[F.percentile_approx(x, F.lit(UPPER), F.lit(10000)) for x in (F.when(held, F.col("worst")), F.col("worst"))])
-    limits = stored(base.groupBy("lang").agg(limit.alias("threshold")), "limits")
-    out = scored.join(F.broadcast(limits) if limits.count() <= LANGUAGES else limits, "lang", "left").withColumnRenamed("worst", "score")
-    keep = F.when(F.col("n_symbols") == 0, F.lit(False)).otherwise(F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)))
-    return out.withColumn("keep", keep).drop("lang", *([] if keep_text_key else ["text_key"])).withColumnRenamed("own_lang", "lang")
+    texts = docs.select("doc_id", language().alias("lang"), "text").where("text IS NOT NULL")
+    trusted = semi_join_checked(texts, good, "doc_id", LABEL_ROWS).withColumn("held", F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0)
+    own = trusted.where("NOT held").select("lang", "text")
+    known = alphabets(own)
+    model = train(own, known)
+    quantile = lambda rows: score(rows, model, known).where("worst IS NOT NULL").groupBy("lang").agg(F.percentile_approx("worst", F.lit(upper), F.lit(10000)).alias("threshold"))
+    limits = stored(quantile(trusted.where("held").select("lang", "text")), "limits")
+    rest = own.join(broadcast_checked(limits.select("lang"), LANGUAGES), "lang", "left_anti")
+    limits = stored(limits.unionByName(quantile(rest)), "limits") if not rest.isEmpty() else limits
+    limits = broadcast_checked(limits.select(F.col("lang").alias("__limit_of"), "threshold"), LANGUAGES)
+    out = score(docs, model, known).join(limits, language() == F.col("__limit_of"), "left").drop("__limit_of").withColumnRenamed("worst", "score")
+    return out.withColumn("keep", F.when(F.col("n_symbols") == 0, F.lit(False)).otherwise(F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True))))
