@@ -9,27 +9,28 @@ from chronolex.llm import bpe, common, jaccard, kneser_ney, lsa, pii
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of at most the perplexity that their language allows."""
-    judged = kneser_ney.judge(docs.select("doc_id", "text", "lang"), common.table(spark, sf_dir, "labels"), keep_text_key=True)
-    kept = judged.where("keep").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.coalesce("lang", F.lit("und")).alias("l")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("k")) & (F.coalesce("lang", F.lit("und")) == F.col("l"))
-    return docs.join(kept, same, "left_semi")
+    """Documents of at most the perplexity that their language allows; blank and null texts go, repeated rows are judged
+    alike, an empty table stays one."""
+    renamed = {c: f"_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang")}
+    judged = kneser_ney.judge(docs.withColumnsRenamed(renamed), common.table(spark, sf_dir, "labels"))
+    return judged.where("keep").select(*[F.col(renamed.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component of links, and all that no link reaches."""
+    """The document with the least id of each component of links, and all that no link reaches; of repeated rows with one
+    id all stay or go; blank texts and rows without an id have no links."""
     found = jaccard.join_components(docs, n=5, percent=80)
     gone = common.stored(found.where("component_id < doc_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return common.semi_join_checked(docs, gone, "doc_id", common.ID_ROWS, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage; blank texts have none."""
     return lsa.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their personal data replaced by the kind of it."""
+    """All documents, with their personal data replaced by the kind of it; n_chars is counted anew (null text: null)."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
