@@ -302,9 +302,9 @@ def score_joined(docs: DataFrame, model: DataFrame, known: dict) -> DataFrame:
                 counted.insert(1, "lang", lang)
                 yield counted
 
-    docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    docs = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     own = language()
-    rows = docs.select("row", own.alias("lang"), "text").mapInPandas(run, "row long, lang string, block long, gram long, c long")
+    rows = docs.select(F.col("__row").alias("row"), own.alias("lang"), "text").mapInPandas(run, "row long, lang string, block long, gram long, c long")
     value = None
     for n in range(ORDER + 1):
         part = model.where(F.col("n") == n)
@@ -319,7 +319,7 @@ def score_joined(docs: DataFrame, model: DataFrame, known: dict) -> DataFrame:
     windows = sums.withColumn("window", F.explode(F.array(F.col("block"), F.col("block") + 1))).groupBy("row", "window").agg((-F.sum("s") / F.sum("c")).alias("mean"))
     windows = windows.join(whole.select("row", "last"), "row").where((F.col("last") == 0) | F.col("window").between(F.lit(1), F.col("last")))
     sums = whole.drop("last").join(windows.groupBy("row").agg(F.exp(F.max("mean")).alias("worst")), "row")
-    return docs.join(sums, "row", "left").drop("row").withColumn("n_symbols", F.coalesce("n_symbols", F.lit(0)))
+    return docs.join(sums.withColumnRenamed("row", "__row"), "__row", "left").drop("__row").withColumn("n_symbols", F.coalesce("n_symbols", F.lit(0)))
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, upper: float = UPPER) -> DataFrame:

