@@ -585,18 +585,68 @@ def test_pii_patterns_found_by_found_instances(spark):
     assert pii.score_patterns(docs(spark, edges, "pattern string, instance string, kind string").where("kind IS NULL")).count() == 0
 
 
-def test_pipeline_stages(spark):
+def plain_overlap(words, passage):
+    """The best share of passage that is a common subsequence with a stretch of words."""
+    span, best = len(passage) + len(passage) // 2 + 2, 0
+    for k in range(0, max(1, len(words) - len(passage) // 2), max(1, len(passage) // 4)):
+        row = [0] * (len(passage) + 1)
+        for x in words[k : k + span]:
+            last = 0
+            for j, y in enumerate(passage, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        best = max(best, row[-1])
+    return best / len(passage)
+
+
+def test_pipeline_stages_against_plain_versions(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs_ = common.table(spark, SF, "documents")
-    n, names = docs_.count(), docs_.columns
+    tiktoken = pytest.importorskip("tiktoken")
     assert len(corpus_pipeline.STAGES) == 5
+    tables = [common.table(spark, SF, "documents")]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        docs_ = common.stored(stage(spark, docs_, SF), "stage")
-        assert 0 < docs_.count() <= n
-        n = docs_.count()
-        if k < 4:
-            assert docs_.columns == names
-    assert docs_.where("NOT round_trip").count() == 0
+        tables.append(common.stored(stage(spark, tables[-1], SF), "stage"))
+        assert k == 4 or tables[-1].columns == tables[0].columns
+    start, kept, unique, clean, redacted, out = ([r.asDict() for r in x.collect()] for x in tables)
+    ids = lambda rows: {r["doc_id"] for r in rows}
+    keeps = {r["doc_id"] for r in kneser_ney.judge(tables[0], common.table(spark, SF, "labels")).where("keep").collect()}
+    assert ids(kept) == keeps
+    assert ids(unique) < ids(kept) < ids(start)
+    # one document of each component of links of five words at 0.8
+    sets = {r["doc_id"]: set(jaccard.shingles(jaccard.words_of(r["text"] or ""), 5)) for r in kept}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in sets:
+        for y in sets:
+            if x < y and sets[x] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]) and (p := find(x)) != (q := find(y)):
+                root[max(p, q)] = min(p, q)
+    assert ids(unique) == {d for d in sets if find(d) == d}
+    # documents with a benchmark passage go
+    items = [lsa.words_of(r["text"]) for r in common.table(spark, SF, "benchmark").collect()]
+    held = set()
+    for r in unique:
+        words = lsa.words_of(r["text"])
+        if any(len(set(words) & set(i)) >= 0.6 * len(set(i)) and plain_overlap(words, i) >= lsa.COPY for i in items if i):
+            held.add(r["doc_id"])
+    assert ids(clean) <= ids(unique) - held
+    assert len(ids(unique) - held - ids(clean)) <= 0.02 * len(unique)
+    # base spans are gone, and texts without any, and without secrets, stay as they are
+    before = {r["doc_id"]: r["text"] for r in clean}
+    for r in redacted:
+        if not any(base_spans(before[r["doc_id"]]).values()) and "=" not in before[r["doc_id"]]:
+            assert r["text"] == before[r["doc_id"]]
+        assert not any(base_spans(r["text"]).values())
+        assert r["n_chars"] == len(r["text"])
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    texts = {r["doc_id"]: r["text"] for r in redacted}
+    assert ids(out) == ids(redacted)
+    for r in out:
+        assert r["round_trip"]
+        assert bytes(r["ids"]) == b"".join(x.to_bytes(4, "little") for x in library.encode_ordinary(texts[r["doc_id"]]))
 
 
 def test_jaccard_index_loses_no_link():
