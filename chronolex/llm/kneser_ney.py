@@ -245,15 +245,22 @@ class Tables:
 RUN_SYMBOLS = 500_000
 
 
-def score(docs: DataFrame, model: DataFrame, known: dict, *, model_rows: int = MODEL_ROWS) -> DataFrame:
+def sent_model(model: DataFrame, known: dict, model_rows: int = MODEL_ROWS):
+    """The packed model and alphabets as a broadcast; None if the model is counted to have more than model_rows rows."""
+    if model.limit(model_rows + 1).count() > model_rows:
+        return None
+    return model.sparkSession.sparkContext.broadcast((packed(model), known))
+
+
+def score(docs: DataFrame, model: DataFrame, known: dict, *, model_rows: int = MODEL_ROWS, sent=None) -> DataFrame:
     """docs, which must have lang and text, with n_symbols, perplexity and worst, the worst window's perplexity.
 
-    Only language and text go to Python and only numbers come back; the rows wait in Spark.
+    Only language and text go to Python and only numbers come back; the rows wait in Spark. sent: sent_model(), if there
+    is one already.
     """
     docs = docs.drop("n_symbols", "perplexity", "worst")
-    if model.limit(model_rows + 1).count() > model_rows:
+    if sent is None and (sent := sent_model(model, known, model_rows)) is None:
         return score_joined(docs, model, known)
-    sent = docs.sparkSession.sparkContext.broadcast((packed(model), known))
 
     def perplexities(tables, texts):
         """(whole text, worst window) of texts, which have symbols."""
@@ -336,10 +343,11 @@ def judge(docs: DataFrame, labels: DataFrame, *, upper: float = UPPER) -> DataFr
     own = trusted.where("NOT held").select("lang", "text")
     known = alphabets(own)
     model = train(own, known)
-    quantile = lambda rows: score(rows, model, known).where("worst IS NOT NULL").groupBy("lang").agg(F.percentile_approx("worst", F.lit(upper), F.lit(10000)).alias("threshold"))
+    sent = sent_model(model, known)
+    quantile = lambda rows: score(rows, model, known, sent=sent).where("worst IS NOT NULL").groupBy("lang").agg(F.percentile_approx("worst", F.lit(upper), F.lit(10000)).alias("threshold"))
     limits = stored(quantile(trusted.where("held").select("lang", "text")), "limits")
     rest = own.join(broadcast_checked(limits.select("lang"), LANGUAGES), "lang", "left_anti")
     limits = stored(limits.unionByName(quantile(rest)), "limits") if not rest.isEmpty() else limits
     limits = broadcast_checked(limits.select(F.col("lang").alias("__limit_of"), "threshold"), LANGUAGES)
-    out = score(docs, model, known).join(limits, language() == F.col("__limit_of"), "left").drop("__limit_of").withColumnRenamed("worst", "score")
+    out = score(docs, model, known, sent=sent).join(limits, language() == F.col("__limit_of"), "left").drop("__limit_of").withColumnRenamed("worst", "score")
     return out.withColumn("keep", F.when(F.col("n_symbols") == 0, F.lit(False)).otherwise(F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True))))
