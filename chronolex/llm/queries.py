@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm import bpe, chat, common, html_crf, jaccard, kneser_ney, licences, lsa, pii, simhash, warc
+from chronolex.llm import bpe, chat, common, html_crf, jaccard, kneser_ney, licences, line_dedup, lsa, pii, simhash, spelling, warc, whitening
 
 
 def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_chat_examples, op3_simhash, op4_html_main_text, op5_quality_perplexity, op6_licence_scan, op7_byte_bpe, op8_jaccard_join, op9_lsa_decontamination, op10_pii)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(common.table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(common.table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(common.table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_chat_examples, op3_simhash, op4_html_main_text, op5_quality_perplexity, op6_licence_scan, op7_byte_bpe, op8_jaccard_join, op9_lsa_decontamination, op10_pii, op11_line_dedup, op12_spelling_groups, op13_embedding_whitening)}
 
 _VALUES = ", ".join(f"('{k}', '{v}')" for k, v in licences.SENTENCES.items())
 
@@ -79,6 +91,33 @@ def _licence_sql() -> str:
     """
 
 
+def _spelling_sql() -> str:
+    """Neighbours by shared patterns: words that agree with one letter masked, or with one letter left out."""
+    upper, lower = spelling.UPPER, spelling.LOWER
+    return rf"""
+        WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+        runs AS (SELECT doc_id, run, count(*) AS m FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+        hashed AS (SELECT run, m, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * octet_length(encode(s)), 2), lambda p: ('0x' || substr(hex(encode(s)), p, 2))::BIGINT)),
+                     lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) AS h FROM (SELECT run, m, coalesce(doc_id::VARCHAR, '') || ':' || run AS s FROM runs), crc),
+        cut AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, m FROM hashed),
+        v AS (SELECT word, sum(m)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(m) >= 3),
+        cuts AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+        masked AS (SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM cuts),
+        shorter AS (SELECT DISTINCT word, n, a || b AS s FROM masked),
+        pairs AS (
+          SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM masked x JOIN masked y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+          UNION ALL SELECT x.word, x.n, v.word, v.n FROM shorter x JOIN v ON v.word = x.s
+          UNION ALL SELECT v.word, v.n, x.word, x.n FROM shorter x JOIN v ON v.word = x.s),
+        best AS (SELECT word, count(*) AS n_near, max(near_n) AS near_n FROM pairs GROUP BY word),
+        tied AS (SELECT p.word, min(near COLLATE "C") AS near FROM pairs p JOIN best USING (word, near_n) GROUP BY p.word),
+        f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word) LEFT JOIN tied USING (word)),
+        walk AS (SELECT word, word AS place FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.place WHERE f.form IS NOT NULL),
+        ends AS (SELECT walk.word, walk.place AS root FROM walk JOIN f ON f.word = walk.place WHERE f.form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
+    """
+
+
 ORACLES: dict[str, str] = {
     "op2_chat_examples": r"""
         WITH t AS (
@@ -95,6 +134,15 @@ ORACLES: dict[str, str] = {
         FROM p GROUP BY conv_id
     """,
     "op6_licence_scan": _licence_sql(),
+    "op11_line_dedup": r"""
+        WITH cut AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+        lines AS (SELECT r, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM cut),
+        keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+        frequent AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.k IS NULL), '')) AS kept_sha256
+        FROM keyed LEFT JOIN frequent f USING (k) GROUP BY r, doc_id
+    """,
+    "op12_spelling_groups": _spelling_sql(),
     "op1_warc_archive": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS d FROM pages),
              r AS (SELECT d, max(page_id) AS refers FROM p WHERE octet_length(b) >= 1000 GROUP BY d)
