@@ -38,7 +38,7 @@ SHORT_WORD = 64
 #: Rows of all steps that one run of a contraction query keeps, 50 bytes each.
 QUERY_ROWS = 1_500_000
 
-# A row: position p (piece << 24 | offset), token, and the next row's position and token (-1 at a piece's end).
+# A row: position p (piece << 40 | offset), token, and the next row's position and token (-1 at a piece's end).
 CONTRACT = """
 WITH RECURSIVE t AS (
   SELECT p, tok, np, nxt, 0 AS step FROM start
@@ -51,15 +51,15 @@ WITH RECURSIVE t AS (
   FROM t q JOIN (
     SELECT b.wid, b.p, b.merged, b.np AS dead, d.np AS nnp, d.nxt AS nnxt
     FROM (
-      SELECT q.p >> 24 AS wid, min(m.merged) AS merged, min_by(q.p, m.merged << 24 | (q.p & 16777215)) AS p,
-             min_by(q.np, m.merged << 24 | (q.p & 16777215)) AS np
+      SELECT q.p >> 40 AS wid, min(m.merged) AS merged, min_by(q.p, m.merged << 40 | (q.p & 1099511627775)) AS p,
+             min_by(q.np, m.merged << 40 | (q.p & 1099511627775)) AS np
       FROM t q JOIN merges m ON m.pair = (q.tok << 32 | q.nxt)
-      GROUP BY q.p >> 24
+      GROUP BY q.p >> 40
     ) b JOIN t d ON d.p = b.np
-  ) b ON b.wid = q.p >> 24
+  ) b ON b.wid = q.p >> 40
   WHERE q.p <> b.dead
-), last AS (SELECT p >> 24 AS wid, max(step) AS step FROM t GROUP BY 1)
-SELECT t.p >> 24 AS wid, t.tok FROM t JOIN last l ON l.wid = t.p >> 24 AND l.step = t.step ORDER BY t.p
+), last AS (SELECT p >> 40 AS wid, max(step) AS step FROM t GROUP BY 1)
+SELECT t.p >> 40 AS wid, t.tok FROM t JOIN last l ON l.wid = t.p >> 40 AND l.step = t.step ORDER BY t.p
 """
 # A row: position p as above, and token. place: of a pair in its run of overlapping pairs; rows of a word in order.
 CONTRACT_LONG = """
@@ -80,20 +80,20 @@ WITH RECURSIVE t AS (
             FROM (
               SELECT *, coalesce(r = m, false) AS hit
               FROM (
-                SELECT x.p, x.tok, x.step, x.k, g.merged AS r, min(g.merged) OVER (PARTITION BY x.p >> 24) AS m
-                FROM (SELECT *, lead(tok) OVER w AS nxt, row_number() OVER w AS k FROM t WHERE step < {steps} WINDOW w AS (PARTITION BY p >> 24 ORDER BY p)) x
+                SELECT x.p, x.tok, x.step, x.k, g.merged AS r, min(g.merged) OVER (PARTITION BY x.p >> 40) AS m
+                FROM (SELECT *, lead(tok) OVER w AS nxt, row_number() OVER w AS k FROM t WHERE step < {steps} WINDOW w AS (PARTITION BY p >> 40 ORDER BY p)) x
                 LEFT JOIN merges g ON g.pair = (x.tok << 32 | x.nxt)
               ) WHERE m IS NOT NULL
-            ) WINDOW w AS (PARTITION BY p >> 24 ORDER BY p)
-          ) WINDOW w AS (PARTITION BY p >> 24 ORDER BY p)
+            ) WINDOW w AS (PARTITION BY p >> 40 ORDER BY p)
+          ) WINDOW w AS (PARTITION BY p >> 40 ORDER BY p)
         ) y
         LEFT JOIN merges a ON y.c AND a.pair = (y.before << 32 | y.m)
         LEFT JOIN merges b ON y.c AND b.pair = (y.m << 32 | y.after)
-      ) WINDOW w AS (PARTITION BY p >> 24 ORDER BY p)
-    ) WINDOW w AS (PARTITION BY p >> 24 ORDER BY p)
+      ) WINDOW w AS (PARTITION BY p >> 40 ORDER BY p)
+    ) WINDOW w AS (PARTITION BY p >> 40 ORDER BY p)
   ) WHERE NOT eaten
-), last AS (SELECT p >> 24 AS wid, max(step) AS step FROM t GROUP BY 1)
-SELECT t.p, t.tok, t.step FROM t JOIN last l ON l.wid = t.p >> 24 AND l.step = t.step ORDER BY t.p
+), last AS (SELECT p >> 40 AS wid, max(step) AS step FROM t GROUP BY 1)
+SELECT t.p, t.tok, t.step FROM t JOIN last l ON l.wid = t.p >> 40 AND l.step = t.step ORDER BY t.p
 """
 # chars has a character for each byte.
 DECODE = """
@@ -190,7 +190,7 @@ class Codec:
 
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths)
-        at = np.repeat(np.arange(len(words)) << 24, lengths) + np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+        at = np.repeat(np.arange(len(words)) << 40, lengths) + np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
         return at, np.array(self.byte, np.int64)[np.frombuffer(b"".join(words), np.uint8)], ends
 
     def run(self, query: str, **columns):
@@ -225,7 +225,7 @@ class Codec:
             at, tok = at[step == steps], tok[step == steps]
         at, tok = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(at)
-        return split_at(tok[order], at[order] >> 24, len(words))
+        return split_at(tok[order], at[order] >> 40, len(words))
 
     def cut(self, piece: bytes) -> list[bytes]:
         """piece in parts that no token reaches over: the tokens that match at each place are looked up by their hashes,

@@ -9,7 +9,8 @@ The weights are fitted by gradient ascent on the regularised log-likelihood of T
 bound).  No table has labels for blocks, so those pages are made: known layouts of invented words, in which every block
 is labelled as it is written.  The fitted weights (some hundred numbers) go to the tasks, which parse and decode pages.
 
-Scripts, styles, comments, templates, form controls and the head are no blocks.  Defined results: null or empty html, or
+Scripts, styles, comments, templates, form controls and the head are no blocks; a quoted attribute that nothing ends takes
+the rest of the page, as in browsers.  Text of <noscript> and of elements marked hidden counts like any other.  Defined results: null or empty html, or
 a page without main blocks, gives an empty text; unclosed and stray tags are tolerated (an end tag closes what it can; a
 tag such as <p> or <li> closes its open sibling); repeated rows give a row each; an empty table gives no rows.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -25,11 +27,11 @@ from pyspark.sql import functions as F
 
 TRAIN_PAGES, EPOCHS, RATE, PENALTY, SEED = 200, 40, 0.5, 1e-3, 11
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""(?:^|\s)(class|id|role|data-label|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|(?![\"'])))*+)(?:>|\Z)", re.S)
+_NAMES = re.compile(r"""(?:^|\s)(class|id|role|data-label)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "textarea", "title", "iframe", "template", "xmp", "noembed", "noframes"}
 SKIP = RAW | {"head", "select", "option", "button", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img", "object", "audio", "video", "canvas", "svg", "g", "text", "tspan"} | {"math", "semantics", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mtable", "mtr", "mtd", "mstyle", "mspace"}
@@ -38,10 +40,62 @@ BLOCKS_CLOSE_P = {"address", "article", "aside", "blockquote", "div", "dl", "fie
 SCOPE = {"ul", "ol", "dl", "table", "div", "article", "section", "body", "html", "nav", "aside", "main", "form", "td", "th", "header", "footer", "blockquote"}
 
 
-def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int, str | None]]:
-    """(text, ancestors' tags and names, characters inside links, label written on the page) of each leaf block."""
+class _Open:
+    """The open elements, with counts of their names in the whole page, since the last element that bounds the closing of
+    siblings (SCOPE) and since the last block, so that a tag that closes nothing costs no search."""
+
+    def __init__(self):
+        # name, (names of all ancestors, the last of them), whether text is skipped, label, the block's label, inside a link
+        self.stack: list[tuple] = [("", (frozenset(), ""), False, None, None, False)]
+        self.all, self.scopes, self.inline = Counter(), [Counter()], [Counter()]
+        self.bounds: list[str] = [""]
+
+    def push(self, entry: tuple) -> None:
+        name = entry[0]
+        self.stack.append(entry)
+        self.all[name] += 1
+        if name in SCOPE:
+            self.scopes.append(Counter())
+            self.bounds.append(name)
+        else:
+            self.scopes[-1][name] += 1
+        if name in INLINE:
+            self.inline[-1][name] += 1
+        else:
+            self.inline.append(Counter())
+
+    def pop(self) -> str:
+        name = self.stack.pop()[0]
+        self.all[name] -= 1
+        if name in SCOPE:
+            self.scopes.pop()
+            self.bounds.pop()
+        else:
+            self.scopes[-1][name] -= 1
+        if name in INLINE:
+            self.inline[-1][name] -= 1
+        else:
+            self.inline.pop()
+        return name
+
+    def end(self, name: str) -> None:
+        """Close the last element of that name; an end tag of an inline one reaches no further than its block."""
+        if (self.inline[-1] if name in INLINE else self.all)[name] > 0:
+            while self.pop() != name:
+                pass
+
+    def close(self, names: set[str]) -> None:
+        """Close the last open sibling of these names, if there is one."""
+        if any(self.scopes[-1][x] > 0 for x in names) or self.bounds[-1] in names:
+            while self.pop() not in names:
+                pass
+
+
+def leaf_blocks(page: str) -> list[tuple[str, tuple, int, str | None]]:
+    """(text, (ancestors' tags and names, the last one), characters inside links, label written on the page) of each leaf block."""
     out: list = []
-    stack: list[tuple[str, tuple[str, ...], bool, str | None]] = [("", (), False, None)]
+    open_ = _Open()
+    stack = open_.stack
     text: list[str] = []
     linked = 0
 
@@ -50,8 +104,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int, str | None]]
         if text:
             words = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
             if words:
-                _, path, _, label = next(x for x in reversed(stack) if x[0] not in INLINE)
-                out.append((words, path, min(linked, len(words)), label))
+                out.append((words, stack[-1][1], min(linked, len(words)), stack[-1][4]))
             text.clear()
         linked = 0
 
@@ -61,7 +114,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int, str | None]]
         piece = page[at : m.start()] if m else page[at:]
         if piece and not stack[-1][2]:
             text.append(piece)
-            if any(x[0] == "a" for x in stack[-4:]):
+            if stack[-1][5]:
                 linked += len(piece)
         if not m:
             break
@@ -75,12 +128,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int, str | None]]
         if name not in INLINE and name not in RAW:
             flush()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if name in INLINE and stack[i][0] not in INLINE:
-                    break
+            open_.end(name)
             continue
         if name in VOID:
             continue
@@ -90,33 +138,28 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int, str | None]]
             continue
         closing = CLOSES.get(name) or ({"p"} if name in BLOCKS_CLOSE_P else None)
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in closing:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPE:
-                    break
-        if name == "body":
-            stack[1:] = [x for x in stack[1:] if x[0] != "head"]
-        _, path, skip, label = stack[-1]
-        names, attributes = [name], m[3]
-        if attributes:
-            for key, value in _NAMES.findall(attributes):
-                key, value = key.lower(), value.strip("\"'")
-                if key == "data-label":
-                    label = value
-                elif key == "hidden":
-                    skip = True
-                else:
-                    names += [f".{x}" for x in _PART.findall(value.lower())]
-        stack.append((name, path + tuple(names) if name not in INLINE else path, skip or name in SKIP, label))
+            open_.close(closing)
+        if name == "body" and open_.all["head"]:
+            open_.end("head")
+        _, (names, own), skip, label, block_label, link = stack[-1]
+        new = [name]
+        for key, value in _NAMES.findall(m[3]) if m[3] else ():
+            key, value = key.lower(), value.strip("\"'")
+            if key == "data-label":
+                label = value
+            else:
+                new += [f".{x}" for x in _PART.findall(value.lower())]
+        if name in INLINE:
+            open_.push((name, (names, own), skip or name in SKIP, label, block_label, link or name == "a"))
+        else:
+            open_.push((name, (names if names.issuperset(new) else names.union(new), new[-1]), skip or name in SKIP, label, label, link))
     flush()
     return out
 
 
 @lru_cache(maxsize=20_000)
-def _path_features(path: tuple[str, ...]) -> tuple[str, ...]:
-    return tuple(sorted({f"in {x}" for x in path if x not in ("html", "body")})) + (f"own {path[-1] if path else ''}",)
+def _path_features(path: tuple) -> tuple[str, ...]:
+    return tuple(sorted(f"in {x}" for x in path[0] if x not in ("html", "body"))) + (f"own {path[1]}",)
 
 
 def _size(n: int) -> int:
