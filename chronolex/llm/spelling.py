@@ -2,8 +2,9 @@
 
 A word of 8 letters has some 16 neighbours for each letter of the alphabet.  Those that hold three letters in a row that no
 word holds cannot be words, so the alphabet is taken where it was observed: between two letters stand those that some word
-has there.  That table has a row for each pair of letters at most, whatever the corpus, and is broadcast.  A candidate that
-the join finds is one edit away by the way it was made; nothing is measured.
+has there.  That table has a row for each pair of letters at most, whatever the corpus, and is broadcast.  So is a bitmap of the
+words' hashes, of a bounded size: candidates whose bit is not set are no words and are not shuffled; those that are left
+are joined to the vocabulary by themselves.  What the join finds is one edit away by the way it was made; nothing is measured.
 
 Null texts have no words; a null doc_id counts as an empty one where it is hashed.  Repeated rows count again.  Ties of counts
 go to the word that is first in code-point order.  Empty tables give empty tables, other columns of any name are left alone.
@@ -20,6 +21,10 @@ RUN = "[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Marks of a word's two ends in the table of letters; no letters themselves.
 BEGIN, END = "^", "$"
+#: Bits for each word in the bitmap of hashes, and the most bits that it has (128 MB); beyond, more candidates are shuffled.
+BITS_PER_WORD, MOST_BITS = 16, 1 << 30
+#: Bits in a row of the bitmap, as longs; words whose neighbourhoods are one task's work.
+ROW_BITS, TASK_WORDS = 1 << 12, 20_000
 #: A chain of forms doubles its count at each step, so 63 steps are the longest there can be.
 MAX_ROUNDS = 8
 
@@ -75,10 +80,32 @@ def neighbourhood(words: DataFrame, letters: DataFrame) -> DataFrame:
     return each.select("word", "n", F.concat("left", "letter", "right").alias("candidate"))
 
 
+def hashes_bitmap(words: DataFrame, bits: int) -> DataFrame:
+    """row, set: the words' hashes modulo `bits`, a power of two, as a bitmap in rows of ROW_BITS."""
+    h = F.xxhash64("word").bitwiseAND(bits - 1)
+    longs = words.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("set"))
+    per_row = ROW_BITS // 64
+    in_row = F.struct(F.col("at").bitwiseAND(per_row - 1).cast("int").alias("i"), "set")
+    rows = longs.groupBy(F.floor(F.col("at") / per_row).alias("row")).agg(F.map_from_entries(F.collect_list(in_row)).alias("m"))
+    return rows.select("row", F.transform(F.sequence(F.lit(0), F.lit(per_row - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("set"))
+
+
+def perhaps_words(candidates: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
+    """Those candidates whose hash has its bit set."""
+    h = F.xxhash64("candidate").bitwiseAND(bits - 1)
+    hashed = candidates.withColumn("h", h).withColumn("row", F.shiftright("h", ROW_BITS.bit_length() - 1)).join(F.broadcast(bitmap), "row")
+    long = F.get("set", F.shiftright("h", 6).bitwiseAND(ROW_BITS // 64 - 1).cast("int"))
+    return hashed.where(F.call_function("shiftright", long, F.col("h").bitwiseAND(63).cast("int")).bitwiseAND(1) == 1).select(candidates.columns)
+
+
 def near_words(words: DataFrame) -> DataFrame:
-    """word, n, near, near_n: every pair of words one edit apart, in both orders."""
+    """word, n, near, near_n: every pair of words one edit apart, in both orders. words: a stored table."""
+    n_words = words.count()
+    bits = max(ROW_BITS, min(MOST_BITS, 1 << (BITS_PER_WORD * n_words).bit_length()))
+    letters, bitmap = stored(letters_between(words), "letters"), stored(hashes_bitmap(words, bits), "bitmap")
+    dealt = words.repartition(n_words // TASK_WORDS + 1, "word")
     known = words.select(F.col("word").alias("candidate"), F.col("n").alias("near_n"))
-    pairs = neighbourhood(words, stored(letters_between(words), "letters")).join(known, "candidate")
+    pairs = perhaps_words(neighbourhood(dealt, letters), bitmap, bits).join(known, "candidate")
     return pairs.select("word", "n", F.col("candidate").alias("near"), "near_n")
 
 
