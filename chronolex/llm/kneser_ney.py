@@ -40,6 +40,10 @@ START = 4095
 SYMBOLS = 4094
 #: Rows of the model that are sent to the tasks: 16 bytes each.
 MODEL_ROWS = 8_000_000
+#: Symbols of one language that are counted or scored together: n-grams that many texts share are looked up once.
+RUN_SYMBOLS = 500_000
+#: N-grams that a task holds while it counts.
+TASK_GRAMS = 2_000_000
 #: Labelled ids that are broadcast: 16 bytes each.
 LABEL_ROWS = 2_000_000
 #: The threshold is this quantile of the held-out trusted documents' scores.
@@ -74,10 +78,11 @@ def alphabets(texts: DataFrame, *, size: int = SYMBOLS) -> dict:
         counts: dict = {}
         for frame in frames:
             for lang, part in frame.groupby("lang"):
-                codes, n = np.unique(np.concatenate([code_points(x) for x in part["text"]]), return_counts=True)
                 mine = counts.setdefault(lang, {})
-                for c, k in zip(codes.tolist(), n.tolist(), strict=True):
-                    mine[c] = mine.get(c, 0) + k
+                for some in runs_of(part["text"]):
+                    codes, n = np.unique(np.concatenate([code_points(x) for x in some]), return_counts=True)
+                    for c, k in zip(codes.tolist(), n.tolist(), strict=True):
+                        mine[c] = mine.get(c, 0) + k
         for lang, mine in counts.items():
             yield pd.DataFrame({"lang": lang, "code": list(mine), "n": list(mine.values())})
 
@@ -114,29 +119,51 @@ def language(c: str = "lang") -> Column:
     return F.coalesce(F.col(c), F.lit("und"))
 
 
+def runs_of(texts) -> Iterator[list[str]]:
+    """texts in runs of RUN_SYMBOLS characters; a longer text is a run of its own."""
+    run, size = [], 0
+    for x in texts:
+        if run and size + len(x) > RUN_SYMBOLS:
+            yield run
+            run, size = [], 0
+        run.append(x)
+        size += len(x)
+    if run:
+        yield run
+
+
+def summed(parts: list):
+    """One (grams, counts) of several."""
+    g, inverse = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    return g, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(g)).astype(np.int64)
+
+
 def count_grams(texts: DataFrame, known: dict) -> DataFrame:
     """(lang, text) -> (lang, gram, c), counted within tasks first. known: alphabets()."""
 
     def run(frames):
-        held: dict = {}
+        held: dict = {}  # lists of (grams, counts) by language, which are merged when they are long
         none = np.zeros(1, np.uint32)
 
         def table():
-            for lang, (g, c) in held.items():
+            for lang, parts in held.items():
+                g, c = summed(parts)
                 yield pd.DataFrame({"lang": lang, "gram": g, "c": c})
             held.clear()
 
+        size = 0
         for frame in frames:
             for lang, part in frame.groupby("lang"):
-                new = [grams(symbols(x, known.get(lang, none))) for x in part["text"]]
-                g, c = np.unique(np.concatenate(new), return_counts=True)
-                if lang in held:
-                    both = np.concatenate([held[lang][0], g])
-                    g, inverse = np.unique(both, return_inverse=True)
-                    c = np.bincount(inverse, np.concatenate([held[lang][1], c])).astype(np.int64)
-                held[lang] = (g, c)
-            if sum(len(g) for g, _ in held.values()) > 2_000_000:
-                yield from table()
+                for some in runs_of(part["text"]):
+                    g, c = np.unique(np.concatenate([grams(symbols(x, known.get(lang, none))) for x in some]), return_counts=True)
+                    held.setdefault(lang, []).append((g, c))
+                    size += len(g)
+                    if size > TASK_GRAMS:
+                        for key in held:
+                            held[key] = [summed(held[key])]
+                        if (size := sum(len(x[0][0]) for x in held.values())) > TASK_GRAMS // 2:
+                            yield from table()
+                            size = 0
         yield from table()
 
     counted = texts.mapInPandas(run, "lang string, gram long, c long")
@@ -206,23 +233,21 @@ def packed(model: DataFrame, *, shards: int = 16) -> dict:
 class Tables:
     """The model of one language as sorted arrays."""
 
-    _known: dict = {}
-
     def __init__(self, orders: dict):
         self.orders = {}
-        for n, parts in orders.items():
+        while orders:
+            n, parts = orders.popitem()
             g, p, b = (np.concatenate([np.frombuffer(x[i], kind) for x in parts]) for i, kind in enumerate((np.int64, np.float32, np.float32)))
             at = np.argsort(g)
             self.orders[n] = (g[at], p[at], b[at])
 
     @classmethod
-    def of(cls, sent, lang: str) -> Tables | None:
-        """The tables of a broadcast packed(), made once in each worker."""
-        if cls._known.get("id") is not sent:
-            cls._known = {"id": sent}
-        if lang not in cls._known and lang in sent:
-            cls._known[lang] = cls(sent[lang])
-        return cls._known.get(lang)
+    def of(cls, sent: dict, lang: str) -> Tables | None:
+        """The tables of a broadcast packed(), made once in each worker in place of what was sent, so that they go when Spark
+        lets the broadcast go."""
+        if isinstance(sent.get(lang), dict):
+            sent[lang] = cls(sent[lang])
+        return sent.get(lang)
 
     def _find(self, n: int, g):
         keys = self.orders[n][0] if n in self.orders else np.empty(0, np.int64)
@@ -241,10 +266,6 @@ class Tables:
         return out
 
 
-#: Symbols of one language that are scored together: n-grams that many texts share are looked up once.
-RUN_SYMBOLS = 500_000
-
-
 def sent_model(model: DataFrame, known: dict, model_rows: int = MODEL_ROWS):
     """The packed model and alphabets as a broadcast; None if the model is counted to have more than model_rows rows."""
     if model.limit(model_rows + 1).count() > model_rows:
