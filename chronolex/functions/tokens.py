@@ -14,6 +14,11 @@ def is_dense(char: str) -> bool:
     return bool(_DENSE.match(char))
 
 
+def dense_char(char: str) -> bool:
+    """A letter of a script that is written without spaces."""
+    return char.isalpha() and is_dense(char)
+
+
 def dense_letter(text: str) -> bool:
     return any(x.isalpha() for x in _DENSE.findall(text))
 

@@ -127,19 +127,6 @@ def io1_srt_parse(spark: SparkSession, sf: str) -> DataFrame:
     return srt.parse(srt.render(p)).select("media_id", F.col("idx").cast("long").alias("idx"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.md5("text").alias("text"))
 
 
-@query("SELECT event_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 12")
-def s5_backlog(spark: SparkSession, sf: str) -> DataFrame:
-    """What a queue of 12 still holds at the end."""
-    r = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")))
-    return t.table(spark, sf, "events").select("event_id", "event_type", "ts", r.alias("r")).where("r <= 12").drop("r")
-
-
-@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 60")
-def s6_history(spark: SparkSession, sf: str) -> DataFrame:
-    r = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))
-    return t.table(spark, sf, "events").select("user_id", "event_id", r.alias("r")).where("r <= 60").drop("r")
-
-
 @query("SELECT doc_id, CASE WHEN trim(text) = '' OR doc_id % 5 = 0 THEN '' ELSE reverse(text) END AS translated FROM documents")
 def u6_skip_empty(spark: SparkSession, sf: str) -> DataFrame:
     """Only texts with content are translated; all keep their places."""

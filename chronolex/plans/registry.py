@@ -12,6 +12,8 @@ def query(sql: str | None = None):
     """Registers a function (spark, sf_dir) -> DataFrame under its name."""
 
     def add(f):
+        if f.__name__ in _QUERIES:
+            raise ValueError(f"two queries have the name {f.__name__}")
         _QUERIES[f.__name__] = f
         if sql:
             _SQL[f.__name__] = sql
@@ -21,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from chronolex.plans import audit_queries, cue_queries, folded_queries, layout_queries, live_queries, metric_queries, scalar_queries, signal_queries, speaker_queries, text_queries  # noqa: F401
+    from chronolex.plans import audit_queries, cue_queries, folded_queries, layout_queries, live_queries, metric_queries, scalar_queries, signal_queries, speaker_queries, text_queries, word_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
