@@ -272,8 +272,14 @@ def phrase_ends(split: Segmenter, text: str) -> list[int]:
 
 
 def phrase_break(split: Segmenter, rest: str, width: int, earliest: int) -> int | None:
-    """The last phrase's end within width from earliest on, or else the last one within width."""
-    fits = [e for e in phrase_ends(split, rest) if e <= width and e < len(rest)]
+    """The last phrase's end within width from earliest on, or else the last one within width.  A run of letters is split by
+    itself, so what follows the one at the width is not looked at."""
+    k = width
+    while k < len(rest) and rest[k].isalpha():
+        k += 1
+    while k < len(rest) and not rest[k].isalpha():
+        k += 1
+    fits = [e for e in phrase_ends(split, rest[:k]) if e <= width and e < len(rest)]
     return max((e for e in fits if e >= earliest), default=fits[-1] if fits else None)
 
 

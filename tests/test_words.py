@@ -95,6 +95,18 @@ def test_phrase_break_and_wrap():
     assert layout.wrap("漢字仮名交文章例題問", 8, split=words) == ["漢字仮名交文", "章例題問"]
 
 
+def test_phrase_break_needs_the_first_runs_only():
+    import random
+
+    choose = random.Random(1)
+    lexicon = sg.Lexicon({"ab": 3.0, "ba": 2.0, "aab": 1.0, "b": 1.0, "a": 1.0})
+    own = lambda text: sg.phrases(sg.words(lexicon, text), latin_runs=False)
+    for _ in range(300):
+        rest = "".join(choose.choices("aabb,. ", k=choose.randint(1, 40)))
+        fits = [e for e in sg.phrase_ends(own, rest) if e <= 9 and e < len(rest)]
+        assert sg.phrase_break(own, rest, 9, 4) == max((e for e in fits if e >= 4), default=fits[-1] if fits else None)
+
+
 def piece(text, start, end, speaker="a"):
     return {"text": text, "start": start, "end": end, "speaker": speaker}
 
