@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolex.operators import resample as rs
 from chronolex.operators import signals as sg
 from chronolex.plans.registry import query
 from chronolex.sources import tables as t
@@ -70,3 +71,32 @@ def sg7_level(spark: SparkSession, sf: str) -> DataFrame:
 @query(t.sql("samples") + "SELECT media_id, bool_and(v = 0) AS silent FROM samples GROUP BY 1")
 def sg9_silent(spark: SparkSession, sf: str) -> DataFrame:
     return sg.is_silent(t.samples(spark, sf))
+
+
+def _resampled_sql(up: int, down: int) -> str:
+    """Each output sample as a sum over the input samples around it, weighed by the formula of the filter."""
+    cutoff = min(1.0, up / down) * rs.PASSED
+    half = rs.CROSSINGS / cutoff
+    reach = int(-(-half // 1))
+    return t.sql("samples") + f""", k AS (SELECT p, j, j - p / {up}e0 AS x FROM range({up}) a(p), range({-reach}, {reach + 1}) b(j)),
+    h AS (SELECT p, j, CASE WHEN abs(x) >= {half!r} THEN 0 ELSE (CASE WHEN x = 0 THEN 1 ELSE sin(pi() * {cutoff!r} * x) / (pi() * {cutoff!r} * x) END) * (42e-2 + 5e-1 * cos(pi() * x / {half!r}) + 8e-2 * cos(2 * pi() * x / {half!r})) END AS w FROM k),
+    f AS (SELECT p, j, w / sum(w) OVER (PARTITION BY p) AS w FROM h),
+    o AS (SELECT media_id, unnest(range((max(sample_idx) + 1) * {up} // {down} + CASE WHEN (max(sample_idx) + 1) * {up} % {down} > 0 THEN 1 ELSE 0 END)) AS n FROM samples GROUP BY 1)
+    SELECT o.media_id, n AS sample_idx, round(coalesce(sum(s.v * w), 0), 6) AS v
+    FROM o JOIN f ON f.p = n * {down} % {up} LEFT JOIN samples s ON s.media_id = o.media_id AND s.sample_idx = n * {down} // {up} + j GROUP BY ALL"""
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.select("media_id", "sample_idx", F.round("v", 6).alias("v"))
+
+
+@query(_resampled_sql(1, 3))
+def io18_resample(spark: SparkSession, sf: str) -> DataFrame:
+    """The signals from 48 to 16 kHz, in chunks that end within a medium."""
+    return _rounded(rs.resampled(t.samples(spark, sf), 48_000, 16_000, chunk=1000))
+
+
+@query(_resampled_sql(160, 441))
+def io18_resample_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """From 44.1 to 16 kHz: 160 phases."""
+    return _rounded(rs.resampled(t.samples(spark, sf), 44_100, 16_000, chunk=1000))
