@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronolex.llm.common import returned
+
 #: Characters of text whose pieces and tokens are in memory at a time.
 SLICE_CHARS = 1_000_000
 #: Pieces whose tokens a worker remembers between batches.
@@ -151,8 +153,6 @@ def split_at(tokens, words, n: int) -> list[bytes]:
 class Codec:
     """The merge table and vocabulary of one rank file in an in-memory DuckDB database of this Python worker."""
 
-    _made: dict[str, Codec] = {}
-
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import duckdb
         import pyarrow as pa
@@ -178,11 +178,12 @@ class Codec:
         self.beginnings: dict = {}
 
     @classmethod
-    def of(cls, raw: bytes, pattern: str) -> Codec:
-        key = hashlib.sha1(raw + pattern.encode()).hexdigest()
-        if key not in cls._made:
-            cls._made[key] = cls({base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())}, pattern)
-        return cls._made[key]
+    def of(cls, sent: dict) -> Codec:
+        """The codec of a broadcast {"raw", "pattern"}, made once in each worker and kept in it, so that it goes when Spark lets
+        the broadcast go."""
+        if "codec" not in sent:
+            sent["codec"] = cls({base64.b64decode(a): int(b) for a, b in (x.split() for x in sent["raw"].splitlines() if x.strip())}, sent["pattern"])
+        return sent["codec"]
 
     def rows_of(self, words: list[bytes]):
         """(p, tok) of the bytes of words, and where each word ends."""
@@ -328,6 +329,7 @@ def _mapped(df: DataFrame, made: dict[str, T.DataType], work, drop: str = "") ->
     schema = T.StructType([*kept, *(T.StructField(k, v) for k, v in made.items())])
 
     def run(frames):
+        returned()
         for frame in frames:
             yield from (x[[f.name for f in schema.fields]] for x in work(frame))
 
@@ -340,10 +342,10 @@ def _coded(df: DataFrame, ranks_path: str, pattern: str, column: str, made: dict
     The rank file is read on the driver and sent with the task; its size is the vocabulary's, whatever the input's.
     """
     with open(ranks_path, "rb") as f:
-        raw = f.read()
+        sent = df.sparkSession.sparkContext.broadcast({"raw": f.read(), "pattern": pattern})
 
     def run(frame):
-        codec = Codec.of(raw, pattern)
+        codec = Codec.of(sent.value)
         values = [x if isinstance(x, (str, bytes, bytearray)) else "" for x in frame[column]]
         for part in slices(values):
             yield frame.iloc[part].drop(columns=drop or []).assign(**work(codec, [values[i] for i in part]))

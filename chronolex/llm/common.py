@@ -49,6 +49,19 @@ def released(*tables: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def returned() -> None:
+    """Give back to the system what earlier tasks of this Python worker freed; at a task's begin, as workers serve many jobs."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def broadcast_checked(df: DataFrame, max_rows: int) -> DataFrame:
     """df, marked to be broadcast if it is counted to have at most max_rows rows; else Spark shuffles it."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -35,7 +35,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import ID_ROWS, broadcast_checked, released, stored
+from chronolex.llm.common import ID_ROWS, broadcast_checked, released, returned, stored
 from chronolex.llm.components import components, compressed
 
 BLOCK = 256
@@ -158,6 +158,7 @@ def sets_of(df: DataFrame, *, n: int) -> DataFrame:
         import pandas as pd
         import xxhash
 
+        returned()
         grams = Grams(n)
         for frame in frames:
             rows = []
@@ -178,6 +179,7 @@ def index_of(df: DataFrame, *, n: int, percent: int) -> DataFrame:
         import pandas as pd
         import xxhash
 
+        returned()
         grams, seen, held = Grams(n), set(), []
 
         def table():
@@ -267,6 +269,7 @@ def verify(rows: DataFrame, *, n: int, percent: int) -> DataFrame:
 
         import pandas as pd
 
+        returned()
         rows = (r for f in frames for r in f.itertuples(index=False, name=None))
         out = []
         for _, job in itertools.groupby(rows, key=lambda r: r[:3]):

@@ -26,7 +26,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import ID_ROWS, semi_join_checked, stored
+from chronolex.llm.common import ID_ROWS, returned, semi_join_checked, stored
 
 FEATURES, RANK, MOST_RANK, PER_VECTOR, POWER = 1 << 16, 96, 256, 16, 2
 WINDOW, STEP = 64, 32
@@ -66,6 +66,7 @@ def hashed(docs: DataFrame) -> DataFrame:
     def run(frames):
         import pandas as pd
 
+        returned()
         known = Hashes()
         for frame in frames:
             out = [known.of(words_of(x)).tobytes() for x in frame["text"]]
@@ -82,6 +83,7 @@ def document_frequencies(docs: DataFrame):
     def run(frames):
         import pandas as pd
 
+        returned()
         counts, n = np.zeros(FEATURES, np.int64), 0
         for frame in frames:
             for words in frame["words"]:
@@ -106,6 +108,7 @@ def passages(items: DataFrame) -> DataFrame:
     def run(frames):
         import pandas as pd
 
+        returned()
         known = Hashes()
         for frame in frames:
             rows = []
@@ -159,6 +162,7 @@ def used_features(cut: DataFrame, weight):
     def run(frames):
         import pandas as pd
 
+        returned()
         found = np.zeros(FEATURES, bool)
         for frame in frames:
             for words in frame["words"]:
@@ -179,6 +183,7 @@ def _product(cut: DataFrame, weight, used, basis):
     def run(frames):
         import pandas as pd
 
+        returned()
         weight, used, basis = sent.value
         out = np.zeros((-(-size // ROW_BLOCK) * ROW_BLOCK, rank), np.float32)
         for frame in frames:
@@ -259,6 +264,7 @@ def _search(docs: DataFrame, block: list, weight, used, basis) -> DataFrame:
     def run(frames):
         import pandas as pd
 
+        returned()
         rows, weight, used, basis = sent.value
         ints = lambda x: np.frombuffer(x, np.uint32).tolist()
         found = [Passage(item, ints(words), ints(answer)) for item, words, answer in rows]
