@@ -80,9 +80,7 @@ def s7_raw_ring(spark: SparkSession, sf: str) -> DataFrame:
 def s8_commit(spark: SparkSession, sf: str) -> DataFrame:
     """Phrases as they are committed: without what the one before said, cut into sentences, those with content kept."""
     p = t.pieces(spark, sf).withColumn("before", F.lag("text").over(Window.partitionBy("media_id").orderBy("piece_idx")))
-    rows = p.select("media_id", "piece_idx", tx.overlap_trim(F.col("before"), F.col("text")).alias("text"))
-    cut = F.pandas_udf(lambda texts: texts.map(lambda x: fo.sentences(x or "")), "array<string>")(F.col("text"))
-    return rows.select("media_id", "piece_idx", F.posexplode(cut).alias("n", "source")).where(tx.has_content(F.col("source")))
+    return live.committed(p.withColumnRenamed("piece_idx", "seq")).withColumnRenamed("seq", "piece_idx")
 
 
 @query("""WITH c AS (SELECT user_id, event_id, event_type, CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 END AS on_ FROM events),

@@ -2,21 +2,26 @@
 
 A stream has columns media_id, seq and one input column; rows of one media_id are taken in the order of seq within each
 micro-batch, and batches in their order.  Arrival order is truth: there is no watermark.  A row whose input is null is a
-pause: the machine gives out what it holds.  A table's medium ends with one.
+pause: the machine gives out what it holds.  A table's medium ends with one.  A stream that is `ordered` has seq 0, 1, 2 and
+so on in each medium, and rows that come before their turn wait in state until the gap is closed.  A stream with
+`idle_seconds` gives out what a medium's machine holds when no row has come for so long.
+
+A machine's state is kept as its named fields, so a class may gain fields between restarts.
 """
 
 from __future__ import annotations
 
-import pickle
+import json
 from collections import deque
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolex.functions import text as tx
 from chronolex.functions import tokens as tk
 from chronolex.functions.text import CLAUSE_ENDERS, SENTENCE_ENDERS
-from chronolex.operators.folds import fold
+from chronolex.operators.folds import fold, sentences
 
 
 def _shared(a: list[str], b: list[str]) -> int:
@@ -167,15 +172,88 @@ class Segmenter:
         return [(start, self.at, False)] if start is not None and (self.at - start) * self.frame_seconds >= 0.4 else []
 
 
+@dataclass
+class Through:
+    """Gives out what comes, which in an ordered stream is all that it takes to restore an order."""
+
+    def feed(self, item) -> list[tuple]:
+        return [(item,)]
+
+    def flush(self) -> list:
+        return []
+
+
+@dataclass
+class Reached:
+    """When each result can be given out: at the latest arrival up to it."""
+
+    at: float | None = None
+
+    def feed(self, arrived: float) -> list[tuple[float]]:
+        self.at = arrived if self.at is None else max(self.at, arrived)
+        return [(self.at,)]
+
+    def flush(self) -> list:
+        return []
+
+
+@dataclass
+class Gate:
+    """Gives out items while it is open: the item `pauses` closes it, `resumes` opens it, itself included."""
+
+    pauses: str = "pause"
+    resumes: str = "resume"
+    open: bool = True
+
+    def feed(self, item: str) -> list[tuple[str]]:
+        self.open = item == self.resumes or (self.open and item != self.pauses)
+        return [(item,)] if self.open else []
+
+    def flush(self) -> list:
+        return []
+
+
+@dataclass
+class Before:
+    """Each text with the one before it."""
+
+    before: str | None = None
+
+    def feed(self, text: str) -> list[tuple[str, str | None]]:
+        out, self.before = [(text, self.before)], text
+        return out
+
+    def flush(self) -> list:
+        return []
+
+
 MACHINES = {
     "stable_prefix": (StablePrefix, "text string"),
     "phrases": (Phrases, "text string"),
     "segments": (Segmenter, "first long, last long, by_silence boolean"),
     "backlog": (Latest, "item string, dropped boolean"),
     "ring": (Ring, "place long, count long, lost long"),
+    "through": (Through, "item string"),
+    "reached": (Reached, "given_at double"),
+    "gate": (Gate, "item string"),
+    "before": (Before, "text string, before string"),
 }
 
 
+def saved(state) -> str:
+    """A machine's fields by name."""
+    return json.dumps({f.name: list(x) if isinstance(x := getattr(state, f.name), deque) else x for f in fields(state)})
+
+
+def restored(kind, options: dict, text: str):
+    """The machine with what text has of its fields; others are as in a new one."""
+    state, known = kind(**options), json.loads(text)
+    for f in fields(state):
+        if f.name in known:
+            setattr(state, f.name, deque(known[f.name]) if isinstance(getattr(state, f.name), deque) else known[f.name])
+    return state
+
+
 def _given(state, value) -> list:
     return state.flush() if value is None or value != value else state.feed(value)
 
@@ -195,7 +273,7 @@ def over_table(df: DataFrame, machine: str, column: str, **options) -> DataFrame
     return fold(df.select("media_id", "seq", column), "media_id", ["seq"], f"media_id long, seq long, {made}", step)
 
 
-def over_stream(df: DataFrame, machine: str, column: str, **options) -> DataFrame:
+def over_stream(df: DataFrame, machine: str, column: str, *, ordered: bool = False, idle_seconds: float | None = None, **options) -> DataFrame:
     """The same over a stream, with the machine's state kept per media_id between micro-batches."""
     from pyspark.sql.streaming import StatefulProcessor
 
@@ -204,21 +282,104 @@ def over_stream(df: DataFrame, machine: str, column: str, **options) -> DataFram
 
     class Processor(StatefulProcessor):
         def init(self, handle):
-            self.state = handle.getValueState("machine", "state binary")
+            self.handle = handle
+            self.state = handle.getValueState("machine", "fields string, seq long")
+            self.waiting = handle.getMapState("waiting", "seq long", "value string") if ordered else None
+
+        def _machine(self):
+            text, seq = self.state.get() if self.state.exists() else (None, -1)
+            return (restored(kind, options, text) if text else kind(**options)), seq
+
+        def _in_turn(self, rows, last):
+            """The rows whose turn it is after seq `last`; the others wait. One seq counts once."""
+            for seq, value in rows:
+                if seq > last and not self.waiting.containsKey((seq,)):
+                    self.waiting.updateValue((seq,), (json.dumps(value),))
+            while self.waiting.containsKey((last + 1,)):
+                last += 1
+                yield last, json.loads(self.waiting.getValue((last,))[0])
+                self.waiting.removeKey((last,))
 
         def handleInputRows(self, key, rows, timers):  # noqa: N802
             import pandas as pd
 
-            state = pickle.loads(self.state.get()[0]) if self.state.exists() else kind(**options)
-            frame = pd.concat(list(rows)).sort_values("seq")
-            out = [(key[0], int(seq), *x) for seq, value in zip(frame["seq"], frame[column], strict=True) for x in _given(state, value)]
-            self.state.update((pickle.dumps(state),))
+            state, last = self._machine()
+            frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
+            given = [(int(q), None if x is None or x != x else x.item() if hasattr(x, "item") else x) for q, x in zip(frame["seq"], frame[column], strict=True)]
+            out = []
+            for last, value in self._in_turn(given, last) if ordered else given:
+                out += [(key[0], last, *x) for x in _given(state, value)]
+            self.state.update((saved(state), last))
+            if idle_seconds is not None:
+                for at in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(at)
+                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + int(idle_seconds * 1000))
+            yield pd.DataFrame(out, columns=names)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+            import pandas as pd
+
+            state, last = self._machine()
+            out = [(key[0], last, *x) for x in state.flush()]
+            self.state.update((saved(state), last))
             yield pd.DataFrame(out, columns=names)
 
         def close(self):
             pass
 
-    return df.select("media_id", "seq", column).groupBy("media_id").transformWithStateInPandas(Processor(), f"media_id long, seq long, {made}", "Append", "None")
+    mode = "None" if idle_seconds is None else "ProcessingTime"
+    return df.select("media_id", "seq", column).groupBy("media_id").transformWithStateInPandas(Processor(), f"media_id long, seq long, {made}", "Append", mode)
+
+
+def rehearsals(df: DataFrame, every: float = 0.6, least: int = 8000) -> DataFrame:
+    """media_id, seq, samples: when the samples in flight are to be recognised once more.
+
+    df is a stream of media_id, seq and n, the samples that a block adds to what is in flight; a null n ends it.  A timer of
+    processing time goes off `every` seconds after a block, also while the medium is silent; if more than `least` samples wait
+    then, and some came since the last time, their number is given out.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    names = ["media_id", "seq", "samples"]
+
+    class Processor(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.state = handle.getValueState("in_flight", "samples long, done long, seq long")
+
+        def handleInputRows(self, key, rows, timers):  # noqa: N802
+            import pandas as pd
+
+            samples, done, last = self.state.get() if self.state.exists() else (0, 0, -1)
+            frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
+            for seq, n in zip(frame["seq"], frame["n"], strict=True):
+                samples, done, last = (0, 0, int(seq)) if n is None or n != n else (samples + int(n), done, int(seq))
+            self.state.update((samples, done, last))
+            if samples and not list(self.handle.listTimers()):
+                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + int(every * 1000))
+            yield pd.DataFrame([], columns=names)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+            import pandas as pd
+
+            samples, done, last = self.state.get()
+            due = samples > least and samples != done
+            if due:
+                self.state.update((samples, samples, last))
+            yield pd.DataFrame([(key[0], last, samples)] if due else [], columns=names)
+
+        def close(self):
+            pass
+
+    return df.select("media_id", "seq", "n").groupBy("media_id").transformWithStateInPandas(Processor(), "media_id long, seq long, samples long", "Append", "ProcessingTime")
+
+
+def committed(rows: DataFrame) -> DataFrame:
+    """media_id, seq, n, source of rows (media_id, seq, text, before): phrases as they are committed, without what the one
+    before said, cut into sentences, those with content kept; over a table or a stream."""
+    trimmed = rows.select("media_id", "seq", tx.overlap_trim(F.col("before"), F.col("text")).alias("text"))
+    cut = F.pandas_udf(lambda texts: texts.map(lambda x: sentences(x or "")), "array<string>")(F.col("text"))
+    return trimmed.select("media_id", "seq", F.posexplode(cut).alias("n", "source")).where(tx.has_content(F.col("source")))
 
 
 def while_running(rows: DataFrame, pauses: Column, resumes: Column) -> DataFrame:
