@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolex.operators import folds as fo
+from chronolex.operators import language as la
 from chronolex.operators import layout
 from chronolex.operators import segmentation as sg
 from chronolex.plans.registry import query
@@ -93,3 +94,11 @@ def m11_split_words(spark: SparkSession, sf: str) -> DataFrame:
         yield (*sg.split_words(split, rows, wrap, str.isalpha), *sg.split_words(split, sg.mend(split, rows, joined=str.isalpha), wrap, str.isalpha))
 
     return fo.fold(_cut_turns(turns), "media_id", ["piece_idx", "k"], "media_id long, cues int, lines int, seams int, cues_mended int, lines_mended int, seams_mended int", step)
+
+
+@query()
+def t25_language(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of each document by a model of the half of the documents that it is not in, beside the given one."""
+    docs = t.table(spark, sf, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    found = la.cross_detected(docs, F.pmod(F.xxhash64("text", F.lit(7)), F.lit(2)))
+    return found.select("doc_id", "lang", "language", F.round("certainty", 6).alias("certainty"), F.size(sg.letter_runs(F.col("text"))).alias("n_words"))
