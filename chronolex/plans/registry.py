@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from chronolex.plans import audit_queries, cue_queries, folded_queries, layout_queries, live_queries, metric_queries, scalar_queries, signal_queries, speaker_queries, stream_queries, text_queries, word_queries  # noqa: F401
+    from chronolex.plans import audit_queries, batch_queries, cue_queries, folded_queries, layout_queries, live_queries, metric_queries, scalar_queries, signal_queries, speaker_queries, stream_queries, text_queries, word_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -56,7 +56,7 @@ def found(spark):
 
 def test_languages_of_the_table(found):
     rows = [r for r in found if r["lang"] is not None]
-    n = duckdb.sql(f"SELECT count(*) FROM '{SF}/documents.parquet'").fetchone()[0]
+    n = duckdb.sql(f"SELECT count(*) FROM '{SF}/documents.parquet'").fetchall()[0][0]
     assert len(found) == n
     given = [r for r in rows if r["language"] is not None]
     assert sum(r["language"] == r["lang"] for r in given) / len(given) > 0.98
