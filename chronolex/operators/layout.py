@@ -108,12 +108,24 @@ def fit_cue(start: float, end: float, shown: str, marked: bool, source: str) ->
     return out
 
 
+def fit_passes(start: float, end: float, text: str, source: str, marked: bool, passes: int = 3) -> list[tuple[float, float, str, str]]:
+    """The parts of a cue, which are split again for up to `passes` times if they still need more lines."""
+    rows = [(start, end, text, source)]
+    for p in range(passes):
+        rows = [x for i, r in enumerate(rows) for x in fit_cue(r[0], r[1], r[2], marked and i == 0, r[3])] if p == 0 or len(rows) > 1 else rows
+    return rows
+
+
+def shown_cues(cues: DataFrame) -> DataFrame:
+    """media_id, idx, start, end, text, source, speaker, marked: what cues show, and whether a dash stands before it."""
+    text = F.when(F.coalesce("text", F.lit("")) != "", F.col("text")).otherwise(F.coalesce("source", F.lit("")))
+    shown = cues.select("media_id", F.col("idx").cast("long").alias("idx"), "start", "end", text.alias("text"), F.coalesce("source", F.lit("")).alias("source"), "speaker")
+    return shown.withColumn("marked", cu.marked())
+
+
 def enforce_lines(cues: DataFrame, *, passes: int = 3) -> DataFrame:
     """cues (media_id, idx, start, end, text, source, speaker) of at most LINES lines: split for up to `passes` times,
     renumbered, overlaps fixed. Whether a dash is shown depends on the speakers before, so it is found by a window."""
-    shown = cues.select("media_id", "idx", "start", "end", F.when(F.coalesce("text", F.lit("")) != "", F.col("text")).otherwise(F.coalesce("source", F.lit(""))).alias("text"), F.coalesce("source", F.lit("")).alias("source"), "speaker")
-    marked = cu.marked().alias("marked")
-
     def run(frames):
         import pandas as pd
 
@@ -121,14 +133,12 @@ def enforce_lines(cues: DataFrame, *, passes: int = 3) -> DataFrame:
         for frame in frames:
             out = []
             for media, idx, start, end, text, source, speaker, mark in frame.itertuples(index=False, name=None):
-                rows = [(start, end, text, source)]
-                for p in range(passes):
-                    rows = [x for i, r in enumerate(rows) for x in fit_cue(r[0], r[1], r[2], bool(mark) and i == 0, r[3])] if p == 0 or len(rows) > 1 else rows
+                rows = fit_passes(start, end, text, source, bool(mark), passes)
                 out += [(media, idx, i, *r, speaker) for i, r in enumerate(rows)]
             yield pd.DataFrame(out, columns=names)
 
     schema = "media_id long, idx long, part int, start double, end double, text string, source string, speaker string"
-    parts = shown.select("media_id", F.col("idx").cast("long").alias("idx"), "start", "end", "text", "source", "speaker", marked).mapInPandas(run, schema)
+    parts = shown_cues(cues).mapInPandas(run, schema)
     return cu.fix_overlaps(parts.withColumn("idx", F.struct("idx", "part")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import unicodedata
 
 from chronolex.functions import tokens as tk
@@ -13,107 +14,145 @@ TOKEN_ENDS, OPENING = ".!?。！？", "「『（(\"“"
 
 
 def side(t: float, boundaries: list[float]) -> int:
-    """How many boundaries are at or before t."""
-    return sum(b <= t for b in boundaries)
+    """How many of the sorted boundaries are at or before t."""
+    return bisect.bisect_right(boundaries, t)
 
 
 def _mark(x: str) -> bool:
     return unicodedata.category(x)[0] in "PS"
 
 
-def _joined(parts: list[tuple[str, float, float]], text: str, start: float, end: float) -> None:
-    """A piece; one without letters or digits is the end of the one before."""
-    if not text:
-        return
-    if parts and not tk.has_content(text):
-        parts[-1] = (parts[-1][0] + text, parts[-1][1], max(parts[-1][2], end))
-    else:
-        parts.append((text, start, max(end, start)))
+Piece = tuple[str, float, float]
 
 
-def group_tokens(tokens: list[tuple[str, float, float]]) -> list[tuple[str, float, float]]:
+class _Grouping:
+    """Takes timed input one by one and gives out each piece as soon as nothing can change it."""
+
+    def __init__(self, boundaries: list[float] = (), every: float | None = None):
+        #: the side of a time: how many boundaries, given or at every so many seconds, are at or before it
+        self.side = (lambda t: int(t // every)) if every else (lambda t, known=sorted(boundaries): side(t, known))
+        self.ready: list[Piece] = []
+        self.last: Piece | None = None
+
+    def give(self, text: str, start: float, end: float) -> None:
+        """A piece; one without letters or digits is the end of the one before."""
+        if self.last and text and not tk.has_content(text):
+            self.last = (self.last[0] + text, self.last[1], max(self.last[2], end))
+        elif text:
+            self.ready += [self.last] if self.last else []
+            self.last = (text, start, max(end, start))
+
+    def take(self) -> list[Piece]:
+        out, self.ready = self.ready, []
+        return out
+
+    def feed(self, text: str, first: float | None, last: float | None) -> list[Piece]:
+        self.add(text, first, last)
+        return self.take()
+
+    def flush(self) -> list[Piece]:
+        self.close()
+        self.ready += [self.last] if self.last else []
+        self.last = None
+        return self.take()
+
+    def over(self, rows) -> list[Piece]:
+        return [p for row in rows for p in self.feed(*row)] + self.flush()
+
+
+class TokenPieces(_Grouping):
     """Pieces of sub-word tokens: closed after a sentence's end, and where a word starts after a gap of 0.5 s or 5 s of
     speech. Signs count in the text and not in the time; special tokens, in angle brackets, are left out."""
-    out: list[tuple[str, float, float]] = []
-    text, start, end = "", None, 0.0
 
-    def close():
-        nonlocal text, start
-        if start is not None and text.strip():
-            out.append((text.strip(), start, max(end, start)))
-        text, start = "", None
+    def __init__(self):
+        super().__init__()
+        self.text, self.start, self.end = "", None, 0.0
+
+    def close(self) -> None:
+        if self.start is not None and self.text.strip():
+            self.ready.append((self.text.strip(), self.start, max(self.end, self.start)))
+        self.text, self.start = "", None
 
-    for raw, first, last in tokens:
+    def add(self, raw: str, first: float, last: float) -> None:
         if not raw or (raw[0] == "<" and raw[-1] == ">"):
-            continue
+            return
         shown = raw.replace("▁", " ")
         signs = all(unicodedata.category(x)[0] == "P" for x in shown.strip())
         starts_word = shown[0] == " " or tk.is_dense(raw[0]) or "가" <= raw[0] <= "힣"
-        if start is not None and starts_word and (first - end > GAP or end - start >= SOFT):
-            close()
+        if self.start is not None and starts_word and (first - self.end > GAP or self.end - self.start >= SOFT):
+            self.close()
         if not signs:
-            start, end = first if start is None else start, max(end, last)
-        text += shown
+            self.start, self.end = first if self.start is None else self.start, max(self.end, last)
+        self.text += shown
         if shown.strip()[-1:] in tuple(TOKEN_ENDS):
-            close()
-    close()
-    return out
+            self.close()
 
 
-def group_runs(runs: list[tuple[str, float | None, float | None]], boundaries: list[float] = ()) -> list[tuple[str, float, float]]:
+class RunPieces(_Grouping):
     """Pieces of runs of text, some without a time: closed before a gap, a run of 2 s, the other side of a boundary or
     7 s; after a sentence's end, or after 5 s where a word or clause ends."""
-    out: list[tuple[str, float, float]] = []
-    text, start, end, here = "", None, 0.0, 0
 
-    def close():
-        nonlocal text, start
-        if start is not None:
-            clean = text.strip()
+    def __init__(self, boundaries: list[float] = (), every: float | None = None):
+        super().__init__(boundaries, every)
+        self.text, self.start, self.end, self.here = "", None, 0.0, 0
+
+    def close(self) -> None:
+        if self.start is not None:
+            clean = self.text.strip()
             clean = "".join(x for i, x in enumerate(clean) if not (x == " " and tk.is_dense(clean[i - 1]) and tk.is_dense(clean[i + 1])))
-            _joined(out, clean, start, end)
-        text, start = "", None
+            self.give(clean, self.start, self.end)
+        self.text, self.start = "", None
 
-    for shown, first, last in runs:
+    def add(self, shown: str, first: float | None, last: float | None) -> None:
         if first is None:
-            text += shown
-            continue
-        there = side((first + last) / 2, boundaries)
-        if start is not None and (first - end > GAP or last - first >= LONG_RUN or there != here or last - start >= HARD):
-            close()
-        here, start, end = there, first if start is None else start, last
-        text += shown
-        safe = text[-1:].isspace() or text[-1:] in tuple(SENTENCE_ENDERS + CLAUSE_ENDERS)
-        if shown.strip()[-1:] in tuple(SENTENCE_ENDERS) or (end - start >= SOFT and safe) or end - start >= HARD:
-            close()
-    close()
-    return out
-
-
-def group_words(words: list[tuple[str, float, float]], boundaries: list[float] = ()) -> list[tuple[str, float, float]]:
+            self.text += shown
+            return
+        there = self.side((first + last) / 2)
+        if self.start is not None and (first - self.end > GAP or last - first >= LONG_RUN or there != self.here or last - self.start >= HARD):
+            self.close()
+        self.here, self.start, self.end = there, first if self.start is None else self.start, last
+        self.text += shown
+        safe = self.text[-1:].isspace() or self.text[-1:] in tuple(SENTENCE_ENDERS + CLAUSE_ENDERS)
+        if shown.strip()[-1:] in tuple(SENTENCE_ENDERS) or (self.end - self.start >= SOFT and safe) or self.end - self.start >= HARD:
+            self.close()
+
+
+class WordPieces(_Grouping):
     """Pieces of timed words: closed before a gap of 0.5 s, the other side of a boundary or 7 s; after a sentence's end,
     or after 5 s at a clause's end."""
-    out: list[tuple[str, float, float]] = []
-    held: list[tuple[str, float, float]] = []
-    here = 0
 
-    def close():
-        if held:
-            _joined(out, tk.join([w for w, _, _ in held]).strip(), held[0][1], held[-1][2])
-            held.clear()
+    def __init__(self, boundaries: list[float] = (), every: float | None = None):
+        super().__init__(boundaries, every)
+        self.held: list[Piece] = []
+        self.here = 0
 
-    for word, first, last in words:
-        there = side((first + last) / 2, boundaries)
-        if held and (first - held[-1][2] >= GAP or there != here):
-            close()
-        if held and last - held[0][1] >= HARD:
-            close()
-        here = there
-        held.append((word, first, last))
-        if word[-1:] in tuple(SENTENCE_ENDERS) or (last - held[0][1] >= SOFT and word[-1:] in tuple(CLAUSE_ENDERS)):
-            close()
-    close()
-    return out
+    def close(self) -> None:
+        if self.held:
+            self.give(tk.join([w for w, _, _ in self.held]).strip(), self.held[0][1], self.held[-1][2])
+            self.held = []
+
+    def add(self, word: str, first: float, last: float) -> None:
+        there = self.side((first + last) / 2)
+        if self.held and (first - self.held[-1][2] >= GAP or there != self.here):
+            self.close()
+        if self.held and last - self.held[0][1] >= HARD:
+            self.close()
+        self.here = there
+        self.held.append((word, first, last))
+        if word[-1:] in tuple(SENTENCE_ENDERS) or (last - self.held[0][1] >= SOFT and word[-1:] in tuple(CLAUSE_ENDERS)):
+            self.close()
+
+
+def group_tokens(tokens: list[Piece]) -> list[Piece]:
+    return TokenPieces().over(tokens)
+
+
+def group_runs(runs: list[tuple[str, float | None, float | None]], boundaries: list[float] = ()) -> list[Piece]:
+    return RunPieces(boundaries).over(runs)
+
+
+def group_words(words: list[Piece], boundaries: list[float] = ()) -> list[Piece]:
+    return WordPieces(boundaries).over(words)
 
 
 def punctuate(words: list[tuple[str, float, float]], text: str, reach: int = 40) -> list[tuple[str, float, float]]:

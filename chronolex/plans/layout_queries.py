@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolex.functions.storage import folder
 from chronolex.operators import boxes, layout, pieces
+from chronolex.operators import cues as cu
 from chronolex.operators import folds as fo
 from chronolex.operators import signals as sg
+from chronolex.operators import table_functions as tf
 from chronolex.plans.cue_queries import _cues
 from chronolex.plans.registry import query
 from chronolex.sources import srt
@@ -212,3 +216,50 @@ def sg8_prepared(spark: SparkSession, sf: str) -> DataFrame:
     """A quiet signal raised as a whole, then its quiet stretches, sample by sample."""
     quiet = t.samples(spark, sf).withColumn("v", F.col("v") / 1e5)
     return sg.prepare(quiet, window=400, frame=16, multiplier=1.1).select("media_id", "sample_idx", F.round("v", 6).alias("v"))
+
+
+def _grouped_by_sql(spark, name, rows, more=""):
+    tf.register(spark)
+    view = f"{name}_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(view)
+    return spark.sql(f"SELECT * FROM {name}(TABLE(SELECT * FROM {view}) PARTITION BY media_id ORDER BY (piece_idx, k, at){more})")
+
+
+def _timed(spark, sf, *parts):
+    """Words as rows (text, start, end) in the order piece_idx, k, at; parts: the rows that each word gives."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), *p) for i, p in enumerate(parts)])).alias("x")
+    return _words(spark, sf).select("media_id", "piece_idx", "k", each).select("media_id", "piece_idx", "k", "x.*")
+
+
+def _part(text, start, end):
+    return text.alias("text"), start.cast("double").alias("start"), end.cast("double").alias("end")
+
+
+@query()
+def u11_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """p1 as a table function in SQL."""
+    start, end = F.col("start"), F.col("end")
+    return _grouped_by_sql(spark, "group_tokens", _timed(spark, sf, _part(F.lit("<pad>"), start, start), _part(F.concat(F.lit("▁"), "word"), start, end)))
+
+
+@query()
+def u11_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """p2 as a table function."""
+    rows = _timed(spark, sf, _part(F.col("word"), F.col("start"), F.col("end")), _part(F.lit(" "), F.lit(None), F.lit(None)))
+    return _grouped_by_sql(spark, "group_runs", rows, ", every => 20.0D")
+
+
+@query()
+def u11_words(spark: SparkSession, sf: str) -> DataFrame:
+    """p4 as a table function."""
+    return _grouped_by_sql(spark, "group_words", _timed(spark, sf, _part(F.col("word"), F.col("start"), F.col("end"))), ", every => 20.0D")
+
+
+@query()
+def u11_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """c9 as a table function; the cues' overlaps are fixed after it."""
+    tf.register(spark)
+    view = f"shown_{uuid.uuid4().hex}"
+    layout.shown_cues(_spoken(spark, sf)).createOrReplaceTempView(view)
+    parts = spark.sql(f"SELECT * FROM fit_lines(TABLE(SELECT * FROM {view}) PARTITION BY media_id ORDER BY idx)")
+    return cu.fix_overlaps(parts.withColumn("idx", F.struct("idx", "part"))).select("media_id", "idx", "start", "end", "text", "source", "speaker")
