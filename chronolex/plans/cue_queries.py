@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronolex.functions.storage import folder
 from chronolex.functions.text import timecode
 from chronolex.operators import cues as cu
 from chronolex.plans.registry import query
-from chronolex.sources import srt
+from chronolex.sources import media_files, srt
 from chronolex.sources import tables as t
 
 _CUES = t.sql("pieces") + """, c AS (SELECT media_id, piece_idx AS idx, speaker, text, start, start + ("end" - start) / 6 AS "end" FROM pieces)"""
@@ -119,14 +120,27 @@ def io5_timecode(spark: SparkSession, sf: str) -> DataFrame:
     return t.turns(spark, sf).select("media_id", "turn_idx", timecode(F.col("start")).alias("code"))
 
 
-@query(t.sql("pieces") + """, c AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start, piece_idx) AS idx, regexp_replace(regexp_replace(text, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g') AS text, round(start * 1000) / 1000 AS s, round("end" * 1000) / 1000 AS e FROM pieces WHERE regexp_matches(regexp_replace(text, '\\s+', ' ', 'g'), '[\\p{L}\\p{N}]'))
-    SELECT media_id, idx, round(s, 3) AS start, round(CASE WHEN e <= s THEN s + 2e-1 ELSE e END, 3) AS "end", md5(trim(text)) AS text FROM c""")
+_SRT = t.sql("pieces") + """, c AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start, piece_idx) AS idx, regexp_replace(regexp_replace(text, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g') AS text, round(start * 1000) / 1000 AS s, round("end" * 1000) / 1000 AS e FROM pieces WHERE regexp_matches(regexp_replace(text, '\\s+', ' ', 'g'), '[\\p{L}\\p{N}]'))
+    SELECT media_id, idx, round(s, 3) AS start, round(CASE WHEN e <= s THEN s + 2e-1 ELSE e END, 3) AS "end", md5(trim(text)) AS text FROM c"""
+
+
+@query(_SRT)
 def io1_srt_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces rendered as SubRip and parsed back."""
     p = t.pieces(spark, sf).select("media_id", F.col("piece_idx").alias("idx"), F.regexp_replace("text", r"\s+", " ").alias("text"), "start", "end")
     return srt.parse(srt.render(p)).select("media_id", F.col("idx").cast("long").alias("idx"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.md5("text").alias("text"))
 
 
+@query(_SRT)
+def io1_srt_source(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as files of a data source."""
+    media_files.register(spark)
+    path = folder(spark)
+    media_files.write_srt(t.pieces(spark, sf).select("media_id", F.col("piece_idx").alias("idx"), F.regexp_replace("text", r"\s+", " ").alias("text"), "start", "end"), path)
+    rows = spark.read.format("srt").load(path)
+    return rows.select(F.col("media_id").cast("long").alias("media_id"), F.col("idx").cast("long").alias("idx"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.md5("text").alias("text"))
+
+
 @query("SELECT doc_id, CASE WHEN trim(text) = '' OR doc_id % 5 = 0 THEN '' ELSE reverse(text) END AS translated FROM documents")
 def u6_skip_empty(spark: SparkSession, sf: str) -> DataFrame:
     """Only texts with content are translated; all keep their places."""

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolex.functions.storage import folder
 from chronolex.operators import resample as rs
 from chronolex.operators import signals as sg
 from chronolex.plans.registry import query
+from chronolex.sources import media_files
 from chronolex.sources import tables as t
 
 _FRAMES = t.sql("samples") + """, f AS (SELECT media_id, sample_idx // 16 AS frame_idx, sqrt(avg(v * v)) AS rms FROM samples GROUP BY ALL HAVING count(*) = 16),
@@ -100,3 +102,21 @@ def io18_resample(spark: SparkSession, sf: str) -> DataFrame:
 def io18_resample_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """From 44.1 to 16 kHz: 160 phases."""
     return _rounded(rs.resampled(t.samples(spark, sf), 44_100, 16_000, chunk=1000))
+
+
+@query(t.sql("samples") + "SELECT media_id, sample_idx, v FROM samples")
+def io13_wav(spark: SparkSession, sf: str) -> DataFrame:
+    """The signals as WAV files of doubles, read back."""
+    media_files.register(spark)
+    path = folder(spark)
+    media_files.write_wav(t.samples(spark, sf), path, encoding="float64")
+    return spark.read.format("wav").option("partitionSamples", "1000").load(path).select("media_id", "sample_idx", "v")
+
+
+@query(t.sql("samples") + "SELECT media_id, sample_idx, round_even(least(1, greatest(-1, v / 100)) * 32767, 0)::BIGINT AS code FROM samples")
+def io13_pcm(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in sixteen bits, as the recogniser takes them; values over 100 are cut."""
+    media_files.register(spark)
+    path = folder(spark)
+    media_files.write_wav(t.samples(spark, sf).withColumn("v", F.col("v") / 100), path)
+    return spark.read.format("wav").load(path).select("media_id", "sample_idx", F.rint(F.col("v") * 32767).cast("long").alias("code"))
