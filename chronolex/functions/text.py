@@ -27,6 +27,9 @@ FILLERS = (
     "eaí",
     "graciasporver",
 )
+# Signs that close a draft, and hesitations that a translation should not begin with.
+CLOSING = r"。？！、…,.?!;:」』)"
+LEADING_HESITATION = r"(?i)^(hum+|uh+|hã+|ah+|bem|é+)\b[,.…]"
 SCRIPTS = {
     "latin": r"A-Za-zÀ-ɏḀ-ỿＡ-Ｚａ-ｚ",
     "cyrillic": r"Ѐ-ԯ",

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from chronolex.operators import folds as fo
 
+#: Steps of paths that a task holds before it gives them out.
+MOST_STEPS = 200_000
+
 
 def paths(pairs: DataFrame, keys: list[str], ref: str, hyp: str) -> DataFrame:
     """pairs with two arrays of strings -> keys, step, kind, i, j: an edit path of least cost for each pair."""
@@ -17,12 +20,18 @@ def paths(pairs: DataFrame, keys: list[str], ref: str, hyp: str) -> DataFrame:
         import pandas as pd
 
         for frame in frames:
+            made = {name: [] for name in (*keys, "step", "kind", "i", "j")}
             for row in frame.itertuples(index=False):
                 steps = fo.align(list(row[-2]), list(row[-1]))
-                made = pd.DataFrame([(n, *s) for n, s in enumerate(steps)], columns=["step", "kind", "i", "j"]).astype({"i": "Int64", "j": "Int64"})
-                for k, key in enumerate(keys):
-                    made.insert(k, key, row[k])
-                yield made
+                for name, value in zip(keys, row[:-2], strict=True):
+                    made[name] += [value] * len(steps)
+                made["step"] += range(len(steps))
+                for name, values in zip(("kind", "i", "j"), zip(*steps, strict=True), strict=True) if steps else ():
+                    made[name] += values
+                if len(made["step"]) > MOST_STEPS:
+                    yield pd.DataFrame(made).astype({"i": "Int64", "j": "Int64"})
+                    made = {name: [] for name in made}
+            yield pd.DataFrame(made).astype({"i": "Int64", "j": "Int64"})
 
     return pairs.select(*keys, ref, hyp).mapInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "step int, kind string, i int, j int"]))
 
@@ -80,10 +89,10 @@ def lost(path: DataFrame, keys: list[str], share: float = 0.5) -> DataFrame:
 def broken_drafts(cues: DataFrame, translated: Column) -> DataFrame:
     """media_id and how many drafts end without a mark and go on within 0.3 s, how many translations hold dense letters,
     and how many begin with a hesitation."""
-    from chronolex.functions.text import DENSE
+    from chronolex.functions.text import CLOSING, DENSE, LEADING_HESITATION
 
     following = F.lead("start").over(Window.partitionBy("media_id").orderBy("start", "idx"))
-    cut = F.trim("text").rlike(r"[^。？！、…,.?!;:」』)]$") & (following - F.col("end") < 0.3)
+    cut = F.trim("text").rlike(f"[^{CLOSING}]$") & (following - F.col("end") < 0.3)
     rows = cues.withColumn("cut", F.coalesce(cut, F.lit(False))).withColumn("out", translated)
     n = lambda c: F.sum(c.cast("long"))
-    return rows.groupBy("media_id").agg(n(F.col("cut")).alias("broken"), n(F.col("out").rlike(f"[{DENSE}]")).alias("dense"), n(F.trim("out").rlike(r"(?i)^(hum+|uh+|hã+|ah+|bem|é+)\b[,.…]")).alias("hesitations"))
+    return rows.groupBy("media_id").agg(n(F.col("cut")).alias("broken"), n(F.col("out").rlike(f"[{DENSE}]")).alias("dense"), n(F.trim("out").rlike(LEADING_HESITATION)).alias("hesitations"))

@@ -187,33 +187,57 @@ def near_text(a: str, b: str, tolerance: float = 0.25) -> bool:
     return row[-1] <= tolerance * max(len(a), len(b))
 
 
-def align(ref: list, hyp: list) -> list[tuple[str, int | None, int | None]]:
+#: Cells of the table of costs that are held at a time.
+CELLS = 2_000_000
+
+
+def align(ref: list, hyp: list, cells: int = CELLS) -> list[tuple[str, int | None, int | None]]:
     """An edit path of least cost: (same, sub, del or ins; place in ref; place in hyp); diagonal before del before ins.
 
-    A row of the table comes from the one above at once: the least over insertions is a running minimum.
+    The path is followed back from the end.  Of a table with more cells than may be held only its middle row is kept, found from
+    the top; the lower half is followed first, then the upper one, each in the same way, and only up to the column that the path
+    has reached.  So memory is a few rows and `cells`, and the path is the one of the whole table.
     """
     import numpy as np
 
     ids = {x: i for i, x in enumerate({*ref, *hyp})}
     a, b = np.array([ids[x] for x in ref], np.int64), np.array([ids[x] for x in hyp], np.int64)
-    n, m, steps = len(a), len(b), np.arange(len(b) + 1)
-    d = np.empty((n + 1, m + 1), np.int32)
-    d[0] = steps
-    for i in range(1, n + 1):
-        d[i] = d[i - 1] + 1
-        d[i, 1:] = np.minimum(d[i, 1:], d[i - 1, :-1] + (b != a[i - 1]))
-        d[i] = np.minimum.accumulate(d[i] - steps) + steps
-    out, i, j = [], n, m
-    while i or j:
-        if i and j and d[i, j] == d[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            i, j = i - 1, j - 1
-            out.append(("same" if a[i] == b[j] else "sub", i, j))
-        elif i and d[i, j] == d[i - 1, j] + 1:
-            i -= 1
-            out.append(("del", i, None))
-        else:
-            j -= 1
-            out.append(("ins", None, j))
+    steps = np.arange(len(b) + 1, dtype=np.int32)
+    out: list[tuple[str, int | None, int | None]] = []
+
+    def below(row, i):
+        """Row i + 1 from row i: the least over insertions is a running minimum."""
+        new, m = row + 1, len(row) - 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (b[:m] != a[i]))
+        return np.minimum.accumulate(new - steps[: m + 1]) + steps[: m + 1]
+
+    def follow(top, low, high, j):
+        """From (high, j) back to row `low`, whose costs are `top`; gives the column there."""
+        top = top[: j + 1]
+        if (high - low) * (j + 1) > cells and high - low > 1:
+            row = top
+            for i in range(low, middle := (low + high) // 2):
+                row = below(row, i)
+            return follow(top, low, middle, follow(row, middle, high, j))
+        d = np.empty((high - low + 1, j + 1), np.int32)
+        d[0] = top
+        for i in range(low, high):
+            d[i - low + 1] = below(d[i - low], i)
+        i = high
+        while i > low:
+            cost = d[i - low, j]
+            if j and cost == d[i - low - 1, j - 1] + (a[i - 1] != b[j - 1]):
+                i, j = i - 1, j - 1
+                out.append(("same" if a[i] == b[j] else "sub", i, j))
+            elif cost == d[i - low - 1, j] + 1:
+                i -= 1
+                out.append(("del", i, None))
+            else:
+                j -= 1
+                out.append(("ins", None, j))
+        return j
+
+    out += [("ins", None, j) for j in range(follow(steps, 0, len(a), len(b)) - 1, -1, -1)]
     return out[::-1]
 
 

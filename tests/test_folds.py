@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+
+import pytest
+
 from chronolex.operators import folds as fo
 from chronolex.sources import srt
 
@@ -52,3 +56,64 @@ def test_srt_round_trip(spark):
 def test_marks(spark):
     rows = srt.parse_marks(spark.createDataFrame([("3 0:01:02,5 --> 0:01:04,0 [Ana, Rui]",), ("noise",)], "line string")).collect()
     assert [(r["n"], r["start"], r["who"]) for r in rows] == [(3, 62.5, ["Ana", "Rui"])]
+
+
+def whole_table(ref, hyp):
+    """The path from the whole table of costs, cell by cell."""
+    d = [[i + j if not i or not j else 0 for j in range(len(hyp) + 1)] for i in range(len(ref) + 1)]
+    for i, x in enumerate(ref, 1):
+        for j, y in enumerate(hyp, 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (x != y))
+    out, i, j = [], len(ref), len(hyp)
+    while i or j:
+        if i and j and d[i][j] == d[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
+            i, j = i - 1, j - 1
+            out.append(("same" if ref[i] == hyp[j] else "sub", i, j))
+        elif i and d[i][j] == d[i - 1][j] + 1:
+            i -= 1
+            out.append(("del", i, None))
+        else:
+            j -= 1
+            out.append(("ins", None, j))
+    return out[::-1]
+
+
+@pytest.mark.parametrize("cells", [1, 7, 40, 10**6])
+def test_align_holds_few_cells_and_takes_the_same_path(cells):
+    r = random.Random(cells)
+    for _ in range(150):
+        ref, hyp = (r.choices("abc", k=r.randint(0, 25)) for _ in range(2))
+        assert fo.align(ref, hyp, cells=cells) == whole_table(ref, hyp)
+
+
+def test_align_of_long_texts_in_little_memory():
+    import tracemalloc
+
+    r = random.Random(9)
+    ref = [r.randrange(3000) for _ in range(6000)]
+    hyp = [x for x in ref if r.random() > 0.1]
+    hyp[2000:2000] = [-1] * 300
+    fo.align(ref[:50], hyp[:50])
+    tracemalloc.start()
+    path = fo.align(ref, hyp, cells=100_000)
+    assert tracemalloc.get_traced_memory()[1] < 12_000_000  # the whole table has 130 MB
+    tracemalloc.stop()
+    assert sum(k == "ins" for k, _, _ in path) >= 300
+    assert [i for _, i, _ in path if i is not None] == list(range(len(ref)))
+    assert [j for _, _, j in path if j is not None] == list(range(len(hyp)))
+
+
+def test_documents_against_their_distance(spark):
+    import duckdb
+
+    from chronolex.plans import registry
+
+    texts = dict(duckdb.sql("SELECT doc_id, coalesce(text, '') FROM '/root/testdata/sf0.001/documents.parquet'").fetchall())
+    got = {r["doc_id"]: r for r in registry.queries()["m3_align_documents"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {i for i in texts if i + 1 in texts}
+    for i, r in got.items():
+        a, b = texts[i].split(" "), texts[i + 1].split(" ")
+        assert (r["same"] + r["sub"] + r["deleted"], r["same"] + r["sub"] + r["inserted"]) == (len(a), len(b))
+        if len(a) * len(b) < 20_000:
+            path = whole_table(a, b)
+            assert r["same"] == sum(k == "same" for k, _, _ in path)
