@@ -78,3 +78,46 @@ def elementary(df: DataFrame) -> DataFrame:
     """media_id, start, end between neighbouring end points of any interval."""
     points = df.select("media_id", F.col("start").alias("p")).union(df.select("media_id", F.col("end"))).distinct()
     return points.select("media_id", F.col("p").alias("start"), F.lead("p").over(Window.partitionBy("media_id").orderBy("p")).alias("end")).where("end IS NOT NULL")
+
+
+#: Times as whole numbers, so that running sums are exact: this many a second.
+TICKS = 1e9
+
+
+def talked(pieces: DataFrame, turns: DataFrame) -> DataFrame:
+    """media_id, piece_idx, speaker, seconds, n, last: for each piece and each speaker with a turn that overlaps it, how long
+    those turns overlap it together, how many they are, and the greatest turn_idx of them (null where that takes a look at
+    the turns themselves, see `assign`).
+
+    No pairs are made.  What a speaker has talked up to a time is a running sum over the ends of turns; a piece's share is the
+    difference of two such sums.  Turns that overlap are those begun before the piece's end less those ended by its start.  So
+    the rows grow with pieces times speakers of a medium, however dense its turns are.
+    """
+    tick = lambda c: F.round(F.col(c) * TICKS).cast("long")
+    none = F.lit(None)
+    speakers = turns.select("media_id", "speaker").distinct()
+    # At equal times ends come first, then what is asked for, then starts.
+    known = turns.select("media_id", "speaker", "turn_idx", tick("start").alias("s"), tick("end").alias("e"))
+    begun = F.struct(F.col("s").alias("t"), F.lit(2).alias("o"), F.lit(1).alias("step"), F.col("s").alias("move"), F.struct("turn_idx", "e").alias("turn"))
+    ended = F.struct(F.col("e").alias("t"), F.lit(0).alias("o"), F.lit(-1).alias("step"), (-F.col("e")).alias("move"), none.cast("struct<turn_idx: bigint, e: bigint>").alias("turn"))
+    borders = known.select("media_id", "speaker", none.cast("long").alias("piece_idx"), F.explode(F.array(begun, ended)).alias("x"))
+    point = lambda c: F.struct(tick(c).alias("t"), F.lit(1).alias("o"), F.lit(0).alias("step"), F.lit(0).cast("long").alias("move"), none.cast("struct<turn_idx: bigint, e: bigint>").alias("turn"))
+    asked = pieces.select("media_id", "piece_idx", F.explode(F.array(point("start"), point("end"))).alias("x")).join(speakers, "media_id").select("media_id", "speaker", "piece_idx", "x")
+    rows = borders.unionByName(asked).select("media_id", "speaker", "piece_idx", "x.*")
+    so_far = Window.partitionBy("media_id", "speaker").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
+    sums = [F.sum("step").over(so_far).alias("open"), F.sum("move").over(so_far).alias("moved"), F.count_if(F.col("o") == 2).over(so_far).alias("begun"), F.count_if(F.col("o") == 0).over(so_far).alias("ended"), F.max("turn").over(so_far).alias("turn")]
+    at = rows.select("media_id", "speaker", "piece_idx", "t", "o", *sums).where("o = 1").withColumn("said", F.col("t") * F.col("open") - F.col("moved"))
+    first = F.min(F.struct("t", "said", "ended")).alias("a")
+    last = F.max(F.struct("t", "said", "begun", "turn")).alias("b")
+    both = at.groupBy("media_id", "piece_idx", "speaker").agg(first, last)
+    n = F.col("b.begun") - F.col("a.ended")
+    latest = F.when(F.col("b.turn.e") > F.col("a.t"), F.col("b.turn.turn_idx"))
+    return both.select("media_id", "piece_idx", "speaker", F.round((F.col("b.said") - F.col("a.said")) / TICKS, 7).alias("seconds"), n.alias("n"), latest.alias("last")).where("n > 0")
+
+
+def intersection(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[str]) -> DataFrame:
+    """a_keys and b_keys, start, end: where the unions of the intervals of each key overlap; both have media_id among their keys."""
+    left = merge_regions(a, a_keys, gap=0.0).drop("region")
+    right = merge_regions(b, b_keys, gap=0.0).drop("region")
+    pairs = overlap_join(left, right)
+    return pairs.select(*a_keys, *[F.col(f"b_{k}").alias(k) for k in b_keys if k != "media_id"], F.greatest("start", "b_start").alias("start"), F.least("end", "b_end").alias("end"))

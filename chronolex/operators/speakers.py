@@ -6,19 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolex.functions.storage import stored
-from chronolex.operators.intervals import overlap, overlap_join
+from chronolex.operators.intervals import overlap_join, talked
 
 
 def assign(pieces: DataFrame, turns: DataFrame) -> DataFrame:
     """pieces with the speaker whose turns overlap a piece most; of equals, the one whose last such turn comes first.
 
-    A piece that no turn overlaps keeps its speaker.
+    A piece that no turn overlaps keeps its speaker.  Only where two speakers have talked equally long, and their last turns are
+    not told by running sums, are pieces paired with turns.
     """
-    pairs = overlap_join(pieces.select("media_id", "piece_idx", "start", "end"), turns)
-    sums = pairs.groupBy("media_id", "piece_idx", "b_speaker").agg(F.round(F.sum(overlap()), 9).alias("sum"), F.max("b_turn_idx").alias("last"))
-    best = sums.groupBy("media_id", "piece_idx").agg(F.min(F.struct((-F.col("sum")).alias("s"), "last", "b_speaker")).alias("best"))
-    rows = pieces.join(best, ["media_id", "piece_idx"], "left")
-    return rows.withColumn("speaker", F.coalesce("best.b_speaker", "speaker")).drop("best")
+    sums = stored(talked(pieces.select("media_id", "piece_idx", "start", "end"), turns))
+    most = sums.groupBy("media_id", "piece_idx").agg(F.max("seconds").alias("seconds"))
+    top = sums.join(most, ["media_id", "piece_idx", "seconds"])
+    ties = top.groupBy("media_id", "piece_idx").agg(F.count("*").alias("n"), F.count("last").alias("told"), F.min(F.struct("last", "speaker")).alias("best"))
+    clear = ties.where("n = 1 OR told = n").select("media_id", "piece_idx", F.col("best.speaker").alias("found"))
+    open_ = pieces.join(ties.where("n > 1 AND told < n").select("media_id", "piece_idx"), ["media_id", "piece_idx"]).select("media_id", "piece_idx", "start", "end")
+    lasts = overlap_join(open_, turns).groupBy("media_id", "piece_idx", F.col("b_speaker").alias("speaker")).agg(F.max("b_turn_idx").alias("last"))
+    settled = top.drop("last").join(lasts, ["media_id", "piece_idx", "speaker"]).groupBy("media_id", "piece_idx").agg(F.min(F.struct("last", "speaker")).alias("best"))
+    best = clear.unionByName(settled.select("media_id", "piece_idx", F.col("best.speaker").alias("found")))
+    return pieces.join(best, ["media_id", "piece_idx"], "left").withColumn("speaker", F.coalesce("found", "speaker")).drop("found")
 
 
 def renumber(pieces: DataFrame, prefix: str = "Speaker ") -> DataFrame:

@@ -20,10 +20,10 @@ r6 = lambda c: F.round(c, 6).alias(c)
     SELECT media_id, speaker, round(sum(greatest(0, "end" - greatest(coalesce(reach, start), start))), 4) AS recognized, count(DISTINCT piece_idx) AS pieces, round(min(start), 6) AS first FROM m GROUP BY ALL""")
 def m2_voice_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Per speaker: seconds of speech that pieces cover, pieces that touch it, the first covered second."""
-    pairs = iv.overlap_join(t.clips(spark, sf).drop("speaker"), t.turns(spark, sf))
-    cut = pairs.select("media_id", F.col("b_speaker").alias("speaker"), "piece_idx", F.greatest("start", "b_start").alias("start"), F.least("end", "b_end").alias("end"))
-    counts = cut.groupBy("media_id", "speaker").agg(F.countDistinct("piece_idx").alias("pieces"), F.round(F.min("start"), 6).alias("first"))
-    return iv.union_length(cut, ["media_id", "speaker"]).join(counts, ["media_id", "speaker"]).select("media_id", "speaker", F.round("length", 4).alias("recognized"), "pieces", "first")
+    clips, turns = t.clips(spark, sf).drop("speaker"), t.turns(spark, sf)
+    pieces = iv.talked(clips, turns).groupBy("media_id", "speaker").agg(F.count("*").alias("pieces"))
+    covered = iv.intersection(turns, clips, ["media_id", "speaker"], ["media_id"]).groupBy("media_id", "speaker").agg(F.round(F.sum(F.col("end") - F.col("start")), 4).alias("recognized"), F.round(F.min("start"), 6).alias("first"))
+    return covered.join(pieces, ["media_id", "speaker"]).select("media_id", "speaker", "recognized", "pieces", "first")
 
 
 _TEXTS = f"""WITH p AS (SELECT conv_id, turn, {ONE_BYTE(_N('text'))} AS a, {ONE_BYTE(_N('lag(text) OVER (PARTITION BY conv_id ORDER BY turn)'))} AS b FROM conversations)"""
@@ -100,9 +100,9 @@ FLOORS = (0.1, 0.2, 0.3, 0.5, 1.0)
     SELECT f.floor, count(*) FILTER (total >= f.floor) AS rows FROM best, f WHERE r = 2 GROUP BY 1""")
 def m14_two_voices(spark: SparkSession, sf: str) -> DataFrame:
     """How many pieces hold a second voice for at least so many seconds."""
-    pairs = iv.overlap_join(t.clips(spark, sf).drop("speaker"), t.turns(spark, sf))
-    sums = pairs.groupBy("media_id", "piece_idx", "b_speaker").agg(F.round(F.sum(iv.overlap()), 9).alias("s"), F.max("b_turn_idx").alias("last"))
-    second = sums.withColumn("r", F.row_number().over(Window.partitionBy("media_id", "piece_idx").orderBy(F.desc("s"), "last"))).where("r = 2")
+    sums = iv.talked(t.clips(spark, sf).drop("speaker"), t.turns(spark, sf))
+    # Which of equal voices is the second does not change its seconds.
+    second = sums.withColumn("r", F.row_number().over(Window.partitionBy("media_id", "piece_idx").orderBy(F.desc("seconds")))).where("r = 2").withColumnRenamed("seconds", "s")
     return second.select("s", F.explode(F.array(*map(F.lit, FLOORS))).alias("floor")).groupBy("floor").agg(F.sum((F.col("s") >= F.col("floor")).cast("long")).alias("rows"))
 
 
