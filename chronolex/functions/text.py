@@ -324,3 +324,27 @@ def url_bytes(c: Column) -> Column:
     """UTF-8 bytes of a text after percent-encoding: ASCII letters and digits take one, other bytes three each."""
     kept = F.length(F.regexp_replace(c, r"[^A-Za-z0-9]", ""))
     return 3 * (F.octet_length(c) - kept) + kept
+
+
+def percent_encoded(c: Column) -> Column:
+    """Every UTF-8 byte but ASCII letters and digits as % and two hex digits."""
+    out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    for kept in ".*_-":
+        out = F.replace(out, F.lit(kept), F.lit(f"%{ord(kept):02X}"))
+    return out
+
+
+#: Characters that a script's literal cannot hold, and how they are written.
+SCRIPT_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r"} | {chr(c): f"\\u{c:04x}" for c in (*(c for c in range(1, 32) if c not in (10, 13)), 0x2028, 0x2029)}
+
+
+def script_literal(c: Column) -> Column:
+    """A text as a literal of a script, in double quotes."""
+    for char, written in SCRIPT_ESCAPES.items():
+        c = F.replace(c, F.lit(char), F.lit(written))
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def request_address(lines: Column, source: Column, target: Column, nonce: Column, base: str) -> Column:
+    """base with the nonce as a query and both codes and the lines as a fragment; null where a code is."""
+    return F.concat(F.lit(f"{base}?bloco="), nonce.cast("string"), F.lit("#"), source, F.lit("/"), target, F.lit("/"), percent_encoded(F.array_join(lines, "\n")))

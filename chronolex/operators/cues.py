@@ -84,6 +84,20 @@ def next_cue(cues: DataFrame, points: DataFrame, slack: float = 0.05) -> DataFra
     return both.withColumn("found", F.coalesce(after, latest)).where("kind = 2").select("media_id", "point_idx", F.col("found").alias("idx"))
 
 
+def previous_cue(cues: DataFrame, points: DataFrame, slack: float = 0.05, restart: float = 1.0) -> DataFrame:
+    """points with the cue that is gone back to: the one that is shown, if it began more than `restart` seconds ago, else the
+    last one that began before t - slack, else the first."""
+    both = cues.select("media_id", F.col("start").alias("at"), F.lit(2).alias("kind"), "idx", F.lit(None).cast("long").alias("point_idx"))
+    both = both.unionByName(points.select("media_id", (F.col("t") - slack).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("idx"), "point_idx"))
+    order = Window.partitionBy("media_id").orderBy("at", "kind", "idx")
+    before = F.last("idx", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.first("idx", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    found = both.withColumn("found", F.coalesce(before, first)).where("kind = 1").select("media_id", "point_idx", "found")
+    shown = cue_at(cues, points).select("media_id", "point_idx", F.col("idx").alias("shown")).join(cues.select("media_id", F.col("idx").alias("shown"), "start"), ["media_id", "shown"]).join(points, ["media_id", "point_idx"])
+    again = shown.where(F.col("t") - F.col("start") > restart).select("media_id", "point_idx", "shown")
+    return found.join(again, ["media_id", "point_idx"], "left").select("media_id", "point_idx", F.coalesce("shown", "found").alias("idx"))
+
+
 def prose(pieces: DataFrame, pause: float = 10.0) -> DataFrame:
     """media_id, text: trimmed texts in paragraphs, a new one after `pause` seconds since the last kept piece."""
     kept = pieces.withColumn("text", F.trim("text")).where("text <> ''")

@@ -98,6 +98,15 @@ def c16_next_cue(spark: SparkSession, sf: str) -> DataFrame:
     return cu.next_cue(_tracks(spark, sf), _points(spark, sf))
 
 
+@query(_TRACKS + _POINTS + """, n AS (SELECT q.media_id, q.point_idx, any_value(q.t) AS t, arg_max(c.idx, (c.start, c.idx)) AS idx FROM q LEFT JOIN c ON c.media_id = q.media_id AND c.start < q.t - 5e-2 GROUP BY ALL),
+    a AS (SELECT q.media_id, q.point_idx, arg_min(c.idx, (c.start, c.idx)) AS shown, min(c.start) AS start FROM q JOIN c ON c.media_id = q.media_id AND c.start <= q.t AND q.t < c."end" GROUP BY ALL),
+    z AS (SELECT media_id, arg_min(idx, (start, idx)) AS first FROM c GROUP BY 1)
+    SELECT n.media_id, n.point_idx, CASE WHEN n.t - a.start > 1 THEN shown ELSE coalesce(n.idx, first) END AS idx FROM n JOIN z USING (media_id) LEFT JOIN a ON a.media_id = n.media_id AND a.point_idx = n.point_idx""")
+def c16_previous_cue(spark: SparkSession, sf: str) -> DataFrame:
+    """The cue before a time, or the beginning of the one that is shown."""
+    return cu.previous_cue(_tracks(spark, sf), _points(spark, sf))
+
+
 @query(_CUES + """, l AS (SELECT *, lead(text) OVER w AS nt, lead(start) OVER w AS ns FROM (SELECT media_id, idx, start, "end", rtrim(text, '.') AS text FROM c) WINDOW w AS (PARTITION BY media_id ORDER BY start, idx))
     SELECT media_id, idx, CASE WHEN regexp_matches(rtrim(text), '[\\p{L}\\p{N}]$') AND regexp_matches(ltrim(nt), '^\\p{Lu}') AND ns - "end" >= 8e-1 THEN rtrim(text) || '.' ELSE text END AS text FROM l""")
 def p6_close_at_pauses(spark: SparkSession, sf: str) -> DataFrame:

@@ -102,14 +102,14 @@ def c10_split_evenly(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", F.posexplode(parts).alias("part", "text"))
 
 
-@query("""WITH p AS (SELECT conv_id, turn, trim(text) AS text, regexp_extract_all(trim(text), '[^ 、。，,;；:：!！?？]+[ 、。，,;；:：!！?？]*') AS p FROM conversations WHERE regexp_matches(trim(text), '^[^ 、。，,;；:：!！?？]')),
+@query("""WITH p AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS text, regexp_extract_all(trim(coalesce(text, '')), '^[ 、。，,;；:：!！?？]+[^ 、。，,;；:：!！?？]*[ 、。，,;；:：!！?？]*|[^ 、。，,;；:：!！?？]+[ 、。，,;；:：!！?？]*') AS p FROM conversations),
     s AS (SELECT conv_id, turn, text, len(p) AS n, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS i FROM p),
     g AS (SELECT conv_id, turn, least(i * 3 // n, 2) AS part, trim(string_agg(piece, '' ORDER BY i)) AS text FROM s WHERE n >= 3 GROUP BY ALL)
-    SELECT conv_id, turn, part::INT AS part, text FROM g UNION ALL SELECT conv_id, turn, k, CASE WHEN k = 0 THEN text ELSE '' END FROM p, unnest([0, 1, 2]) u(k) WHERE len(p) < 3""")
+    SELECT conv_id, turn, part::INT AS part, text FROM g UNION ALL SELECT conv_id, turn, k, CASE WHEN k = 0 THEN text ELSE '' END FROM p, unnest([0, 1, 2]) u(k) WHERE len(p) < 3 AND (text <> '' OR k = 0)""")
 def c11_split_source(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns that begin with no border sign, in three parts cut after signs and spaces."""
-    c = t.table(spark, sf, "conversations").where(F.trim("text").rlike("^[^ 、。，,;；:：!！?？]")).select("conv_id", "turn", "text")
-    parts = F.pandas_udf(lambda texts: texts.map(lambda x: layout.split_source(x, 3)), "array<string>")(F.col("text"))
+    """Turns in three parts cut after signs and spaces."""
+    c = t.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    parts = F.pandas_udf(lambda texts: texts.map(lambda x: layout.split_source(x or "", 3)), "array<string>")(F.col("text"))
     return c.select("conv_id", "turn", F.posexplode(parts).alias("part", "text"))
 
 
@@ -152,13 +152,13 @@ def io14_json_dump(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("media_id", F.size("pieces").cast("long").alias("pieces"), F.round("seconds", 4).alias("seconds"), F.md5(F.array_join(F.transform("pieces", lambda x: x["text"]), "|")).alias("digest"))
 
 
-@query(t.sql("turns") + """SELECT turn_idx::INT AS n, round(round(start * 1000) / 1000, 3) AS start, round(round("end" * 1000) / 1000, 3) AS "end", CASE WHEN turn_idx % 2 = 0 THEN [speaker] ELSE [speaker, 'Rui'] END AS who FROM turns WHERE start >= 0""")
+@query(t.sql("turns") + """SELECT turn_idx::INT AS n, round(round(start * 1000) / 1000, 3) AS start, round(round("end" * 1000) / 1000, 3) AS "end", CASE WHEN turn_idx % 2 = 0 THEN [speaker] ELSE [speaker, 'Rui'] END AS who FROM turns""")
 def io15_marked_truth(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of marked speakers, written and parsed."""
     from chronolex.functions.text import timecode
 
     who = F.concat(F.lit("["), "speaker", F.when(F.col("turn_idx") % 2 == 0, "").otherwise(" , Rui"), F.lit("]"))
-    lines = t.turns(spark, sf).where("start >= 0").select(F.concat(F.col("turn_idx").cast("string"), F.lit(" "), timecode(F.col("start")), F.lit(" --> "), timecode(F.col("end")), F.lit(" "), who).alias("line"))
+    lines = t.turns(spark, sf).select(F.concat(F.col("turn_idx").cast("string"), F.lit(" "), timecode(F.col("start")), F.lit(" --> "), timecode(F.col("end")), F.lit(" "), who).alias("line"))
     return srt.parse_marks(lines).select("n", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "who")
 
 
@@ -193,10 +193,10 @@ def b3_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def sg5_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Pieces of half a second moved to where the signal is."""
+    """Pieces of half a second, one in each second of every signal, moved to where the signal is."""
     flags = sg.voiced(sg.frames(t.samples(spark, sf), 16), multiplier=1.5)
-    media = flags.select("media_id").distinct()
-    some = media.select("media_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("piece_idx")).select("media_id", F.col("piece_idx").cast("long").alias("piece_idx"), (F.col("piece_idx") + 0.2).alias("start"), (F.col("piece_idx") + 0.7).alias("end"))
+    media = flags.groupBy("media_id").agg(F.floor((F.max("frame_idx") + 1) * 0.03).cast("int").alias("seconds"))
+    some = media.select("media_id", F.explode(F.sequence(F.lit(0), F.greatest(F.col("seconds") - 1, F.lit(0)))).alias("piece_idx")).select("media_id", F.col("piece_idx").cast("long").alias("piece_idx"), (F.col("piece_idx") + 0.2).alias("start"), (F.col("piece_idx") + 0.7).alias("end"))
     return sg.fit(some, flags).select("media_id", "piece_idx", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 

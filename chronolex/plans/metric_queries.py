@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolex.operators import intervals as iv
+from chronolex.operators import ranks as rk
 from chronolex.operators import speakers as sp
 from chronolex.plans.registry import query
 from chronolex.plans.speaker_queries import _ASSIGN
@@ -62,11 +63,14 @@ def m8_median_offset(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("media_id").agg(F.round(F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("d"))), 6).alias("median"), F.round(F.avg((F.col("d") <= 0.5).cast("int")), 6).alias("within"))
 
 
-@query(t.sql("pieces") + """, k AS (SELECT *, length(text) AS c, row_number() OVER (PARTITION BY speaker ORDER BY length(text), media_id, piece_idx) AS r, count(*) OVER (PARTITION BY speaker) AS n FROM pieces)
-    SELECT speaker, max(c) FILTER (r = n // 2 + 1) AS median_chars, max(c) AS max_chars, round(avg("end" - start), 6) AS mean_seconds FROM k GROUP BY 1""")
+@query(t.sql("pieces") + """, k AS (SELECT *, length(text) AS c, row_number() OVER (PARTITION BY speaker ORDER BY length(text), media_id, piece_idx) AS r, row_number() OVER (PARTITION BY speaker ORDER BY "end" - start) AS q, count(*) OVER (PARTITION BY speaker) AS n FROM pieces)
+    SELECT speaker, max(c) FILTER (r = n // 2 + 1) AS median_chars, round(max("end" - start) FILTER (q = n // 2 + 1), 6) AS median_seconds, max(c) AS max_chars, round(avg("end" - start), 6) AS mean_seconds FROM k GROUP BY 1""")
 def m9_size_stats(spark: SparkSession, sf: str) -> DataFrame:
-    k = t.pieces(spark, sf).withColumn("c", F.length("text")).withColumn("r", F.row_number().over(Window.partitionBy("speaker").orderBy("c", "media_id", "piece_idx"))).withColumn("n", F.count("*").over(Window.partitionBy("speaker")))
-    return k.groupBy("speaker").agg(F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("c"))).alias("median_chars"), F.max("c").alias("max_chars"), F.round(F.avg(F.col("end") - F.col("start")), 6).alias("mean_seconds"))
+    """Sizes of pieces by speaker: the median letters and seconds, the most letters, the mean seconds."""
+    p = t.pieces(spark, sf).select("speaker", F.length("text").alias("c"), (F.col("end") - F.col("start")).alias("s"))
+    middle = {"median": lambda n: F.floor(n / 2)}
+    medians = rk.at_ranks(p, "speaker", "c", middle).select("speaker", F.col("value").alias("median_chars")).join(rk.at_ranks(p, "speaker", "s", middle).select("speaker", F.round("value", 6).alias("median_seconds")), "speaker")
+    return p.groupBy("speaker").agg(F.max("c").alias("max_chars"), F.round(F.avg("s"), 6).alias("mean_seconds")).join(medians, "speaker")
 
 
 @query(t.sql("clips") + """, j AS (SELECT t.media_id, t.turn_idx, t.start, t."end", c.start AS s, c."end" AS e FROM turns t JOIN clips c ON c.media_id = t.media_id AND t.start <= (c.start + c."end") / 2 AND (c.start + c."end") / 2 < t."end")
@@ -223,19 +227,20 @@ def m33_vad_coverage(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
     SELECT event_type, p, max(value) FILTER (r = least(n - 1, floor(n * p)::BIGINT) + 1) AS q FROM k, (VALUES (0.5::DOUBLE), (0.9), (0.99)) x(p) GROUP BY ALL""")
 def m34_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("event_type")
-    k = t.table(spark, sf, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("r"), F.count("*").over(w).alias("n"))
-    k = k.select("*", F.explode(F.array(*map(F.lit, (0.5, 0.9, 0.99)))).alias("p")).where(F.col("r") == F.least(F.col("n") - 1, F.floor(F.col("n") * F.col("p"))) + 1)
-    return k.groupBy("event_type", "p").agg(F.max("value").alias("q"))
+    at = {str(p): (lambda n, p=p: F.least(n - 1, F.floor(n * F.lit(p)))) for p in (0.5, 0.9, 0.99)}
+    found = rk.at_ranks(t.table(spark, sf, "events"), "event_type", "value", at)
+    return found.select("event_type", F.col("name").cast("double").alias("p"), F.col("value").alias("q"))
 
 
 @query("""WITH d AS (SELECT event_type, (round(value * 30) - round((value + (event_id % 5 - 2) / 60e0) * 30))::BIGINT AS f FROM events)
-    SELECT event_type, count(*) FILTER (f = 0) AS f0, count(*) FILTER (abs(f) = 1) AS f1, count(*) FILTER (abs(f) = 2) AS f2, count(*) FILTER (abs(f) >= 3) AS more FROM d GROUP BY 1""")
+    SELECT event_type, count(*) FILTER (f = 0) AS f0, count(*) FILTER (abs(f) = 1) AS f1, count(*) FILTER (abs(f) = 2) AS f2, count(*) FILTER (abs(f) >= 3) AS more,
+      round(count(*) FILTER (f = 0) / count(*), 6) AS share0, round(count(*) FILTER (abs(f) <= 1) / count(*), 6) AS share1, round(count(*) FILTER (abs(f) <= 2) / count(*), 6) AS share2 FROM d GROUP BY 1""")
 def m36_frame_errors(spark: SparkSession, sf: str) -> DataFrame:
     f = (F.round(F.col("value") * 30) - F.round((F.col("value") + (F.col("event_id") % 5 - 2) / 60.0) * 30)).cast("long")
     n = lambda c: F.sum(c.cast("long"))
     e = t.table(spark, sf, "events").select("event_type", f.alias("f")).groupBy("event_type")
-    return e.agg(n(F.col("f") == 0).alias("f0"), n(F.abs("f") == 1).alias("f1"), n(F.abs("f") == 2).alias("f2"), n(F.abs("f") >= 3).alias("more"))
+    share = lambda most: F.round(n(F.abs("f") <= most) / F.count("*"), 6).alias(f"share{most}")
+    return e.agg(n(F.col("f") == 0).alias("f0"), n(F.abs("f") == 1).alias("f1"), n(F.abs("f") == 2).alias("f2"), n(F.abs("f") >= 3).alias("more"), share(0), share(1), share(2))
 
 
 @query(t.sql("turns") + """, x AS (SELECT turn_idx // 2000 * 40 + turn_idx % 40 AS m, start AS t FROM turns), y AS (SELECT turn_idx // 2000 * 40 + turn_idx % 40 AS m, "end" AS t FROM turns)

@@ -119,6 +119,25 @@ def t31_acceptable(spark: SparkSession, sf: str) -> DataFrame:
     return t.table(spark, sf, "events").select("event_id", tx.acceptable(F.array("event_type"), e % 2 == 0, e % 3 == 0, previous).alias("accepted"))
 
 
+def _written(column: str) -> str:
+    for char, written in tx.SCRIPT_ESCAPES.items():
+        column = f"replace({column}, chr({ord(char)}), '{written}')"
+    return f"""'"' || {column} || '"'"""
+
+
+#: The same as bytes of hex digits: those of ASCII letters and digits are taken back.
+_ENCODED = """array_to_string(list_transform(range(1, octet_length(encode(s)) * 2, 2), lambda i: CASE WHEN regexp_matches(chr(('0x' || substr(hex(encode(s)), i, 2))::INT), '^[A-Za-z0-9]$') THEN chr(('0x' || substr(hex(encode(s)), i, 2))::INT) ELSE '%' || substr(hex(encode(s)), i, 2) END), '')"""
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, text, text || chr(10) || role AS s FROM conversations)
+    SELECT conv_id, turn, md5({_ENCODED.replace('(s)', "(coalesce(text, ''))")}) AS escaped, md5({_written('text')}) AS literal, md5('https://example.org/?bloco=' || turn || '#de/en-US/' || {_ENCODED}) AS address FROM t""")
+def t32_escaped(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as parts of an address and as literals of a script."""
+    c = t.table(spark, sf, "conversations")
+    address = tx.request_address(F.array("text", "role"), F.lit("de"), F.lit("en-US"), F.col("turn"), "https://example.org/")
+    return c.select("conv_id", "turn", F.md5(tx.percent_encoded(F.col("text"))).alias("escaped"), F.md5(tx.script_literal(F.col("text"))).alias("literal"), F.md5(address).alias("address"))
+
+
 @query("WITH w AS (SELECT conv_id, turn, left(text, (turn % 6)::INT) AS s FROM conversations) SELECT conv_id, turn, length(s) < 4 AND NOT regexp_matches(s, '\\s') AS short FROM w")
 def t33_too_short(spark: SparkSession, sf: str) -> DataFrame:
     return t.table(spark, sf, "conversations").select("conv_id", "turn", tx.too_short(F.substring(F.col("text"), F.lit(1), (F.col("turn") % 6).cast("int"))).alias("short"))
