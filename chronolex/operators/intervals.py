@@ -80,6 +80,17 @@ def elementary(df: DataFrame) -> DataFrame:
     return points.select("media_id", F.col("p").alias("start"), F.lead("p").over(Window.partitionBy("media_id").orderBy("p")).alias("end")).where("end IS NOT NULL")
 
 
+def uncovered(regions: DataFrame, key: str, cues: DataFrame) -> DataFrame:
+    """media_id, key, start, end: what is left of each region (media_id, key, start, end) without the union of the cues."""
+    cut = overlap_join(regions, merge_regions(cues.select("media_id", "start", "end"), ["media_id"], gap=0.0).drop("region"))
+    parts = cut.select("media_id", key, "start", "end", F.greatest("start", "b_start").alias("a"), F.least("end", "b_end").alias("b"))
+    order = Window.partitionBy("media_id", key).orderBy("a")
+    before = parts.select("media_id", key, F.coalesce(F.lag("b").over(order), F.col("start")).alias("start"), F.col("a").alias("end"))
+    last = parts.groupBy("media_id", key).agg(F.max("b").alias("start"), F.first("end").alias("end"))
+    whole = regions.join(parts.select("media_id", key).distinct(), ["media_id", key], "left_anti").select("media_id", key, "start", "end")
+    return before.unionByName(last).unionByName(whole).where("end > start")
+
+
 #: Times as whole numbers, so that running sums are exact: this many a second.
 TICKS = 1e9
 

@@ -78,5 +78,19 @@ def group_same_voice(voices: DataFrame, threshold: float = 0.5, rounds: int = 32
         moved = nexts.where("moved").limit(1).count()
         rows = nexts.select("label", "group_label")
         if not moved:
-            break
-    return rows
+            return rows
+    raise RuntimeError(f"voices lead to earlier ones in more than 2 ** {rounds} steps")
+
+
+def merge_same_voice(turns: DataFrame, voices: DataFrame, threshold: float = 0.5, sample: float = 12.0, least: float = 2.0) -> DataFrame:
+    """turns (media_id, turn_idx, label, start, end) with the labels of one voice made the earliest one's. A label's sample are
+    its longest turns until they make up `sample` seconds; labels with less than `least` seconds keep their name. voices has
+    media_id, label and embedding."""
+    length = F.col("end") - F.col("start")
+    before = F.sum(length).over(Window.partitionBy("media_id", "label").orderBy(length.desc(), "turn_idx").rowsBetween(Window.unboundedPreceding, -1))
+    taken = turns.withColumn("before", before).where(F.coalesce("before", F.lit(0.0)) < sample)
+    heard = taken.groupBy("media_id", "label").agg(F.sum(length).alias("seconds")).where(F.col("seconds") >= least).select("media_id", "label")
+    firsts = turns.groupBy("media_id", "label").agg(F.min("start").alias("first_heard"))
+    known = voices.select("media_id", "label", "embedding").join(heard, ["media_id", "label"]).join(firsts, ["media_id", "label"])
+    groups = group_same_voice(stored(known), threshold)
+    return turns.join(groups, "label", "left").withColumn("label", F.coalesce("group_label", "label")).drop("group_label")

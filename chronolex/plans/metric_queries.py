@@ -97,6 +97,26 @@ def m13_uncovered(spark: SparkSession, sf: str) -> DataFrame:
     return regions.join(covered, ["media_id", "turn_idx"], "left").select("media_id", "turn_idx", F.round(F.col("end") - F.col("start") - F.coalesce("length", F.lit(0.0)), 5).alias("uncovered"))
 
 
+@query(t.sql("turns") + """, b AS (SELECT media_id, start, start + ("end" - start) / 20 AS "end" FROM turns), a AS (SELECT media_id, turn_idx, start, start + 2 AS "end" FROM turns),
+    o AS (SELECT *, max("end") OVER (PARTITION BY media_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b WHERE "end" > start),
+    i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS n FROM o),
+    g AS (SELECT media_id, min(start) AS start, max("end") AS "end" FROM i GROUP BY media_id, n),
+    c AS (SELECT a.media_id, a.turn_idx, a.start AS s0, a."end" AS e0, greatest(a.start, g.start) AS p, least(a."end", g."end") AS q FROM a JOIN g ON a.media_id = g.media_id AND a.start < g."end" AND g.start < a."end"),
+    h AS (SELECT media_id, turn_idx, coalesce(lag(q) OVER (PARTITION BY media_id, turn_idx ORDER BY p), s0) AS start, p AS "end" FROM c
+      UNION ALL SELECT media_id, turn_idx, max(q), any_value(e0) FROM c GROUP BY ALL UNION ALL SELECT media_id, turn_idx, start, "end" FROM a WHERE NOT exists(SELECT 1 FROM c WHERE c.media_id = a.media_id AND c.turn_idx = a.turn_idx)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY round("end" - start, 6) DESC, turn_idx, start) AS r FROM h WHERE round("end" - start, 6) >= 1)
+    SELECT media_id, turn_idx, round(start + 1e-8, 5) AS start, round("end" - start, 5) AS seconds FROM r WHERE r <= 8""")
+def m13_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """The eight longest stretches of a second and more of each medium in which somebody speaks and no cue is shown: a report."""
+    turns = t.turns(spark, sf)
+    cues = turns.select("media_id", "start", (F.col("start") + (F.col("end") - F.col("start")) / 20).alias("end")).where("end > start")
+    regions = turns.select("media_id", "turn_idx", "start", (F.col("start") + 2).alias("end"))
+    size = F.round(F.col("end") - F.col("start"), 6)
+    gaps = iv.uncovered(regions, "turn_idx", cues).where(size >= 1)
+    ranked = gaps.withColumn("r", F.row_number().over(Window.partitionBy("media_id").orderBy(size.desc(), "turn_idx", "start"))).where("r <= 8")
+    return ranked.select("media_id", "turn_idx", F.round(F.col("start") + 1e-8, 5).alias("start"), F.round(F.col("end") - F.col("start"), 5).alias("seconds"))
+
+
 FLOORS = (0.1, 0.2, 0.3, 0.5, 1.0)
 
 
@@ -165,6 +185,16 @@ def m21_audit(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("media_id").agg(n(F.col("end") - F.col("start") > 7).alias("long_cues"), n(F.col("n") < F.col("end")).alias("overlaps"), n(F.col("speaker") == "").alias("empty_cues"))
 
 
+@query(t.sql("pieces") + """, l AS (SELECT *, lead(start) OVER (PARTITION BY media_id ORDER BY start, piece_idx) AS n FROM pieces)
+    SELECT media_id, count(*) FILTER (trim(coalesce(text, '')) = '') AS empty_cues, count(*) FILTER (len(string_split(text, chr(10))) > 2) AS many_lines, count(*) FILTER ("end" - start > 7) AS long_cues, count(*) FILTER (n < "end" + 1) AS overlaps FROM l GROUP BY 1""")
+def m21_audit_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each conversation's turns as cues that are shown a second longer: those that are empty, that have more than two lines, that are over 7 s, and that reach into the next."""
+    rows = t.pieces(spark, sf).withColumn("n", F.lead("start").over(Window.partitionBy("media_id").orderBy("start", "piece_idx")))
+    n = lambda c: F.sum(F.coalesce(c.cast("long"), F.lit(0)))
+    checks = {"empty_cues": F.trim(F.coalesce("text", F.lit(""))) == "", "many_lines": F.size(F.split("text", "\n")) > 2, "long_cues": F.col("end") - F.col("start") > 7, "overlaps": F.col("n") < F.col("end") + 1}
+    return rows.groupBy("media_id").agg(*[n(c).alias(name) for name, c in checks.items()])
+
+
 @query(t.sql("turns") + """, a AS (SELECT conv AS media_id, conv_idx AS idx, start, "end" FROM (SELECT turn_idx // 2000 * 40 + turn_idx % 40 AS conv, turn_idx AS conv_idx, start, start + 3 AS "end" FROM turns)),
     b AS (SELECT turn_idx // 2000 * 40 + turn_idx % 40 AS media_id, turn_idx AS idx, start + 1 AS start, start + 4 AS "end" FROM turns)
     SELECT a.media_id, a.idx, count(b.idx) AS pairs FROM a LEFT JOIN b ON a.media_id = b.media_id AND ((a.start <= (b.start + b."end") / 2 AND (b.start + b."end") / 2 < a."end") OR (b.start <= (a.start + a."end") / 2 AND (a.start + a."end") / 2 < b."end")) GROUP BY ALL""")

@@ -117,3 +117,24 @@ def v7_voice_sample(spark: SparkSession, sf: str) -> DataFrame:
     length = F.col("end") - F.col("start")
     before = F.sum(length).over(Window.partitionBy("media_id", "speaker").orderBy(length.desc(), "turn_idx").rowsBetween(Window.unboundedPreceding, -1))
     return t.turns(spark, sf).withColumn("before", before).where(F.coalesce("before", F.lit(0.0)) < 120).select("media_id", "speaker", "turn_idx")
+
+
+@query(t.sql("voices") + f""", tt AS (SELECT event_id AS turn_idx, (event_id // 2000) % (SELECT max(media_id) + 1 FROM voices) AS media_id, event_id % 200 AS k, (epoch_us(ts) - 1704067200000000) / 6e7 AS start, (epoch_us(ts) - 1704067200000000) / 6e7 + value AS "end" FROM events),
+    x AS (SELECT turn_idx, media_id, media_id * 200 + k AS label, start, "end" FROM tt),
+    r AS (SELECT *, sum("end" - start) OVER (PARTITION BY media_id, label ORDER BY "end" - start DESC, turn_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x),
+    heard AS (SELECT media_id, label FROM r WHERE coalesce(before, 0) < 12 GROUP BY ALL HAVING sum("end" - start) >= 2),
+    v AS (SELECT v.media_id, v.label, v.embedding, f.first FROM voices v JOIN heard USING (media_id, label) JOIN (SELECT media_id, label, min(start) AS first FROM x GROUP BY ALL) f USING (media_id, label)),
+    p AS (SELECT a.label AS a, a.first AS fa, b.label AS b, 1 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS distance FROM v a JOIN v b ON a.media_id = b.media_id AND (a.first, a.label) < (b.first, b.label)),
+    parent AS (SELECT b AS label, arg_min(a, (fa, a)) AS up FROM p WHERE distance < {VOICE_THRESHOLD} GROUP BY b),
+    walk AS (SELECT label, up, 1 AS n FROM parent UNION ALL SELECT w.label, q.up, n + 1 FROM walk w JOIN parent q ON q.label = w.up),
+    root AS (SELECT label, arg_max(up, n) AS up FROM walk GROUP BY 1)
+    SELECT turn_idx, coalesce(up, label) AS label FROM x LEFT JOIN root USING (label)""")
+def v7_relabel(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns whose labels belong to one voice get the label of the one that was heard first."""
+    voices = t.voices(spark, sf)
+    media = voices.agg(F.max("media_id") + 1).first()[0]
+    e = F.col("event_id")
+    start = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) / F.lit(6e7)
+    rows = t.table(spark, sf, "events").select(e.alias("turn_idx"), (F.floor(e / 2000) % media).alias("media_id"), (e % 200).alias("k"), start.alias("start"), "value")
+    turns = rows.select("turn_idx", "media_id", (F.col("media_id") * 200 + F.col("k")).alias("label"), "start", (F.col("start") + F.col("value")).alias("end"))
+    return sp.merge_same_voice(turns, voices, VOICE_THRESHOLD).select("turn_idx", "label")
