@@ -205,7 +205,7 @@ def train(texts: DataFrame, known: dict) -> DataFrame:
             lower = F.col("lower")
         p = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("kept_back") / F.col("total") * lower
         below = stored(rows.select("lang", F.lit(n).alias("n"), "gram", p.alias("p")), "model")
-        bow = totals.select("lang", F.lit(n - 1).alias("n"), F.col("context").alias("gram"), F.log(F.col("kept_back") / F.col("total")).alias("bow"))
+        bow = stored(totals.select("lang", F.lit(n - 1).alias("n"), F.col("context").alias("gram"), F.log(F.col("kept_back") / F.col("total")).alias("bow")), "bows")
         bows = bow if bows is None else bows.unionByName(bow)
         model = below if model is None else model.unionByName(below)
     empty = bows.where("n = 0").select("lang", "n", "gram", F.lit(None).cast("double").alias("logp"), "bow")
