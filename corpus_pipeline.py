@@ -9,23 +9,24 @@ from pyspark.sql import functions as F
 
 from chronolex.llm import bpe, common, jaccard, kneser_ney, lsa, pii
 
+#: Settings of a session that runs the stages.  Rows that go to a Python worker at a time: whole texts, some of them very long,
+#: wait in both processes.  Characters of a plan that the driver keeps for each of a run's many jobs.
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.maxPlanStringLength": "4000"}
 
-#: Rows that go to a Python worker at a time: whole texts, some of them very long, wait in both processes.
-ROWS_A_BATCH = 500
 
-
-def small_batches(stage):
-    """The stage, with the session's Arrow batches cut to ROWS_A_BATCH rows, which bounds what a task holds outside the heap."""
+def in_little_memory(stage):
+    """The stage in a session with SETTINGS, which bound what a task holds outside the heap and what the driver keeps."""
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_A_BATCH)
+        for name, value in SETTINGS.items():
+            spark.conf.set(name, value)
         return stage(spark, docs, sf_dir)
 
     return run
 
 
-@small_batches
+@in_little_memory
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of at most the perplexity that their language allows; blank and null texts go, repeated rows are judged
     alike, an empty table stays one."""
@@ -34,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where("keep").select(*[F.col(renamed.get(c, c)).alias(c) for c in docs.columns])
 
 
-@small_batches
+@in_little_memory
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each component of links, and all that no link reaches; of repeated rows with one
     id all stay or go; blank texts and rows without an id have no links."""
@@ -43,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return common.semi_join_checked(docs, gone, "doc_id", common.ID_ROWS, "left_anti").select(docs.columns)
 
 
-@small_batches
+@in_little_memory
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage; blank texts have none."""
     return lsa.clean(docs, common.table(spark, sf_dir, "benchmark"))
@@ -54,7 +55,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
-@small_batches
+@in_little_memory
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit) and whether they decode to the text."""
     import public_tokenizers
