@@ -16,15 +16,21 @@ from chronolex.sources import tables as t
 PIECE, WIDTH = 24, 20
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew where it has fewer partitions than there are cores: a letter takes some ten microseconds."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _documents(spark, sf):
-    return t.table(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    return _spread(t.table(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")))
 
 
 def _turns(spark, sf):
     """The turns without spaces, and the lexicon of the conversations, in which language is not told."""
     turns = t.pieces(spark, sf).withColumn("text", F.coalesce("text", F.lit("")))
     lexicon = sg.trained(turns.select(F.lit("any").alias("lang"), "text"), rounds=0).get("any") or sg.Lexicon({})
-    return turns.withColumn("text", sg.unspaced(F.col("text"))), spark.sparkContext.broadcast(lexicon)
+    return _spread(turns.withColumn("text", sg.unspaced(F.col("text")))), spark.sparkContext.broadcast(lexicon)
 
 
 def _split(sent):
