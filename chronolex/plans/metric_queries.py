@@ -177,6 +177,25 @@ def m19_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(t.sql("pieces") + """, c AS (SELECT media_id, piece_idx, start + 5e-1 AS start, "end" + 7e-1 AS "end", replace(text, '!', '.') AS shown FROM pieces),
+    o AS (SELECT p.media_id, sum(least(p."end", c."end") - greatest(p.start, c.start)) AS joint FROM pieces p JOIN c ON p.media_id = c.media_id AND p.start < c."end" AND c.start < p."end" GROUP BY 1),
+    s AS (SELECT media_id, sum("end" - start) AS speech, sum(length(text) - length(replace(replace(text, '?', ''), '!', '')))::BIGINT AS marks FROM pieces GROUP BY 1),
+    k AS (SELECT media_id, sum("end" - start) AS shown, sum(length(shown) - length(replace(replace(shown, '?', ''), '!', '')))::BIGINT AS marks, count(*) FILTER (len(string_split(shown, chr(10))) > 2) AS many_lines FROM c GROUP BY 1)
+    SELECT media_id, s.marks - k.marks AS lost_marks, round((speech - coalesce(joint, 0)) / speech, 5) AS uncovered_share, round(shown - coalesce(joint, 0), 4) AS without_voice, many_lines FROM s JOIN k USING (media_id) LEFT JOIN o USING (media_id) WHERE speech > 0""")
+def m19_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Per medium: marks that cues lost, the share of speech without a cue, seconds of cues without speech, cues of over two lines."""
+    p = t.pieces(spark, sf)
+    cues = p.select("media_id", "piece_idx", (F.col("start") + 0.5).alias("start"), (F.col("end") + 0.7).alias("end"), F.replace("text", F.lit("!"), F.lit(".")).alias("shown"), "text")
+    spans = lambda rows: rows.select("media_id", "piece_idx", "start", "end").where("end > start")
+    seconds = lambda rows, name: rows.groupBy("media_id").agg(F.sum(F.col("end") - F.col("start")).alias(name))
+    bare, mute = seconds(iv.uncovered(spans(p), "piece_idx", spans(cues)), "bare"), seconds(iv.uncovered(spans(cues), "piece_idx", spans(p)), "mute")
+    marks = lambda c: F.sum(F.coalesce(F.regexp_count(c, F.lit("[?!]")), F.lit(0)))
+    texts = cues.groupBy("media_id").agg((marks("text") - marks("shown")).alias("lost_marks"), F.sum(F.coalesce((F.size(F.split("shown", "\n")) > 2).cast("long"), F.lit(0))).alias("many_lines"))
+    rows = seconds(spans(p), "speech").join(texts, "media_id").join(bare, "media_id", "left").join(mute, "media_id", "left")
+    share = F.round(F.coalesce("bare", F.lit(0.0)) / F.col("speech"), 5)
+    return rows.select("media_id", "lost_marks", share.alias("uncovered_share"), F.round(F.coalesce("mute", F.lit(0.0)), 4).alias("without_voice"), "many_lines")
+
+
 @query(t.sql("turns") + """, l AS (SELECT *, lead(start) OVER (PARTITION BY media_id ORDER BY start, turn_idx) AS n FROM turns)
     SELECT media_id, count(*) FILTER ("end" - start > 7) AS long_cues, count(*) FILTER (n < "end") AS overlaps, count(*) FILTER (speaker = '') AS empty_cues FROM l GROUP BY 1""")
 def m21_audit(spark: SparkSession, sf: str) -> DataFrame:
