@@ -31,14 +31,14 @@ from pyspark.sql import types as T
 from chronolex.llm.common import returned
 
 #: Characters of text whose pieces and tokens are in memory at a time.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 500_000
 #: Pieces whose tokens a worker remembers between batches.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 120_000
 
 #: Words up to this are contracted pair by pair.
 SHORT_WORD = 64
 #: Rows of all steps that one run of a contraction query keeps, 50 bytes each.
-QUERY_ROWS = 1_000_000
+QUERY_ROWS = 600_000
 
 # A row: position p (piece << 40 | offset), token, and the next row's position and token (-1 at a piece's end).
 CONTRACT = """
@@ -165,7 +165,7 @@ class Codec:
             for k in range(1, len(token)):
                 if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
                     pair.append(a << 32 | b), merged.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": tempfile.gettempdir(), "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": tempfile.gettempdir(), "preserve_insertion_order": False})
         for name, data in (
             ("merges", {"pair": pair, "merged": merged}),
             ("vocab", {"tok": list(ranks.values()), "chars": [t.decode("latin-1") for t in ranks]}),
