@@ -2,13 +2,14 @@
 
 Encoding follows the rank files: a text is cut by a pattern into pieces; a piece that is itself in the vocabulary is
 one token; every other piece starts as its bytes and the adjacent pair of least rank (the leftmost of equals) is
-contracted until no pair is in the vocabulary.  In DuckDB that is a recursive query over token-position rows joined
-with the merge table.  Decoding joins the ids with the vocabulary and aggregates the bytes in the order of positions.
+contracted until no pair is in the vocabulary.  In DuckDB that is a recursive query that joins the new pairs of each
+step with the merge table.  Decoding joins the ids with the vocabulary and aggregates the bytes in the order of positions.
 
-Words of up to SHORT_WORD bytes contract one pair a step (CONTRACT).  Longer pieces are first cut where no token of the
+Words of up to SHORT_WORD bytes contract one pair a step (CONTRACT): a row is a word with its tokens and the ranks of its
+pairs, of which a step changes two, and a word that has no pair left leaves the query.  Longer pieces are first cut where no token of the
 vocabulary matches the bytes on both sides, which no contraction can cross.  A step of theirs (CONTRACT_LONG) contracts
 all places of a word's least rank at once, from the left and without overlaps, up to the first place whose new
-neighbours have a lower rank, as those would be next; so a long run of one letter takes as many steps as ranks.  A query
+neighbours have a lower rank, as those would be next; so a long run of one letter takes as many steps as ranks.  Such a query
 keeps the rows of each of its steps, so its steps are bounded by its rows (QUERY_ROWS), and the next query goes on.
 
 Defined results: a null text counts as empty and gives no tokens; empty texts give an empty list; repeated rows are
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronolex.llm.common import returned
+from chronolex.llm.common import returning
 
 #: Characters of text whose pieces and tokens are in memory at a time.
 SLICE_CHARS = 500_000
@@ -37,33 +38,29 @@ CACHE_PIECES = 120_000
 
 #: Words up to this are contracted pair by pair.
 SHORT_WORD = 64
-#: Rows of all steps that one run of a contraction query keeps, 50 bytes each.
+#: Rows of all steps that one run of CONTRACT_LONG keeps, 50 bytes each.
 QUERY_ROWS = 600_000
+#: Bytes of the short words of one query.
+QUERY_BYTES = 200_000
 
-# A row: position p (piece << 40 | offset), token, and the next row's position and token (-1 at a piece's end).
-CONTRACT = """
+# A row: a word, its tokens, and the rank that each of its pairs of neighbours would become (NONE: no token).
+NONE = 2**31 - 1
+CONTRACT = f"""
 WITH RECURSIVE t AS (
-  SELECT p, tok, np, nxt, 0 AS step FROM start
+  SELECT wid, toks, ranks FROM start
   UNION ALL
-  SELECT q.p,
-         CASE WHEN q.p = b.p THEN b.merged ELSE q.tok END,
-         CASE WHEN q.p = b.p THEN b.nnp ELSE q.np END,
-         CASE WHEN q.p = b.p THEN b.nnxt WHEN q.np = b.p THEN b.merged ELSE q.nxt END,
-         q.step + 1
-  FROM t q JOIN (
-    SELECT b.wid, b.p, b.merged, b.np AS dead, d.np AS nnp, d.nxt AS nnxt
-    FROM (
-      SELECT q.p >> 40 AS wid, min(m.merged) AS merged, min_by(q.p, m.merged << 40 | (q.p & 1099511627775)) AS p,
-             min_by(q.np, m.merged << 40 | (q.p & 1099511627775)) AS np
-      FROM t q JOIN merges m ON m.pair = (q.tok << 32 | q.nxt)
-      GROUP BY q.p >> 40
-    ) b JOIN t d ON d.p = b.np
-  ) b ON b.wid = q.p >> 40
-  WHERE q.p <> b.dead
-), last AS (SELECT p >> 40 AS wid, max(step) AS step FROM t GROUP BY 1)
-SELECT t.p >> 40 AS wid, t.tok FROM t JOIN last l ON l.wid = t.p >> 40 AND l.step = t.step ORDER BY t.p
+  SELECT q.wid, q.toks[:q.i - 1] || [q.m] || q.toks[q.i + 2:],
+         q.ranks[:greatest(q.i - 2, 0)]
+         || CASE WHEN q.i > 1 THEN [coalesce(a.merged, {NONE})::INTEGER] ELSE []::INTEGER[] END
+         || CASE WHEN q.i < len(q.ranks) THEN [coalesce(b.merged, {NONE})::INTEGER] ELSE []::INTEGER[] END
+         || q.ranks[q.i + 2:]
+  FROM (SELECT *, list_position(ranks, m) AS i FROM (SELECT *, list_min(ranks) AS m FROM t) WHERE m < {NONE}) q
+  LEFT JOIN merges a ON a.pair = CASE WHEN q.i > 1 THEN q.toks[q.i - 1]::BIGINT << 32 | q.m END
+  LEFT JOIN merges b ON b.pair = q.m::BIGINT << 32 | q.toks[q.i + 2]
+)
+SELECT wid, toks FROM t WHERE coalesce(list_min(ranks), {NONE}) = {NONE}
 """
-# A row: position p as above, and token. place: of a pair in its run of overlapping pairs; rows of a word in order.
+# A row: position p (piece << 40 | offset), and token. place: of a pair in its run of overlapping pairs; rows of a word in order.
 CONTRACT_LONG = """
 WITH RECURSIVE t AS (
   SELECT p, tok, 0 AS step FROM start
@@ -155,6 +152,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import duckdb
+        import numpy as np
         import pyarrow as pa
 
         self.ranks = ranks
@@ -174,7 +172,12 @@ class Codec:
             self.db.register("rows", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
             self.db.unregister("rows")
+        self.pairs = np.full((256, 256), NONE, np.int32)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0], token[1]] = rank
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.beginnings: dict = {}
 
     @classmethod
@@ -205,12 +208,21 @@ class Codec:
     def contract(self, words: list[bytes]) -> list[bytes]:
         """The tokens of each short word, as little-endian unsigned 32-bit integers."""
         import numpy as np
+        import pyarrow as pa
 
-        at, tok, ends = self.rows_of(words)
-        after, token_after = np.append(at[1:], -1), np.append(tok[1:], -1)
-        after[ends - 1] = token_after[ends - 1] = -1
-        got = self.run(CONTRACT, p=at, tok=tok, np=after, nxt=token_after)
-        return split_at(got["tok"].to_numpy(), got["wid"].to_numpy(), len(words))
+        starts = np.zeros(len(words) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, words), np.int32, len(words)), out=starts[1:])
+        codes = np.frombuffer(b"".join(words), np.uint8)
+        ranks = np.delete(self.pairs[codes, np.append(codes[1:], 0)], starts[1:] - 1)
+        lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at), pa.array(values))
+        got = self.run(CONTRACT, wid=np.arange(len(words)), toks=lists(starts, np.array(self.byte, np.int32)[codes]), ranks=lists(starts - np.arange(len(starts), dtype=np.int32), ranks))
+        out = [b""] * len(words)
+        for some in got.to_batches():
+            toks = some["toks"]
+            values, ends = toks.values.to_numpy().astype("<u4").tobytes(), (toks.offsets.to_numpy() * 4).tolist()
+            for wid, a, b in zip(some["wid"].to_pylist(), ends, ends[1:], strict=False):
+                out[wid] = values[a:b]
+        return out
 
     def contract_long(self, words: list[bytes]) -> list[bytes]:
         """The same for words of any length, by as many queries as their steps need."""
@@ -261,32 +273,40 @@ class Codec:
         ends = np.flatnonzero(np.maximum.accumulate(reach) == np.arange(len(piece))) + 1
         return [piece[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
+    def tokens_of(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each of the words, none of them a token, with its tokens."""
+        short, long = [x for x in words if len(x) <= SHORT_WORD], [x for x in words if len(x) > SHORT_WORD]
+        for some, work, most in ((short, self.contract, QUERY_BYTES), (long, self.contract_long, QUERY_ROWS // 8)):
+            for run in slices(some, most):
+                batch = [some[i] for i in run]
+                yield from zip(batch, work(batch), strict=True)
+
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        parts_of: dict[str, list[bytes]] = {}
-        for w in new:
+        """Tokens of the words into known. When known is full, words that were met since it was last emptied are still found in older."""
+        if len(self.known) >= CACHE_PIECES // 2:
+            self.known, self.older = {}, self.known
+        known, older, ranks = self.known, self.older, self.ranks
+        short, long = {}, {}
+        for w in words:
+            if w in known:
+                continue
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+                continue
             piece = w.encode()
-            if (rank := self.ranks.get(piece)) is not None:
-                self.known[w] = rank.to_bytes(4, "little")
+            if (rank := ranks.get(piece)) is not None:
+                known[w] = rank.to_bytes(4, "little")
+            elif len(piece) <= SHORT_WORD:
+                short[piece] = w
             else:
-                parts_of[w] = [piece] if len(piece) <= SHORT_WORD else self.cut(piece)
-        parts = {x for some in parts_of.values() for x in some}
-        tokens = {x: self.ranks[x].to_bytes(4, "little") for x in parts if x in self.ranks}
-        rest = [x for x in parts if x not in tokens]
-        for own, work, cost in ((lambda n: n <= SHORT_WORD, self.contract, lambda n: n * n // 2), (lambda n: n > SHORT_WORD, self.contract_long, lambda n: 8 * n)):
-            batch, size = [], 0
-            for x in (x for x in rest if own(len(x))):
-                if batch and size + cost(len(x)) > QUERY_ROWS:
-                    tokens.update(zip(batch, work(batch), strict=True))
-                    batch, size = [], 0
-                batch.append(x)
-                size += cost(len(x))
-            if batch:
-                tokens.update(zip(batch, work(batch), strict=True))
-        for w, some in parts_of.items():
-            self.known[w] = b"".join(map(tokens.__getitem__, some))
+                long[w] = self.cut(piece)
+        for piece, ids in self.tokens_of(list(short)):
+            known[short[piece]] = ids
+        parts = {x for some in long.values() for x in some}
+        tokens = {x: ranks[x].to_bytes(4, "little") for x in parts if x in ranks}
+        tokens.update(self.tokens_of([x for x in parts if x not in tokens]))
+        for w, some in long.items():
+            known[w] = b"".join(map(tokens.__getitem__, some))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = [self.find(x) for x in texts]
@@ -310,11 +330,11 @@ class Codec:
         return out
 
 
-def slices(texts: list[str]) -> Iterator[list[int]]:
-    """Positions of texts in runs of at most SLICE_CHARS characters; a longer text is a run of its own."""
+def slices(texts: list[str] | list[bytes], most: int) -> Iterator[list[int]]:
+    """Positions of texts in runs of at most so many characters; a longer text is a run of its own."""
     run, size = [], 0
     for i, x in enumerate(texts):
-        if run and size + len(x) > SLICE_CHARS:
+        if run and size + len(x) > most:
             yield run
             run, size = [], 0
         run.append(i)
@@ -328,8 +348,8 @@ def _mapped(df: DataFrame, made: dict[str, T.DataType], work, drop: str = "") ->
     kept = [f for f in df.schema.fields if f.name not in made and f.name != drop]
     schema = T.StructType([*kept, *(T.StructField(k, v) for k, v in made.items())])
 
+    @returning
     def run(frames):
-        returned()
         for frame in frames:
             yield from (x[[f.name for f in schema.fields]] for x in work(frame))
 
@@ -347,7 +367,7 @@ def _coded(df: DataFrame, ranks_path: str, pattern: str, column: str, made: dict
     def run(frame):
         codec = Codec.of(sent.value)
         values = [x if isinstance(x, (str, bytes, bytearray)) else "" for x in frame[column]]
-        for part in slices(values):
+        for part in slices(values, SLICE_CHARS):
             yield frame.iloc[part].drop(columns=drop or []).assign(**work(codec, [values[i] for i in part]))
 
     return _mapped(df, made, run, drop=drop)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import tempfile
 import uuid
 
@@ -50,18 +52,32 @@ def released(*tables: DataFrame) -> None:
 
 
 def returned() -> None:
-    """Give back to the system what earlier tasks of this Python worker freed; at a task's begin, as workers serve many jobs."""
+    """Give back to the system what this Python worker has freed."""
     import ctypes
-    import gc
 
     import pyarrow
 
-    gc.collect()
     pyarrow.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
 
 
+def returning(work):
+    """work, a generator that a task runs, with freed memory given back when it begins, as workers serve many jobs and a
+    broadcast goes just before, and when it ends, as a worker that waits for its next task keeps what it holds."""
+
+    @functools.wraps(work)
+    def run(batches):
+        gc.collect()
+        returned()
+        try:
+            yield from work(batches)
+        finally:
+            returned()
+
+    return run
+
+
 def broadcast_checked(df: DataFrame, max_rows: int) -> DataFrame:
     """df, marked to be broadcast if it is counted to have at most max_rows rows; else Spark shuffles it."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

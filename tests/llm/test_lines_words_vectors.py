@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -245,6 +246,30 @@ def test_bpe_places_of_a_piece_over_16_mebibytes():
     assert list(map(len, bpe.split_at(tok, at >> 40, 2))) == [4 * len(w) for w in words]
 
 
+def test_bpe_query_of_short_words_keeps_one_step():
+    """2000 words of 64 bytes, whose steps together have four million rows, within 60 MB and without disk."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    codec.db.execute("SET memory_limit = '60MB'")
+    codec.db.execute("SET max_temp_directory_size = '0KB'")
+    r = random.Random(4)
+    words = ["".join(r.choices("etaoinsr", k=64)).encode() for _ in range(2000)]
+    inverse = {v: k for k, v in ranks.items()}
+    got = codec.contract(words)
+    assert [b"".join(inverse[int.from_bytes(x[i : i + 4], "little")] for i in range(0, len(x), 4)) for x in got] == words
+
+
+def test_bpe_words_of_every_slice_are_contracted_once(monkeypatch):
+    """Words that come again before half as many others as the cache holds stay known, also when it is emptied meanwhile."""
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 200)
+    codec = bpe.Codec({bytes([b]): b for b in range(256)} | {b"ab": 256}, r"\S+")
+    done, contract = [], codec.contract
+    monkeypatch.setattr(codec, "contract", lambda words: done.extend(words) or contract(words))
+    for k in range(40):
+        codec.encode([f"often{k % 2}", " ".join(f"once{k}x{i}" for i in range(30))])
+    assert [done.count(x) for x in (b"often0", b"often1")] == [1, 1]
+
+
 def test_pages_with_odd_markup():
     leaf = lambda page: [b[0] for b in html_crf.leaf_blocks(page)]
     assert leaf('<p>one</p><p title="foo>two</p>') == ["one"]
