@@ -35,7 +35,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import ID_ROWS, broadcast_checked, released, returned, stored
+from chronolex.llm.common import ID_ROWS, broadcast_checked, released, returning, stored
 from chronolex.llm.components import components, compressed
 
 BLOCK = 256
@@ -154,11 +154,11 @@ def sets_of(df: DataFrame, *, n: int) -> DataFrame:
     """(doc_id, text_key, n_bytes, n_shingles, set_key, node) for each row; node is the first half of set_key."""
     names = ["doc_id", "text_key", "n_bytes", "n_shingles", "set_key", "node"]
 
+    @returning
     def run(frames):
         import pandas as pd
         import xxhash
 
-        returned()
         grams = Grams(n)
         for frame in frames:
             rows = []
@@ -174,12 +174,12 @@ def sets_of(df: DataFrame, *, n: int) -> DataFrame:
 def index_of(df: DataFrame, *, n: int, percent: int) -> DataFrame:
     """(sig, node, tag): the signatures of each task's distinct sets; see signatures()."""
 
+    @returning
     def run(frames):
         import numpy as np
         import pandas as pd
         import xxhash
 
-        returned()
         grams, seen, held = Grams(n), set(), []
 
         def table():
@@ -264,12 +264,12 @@ def linked(a: list, b: list | None, n: int, percent: int) -> list[tuple[int, int
 def verify(rows: DataFrame, *, n: int, percent: int) -> DataFrame:
     """(a, b): links within each job (cluster, i, j), between its sides if it has two. rows: cluster, i, j, side, cid, text."""
 
+    @returning
     def run(frames):
         import itertools
 
         import pandas as pd
 
-        returned()
         rows = (r for f in frames for r in f.itertuples(index=False, name=None))
         out = []
         for _, job in itertools.groupby(rows, key=lambda r: r[:3]):

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import broadcast_checked, returned, semi_join_checked, stored
+from chronolex.llm.common import broadcast_checked, returning, semi_join_checked, stored
 
 ORDER = 5
 BITS = 12
@@ -74,8 +74,8 @@ def symbols(text: str, alphabet):
 def alphabets(texts: DataFrame, *, size: int = SYMBOLS) -> dict:
     """{language: its `size` most frequent code points, sorted}, from (lang, text); 16 KB a language at most."""
 
+    @returning
     def run(frames):
-        returned()
         counts: dict = {}
         for frame in frames:
             for lang, part in frame.groupby("lang"):
@@ -142,8 +142,8 @@ def summed(parts: list):
 def count_grams(texts: DataFrame, known: dict) -> DataFrame:
     """(lang, text) -> (lang, gram, c), counted within tasks first. known: alphabets()."""
 
+    @returning
     def run(frames):
-        returned()
         held: dict = {}  # lists of (grams, counts) by language, which are merged when they are long
         none = np.zeros(1, np.uint32)
 
@@ -293,8 +293,8 @@ def score(docs: DataFrame, model: DataFrame, known: dict, *, model_rows: int = M
         return [(np.exp(-x.mean()), worst_window(x)) for x in parts]
 
     @F.pandas_udf("n_symbols long, perplexity double, worst double")
+    @returning
     def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        returned()
         models, known = sent.value
         none = np.zeros(1, np.uint32)
         for langs, texts in batches:
@@ -323,8 +323,8 @@ def score(docs: DataFrame, model: DataFrame, known: dict, *, model_rows: int = M
 def score_joined(docs: DataFrame, model: DataFrame, known: dict) -> DataFrame:
     """score() for a model of any size: the documents' n-grams, counted per block, are joined with its shards."""
 
+    @returning
     def run(frames):
-        returned()
         none = np.zeros(1, np.uint32)
         for frame in frames:
             for row, lang, text in zip(frame["row"], frame["lang"], frame["text"], strict=True):

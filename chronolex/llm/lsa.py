@@ -26,7 +26,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolex.llm.common import ID_ROWS, returned, semi_join_checked, stored
+from chronolex.llm.common import ID_ROWS, returning, semi_join_checked, stored
 
 FEATURES, RANK, MOST_RANK, PER_VECTOR, POWER = 1 << 16, 96, 256, 16, 2
 WINDOW, STEP = 64, 32
@@ -63,10 +63,10 @@ class Hashes(dict):
 def hashed(docs: DataFrame) -> DataFrame:
     """(doc_id, words): the hashes of each text's words, 4 bytes each. Rows without words are left out."""
 
+    @returning
     def run(frames):
         import pandas as pd
 
-        returned()
         known = Hashes()
         for frame in frames:
             out = [known.of(words_of(x)).tobytes() for x in frame["text"]]
@@ -80,10 +80,10 @@ def document_frequencies(docs: DataFrame):
     """(number of documents, documents per feature) over all of hashed(); each task sends one array of FEATURES counts."""
     import numpy as np
 
+    @returning
     def run(frames):
         import pandas as pd
 
-        returned()
         counts, n = np.zeros(FEATURES, np.int64), 0
         for frame in frames:
             for words in frame["words"]:
@@ -105,10 +105,10 @@ def passages(items: DataFrame) -> DataFrame:
     """(item_id, words, answer), as hashes, of passages: an item's words, cut into windows if there are more than WINDOW."""
     answer = F.col("answer").cast("string") if "answer" in items.columns else F.lit(None).cast("string")
 
+    @returning
     def run(frames):
         import pandas as pd
 
-        returned()
         known = Hashes()
         for frame in frames:
             rows = []
@@ -159,10 +159,10 @@ def used_features(cut: DataFrame, weight):
     """The features that passages have and that weigh something, in order; FEATURES at most."""
     import numpy as np
 
+    @returning
     def run(frames):
         import pandas as pd
 
-        returned()
         found = np.zeros(FEATURES, bool)
         for frame in frames:
             for words in frame["words"]:
@@ -180,10 +180,10 @@ def _product(cut: DataFrame, weight, used, basis):
     sent = cut.sparkSession.sparkContext.broadcast((weight, used, basis))
     size, rank = basis.shape
 
+    @returning
     def run(frames):
         import pandas as pd
 
-        returned()
         weight, used, basis = sent.value
         out = np.zeros((-(-size // ROW_BLOCK) * ROW_BLOCK, rank), np.float32)
         for frame in frames:
@@ -261,10 +261,10 @@ def _search(docs: DataFrame, block: list, weight, used, basis) -> DataFrame:
 
     sent = docs.sparkSession.sparkContext.broadcast(([(r["item_id"], bytes(r["words"]), bytes(r["answer"])) for r in block], weight, used, basis))
 
+    @returning
     def run(frames):
         import pandas as pd
 
-        returned()
         rows, weight, used, basis = sent.value
         ints = lambda x: np.frombuffer(x, np.uint32).tolist()
         found = [Passage(item, ints(words), ints(answer)) for item, words, answer in rows]

@@ -10,6 +10,7 @@ import re
 import time
 import zlib
 from decimal import Decimal
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -270,6 +271,34 @@ def test_bpe_words_of_every_slice_are_contracted_once(monkeypatch):
     assert [done.count(x) for x in (b"often0", b"often1")] == [1, 1]
 
 
+def test_workers_give_memory_back_when_a_task_ends():
+    """What a task's batches took is no longer held by the process once its generator has ended."""
+    import ctypes
+
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1])
+    libc = ctypes.CDLL(None)
+    libc.malloc.restype, libc.malloc.argtypes, libc.free.argtypes, libc.memset.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p], [ctypes.c_void_p, ctypes.c_int, ctypes.c_size_t]
+
+    @common.returning
+    def work(batches):
+        for x in batches:
+            at = [libc.malloc(100_000) for _ in range(1000)]
+            for p in at:
+                libc.memset(p, 1, 100_000)
+            pin = libc.malloc(1000)  # above them, so that the heap can't shrink from its end
+            for p in at:
+                libc.free(p)
+            pins.append(pin)
+            yield x
+
+    pins: list = []
+    before = held()
+    assert list(work(iter([1]))) == [1]
+    assert held() - before < 50_000
+    for p in pins:
+        libc.free(p)
+
+
 def test_pages_with_odd_markup():
     leaf = lambda page: [b[0] for b in html_crf.leaf_blocks(page)]
     assert leaf('<p>one</p><p title="foo>two</p>') == ["one"]
