@@ -6,8 +6,8 @@ contracted until no pair is in the vocabulary.  In DuckDB that is a recursive qu
 step with the merge table.  Decoding joins the ids with the vocabulary and aggregates the bytes in the order of positions.
 
 Words of up to SHORT_WORD bytes contract one pair a step (CONTRACT): a row is a word with its tokens and the ranks of its
-pairs, of which a step changes two, and a word that has no pair left leaves the query.  Longer pieces are first cut where no token of the
-vocabulary matches the bytes on both sides, which no contraction can cross.  A step of theirs (CONTRACT_LONG) contracts
+pairs, of which a step changes two, and a word that has no pair left leaves the query.  Longer pieces are first cut
+where no token of the vocabulary matches the bytes on both sides, which no contraction can cross.  A step of theirs (CONTRACT_LONG) contracts
 all places of a word's least rank at once, from the left and without overlaps, up to the first place whose new
 neighbours have a lower rank, as those would be next; so a long run of one letter takes as many steps as ranks.  Such a query
 keeps the rows of each of its steps, so its steps are bounded by its rows (QUERY_ROWS), and the next query goes on.
