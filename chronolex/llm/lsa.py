@@ -1,16 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words are lower-case runs of letters and digits, kept as 32-bit hashes, whose low bits are one of FEATURES features.  A
-document is cut into words once; its hashes are stored, and all later passes read those.  Document frequencies of the
-features are counted over all documents.  The benchmark's passages are rows of a TF-IDF matrix, of which a randomised SVD with power
-iterations gives the leading right singular vectors: each task multiplies its rows, the partial products are summed by blocks
-of features in Spark, and the driver holds one matrix with a row per feature that a passage has, FEATURES at most, and
-a column per singular vector, whatever the documents.  RANK of those are taken, or one for every PER_VECTOR passages up
-to MOST_RANK if there are many.  Windows of WINDOW words
-from every document, STEP words apart, are folded into that space; those with a cosine of at least COSINE to a passage
-are candidates.  A candidate is verified on the words around it: the longest common subsequence with the passage must
-cover COPY of it (kind `copy`), or PARAPHRASE of it if the passage's answer is there as well (kind `paraphrase`).  The
-answer is the item's column `answer` if there is one, else its last ANSWER_WORDS words.
+document is cut into words once, by sums over its letters; its hashes are stored, and all later passes read those.
+Document frequencies of the features are counted over all documents.  The benchmark's passages are rows of a TF-IDF
+matrix, of which a randomised SVD with power iterations gives the leading right singular vectors: each task multiplies
+its rows, the partial products are summed by blocks of features in Spark, and the driver holds one matrix with a row per
+feature that a passage has, FEATURES at most, and a column per singular vector, whatever the documents.  RANK of those
+are taken, or one for every PER_VECTOR passages up to MOST_RANK if there are many.  Windows of WINDOW words from every
+document, STEP words (half a window) apart, are folded into that space as the sums of their halves; those with a cosine
+of at least COSINE to a passage are candidates.  A candidate is verified on the words around it: the longest common
+subsequence with the passage must cover COPY of it (kind `copy`), or PARAPHRASE of it if the passage's answer is there as
+well (kind `paraphrase`).  The answer is the item's column `answer` if there is one, else its last ANSWER_WORDS words.
 
 Features in more than COMMON of the documents weigh nothing, unless a passage would keep fewer than MIN_TERMS terms.
 The passages are the stated query set: they go to the tasks in blocks of ITEM_BLOCK, one pass over the documents each.
@@ -21,7 +21,9 @@ reported under null; repeated rows give one row; an empty table on either side g
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +31,15 @@ from pyspark.sql import functions as F
 from chronolex.llm.common import ID_ROWS, returning, semi_join_checked, stored
 
 FEATURES, RANK, MOST_RANK, PER_VECTOR, POWER = 1 << 16, 96, 256, 16, 2
-WINDOW, STEP = 64, 32
+WINDOW, STEP = 64, 32  # a window is two steps
 COSINE, COPY, PARAPHRASE = 0.5, 0.8, 0.6
 COMMON, MIN_TERMS, ANSWER_WORDS = 0.1, 5, 4
 ITEM_BLOCK = 20_000
 ROW_BLOCK = 1024
 SEED = 5
+#: letters that are hashed at a time, base of the words' polynomials; words and cosines that are folded at a time
+SLICE, BASE = 1 << 14, 0x9E3779B97F4A7C15
+GROUP_WORDS, GROUP_COSINES = 1 << 16, 1 << 22
 
 _words = re.compile(r"[^\W_]+").findall
 
@@ -43,21 +48,60 @@ def words_of(text: str | None) -> list[str]:
     return _words(text.lower()) if text else []
 
 
-class Hashes(dict):
-    """Words to their hashes; forgets all when it has grown to half a million words."""
+def _mixed(x):
+    """x, 64-bit numbers, with every bit of each depending on all of it; different numbers stay different."""
+    import numpy as np
+
+    for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ x >> np.uint64(33)) * np.uint64(by)
+    return x ^ x >> np.uint64(33)
+
+
+@functools.cache
+def _letters():
+    """For each code point a number, which is 0 if words do not have it."""
+    import numpy as np
+
+    n = sys.maxunicode + 1
+    letter = np.fromiter(map(str.isalnum, map(chr, range(n))), bool, n)
+    return np.where(letter, _mixed(np.arange(1, n + 1, dtype=np.uint64)), np.uint64(0))
+
+
+@functools.lru_cache(maxsize=1)
+def _powers(n: int):
+    """The first n powers of BASE and of its inverse, modulo 2 ** 64."""
+    import numpy as np
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
+    out = np.full((2, n), [[BASE], [pow(BASE, -1, 1 << 64)]], np.uint64)
+    out[:, :1] = 1
+    return np.cumprod(out, axis=1, dtype=np.uint64)
 
-        self[word] = h = xxhash.xxh32_intdigest(word)
-        return h
 
-    def of(self, words: list[str]):
-        import numpy as np
+def hashes(text: str | None):
+    """The hashes of words_of(text), in their order: the polynomial of each word's letters, mixed. The words of a slice
+    are taken from one running sum; one that goes on in the next slice is carried there."""
+    import numpy as np
 
-        if len(self) > 500_000:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint32, len(words))
+    text, out, so_far = (text or "").lower(), [np.zeros(0, np.uint64)], 0
+    powers, inverse = _powers(SLICE)
+    for at in range(0, len(text), SLICE):
+        letters = _letters()[np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        n = len(letters)
+        inside = np.zeros(n + 2, bool)
+        inside[1:-1] = letters != 0
+        ends = np.flatnonzero(inside[1:] != inside[:-1])
+        begin, end = ends[::2], ends[1::2]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(letters * powers[:n], out=sums[1:])
+        found = (sums[end] - sums[begin]) * inverse[begin]
+        if so_far and inside[1]:
+            out[-1][-1:] += found[:1] * np.uint64(pow(BASE, so_far, 1 << 64))
+            found = found[1:]
+        if len(found):
+            out.append(found)
+        last = int(end[-1] - begin[-1]) if inside[n] else 0
+        so_far = so_far + n if last == n else last
+    return _mixed(np.concatenate(out)).astype(np.uint32)
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -67,9 +111,8 @@ def hashed(docs: DataFrame) -> DataFrame:
     def run(frames):
         import pandas as pd
 
-        known = Hashes()
         for frame in frames:
-            out = [known.of(words_of(x)).tobytes() for x in frame["text"]]
+            out = [hashes(x).tobytes() for x in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "words": out})
 
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(run, "doc_id long, words binary")
@@ -84,13 +127,13 @@ def document_frequencies(docs: DataFrame):
     def run(frames):
         import pandas as pd
 
-        counts, n = np.zeros(FEATURES, np.int64), 0
+        counts, last, n = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64), 0
         for frame in frames:
             for words in frame["words"]:
                 n += 1
-                seen = np.zeros(FEATURES, bool)
-                seen[np.frombuffer(words, np.uint32) % FEATURES] = True
-                counts += seen
+                found = np.frombuffer(words, np.uint32) % FEATURES
+                last[found] = at = np.arange(len(found))
+                counts[found[last[found] == at]] += 1  # one place of each
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"feature": np.append(at, -1), "n": np.append(counts[at], n)})
 
@@ -109,12 +152,11 @@ def passages(items: DataFrame) -> DataFrame:
     def run(frames):
         import pandas as pd
 
-        known = Hashes()
         for frame in frames:
             rows = []
             for item, text, answer in zip(frame["item_id"], frame["text"], frame["own"], strict=True):
-                words = known.of(words_of(text))
-                last = known.of(words_of(answer)) if isinstance(answer, str) else words[-ANSWER_WORDS:]
+                words = hashes(text)
+                last = hashes(answer) if isinstance(answer, str) else words[-ANSWER_WORDS:]
                 rows += [(item, words[i : i + WINDOW].tobytes(), last.tobytes()) for i in range(0, max(1, len(words) - STEP), STEP) if len(words)]
             yield pd.DataFrame(rows, columns=["item_id", "words", "answer"]).astype({"item_id": "Int64"})
 
@@ -255,6 +297,47 @@ class Passage:
         return share, "copy" if share >= COPY else "paraphrase" if share >= PARAPHRASE and there else None
 
 
+def _groups(frame, size: int):
+    """Lists of (doc_id, words, start), which stand for the windows that begin in the size words from start on; a list has
+    about size words, whatever the documents' lengths."""
+    import numpy as np
+
+    group, n = [], 0
+    for doc, raw in zip(frame["doc_id"], frame["words"], strict=True):
+        words = np.frombuffer(raw, np.uint32)
+        for start in range(0, max(1, len(words) - STEP), size):
+            group.append((doc, words, start))
+            n += min(size, len(words) - start)
+            if n >= size:
+                yield group
+                group, n = [], 0
+    if group:
+        yield group
+
+
+def _folded(group: list, size: int, place, scaled):
+    """(windows' vectors, of length 1 or 0; part of the group and first word of each): a window is two steps of words."""
+    import numpy as np
+
+    parts = [words[start : start + size + STEP] for _, words, start in group]
+    lengths = np.array([len(x) for x in parts])
+    steps = np.maximum(2, -(-lengths // STEP))
+    first, begin = np.cumsum(steps) - steps, np.cumsum(lengths) - lengths
+    places = place[np.concatenate(parts) % FEATURES]
+    at = np.flatnonzero(places >= 0)
+    part = np.repeat(np.arange(len(parts)), lengths)[at]
+    step = first[part] + (at - begin[part]) // STEP
+    new = np.flatnonzero(np.diff(step, prepend=-1))
+    sums = np.zeros((steps.sum(), scaled.shape[1]), np.float32)
+    if len(new):
+        sums[step[new]] = np.add.reduceat(scaled[places[at]], new, axis=0)
+    window = np.delete(np.arange(len(sums)), first + steps - 1)
+    folded = sums[window] + sums[window + 1]
+    folded /= np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-12)
+    part = np.repeat(np.arange(len(parts)), steps - 1)
+    return folded, part, np.array([start for _, _, start in group])[part] + (window - first[part]) * STEP
+
+
 def _search(docs: DataFrame, block: list, weight, used, basis) -> DataFrame:
     """(doc_id, item_id, cosine, overlap, kind) for one block of passages."""
     import numpy as np
@@ -276,26 +359,18 @@ def _search(docs: DataFrame, block: list, weight, used, basis) -> DataFrame:
         scaled = weight[used, None] * basis
         place = np.full(FEATURES, -1, np.int64)
         place[used] = np.where(np.abs(basis).sum(axis=1) > 1e-9, np.arange(len(used)), -1)
+        size = min(GROUP_WORDS, max(1, GROUP_COSINES // max(1, len(found))) * STEP)
         for frame in frames:
             out = []
-            for doc, raw in zip(frame["doc_id"], frame["words"], strict=True):
-                words = np.frombuffer(raw, np.uint32)
-                places = place[words % FEATURES]
-                at = np.flatnonzero(places >= 0)
-                if not len(at):
-                    continue
-                sums = np.concatenate([np.zeros((1, scaled.shape[1])), np.cumsum(scaled[places[at]], axis=0, dtype=np.float64)])
-                starts = np.arange(0, max(1, len(words) - STEP), STEP)
-                lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + WINDOW)
-                starts, lo, hi = starts[hi > lo], lo[hi > lo], hi[hi > lo]
-                folded = (sums[hi] - sums[lo]).astype(np.float32)
-                folded /= np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-12)
+            for group in _groups(frame, size):
+                folded, part, starts = _folded(group, size, place, scaled)
                 cosines = folded @ vectors
                 before = -1
                 for i, j in zip(*(x.tolist() for x in np.nonzero(cosines >= COSINE)), strict=True):
-                    p, s = found[j], int(starts[i])
+                    p = found[j]
                     if i != before:
-                        before, near = i, frozenset(words[max(0, s - WINDOW) : s + 2 * WINDOW].tolist())
+                        before, s, (doc, words, _) = i, int(starts[i]), group[part[i]]
+                        near = frozenset(words[max(0, s - WINDOW) : s + 2 * WINDOW].tolist())
                     if len(p.distinct & near) < p.least:
                         continue
                     share, kind = p.verify(words[max(0, s - len(p.words)) : s + WINDOW + len(p.words)].tolist())
