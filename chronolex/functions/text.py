@@ -71,13 +71,21 @@ def split_tokens(c: Column) -> Column:
     return F.when(has_dense_letter(c), dense).otherwise(F.filter(F.split(c, " "), lambda x: x != ""))
 
 
+#: A sign that stands between tokens while they are joined; tokens that hold it themselves are joined one by one.
+SEAM = "\x01"
+
+
 def join_tokens(tokens: Column) -> Column:
-    """Tokens with a space between each two, but not beside a dense letter or white space if the tokens have dense letters."""
-    spaced = F.array_join(tokens, " ")
+    """Tokens with a space between each two, but not beside a dense letter or white space if the tokens have dense letters;
+    after an empty token there is none more. Seams are looked at in one pass, so long texts take time in proportion."""
+    joined = F.array_join(tokens, SEAM)
+    seams = F.replace(F.regexp_replace(joined, rf"(?<=[{DENSE}\s{SEAM}]|^){SEAM}|{SEAM}(?=[{DENSE}\s])", ""), F.lit(SEAM), F.lit(" "))
     edge = lambda x: x.rlike(rf"[{DENSE}\s]$")
     start = lambda x: x.rlike(rf"^[{DENSE}\s]")
-    dense = F.aggregate(tokens, F.lit(""), lambda s, x: F.concat(s, F.when((s == "") | edge(s) | start(x), F.lit("")).otherwise(F.lit(" ")), x))
-    return F.when(F.exists(tokens, has_dense_letter), dense).otherwise(spaced)
+    follow = lambda before, x: F.concat(F.when((before == "") | edge(before) | start(x), F.lit("")).otherwise(F.lit(" ")), x)
+    one_by_one = F.array_join(F.zip_with(F.concat(F.array(F.lit("")), tokens), tokens, follow), "")
+    dense = F.when(F.exists(tokens, lambda x: x.isNull()), F.lit(None)).when(F.contains(F.array_join(tokens, ""), F.lit(SEAM)), one_by_one).otherwise(seams)
+    return F.when(has_dense_letter(joined), dense).otherwise(F.array_join(tokens, " "))
 
 
 def tighten_dense(c: Column) -> Column:

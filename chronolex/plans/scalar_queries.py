@@ -37,7 +37,8 @@ def t2_split(spark: SparkSession, sf: str) -> DataFrame:
 @query(_TOKENS + f""", j AS (SELECT doc_id, array_to_string(tokens, ' ') AS s, regexp_matches(text, '[あえいおう]') AS dense FROM k)
     SELECT doc_id, md5(CASE WHEN dense THEN regexp_replace(regexp_replace(s, '([{_D}\\s]) ', '\\1', 'g'), ' ([{_D}\\s])', '\\1', 'g') ELSE s END) AS joined FROM j""")
 def t3_join(spark: SparkSession, sf: str) -> DataFrame:
-    return _dense(spark, sf).select("doc_id", F.md5(tx.join_tokens(tx.split_tokens(F.col("text")))).alias("joined"))
+    rows = _dense(spark, sf).select("doc_id", tx.split_tokens(F.col("text")).alias("tokens"))
+    return rows.select("doc_id", F.md5(tx.join_tokens(F.col("tokens"))).alias("joined"))
 
 
 @query(_DENSE + f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '([{_D}]) ([{_D}])', '\\1\\2', 'g'), '([{_D}]) ([{_D}])', '\\1\\2', 'g')) AS tight FROM d")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from chronolex.functions import text as tx
 from chronolex.plans import registry
 
 BIG = "/root/testdata/sf0.1"
@@ -34,3 +38,17 @@ def events(tmp_path):
 def test_boundaries_at_the_very_distance(spark, events):
     folder = events(f"SELECT * FROM '{BIG}/events.parquet' WHERE event_id // 2000 = 18 AND event_id % 40 = 19")
     assert len(against_sql(spark, folder, "m27_paired_boundaries")) == 1
+
+
+def test_long_dense_texts_are_joined_in_one_pass(spark, tmp_path):
+    text = "ありがとう a b, " * 8000
+    duckdb.execute(f"COPY (SELECT 1::BIGINT AS doc_id, '{text}' AS text UNION ALL SELECT 3, '{text[::-1]}') TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    began = time.time()
+    against_sql(spark, tmp_path, "t3_join")
+    assert time.time() - began < 20
+
+
+def test_joined_tokens(spark):
+    rows = [(["日", "", "a"], "日a"), (["a", "", "日"], "a 日"), (["", "a", "b", "日"], "a b日"), (["a\x01", "日", "b", "c"], "a\x01日b c"), (["日 ", "x"], "日 x"), (["a", None, "日"], None), (["a", "", "b"], "a  b")]
+    df = spark.createDataFrame([(x,) for x, _ in rows], "t array<string>").select(tx.join_tokens(F.col("t")).alias("j"))
+    assert [r["j"] for r in df.collect()] == [want for _, want in rows]
