@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 
 import duckdb
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolex.functions import text as tx
+from chronolex.operators import boxes, folds
 from chronolex.plans import registry
 
 BIG = "/root/testdata/sf0.1"
@@ -52,3 +54,21 @@ def test_joined_tokens(spark):
     rows = [(["日", "", "a"], "日a"), (["a", "", "日"], "a 日"), (["", "a", "b", "日"], "a b日"), (["a\x01", "日", "b", "c"], "a\x01日b c"), (["日 ", "x"], "日 x"), (["a", None, "日"], None), (["a", "", "b"], "a  b")]
     df = spark.createDataFrame([(x,) for x, _ in rows], "t array<string>").select(tx.join_tokens(F.col("t")).alias("j"))
     assert [r["j"] for r in df.collect()] == [want for _, want in rows]
+
+
+def test_folds_of_small_groups(spark):
+    """Keys of few rows, keys over the borders of batches, null keys, NaN; 30000 keys took over a minute one by one."""
+    rows = spark.range(180_000).select(F.when(F.col("id") >= 6, F.floor(F.col("id") / 6)).alias("k"), (-F.col("id")).alias("n"), F.when(F.col("id") % 6 == 1, float("nan")).otherwise(F.col("id").cast("double")).alias("x"))
+    began = time.time()
+    out = folds.fold(rows, "k", ["n"], "k long, n int, first long, missing int", lambda own: [(len(own), own[0]["n"], sum(r["x"] is None for r in own))]).collect()
+    assert time.time() - began < 20
+    assert {r["k"]: tuple(r)[1:] for r in out} == {(k or None): (6, -6 * k - 5, 1) for k in range(30_000)}
+    wide = folds.fold(spark.range(25_000).selectExpr("id", "1L AS k"), "k", ["id"], "k long, n int, last long", lambda own: [(len(own), own[-1]["id"])])
+    assert [tuple(r) for r in wide.collect()] == [(1, 25_000, 24_999)]
+
+
+def test_scripts_of_box_texts():
+    for text in ("abc", "12", "", "éa", "これは", "これは ab", "abc これ", "ж"):
+        for language in ("en", "ja", "ru"):
+            count = lambda names, text=text: len(re.findall(f"[{''.join(tx.SCRIPTS[n] for n in names)}]", "".join(x for x in text if x.isalpha())))
+            assert boxes.is_written(text, language) == (2 * count(tx.ACCEPTED.get(language, ("latin",))) > count(tuple(tx.SCRIPTS)))
