@@ -20,7 +20,7 @@ def dense_char(char: str) -> bool:
 
 
 def dense_letter(text: str) -> bool:
-    return any(x.isalpha() for x in _DENSE.findall(text))
+    return not text.isascii() and any(x.isalpha() for x in _DENSE.findall(text))
 
 
 def split(text: str) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from chronolex.functions import tokens as tk
 from chronolex.functions.text import ACCEPTED, SCRIPTS
@@ -38,10 +39,19 @@ def centred(row: list[Box], centre: float = CENTRE, tolerance: float = TOLERANCE
     return row
 
 
+@lru_cache
+def _of_scripts(names: tuple[str, ...]) -> re.Pattern:
+    return re.compile(f"[{''.join(SCRIPTS[n] for n in names)}]")
+
+
 def is_written(text: str, language: str) -> bool:
     """Whether more letters of known scripts are of the language's scripts than not."""
-    count = lambda names: len(re.findall(f"[{''.join(SCRIPTS[n] for n in names)}]", "".join(x for x in text if x.isalpha())))
-    return 2 * count(ACCEPTED.get(language, ("latin",))) > count(tuple(SCRIPTS))
+    own = ACCEPTED.get(language, ("latin",))
+    if text.isascii():
+        return "latin" in own and any(map(str.isalpha, text))
+    letters = "".join(x for x in text if x.isalpha())
+    count = lambda names: len(_of_scripts(names).findall(letters))
+    return 2 * count(own) > count(tuple(SCRIPTS))
 
 
 def kept(boxes: list[Box], language: str, *, left: float = 0.0, width: float = 1.0) -> tuple[str, bool]:
@@ -50,7 +60,8 @@ def kept(boxes: list[Box], language: str, *, left: float = 0.0, width: float = 1
     centre = (CENTRE - left) / width
     found = [centred(r, centre, TOLERANCE / width) if 0 <= centre <= 1 else r for r in rows(boxes)]
     lines = [(tk.join([b[0].strip() for b in r]), max(b[4] for b in r)) for r in found if r]
-    written = [x for x in lines if is_written(x[0], language)]
+    own = [is_written(t, language) for t, _ in lines]
+    written = [x for x, mine in zip(lines, own, strict=True) if mine]
     tallest = max((h for _, h in written), default=0.0)
-    other = any(any(c.isalpha() for c in t) and not is_written(t, language) for t, _ in lines)
+    other = any(not mine and any(map(str.isalpha, t)) for (t, _), mine in zip(lines, own, strict=True))
     return tk.join([t for t, h in written if h >= HEIGHT * tallest]), other
