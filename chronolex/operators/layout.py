@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chronolex.functions import text as tx
 from chronolex.functions import tokens as tk
 from chronolex.operators import cues as cu
-from chronolex.operators.segmentation import phrase_break
+from chronolex.operators.segmentation import Steps, answered, breaking, one_by_one
 
 WIDTH, LINES, LEAST_SECONDS = 42, 2, 1.0
 # Signs after which a line is cut, words before which it is, signs that end a clause, borders of a source.
@@ -22,16 +22,22 @@ SOURCE_BORDERS = " 、。，,;；:：!！?？"
 
 
 def wrap(text: str, width: int = WIDTH, *, split=None, dense: bool | None = None) -> list[str]:
+    return answered(wrapping(text, width, by_phrases=split is not None, dense=dense), one_by_one(split))
+
+
+def wrapping(text: str, width: int = WIDTH, *, by_phrases: bool = True, dense: bool | None = None) -> Steps:
     """Greedy lines of at most width characters: cut after the last sign, else before the last of the conjunctions, if the
-    rest still fits in as few lines; else at the last space, but in dense scripts at the end of a phrase of split(), if that
-    is given; else at the width."""
+    rest still fits in as few lines; else at the last space, but in dense scripts at the end of a phrase, if those are asked
+    for; else at the width."""
     rest, lines, dense = text.strip(), [], tk.dense_letter(text) if dense is None else dense
     while len(rest) > width:
         window, earliest = rest[:width], len(rest) - width * (-(-len(rest) // width) - 1)
         after_sign = 1 + max(window.rfind(x) for x in LINE_SIGNS)
         before_word = max((i for w in CONJUNCTIONS if (i := window.rfind(w)) >= earliest), default=-1)
-        space = (split and phrase_break(split, rest, width, earliest) or -1) if dense else window.rfind(" ")
-        cut = after_sign if after_sign >= max(earliest, 1) else before_word if before_word >= 0 else space if space >= 0 else width
+        cut = after_sign if after_sign >= max(earliest, 1) else before_word
+        if cut < 0:
+            space = ((yield from breaking(rest, width, earliest)) if by_phrases else None) or -1 if dense else window.rfind(" ")
+            cut = space if space >= 0 else width
         if not (line := rest[:cut].strip()):
             break
         lines.append(line)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import collections
 import re
 import time
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chronolex.functions import text as tx
-from chronolex.operators import boxes, folds, intervals
+from chronolex.operators import boxes, folds, intervals, layout
+from chronolex.operators import segmentation as sg
 from chronolex.plans import registry
 
 BIG = "/root/testdata/sf0.1"
@@ -80,3 +83,46 @@ def test_dense_cues_are_united_before_they_meet_regions(spark, events, monkeypat
     folder = events(f"SELECT * REPLACE (CASE event_id % 9 WHEN 0 THEN -value WHEN 1 THEN 0 ELSE value END AS value) FROM '{BIG}/events.parquet' WHERE event_id // 2000 IN (3, 4)")
     rows = against_sql(spark, folder, "m13_uncovered")
     assert sum(df.count() for df in made) < 2 * len(rows)  # 11 for each region where every cue met it
+
+
+@pytest.fixture(scope="module")
+def lexicon():
+    texts = [x for (x,) in duckdb.execute("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE lang = 'en' ORDER BY doc_id").fetchall()]
+    counts = collections.Counter(w for x in texts for w in re.findall(r"[^\W\d_]+", x.lower()) if len(w) <= sg.LONGEST)
+    return sg.Lexicon({w: float(n) for w, n in counts.items()}), texts
+
+
+ODD = ["İstanbul ab", "ΑΣ σς ΟΔΟΣ,x", "", "a" * 60, "12 ab", "ß日本は とても", "x" * 300, "é ab", "\U0001d400ab c", "a,bü", ",,ab", "日本ab,cdは"]
+
+
+def test_many_lattices_are_those_of_single_runs(lexicon, monkeypatch):
+    own, texts = lexicon
+    some = [x[:600] for x in texts[:25]] + ODD
+    unspaced, split = ["".join(x.split()) for x in some], lambda x: sg.phrases(sg.words(own, x), latin_runs=False)
+    runs = [x for text in unspaced for x in re.findall(r"[^\W\d_]+", text.lower())] + ["q" * 90]
+    want = collections.Counter()
+    for i, run in enumerate(runs):
+        for w, n in own.expected(run).items():
+            want[w] += n * (1 + i % 2)
+    for letters in (sg.LATTICE_LETTERS, 100):  # longer runs go one by one
+        monkeypatch.setattr(sg, "LATTICE_LETTERS", letters)
+        assert [tuple(x) for x in sg.compared_many(own, some).T.tolist()] == [sg.compared(own, x) for x in some]
+        assert sg.ends_of_phrases(own, unspaced) == [sg.phrase_ends(split, x) for x in unspaced]
+        sums = sg.Expected(own)
+        sums.add(runs, np.arange(len(runs)) % 2 + 1)
+        got = collections.Counter()
+        for w, n in zip(*sums.given(), strict=True):
+            got[w] += n
+        assert max(abs(got[w] - want[w]) for w in {*got, *want}) < 1e-5
+    assert sg.compared_many(None, ["ab cd", ""]).tolist() == [[1, 0], [sg.compared(None, "ab cd")[1], 0], [sg.compared(None, "ab cd")[2], 0]]
+
+
+def test_lines_of_many_texts_take_microseconds_a_letter(lexicon):
+    own, texts = lexicon
+    unspaced = ["".join(x.split())[:400] for x in texts]
+    sg.ends_of_phrases(own, unspaced[:1])
+    began = time.time()
+    lines = sg.answered(sg.gathered([layout.wrapping(x, 20, dense=True) for x in unspaced]), lambda asked: sg.ends_of_phrases(own, asked))
+    assert (time.time() - began) / sum(map(len, unspaced)) < 25e-6  # some 60 one by one
+    split = lambda x: sg.phrases(sg.words(own, x), latin_runs=False)
+    assert lines[:10] == [layout.wrap(x, 20, split=split, dense=True) for x in unspaced[:10]]
