@@ -41,6 +41,29 @@ def counts(path: DataFrame, keys: list[str]) -> DataFrame:
     return path.groupBy(*keys).agg(n("same").alias("same"), n("sub").alias("sub"), n("del").alias("deleted"), n("ins").alias("inserted"))
 
 
+def counts_of_texts(pairs: DataFrame, keys: list[str], ref: str, hyp: str) -> DataFrame:
+    """counts() of paths() of two texts' words, between single spaces.  A task holds the words and the path of one pair at a
+    time; the texts come as they are, which is a fraction of their words as arrays."""
+    types = dict(pairs.dtypes)
+    kinds = {"same": "same", "sub": "sub", "del": "deleted", "ins": "inserted"}
+
+    def run(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+
+        for batch in batches:
+            made = []
+            for a, b in zip(batch.column(ref), batch.column(hyp), strict=True):
+                n = Counter(kind for kind, _, _ in fo.align(a.as_py().split(" "), b.as_py().split(" ")))
+                made.append([n[kind] for kind in kinds])
+            columns = [pa.array([x[i] for x in made], pa.int64()) for i in range(len(kinds))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *columns], names=[*keys, *kinds.values()])
+
+    found = pairs.select(*keys, ref, hyp).mapInArrow(run, ", ".join([*(f"{k} {types[k]}" for k in keys), *(f"{name} long" for name in kinds.values())]))
+    return found.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in kinds.values()])
+
+
 def boundary_score(path: DataFrame, keys: list[str], ref_marks: DataFrame, hyp_marks: DataFrame, slack: int = 2) -> DataFrame:
     """keys, mapped, found, marks, right: boundaries of the reference (keys, i), each at the place of the last word up to
     it that is in the hypothesis; how many have one of the hypothesis (keys, j) within `slack`; and the other way."""

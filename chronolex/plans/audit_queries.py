@@ -38,9 +38,9 @@ def m3_align(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def m3_align_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Word edits between each document and the one of the next id, of whole texts."""
-    docs = t.table(spark, sf, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), " ").alias("words"))
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("words").alias("hyp"))
-    return au.counts(au.paths(docs.join(after, "doc_id").withColumnRenamed("words", "ref"), ["doc_id"], "ref", "hyp"), ["doc_id"])
+    docs = t.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("ref"))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("ref").alias("hyp"))
+    return au.counts_of_texts(docs.join(after, "doc_id"), ["doc_id"], "ref", "hyp")
 
 
 @query()

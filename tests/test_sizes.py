@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolex.functions import text as tx
-from chronolex.operators import boxes, folds, intervals, layout
+from chronolex.operators import audits, boxes, folds, intervals, layout
 from chronolex.operators import segmentation as sg
 from chronolex.plans import registry
 
@@ -126,3 +126,11 @@ def test_lines_of_many_texts_take_microseconds_a_letter(lexicon):
     assert (time.time() - began) / sum(map(len, unspaced)) < 25e-6  # some 60 one by one
     split = lambda x: sg.phrases(sg.words(own, x), latin_runs=False)
     assert lines[:10] == [layout.wrap(x, 20, split=split, dense=True) for x in unspaced[:10]]
+
+
+def test_counts_of_texts_are_those_of_their_paths(spark):
+    pairs = spark.range(40).select("id", F.concat(F.repeat(F.lit("ab cd "), 500), F.col("id").cast("string")).alias("a"), F.concat(F.repeat(F.lit("ab "), 2), F.col("id").cast("string")).alias("b"))
+    names = ["id", "same", "sub", "deleted", "inserted"]
+    got = audits.counts_of_texts(pairs, ["id"], "a", "b")
+    arrays = pairs.select("id", F.split("a", " ").alias("a"), F.split("b", " ").alias("b"))
+    assert sorted(got.select(names).collect()) == sorted(audits.counts(audits.paths(arrays, ["id"], "a", "b"), ["id"]).select(names).collect())
